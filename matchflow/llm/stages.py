@@ -1 +1,59 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame.
+
+All but the last return the columns of documents. A stage decides for every row it is given.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchflow.llm.common import DOCUMENT_COLUMNS, checkpointed, table
+
+
+def written(docs: DataFrame) -> DataFrame:
+    """docs as Parquet in the shared folder, read again."""
+    return checkpointed(docs)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.5 or more go; the model learns from the labelled documents of the tables."""
+    from matchflow.llm.toxicity import fit_toxicity, score_toxicity
+
+    model = fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model, keep=DOCUMENT_COLUMNS).filter("score < 0.5").select(*DOCUMENT_COLUMNS)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays; rows without an id stay."""
+    from matchflow.llm.simhash import near_duplicate_components
+
+    groups = near_duplicate_components(docs)
+    copies = groups.filter("doc_id <> component_id").select("doc_id")
+    return docs.select(*DOCUMENT_COLUMNS).join(copies, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, within its error budget, go."""
+    from matchflow.llm.decontamination import find_leaks
+
+    marked = find_leaks(docs, table(spark, sf_dir, "benchmark"), keep=DOCUMENT_COLUMNS)
+    return marked.filter(F.size("leaks") == 0).select(*DOCUMENT_COLUMNS)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each secret's characters become [SECRET]; every document stays."""
+    from matchflow.llm.secret_scan import find_secrets, masked
+
+    found = find_secrets(docs, keep=DOCUMENT_COLUMNS)
+    return masked(found).select(*DOCUMENT_COLUMNS)
+
+
+def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids with the end id, their number, and the text decoded from them."""
+    from matchflow.llm.pieces import decode_pieces, encode_pieces
+    from matchflow.llm.queries import PIECE_BPE, tokenizer
+
+    path = tokenizer(PIECE_BPE)
+    decoded = decode_pieces(encode_pieces(docs, path), path)
+    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").alias("text"))
