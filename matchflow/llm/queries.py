@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchflow.llm.common import table
+from matchflow.llm.common import crc_remainder, table
 
 #: Vocabulary files, beside the library that reads them.
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -19,6 +19,34 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds within the item's error budget."""
+    from matchflow.llm.decontamination import find_leaks
+
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchflow.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchflow.llm.secret_scan import BASE_KINDS, find_secrets, joined, of_kind
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(F.size(of_kind("spans", kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS),
+        F.sha2(joined(of_kind("spans", *BASE_KINDS)), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matchflow.llm.token_counts import count_tokens
 
