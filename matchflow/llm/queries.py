@@ -53,6 +53,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchflow.llm.simhash import near_duplicate_components
+
+    found = near_duplicate_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matchflow.llm.pieces import decode_pieces, encode_pieces
 
