@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchflow.llm.common import crc_remainder, table
+from matchflow.llm.common import crc_remainder, shared_folder, table
 
 #: Vocabulary files, beside the library that reads them.
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -27,6 +27,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchflow.llm.warc import read_warc, write_warc
+
+    path = shared_folder(spark)
+    write_warc(table(spark, sf_dir, "pages"), path)
+    records = read_warc(spark, path, payload=False).filter("reason is null")
+    page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matchflow.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -77,5 +87,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
 
 
+#: RFC 4648 base 32 of a SHA-1 in hexadecimal: five bits a letter.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {1 + 10 * part}, 10))::BIGINT >> {35 - 5 * k}) & 31)::INT + 1, 1)" for part in range(4) for k in range(8))
+
+ORACLES = {
+    "op3_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        g AS (SELECT h, max(page_id) AS keeper FROM p GROUP BY h)
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+        FROM p JOIN g USING (h)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
