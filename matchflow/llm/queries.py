@@ -63,6 +63,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
 
 
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchflow.llm.merkle import document_fingerprints
+
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matchflow.llm.simhash import near_duplicate_components
 
@@ -90,7 +96,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: RFC 4648 base 32 of a SHA-1 in hexadecimal: five bits a letter.
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {1 + 10 * part}, 10))::BIGINT >> {35 - 5 * k}) & 31)::INT + 1, 1)" for part in range(4) for k in range(8))
 
+#: The tree of a text column t and its hashes, as merkle.py defines them.
+_MARKED = r"regexp_replace({t}, '\n(\n|#|[AEIOULRT])', chr(10) || chr(1) || '\1', 'g')"
+_CLAUSES = r"string_split(regexp_replace(p, '([^\p{{L}}\p{{N}}\s]) ', '\1' || chr(1), 'g'), chr(1))"
+_TREE = f"[[[sha256(c) for c in {_CLAUSES}] for p in string_split(s, chr(10))] for s in string_split({_MARKED}, chr(10) || chr(1))]"
+_PRINT = """sha256(array_to_string([sha256(array_to_string([sha256(array_to_string(p, '')) for p in s], '')) for s in {t}], '')) || ':' ||
+    array_to_string([substr(sha256(array_to_string([sha256(array_to_string(p, '')) for p in s], '')), 1, 8) || '=' ||
+        array_to_string([substr(sha256(array_to_string(p, '')), 1, 8) || '.' || array_to_string([substr(c, 1, 8) for c in p], '') for p in s], ',') for s in {t}], ';')"""
+_LEAVES = "list_distinct([substr(c, 1, 8) for c in flatten(flatten({t}))])"
+
 ORACLES = {
+    "op8_merkle": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS following FROM d),
+        e AS (SELECT *, left(text, (length(text) - length(text) // 2)::INT) || left(following, (length(text) // 2)::INT) AS edited FROM n),
+        t AS (SELECT *, {_TREE.format(t='text')} AS a, {_TREE.format(t='edited')} AS b, {_TREE.format(t='following')} AS c FROM e),
+        l AS (SELECT *, {_LEAVES.format(t='a')} AS la, {_LEAVES.format(t='b')} AS lb, {_LEAVES.format(t='c')} AS lc FROM t)
+        SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+               {_PRINT.format(t='a')} AS fingerprint, {_PRINT.format(t='b')} AS edited_fingerprint,
+               2.0 * len(list_intersect(la, lb)) / (len(la) + len(lb)) AS near_edited,
+               2.0 * len(list_intersect(la, lc)) / (len(la) + len(lc)) AS near_next
+        FROM l""",
     "op3_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
         g AS (SELECT h, max(page_id) AS keeper FROM p GROUP BY h)
