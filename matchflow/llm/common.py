@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Sequence
 from pathlib import Path
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +68,18 @@ def partitions_for(total_bytes: int, bytes_each: int, least: int = 1) -> int:
 
 def with_document_columns(docs: DataFrame, columns: Sequence[str] = DOCUMENT_COLUMNS) -> DataFrame:
     return docs.select(*columns)
+
+
+def id_ranges(rows: DataFrame, col: str, ranges: int, name: str) -> DataFrame:
+    """rows with an int column that numbers about equally filled ranges of an id column, ascending; nulls are in the first.
+
+    The bounds are quantiles; at most 100,000 of them are held by the driver.
+    """
+    ranges = min(ranges, 100_000)
+    at = F.coalesce(F.col(col).cast("double"), F.lit(-float("inf")))
+    bounds = rows.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("at")).approxQuantile("at", [k / ranges for k in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
+    inner = sorted(set(bounds))
+    if not inner:
+        return rows.withColumn(name, F.lit(0))
+    place = Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="__at", outputCol="__range")
+    return place.transform(rows.withColumn("__at", at)).withColumn(name, F.col("__range").cast("int")).drop("__at", "__range")

@@ -14,13 +14,14 @@ used whole. Repeated ids keep their rows, ordered by text; null ids come before
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchflow.llm.common import id_ranges
+
 SECTION_LETTERS = "AEIOULRT"
-#: Rows of one range of ids, and the most ranges: their bounds are all that the driver holds.
-BUCKET_ROWS, MOST_BUCKETS = 2000, 100_000
+#: Rows of one range of ids.
+BUCKET_ROWS = 2000
 #: Digits of a hash inside the tree.
 SHORT = 8
 
@@ -71,22 +72,12 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     first document behind it, so the texts move once and no window spans the table.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    count = rows.count()
-    buckets = min(MOST_BUCKETS, count // BUCKET_ROWS)
-    bounds = rows.approxQuantile("key", [k / buckets for k in range(1, buckets)], 0.25 / buckets) if buckets > 1 else []
-    splits = [-float("inf"), *sorted({float(b) for b in bounds}), float("inf")]
-    if len(splits) > 2:
-        place = Bucketizer(splits=splits, inputCol="at", outputCol="bucket")
-        placed = place.transform(rows.withColumn("at", F.col("key").cast("double"))).drop("at")
-    else:
-        placed = rows.withColumn("bucket", F.lit(0.0))
-    placed = placed.withColumn("guest", F.lit(False))
-    firsts = [r.first for r in placed.groupBy("bucket").agg(F.min("key").alias("first")).orderBy("bucket").collect()]
-    hosts = [r.bucket for r in placed.groupBy("bucket").count().orderBy("bucket").collect()]
-    if not firsts:
+    placed = id_ranges(rows, "key", rows.count() // BUCKET_ROWS, "bucket").withColumn("guest", F.lit(False))
+    # a row for each range
+    ranges = [(r.bucket, r.least) for r in placed.groupBy("bucket").agg(F.min("key").alias("least")).orderBy("bucket").collect()]
+    if not ranges:
         return rows.select("doc_id", "text", F.col("text").alias("next_text"))
-    # a row for each range: bounded by the number of ranges
-    guests = F.broadcast(docs.sparkSession.createDataFrame([(firsts[(i + 1) % len(firsts)], float(h)) for i, h in enumerate(hosts)], "key long, host double"))
+    guests = F.broadcast(docs.sparkSession.createDataFrame([(ranges[(i + 1) % len(ranges)][1], host) for i, (host, _) in enumerate(ranges)], "key long, host int"))
     copies = placed.join(guests, "key").select("doc_id", "text", "key", F.col("host").alias("bucket"), F.lit(True).alias("guest"))
     order = Window.partitionBy("bucket").orderBy("guest", "key", "text")
     whole = placed.unionByName(copies).withColumn("next_text", F.lead("text").over(order))
