@@ -1,4 +1,4 @@
 """Registered queries: each operator bound to a driver table, with its DuckDB equivalent."""
 
-from matchflow.plans import runs, telemetry  # noqa: F401
+from matchflow.plans import postings, runs, telemetry  # noqa: F401
 from matchflow.plans.registry import ORACLES, QUERIES  # noqa: F401

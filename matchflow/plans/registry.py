@@ -63,3 +63,28 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound(spark, sf_dir, EVENTS, "events")
+
+TITLES = "Senior Product Manager|Lead Data Scientist|Junior Backend Engineer|Director, Operations|Principal Engineer|Product Manager|VP Sales|Engineering Manager|Graduate Analyst|Software Engineer, Platform|Staff Engineer|Head of Data|Consultant|Chef|Sr. QA Engineer|Associate Designer".split("|")
+ASKS = "5+ years of work|minimum 8 years here|At least 3 years of it|3-7 years asked|10 or more years|2 to 4 years needed|no figure at all|12 years needed, 3 years liked|40 years old firm|1 year of practice".split("|")
+PLACES = "Dublin, Ireland|London, UK|Berlin, Germany|New York, USA|Kyiv, Ukraine|Remote|Madrid Spain|".split("|")
+LABELS = "Fresher (0-1 yrs)|Entry / Associate|Mid-level|Senior (6-10)|Lead / Manager|Director / VP+|Unknown".split("|")
+
+
+def pick(expr: str, values: list[str]) -> str:
+    """SQL that picks a text by an expression's remainder."""
+    return f"CASE {expr} % {len(values)} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+
+
+#: Orders as job postings and as candidates.
+POSTINGS = f"""SELECT o_orderkey AS seq, {pick('o_orderkey', TITLES)} AS title, concat('c', cast(o_custkey % 40 AS string)) AS company, {pick('o_custkey', PLACES)} AS location,
+    CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE concat('https://Jobs.example.com/p/', cast(o_orderkey % 3000 AS string), CASE o_orderkey % 3 WHEN 0 THEN '/?utm_source=x&id=1' WHEN 1 THEN '#top' ELSE '/' END) END AS url,
+    concat('We look for someone with ', {pick('o_orderkey + o_custkey', ASKS)}, ' in ', o_orderpriority) AS description, {pick('o_custkey', ['LinkedIn', 'Indeed', 'Glassdoor'])} AS source, o_orderstatus AS job_type FROM orders"""
+CANDIDATES = f"""SELECT o_orderkey AS candidate_id, {pick('o_orderkey', LABELS)} AS experience_level FROM orders WHERE o_orderkey % 100 = 0"""
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound(spark, sf_dir, POSTINGS, "orders")
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound(spark, sf_dir, CANDIDATES, "orders")
