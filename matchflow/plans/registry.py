@@ -50,7 +50,8 @@ EVENTS = "SELECT event_id, ts, cast(user_id AS string) AS distinct_id, event_typ
 
 def bound(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
     """A driver table under one of the renamings above."""
-    return spark.sql(sql.replace(f"FROM {name}", f"FROM {{{name}}}"), **{name: table(spark, sf_dir, name)})
+    text = sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {name}", f"FROM {{{name}}}")
+    return spark.sql(text, **{name: table(spark, sf_dir, name)})
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
