@@ -25,7 +25,24 @@ from matchflow.llm.common import texts
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-KEPT_UNITS = 800_000
+KEPT_UNITS = 300_000
+
+
+class PieceWriter:
+    """The bytes of each id: all that decoding needs."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        name = model.id_to_piece
+        kinds = ((model.is_control, lambda i: b""), (model.is_unknown, lambda i: " ⁇ ".encode()), (model.is_byte, lambda i: bytes([int(name(i)[3:5], 16)])), (lambda i: True, lambda i: name(i).replace(MARK, " ").encode()))
+        self.written = [next(write(i) for fits, write in kinds if fits(i)) for i in range(model.vocab_size())]
+
+    def decode(self, ids: list[int]) -> str:
+        """Pieces written out; the mark put before the text is taken off again."""
+        whole = b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace")
+        return whole[1:] if whole[:1] == " " else whole
 
 
 class PieceTable:
@@ -54,13 +71,6 @@ class PieceTable:
         self.automaton.make_automaton()
         #: By rank: the id, and the length in characters.
         self.by_rank = [(self.ids[n], len(n)) for n in self.vocabulary.names]
-        written = [b""] * len(names)
-        for piece, i in self.ids.items():
-            written[i] = piece.replace(MARK, " ").encode()
-        for byte, i in self.bytes.items():
-            written[i] = bytes([byte])
-        written[self.unknown] = " ⁇ ".encode()
-        self.written = written
         self.units: dict[str, tuple[int, ...]] = {}
 
     def last_pieces(self, unit: str) -> list[int]:
@@ -102,13 +112,9 @@ class PieceTable:
         out.append(self.end)
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """Pieces written out; the mark put before the text is taken off again."""
-        whole = b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace")
-        return whole[1:] if whole[:1] == " " else whole
-
 
 _tables: dict[str, PieceTable] = {}
+_writers: dict[str, PieceWriter] = {}
 
 
 def piece_table(path: str) -> PieceTable:
@@ -117,6 +123,12 @@ def piece_table(path: str) -> PieceTable:
     return _tables[path]
 
 
+def piece_writer(path: str) -> PieceWriter:
+    if path not in _writers:
+        _writers[path] = PieceWriter(path)
+    return _writers[path]
+
+
 def encode_pieces(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns in keep, and ids (array of int, the end id last). One pass, no shuffle."""
 
@@ -136,9 +148,9 @@ def decode_pieces(df: DataFrame, model_path: str) -> DataFrame:
     """df with `decoded`, the text of its ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = piece_table(model_path)
+        writer = piece_writer(model_path)
         for pdf in batches:
-            pdf["decoded"] = [table.decode(i) for i in pdf.ids]
+            pdf["decoded"] = [writer.decode(i) for i in pdf.ids]
             yield pdf
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

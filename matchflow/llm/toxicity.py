@@ -106,7 +106,7 @@ class Lexicon:
         self.seeds = {w: (kind, 2.0) for kind, words in SEEDS.items() for w in words.split()}
 
     def word(self, word: str) -> tuple[int, float]:
-        if len(self.kept) > 500_000:
+        if len(self.kept) > 200_000:
             self.kept.clear()
         if word in ".!?;:\n":
             known = STOP, 0.0
