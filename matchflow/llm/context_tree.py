@@ -24,6 +24,7 @@ rows every bit has probability 1/2 and the base counts are zero.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -306,7 +307,7 @@ def model_scores(docs: DataFrame) -> DataFrame:
         return answer(pdf, lambda keys, counts: Subtree(keys, counts).log10_probabilities(sent.value).astype(np.float32))
 
     def word_answers(pdf: pd.DataFrame) -> pd.DataFrame:
-        return answer(pdf, lambda keys, counts: counts.astype(np.float64))
+        return answer(pdf, lambda keys, counts: counts.astype(np.uint64))
 
     def word_totals(pdf: pd.DataFrame) -> pd.DataFrame:
         _, _, counts = merged(pdf)
@@ -316,6 +317,9 @@ def model_scores(docs: DataFrame) -> DataFrame:
     n_train, distinct = totals[0] or 0, totals[1] or 0
     answers = each_bucket(grams, gram_answers, ANSWERS).unionByName(each_bucket(words, word_answers, ANSWERS))
 
+    packed = packed_texts(placed)
+    base = float(n_train) + 0.1 * (distinct + 1)
+
     def chunk_scores(texts_: pd.DataFrame, answers_: pd.DataFrame) -> pd.DataFrame:
         def lookup(is_word: bool, kind: type) -> tuple[np.ndarray, np.ndarray]:
             mine = answers_[answers_.is_word == is_word]
@@ -325,42 +329,66 @@ def model_scores(docs: DataFrame) -> DataFrame:
             return keys[order], values[order]
 
         gram_keys, gram_values = lookup(False, np.float32)
-        word_keys, word_values = lookup(True, np.float64)
-        known = dict(zip(word_keys.tolist(), word_values.tolist(), strict=True))
-        base = float(n_train) + 0.1 * (distinct + 1)
-        counts: dict[bytes, float] = {}
-        size = len(texts_)
-        n_tokens, n_known, base_score, score, n_bytes = (np.zeros(size, t) for t in (np.int64, np.int64, float, float, np.int64))
-
-        def flush(first: int, bodies: list[bytes]) -> None:
-            keys, begins = windows(bodies)
-            score[first : first + len(bodies)] = np.add.reduceat(gram_values[np.searchsorted(gram_keys, keys)].astype(float), begins)
-
-        bodies: list[bytes] = []
-        first = waiting = 0
-        for i, text in enumerate(texts_.text):
-            found = tokens(text)
-            n = np.empty(len(found) + 1)
-            for j, w in enumerate(found):
-                c = counts.get(w)
-                if c is None:
-                    c = counts[w] = known[word_key(w)]
-                n[j] = c
-            n[-1] = known[int(END_KEY)]
-            n_tokens[i], n_known[i] = len(n), np.count_nonzero(n)
-            base_score[i] = np.log10((n + 0.1) / base).sum()
-            body = b" ".join(found)
-            n_bytes[i] = len(body) + 1
-            bodies.append(body)
-            waiting += len(body)
-            if waiting > BLOCK:
-                flush(first, bodies)
-                first, waiting, bodies = i + 1, 0, []
-        if bodies:
-            flush(first, bodies)
-        return pd.DataFrame({"doc_id": texts_.doc_id, "held_out": texts_.held_out, "n_tokens": n_tokens, "n_known": n_known, "train_tokens": n_train, "base_score": base_score, "score": score, "bits_per_byte": -score * np.log2(10) / n_bytes})
+        word_keys, word_values = lookup(True, np.uint64)
+        end_count = word_values[-1]  # END_KEY is the largest key
+        out = []
+        for ids, held, blob in zip(texts_.ids, texts_.held_out, texts_.blob, strict=True):
+            bodies = zlib.decompress(blob).split(EDGE)
+            each = [b.split() for b in bodies]
+            place = {w: k for k, w in enumerate(dict.fromkeys(w for words in each for w in words))}
+            counts = word_values[np.searchsorted(word_keys, np.fromiter(map(word_key, place), np.uint64, len(place)))]
+            counts = np.append(counts, end_count).astype(float)
+            logs, known = np.log10((counts + 0.1) / base), (counts > 0).astype(np.int64)
+            at = np.fromiter((k for words in each for k in (*map(place.__getitem__, words), -1)), np.int64)
+            sizes = np.array([len(words) + 1 for words in each])
+            begins = np.cumsum(sizes) - sizes
+            grams, gram_begins = windows(bodies)
+            score = np.add.reduceat(gram_values[np.searchsorted(gram_keys, grams)].astype(float), gram_begins)
+            n_bytes = np.array([len(b) + 1 for b in bodies])
+            out.append(
+                pd.DataFrame(
+                    {
+                        "doc_id": list(ids),
+                        "held_out": list(held),
+                        "n_tokens": sizes,
+                        "n_known": np.add.reduceat(known[at], begins),
+                        "train_tokens": n_train,
+                        "base_score": np.add.reduceat(logs[at], begins),
+                        "score": score,
+                        "bits_per_byte": -score * np.log2(10) / n_bytes,
+                    },
+                    dtype=object,
+                )
+            )
+        return pd.concat(out) if out else pd.DataFrame(columns=SCORED)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    by_chunk = placed.select("doc_id", "text", "held_out", "chunk").groupBy("chunk")
-    return by_chunk.cogroup(answers.groupBy("chunk")).applyInPandas(chunk_scores, schema)
+    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(chunk_scores, schema)
+
+
+SCORED = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def packed_texts(placed: DataFrame) -> DataFrame:
+    """chunk, ids, held_out and blob: the texts of a batch and chunk in one compressed row, so they move small and are scored row by row."""
+    kind = placed.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for chunk, part in pdf.groupby("chunk"):
+                bodies = [b" ".join(tokens(t)) for t in part.text]
+                first = size = 0
+                for k, body in enumerate(bodies):
+                    size += len(body)
+                    if size > BLOCK // 2 or k == len(bodies) - 1:
+                        mine = slice(first, k + 1)
+                        rows.append((chunk, part.doc_id.tolist()[mine], part.held_out.tolist()[mine], zlib.compress(EDGE.join(bodies[mine]), 1)))
+                        first, size = k + 1, 0
+            yield pd.DataFrame(rows, columns=["chunk", "ids", "held_out", "blob"])
+
+    # ids travel as text: a column with nulls would turn into floats
+    rows = placed.select("chunk", F.col("doc_id").cast("string"), "held_out", "text")
+    out = rows.mapInPandas(run, "chunk int, ids array<string>, held_out array<boolean>, blob binary")
+    return out.withColumn("ids", F.col("ids").cast(f"array<{kind}>"))
