@@ -33,6 +33,8 @@ from matchflow.llm.common import checkpointed
 
 VERSION, MAGIC = b"WARC/1.", b"\x1f\x8b\x08"
 RECORDS_PER_FILE = 20_000
+#: Compressed bytes read at once.
+PIECE = 4096
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -134,13 +136,16 @@ def parse_at(data: bytes, at: int) -> tuple[list[dict], int] | str:
     if data[at : at + 3] != MAGIC:
         found = parse_record(data, at)
         return found if isinstance(found, str) else ([found[0]], found[1])
-    unzip = zlib.decompressobj(31)
+    unzip, parts, end = zlib.decompressobj(31), [], at
     try:
-        plain = unzip.decompress(data[at:] if len(data) - at < 1 << 16 else memoryview(data)[at:])
+        while not unzip.eof and end < len(data):  # in pieces: what is left over behind a member is copied
+            parts.append(unzip.decompress(data[end : end + PIECE]))
+            end += PIECE
     except zlib.error as e:
         return f"gzip: {e}"
     if not unzip.eof:
         return "gzip: cut off"
+    plain, end = b"".join(parts), min(end, len(data)) - len(unzip.unused_data)
     records, inside = [], 0
     while inside < len(plain):
         found = parse_record(plain, inside)
@@ -148,7 +153,7 @@ def parse_at(data: bytes, at: int) -> tuple[list[dict], int] | str:
             return found
         records.append(found[0])
         inside = found[1]
-    return records, len(data) - len(unzip.unused_data)
+    return records, end
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
