@@ -91,6 +91,8 @@ def compose(machines: tuple[Transducer, ...]) -> list[list[tuple[int, int]]]:
 
 
 MACHINE = compose(GRAMMAR)
+#: Read from the clause's end: a target may also follow ("kill you").
+BACKWARD = compose((Transducer(TARGET, 3, AIMED),))
 
 
 @dataclass
@@ -138,11 +140,19 @@ def features(text: str, lexicon: Lexicon) -> np.ndarray:
         begin = i
         while begin > at and classes[begin - 1][0] != STOP:
             begin -= 1
+        end = begin
+        while end < len(classes) and classes[end][0] != STOP:
+            end += 1
+        behind, state = [], 0
+        for kind, _ in reversed(classes[begin:end]):
+            state, written = BACKWARD[state][kind]
+            behind.append(written)
         state, at = 0, begin
         while at < len(classes):
             kind, weight = classes[at]
             state, written = MACHINE[state][kind]
             if kind == INSULT or kind == THREAT:
+                written |= behind[end - 1 - at]
                 sums[written] = sums.get(written, 0.0) + weight
                 seen[words[at]] += 1
             at += 1
