@@ -12,6 +12,10 @@ import heapq
 from collections.abc import Callable, Iterable, Sequence
 
 
+#: Answers kept.
+KEPT_PAIRS = 300_000
+
+
 def merge_symbols(symbols: Sequence[str], rank: Callable[[str, str], float | None]) -> tuple[list[str], tuple[str, str] | None]:
     """Byte-pair merging by definition, the best-ranked and then leftmost pair first; and the last pair merged."""
     parts: list[str | None] = list(symbols)
@@ -54,7 +58,8 @@ class Vocabulary:
         self.rank = {t: i for i, t in enumerate(order)}
         self.names = order
         by_pair = {(a, b): self.rank[t] for t in order[self.first_merged :] for a, b in pairs(t) if a in self.rank and b in self.rank}
-        self.merges = {(self.rank[a], self.rank[b]): r for (a, b), r in by_pair.items()}
+        #: Pairs are keyed by first << 16 | second.
+        self.merges = {self.rank[a] << 16 | self.rank[b]: r for (a, b), r in by_pair.items()}
         self.split: list[tuple[int, int]] = [(i, i) for i in range(len(order))]
         self.reachable = set(order[: self.first_merged])
         for t in order[self.first_merged :]:
@@ -65,14 +70,16 @@ class Vocabulary:
                     raise ValueError(f"{t!r} merges before its parts")
                 self.reachable.add(t)
                 self.split[self.rank[t]] = a, b
-        self.known: dict[tuple[int, int], bool] = {}
+        if len(order) > 1 << 16:
+            raise ValueError("more tokens than a pair's key has room for")
+        self.known: dict[int, bool] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the tokens of ranks a and b stay apart: their edges are taken back merge by merge."""
-        key = a, b
+        key = a << 16 | b
         answer = self.known.get(key)
         if answer is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > KEPT_PAIRS:
                 self.known.clear()
             answer = self.known[key] = self._apart(a, b)
         return answer
@@ -81,7 +88,7 @@ class Vocabulary:
         merges, split, singles = self.merges, self.split, self.first_merged
         limit = len(split) + 1
         while True:
-            joined = merges.get((a, b))
+            joined = merges.get(a << 16 | b)
             if joined is not None and joined < limit:
                 return False
             # the later merge is undone first; of equal ones the right-hand one

@@ -83,7 +83,7 @@ class PieceTable:
                 continue
             start = at + 1 - size
             before = table[start]
-            if before < 0 or (ok if (ok := known((before, piece))) is not None else compatible(before, piece)):
+            if before < 0 or (ok if (ok := known(before << 16 | piece)) is not None else compatible(before, piece)):
                 table[at + 1], done = piece, at + 1
         return table
 
@@ -155,3 +155,15 @@ def decode_pieces(df: DataFrame, model_path: str) -> DataFrame:
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInPandas(run, f"{fields}, decoded string")
+
+
+def pieces_round_trip(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, ids and decoded in one pass: what decode_pieces gives for encode_pieces, without ids going back and forth between workers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, writer = piece_table(model_path), piece_writer(model_path)
+        for pdf in batches:
+            ids = [table.encode(t) for t in pdf.text]
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "ids": ids, "decoded": [writer.decode(i) for i in ids]})
+
+    return texts(docs).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")

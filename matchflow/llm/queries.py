@@ -89,11 +89,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from matchflow.llm.pieces import decode_pieces, encode_pieces
+    from matchflow.llm.pieces import pieces_round_trip
 
-    path = tokenizer(PIECE_BPE)
-    encoded = encode_pieces(table(spark, sf_dir, "documents"), path)
-    return decode_pieces(encoded, path).select(
+    return pieces_round_trip(table(spark, sf_dir, "documents"), tokenizer(PIECE_BPE)).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

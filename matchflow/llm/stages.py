@@ -51,9 +51,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids with the end id, their number, and the text decoded from them."""
-    from matchflow.llm.pieces import decode_pieces, encode_pieces
+    from matchflow.llm.pieces import pieces_round_trip
     from matchflow.llm.queries import PIECE_BPE, tokenizer
 
-    path = tokenizer(PIECE_BPE)
-    decoded = decode_pieces(encode_pieces(docs, path), path)
+    decoded = pieces_round_trip(docs, tokenizer(PIECE_BPE))
     return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").alias("text"))

@@ -56,7 +56,7 @@ def test_chunk_maps_do_not_depend_on_the_chunk():
 def test_pieces_equal_the_library_both_ways(spark, odd, empty):
     import sentencepiece
 
-    from matchflow.llm.pieces import decode_pieces, encode_pieces, piece_table, piece_writer
+    from matchflow.llm.pieces import decode_pieces, encode_pieces, piece_table, piece_writer, pieces_round_trip
 
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
     table = piece_table(PIECE_BPE)
@@ -66,6 +66,7 @@ def test_pieces_equal_the_library_both_ways(spark, odd, empty):
         assert piece_writer(PIECE_BPE).decode(ids) == library.decode(ids)
     rows = decode_pieces(encode_pieces(odd, PIECE_BPE), PIECE_BPE).collect()
     assert sorted((str(r.doc_id), r.ids, r.decoded) for r in rows) == sorted((str(r.doc_id), ids := [*library.encode(r.text or ""), 2], library.decode(ids)) for r in odd.collect())
+    assert sorted(map(str, pieces_round_trip(odd, PIECE_BPE).collect())) == sorted(map(str, rows))
     assert decode_pieces(encode_pieces(empty, PIECE_BPE), PIECE_BPE).count() == 0
 
 
