@@ -137,13 +137,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     n_known = known.count()
     share = known.agg(F.avg("quality")).first()[0] if n_known else 1.0
+    same = F.lit(float(share))
+    constant = docs.select("doc_id", same.alias("content_score"), same.alias("metadata_score"), same.alias("score"), (same >= 0.5).alias("keep"))
     if share in (0.0, 1.0):
-        same = F.lit(float(share))
-        return docs.select("doc_id", same.alias("content_score"), same.alias("metadata_score"), same.alias("score"), (same >= 0.5).alias("keep"))
+        return constant
     table = checkpointed(views(docs))
     # about FIT_ROWS rows of two numbers, whatever the size of the tables
     sample = F.broadcast(hash_sample(known, FIT_ROWS, "fit", n_known))
     rows = table.join(sample, "doc_id").withColumn("aside", F.pmod(F.crc32(F.concat(F.lit("aside"), F.col("doc_id"))), F.lit(4)) == 0).toPandas()
+    if rows.quality.nunique() < 2:  # the labels are of other documents
+        return constant
     fit, aside = rows[~rows.aside], rows[rows.aside]
     if fit.quality.nunique() < 2 or aside.quality.nunique() < 2:
         fit = aside = rows
