@@ -76,12 +76,12 @@ def letter_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents made safe, redacted, measured, freed of copies, and the best ten of each source."""
+    """Whole documents made safe, redacted, measured, freed of copies, and the best ten of each source."""
     from matchflow.functions import text as X
     from matchflow.operators.outline import document_quality
     from matchflow.operators.postings import dedupe_first, limit_per_source
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", X.redact_emails(X.sanitise_untrusted("text")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", X.redact_emails(X.sanitise_untrusted("text", most=None)).alias("text"))
     once = dedupe_first(docs.withColumn("fingerprint", X.doc_fingerprint("text")), "fingerprint", ["doc_id"])
     measured = document_quality(once).select("doc_id", "chars", "score", "status")
     ranked = once.select("doc_id", "source", "fingerprint", X.required_years("text").alias("years"), F.round(X.ascii_ratio("text"), 4).alias("ascii")).join(measured, "doc_id")
