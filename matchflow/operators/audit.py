@@ -141,7 +141,9 @@ def resolve_keys(keys: DataFrame, headers: DataFrame, least: float = 0.60) -> Da
 
     keys: doc_id, key. headers: doc_id, header, place. Unmatched keys get a null header.
     """
-    pair = keys.join(headers, "doc_id")
+    # a repeated header can only win at its first place
+    once = headers.groupBy("doc_id", "header").agg(F.min("place").alias("place"))
+    pair = keys.join(once, "doc_id")
     k, h = F.lower(F.trim("key")), F.lower(F.trim("header"))
     kt, ht = key_tokens("key"), key_tokens("header")
     overlap = F.when(F.size(kt) > 0, F.size(F.array_intersect(kt, ht)) / F.size(kt)).otherwise(0.0)

@@ -1,7 +1,11 @@
 """Queries and operators that have to cover all of their input."""
 
+import re
+from collections import defaultdict
+
 from matchflow import plans
 from matchflow.functions import text as X
+from matchflow.operators import audit as A
 
 
 def test_flagship_reads_whole_texts(spark, tmp_path):
@@ -16,3 +20,36 @@ def test_the_cap_stays_where_it_is_asked_for(spark):
     df = spark.createDataFrame([("a" * 20_001,)], "x string")
     row = df.select(X.sanitise_untrusted("x").alias("cut"), X.sanitise_untrusted("x", most=None).alias("whole"), X.fence_block("x", "T").alias("fenced")).first()
     assert row.whole == "a" * 20_001 and row.cut.startswith("a" * 20_000 + "\n\n[[TRUNCATED") and row.cut in row.fenced
+
+
+def test_resolve_keys_resolves_every_order(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority").collect()
+    keys, headers = defaultdict(set), defaultdict(list)
+    for n, doc, level in sorted(orders):
+        keys[doc].add([f"Acme {level}", f"acme {level.lower()} Jan 2020", "Globex North team lead", "nothing"][n % 4])
+        headers[doc].append((n, f"Acme {level}" if n % 3 == 0 else "Lead of North, Globex"))
+
+    def tokens(text):
+        return {w for w in re.split("[^a-z0-9]+", text.lower()) if len(w) >= 2 and w not in A.KEY_STOP_WORDS and not w.isdigit()}
+
+    def best(key, places):
+        found = []
+        for place, header in places:
+            k, h, share = key.lower().strip(), header.lower().strip(), len(tokens(key) & tokens(header)) / max(1, len(tokens(key)))
+            if k == h:
+                found.append((0, 0, 0, place, header))
+            elif h.startswith(k) or k.startswith(h) or k in h:
+                found.append((1, 0, 0, place, header))
+            elif share >= 0.6:
+                found.append((2, -share, len(header), place, header))
+        return min(found)[-1] if found else None
+
+    got = [tuple(r) for r in plans.QUERIES["resolve_keys"](spark, sf_dir).select("doc_id", "key", "header").collect()]
+    want = {(doc, key, best(key, headers[doc])) for doc in keys for key in keys[doc]}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_repeated_headers_meet_a_key_once(spark):
+    keys = spark.createDataFrame([(1, "Acme North")], "doc_id int, key string")
+    headers = spark.createDataFrame([(1, "Acme", 5), (1, "Acme North Lead", 3)] + [(1, "Acme", k) for k in range(6, 40)], "doc_id int, header string, place int")
+    assert [tuple(r) for r in A.resolve_keys(keys, headers).collect()] == [(1, "Acme North", "Acme North Lead")]
