@@ -7,9 +7,10 @@ so they land wherever Spark can write: a gzip member of less than 16 MiB ends in
 left to the writer as its line separator (longer ones get an empty member behind them).
 
 Reading: files come as whole bytes. A record counts if its member's CRC, its version line, its length,
-its closing line breaks and its block digest hold. Where one of them fails, the reader looks for the
+its closing line breaks and its block digest hold (for the CRC see below). Where one of them fails, the reader looks for the
 next place where a whole valid member or version line begins, logs the bytes between as a quarantined
-gap, and goes on.
+gap, and goes on. Inside a member it looks for version lines the same way, and if the member itself is
+damaged (CRC, cut off, bad codes) the records that it still holds count if they carry a block digest.
 
 Results: a null html is an empty payload, written and read like any other (all empty payloads are equal);
 a null page_id counts as smaller than any other and comes back null; among repeated rows each is a record
@@ -91,8 +92,8 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z")
     written.write.option("lineSep", "\u0000").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def parse_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
-    """The record at a place in uncompressed bytes and where it ends, or why there is none."""
+def parse_record(data: bytes, at: int = 0, signed: bool = False) -> tuple[dict, int] | str:
+    """The record at a place in uncompressed bytes and where it ends, or why there is none; signed: only with a block digest."""
     if data[at : at + len(VERSION)] != VERSION:
         return "no version line"
     head = data.find(b"\r\n\r\n", at)
@@ -112,6 +113,8 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
         return "wrong content length"
     block = data[begin:end]
     said = fields.get("warc-block-digest", "")
+    if signed and not said.startswith("sha1:"):
+        return "no block digest"
     if said.startswith("sha1:") and said[5:] != digest(block):
         return "block digest differs"
     http, _, payload = block.partition(b"\r\n\r\n")
@@ -131,51 +134,87 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
     }, end + 4
 
 
-def parse_at(data: bytes, at: int) -> tuple[list[dict], int] | str:
-    """The records of the member or plain record at a place, and where it ends, or why there is none."""
-    if data[at : at + 3] != MAGIC:
-        found = parse_record(data, at)
-        return found if isinstance(found, str) else ([found[0]], found[1])
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the member at a place decompresses to, where it ends, and why it is damaged (with the bytes before the damage)."""
     unzip, parts, end = zlib.decompressobj(31), [], at
     try:
         while not unzip.eof and end < len(data):  # in pieces: what is left over behind a member is copied
             parts.append(unzip.decompress(data[end : end + PIECE]))
             end += PIECE
     except zlib.error as e:
-        return f"gzip: {e}"
-    if not unzip.eof:
-        return "gzip: cut off"
-    plain, end = b"".join(parts), min(end, len(data)) - len(unzip.unused_data)
-    records, inside = [], 0
-    while inside < len(plain):
-        found = parse_record(plain, inside)
+        # once more, byte by byte where it failed: an error takes the whole call's bytes with it
+        unzip = zlib.decompressobj(31)
+        parts = [unzip.decompress(data[at:end])]
+        try:
+            for k in range(end, min(end + PIECE, len(data))):
+                parts.append(unzip.decompress(data[k : k + 1]))
+        except zlib.error:
+            pass
+        return b"".join(parts), end, f"gzip: {e}"
+    return b"".join(parts), min(end, len(data)) - len(unzip.unused_data), None if unzip.eof else "gzip: cut off"
+
+
+def records_inside(plain: bytes, signed: bool) -> tuple[list[dict], list[str]]:
+    """The records in a member's bytes, and the reason of each gap before, between or behind them."""
+    records, reasons, at = [], [], 0
+    while at < len(plain):
+        found = parse_record(plain, at, signed)
         if isinstance(found, str):
-            return found
+            reasons.append(found)
+            while isinstance(found, str):
+                at = plain.find(VERSION, at + 1)
+                if at < 0:
+                    return records, reasons
+                found = parse_record(plain, at, signed)
         records.append(found[0])
-        inside = found[1]
-    return records, end
+        at = found[1]
+    return records, reasons
+
+
+def parse_at(data: bytes, at: int) -> tuple[list[dict], int | None, list[str]]:
+    """The records of the member or plain record at a place, where it ends (None if it is damaged), and the reasons of gaps."""
+    if data[at : at + 3] != MAGIC:
+        found = parse_record(data, at)
+        return ([], None, [found]) if isinstance(found, str) else ([found[0]], found[1], [])
+    plain, end, damage = inflate(data, at)
+    records, reasons = records_inside(plain, damage is not None)
+    if damage:
+        return records, None, [damage]
+    return records, end if records or not reasons else None, reasons
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
-    """(offset, length, record, None) for records and (offset, length, None, reason) for quarantined gaps, in file order."""
+    """(offset, length, record, None) for records and (offset, length, None, reason) for quarantined gaps, in file order.
+
+    Records and gaps inside a member have the member's place; those of a damaged member have its gap's.
+    """
     at = 0
     while at < len(data):
-        found = parse_at(data, at)
-        if isinstance(found, str):
-            gap, reason = at, found
-            while isinstance(found, str):
+        records, end, reasons = parse_at(data, at)
+        if end is None:
+            gap, reason, given, again = at, reasons[0], list(records), list(records)
+            while end is None:
                 nexts = [p for p in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if p >= 0]
                 if not nexts:
                     at = len(data)
                     break
                 at = min(nexts)
-                found = parse_at(data, at)
+                records, end, reasons = parse_at(data, at)
+                if end is None:
+                    given, again = given + records, again + records
+                elif len(records) == 1 and records[0] in again and data[at : at + 3] != MAGIC:
+                    # a record that its damaged member holds uncompressed
+                    again.remove(records[0])
+                    end = None
+            for one in given:
+                yield gap, at - gap, one, None
             yield gap, at - gap, None, reason
-            if isinstance(found, str):
+            if end is None:
                 return
-        records, end = found
         for one in records:
             yield at, end - at, one, None
+        for reason in reasons:
+            yield at, end - at, None, reason
         at = end
 
 

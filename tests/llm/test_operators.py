@@ -148,6 +148,32 @@ def test_salvage_goes_on_behind_damage():
     assert sum(n for _, n, _, _ in found) == sum(map(len, parts))
 
 
+def test_salvage_inside_a_member_of_several_records():
+    import gzip
+    import random
+
+    from matchflow.llm.warc import member, record, salvage
+
+    rng = random.Random(3)
+    one = [record(i, "u", rng.randbytes(2000).hex().encode(), None, "2024-01-01T00:00:00Z") for i in range(5)]
+    wrong = one[2].replace(b"\r\n\r\nHTTP", b"\r\n\r\nHTTQ")
+
+    def ids(data):
+        found = list(salvage(data))
+        return [int(x["record_id"][10:-1]) for _, _, x, _ in found if x], [why for _, _, _, why in found if why]
+
+    assert ids(gzip.compress(b"".join([*one[:2], wrong, *one[3:]]))) == ([0, 1, 3, 4], ["block digest differs"])
+    assert ids(gzip.compress(b"".join(one[:2]) + b"junk" + one[3])) == ([0, 1, 3], ["no version line"])
+    for level in (0, 9):
+        whole, end = gzip.compress(b"".join(one[:4]), level), member(one[4])
+        crc = whole[:-8] + bytes([whole[-8] ^ 255]) + whole[-7:]
+        kept, why = ids(crc + end)
+        assert kept == [0, 1, 2, 3, 4] and len(why) == 1 and why[0].startswith("gzip")
+        kept, why = ids(whole[: len(whole) * 5 // 8] + end)
+        assert kept == [0, 1, 4] and len(why) == 1 and why[0].startswith("gzip")
+    assert ids(whole[: len(whole) * 5 // 8]) == ([0, 1], ["gzip: cut off"])
+
+
 # 7: secrets by plain patterns
 
 
