@@ -55,7 +55,7 @@ def column_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, line_no::INT AS line_no, col::INT AS column, row_number() OVER (PARTITION BY doc_id, page ORDER BY col, y0, x0, line_no)::INT AS place FROM c"""
 )
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.reading_order(lines(spark, sf_dir), 612.0).select("doc_id", "line_no", "column", "place")
+    return Y.halves_order(lines(spark, sf_dir), 612.0).select("doc_id", "line_no", "column", "place")
 
 
 _LETTERS = "SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN 'I am thrilled: 42% more. ' WHEN 1 THEN 'My passion for synergy. ' ELSE '' END, text, CASE doc_id % 3 WHEN 0 THEN ' and.' ELSE '' END) AS letter, text AS cv FROM documents"

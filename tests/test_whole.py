@@ -6,6 +6,7 @@ from collections import defaultdict
 from matchflow import plans
 from matchflow.functions import text as X
 from matchflow.operators import audit as A
+from matchflow.operators import layout as Y
 
 
 def test_flagship_reads_whole_texts(spark, tmp_path):
@@ -53,3 +54,25 @@ def test_repeated_headers_meet_a_key_once(spark):
     keys = spark.createDataFrame([(1, "Acme North")], "doc_id int, key string")
     headers = spark.createDataFrame([(1, "Acme", 5), (1, "Acme North Lead", 3)] + [(1, "Acme", k) for k in range(6, 40)], "doc_id int, header string, place int")
     assert [tuple(r) for r in A.resolve_keys(keys, headers).collect()] == [(1, "Acme North", "Acme North Lead")]
+
+
+def test_columns_come_from_peaks_of_line_starts(spark):
+    pages = {
+        1: [20.0] * 10 + [220.0] * 10 + [420.0] * 10,  # three columns
+        2: [30.0] * 6 + [200.0] * 24,  # a sidebar left of the middle
+        3: [40.0] * 26 + [400.0] * 4,  # a right column with an eighth of the lines
+        4: [40.0] * 10 + [90.0] * 10,  # an indent
+        5: [40.0, 500.0],
+    }
+    rows = [(1, page, k, x, float(k % 10)) for page, xs in pages.items() for k, x in enumerate(xs)]
+    got = {(r.page, r.line_no): (r.column, r.place) for r in Y.reading_order(spark.createDataFrame(rows, "doc_id int, page int, line_no int, x0 double, y0 double"), 600.0).collect()}
+    for page, xs in pages.items():
+        bins = [sum(int(x / 600 * 20) == k for x in xs) for k in range(20)]
+        peaks = []
+        for k, n in enumerate(bins):
+            if n >= max(3, int(0.1 * len(xs))) and (not peaks or k - peaks[-1] >= 3):
+                peaks.append(k)
+        edges = [(a + b) / 2 / 20 * 600 for a, b in zip(peaks, peaks[1:])]
+        order = sorted((sum(x >= e for e in edges), float(k % 10), x, k) for k, x in enumerate(xs))
+        assert [got[page, k] for *_, k in order] == [(column, place + 1) for place, (column, *_) in enumerate(order)]
+    assert [len({c for (p, _), (c, _) in got.items() if p == page}) for page in pages] == [3, 2, 2, 1, 1]
