@@ -103,11 +103,11 @@ def salient_terms(docs: DataFrame, text: str, stop: list[str], most: int = 28) -
 
 
 def novel_terms(source: DataFrame, target: DataFrame, text: str = "text") -> DataFrame:
-    """Terms of a target that its source lacks, also with an s more or less; both have pair_id."""
+    """Distinct terms of each pair's targets that its sources lack, also with an s more or less; both have pair_id."""
     terms = lambda df: df.select("pair_id", F.explode(F.array_distinct(terms_of(text))).alias("term"))
     known = terms(source)
     every = known.union(known.select("pair_id", F.concat("term", F.lit("s")))).union(known.select("pair_id", F.regexp_replace("term", "s$", ""))).distinct()
-    return terms(target).join(every, ["pair_id", "term"], "left_anti")
+    return terms(target).distinct().join(every, ["pair_id", "term"], "left_anti")
 
 
 def merge_terms(df: DataFrame, key: str, first: str, second: str) -> DataFrame:

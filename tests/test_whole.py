@@ -76,3 +76,9 @@ def test_columns_come_from_peaks_of_line_starts(spark):
         order = sorted((sum(x >= e for e in edges), float(k % 10), x, k) for k, x in enumerate(xs))
         assert [got[page, k] for *_, k in order] == [(column, place + 1) for place, (column, *_) in enumerate(order)]
     assert [len({c for (p, _), (c, _) in got.items() if p == page}) for page in pages] == [3, 2, 2, 1, 1]
+
+
+def test_novel_terms_of_several_targets_are_distinct(spark):
+    turn = lambda texts: spark.createDataFrame([(1, t) for t in texts], "pair_id int, text string")
+    got = A.novel_terms(turn(["known words"]), turn(["Fresh word", "fresh idea", "known"])).collect()
+    assert sorted(r.term for r in got) == ["fresh", "idea"]
