@@ -286,7 +286,9 @@ def test_components_of_odd_tables(spark, odd, empty):
 def test_scores_equal_the_recursion(spark, monkeypatch):
     from matchflow.llm import context_tree
 
-    monkeypatch.setattr(context_tree, "CHUNK_BYTES", 200)  # many chunks
+    monkeypatch.setattr(context_tree, "CHUNK_BYTES", 60)  # many chunks of a text or two
+    monkeypatch.setattr(context_tree, "BLOCK", 40)
+    monkeypatch.setattr(context_tree, "FAN", 3)  # and several rounds of sums
     texts = [t or None for t in random_texts(60, ["the ", "A", "b", "é ", "\n", "cat "], 12)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in context_tree.model_scores(docs).collect()}
@@ -323,11 +325,31 @@ def test_scores_equal_the_recursion(spark, monkeypatch):
     n, v = sum(counts.values()), len(counts)
     for i, t in enumerate(texts):
         r, w = got[i], (*words(t), None)
-        assert r.score == pytest.approx(score(bodies[i]), abs=1e-4)
+        assert r.score == pytest.approx(score(bodies[i]), abs=1e-9)
         assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not training[i], len(w), sum(counts[x] > 0 for x in w), n)
 
 
+def test_windows_and_words_do_not_depend_on_the_block(monkeypatch):
+    from matchflow.llm import context_tree as C
+
+    texts = random_texts(200, ["the ", "A", "b", "é ", "\n", "cat ", "\x85 "], 12)
+    raw = [t.encode() for t in texts]
+    data, sizes = C.bodies(np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw]))
+    want = [" ".join(words(t)).encode() + b"\xff" for t in texts]
+    assert data.tobytes() == b"".join(want) and sizes.tolist() == [len(w) for w in want]
+    begins = np.cumsum(sizes) - sizes
+    keys = [int.from_bytes(p[j - 5 : j][::-1] + p[j : j + 1]) for w in want for p in [b"\xff" * 5 + w] for j in range(5, len(p))]
+    for step in (1, 3, 50, 10**6):
+        assert [k for a in range(0, len(data), step) for k in C.windows(data, begins, a, min(a + step, len(data))).tolist()] == keys
+    whole = C.word_hashes(data)
+    flat = [w for t in texts for w in words(t)]
+    assert len(whole[0]) == len(flat) and len({*zip(flat, whole[1].tolist(), strict=True)}) == len({*flat}) == len({*whole[1].tolist()})
+    C.powers.cache_clear()
+    monkeypatch.setattr(C, "STEP", 5)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, C.word_hashes(data), strict=True))
+
+
 def test_scores_of_odd_tables(spark, odd, empty):
     from matchflow.llm.context_tree import model_scores
 
