@@ -1,16 +1,27 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is read as clauses of words. A *lexicon transducer* turns each word into a class: insult, threat,
-target, negation, reported speech, or other; insult words are seeds and the word stems that labelled
-documents show to be toxic, each with a weight. Four *grammar transducers* are composed into one
-deterministic machine that reads the classes of a clause and writes, for each insult or threat, in which
-pattern it stands: bare, aimed at a target, negated, reported, or both of the last. A logistic model
-over the weighted matches of each pattern gives the score, so an isolated word counts by its clause.
+A text is read as clauses of words. A *lexicon transducer* turns each word into a class (insult, threat,
+target, negation, reported speech, intensifier, intent, other) and a weight; insult words are seeds and the word stems
+that labelled documents show to be toxic. Five *grammar transducers* read the classes of a clause, each handing its
+output to the next:
+
+    insult    an insult behind an intensifier is marked strong ("utter fool")
+    threat    a threat behind a word of intent is marked strong ("will hurt")
+    target    an insult or threat near a person is marked aimed, on either side
+    negation  what follows a negation is marked negated
+    report    what is said to have been said, before or after, is marked reported
+
+They are composed into two deterministic machines, one read from the clause's begin and one from its end; at each
+insult or threat the marks of both are joined. A clause is scored as a whole: for each pattern (PATTERNS) it has
+the weight of its best match (weights add up along a path, the best path counts), and a text has, for
+each pattern, the weights of its matched clauses. A logistic model over these gives the score; how often a word stands
+in a text plays no part but through the clauses that it makes match.
 
 Results: null, empty and word-free texts get the score of a text without matches; every document gets
-one row, repeated ids repeated rows; with no labelled rows the grammar's own weights hold. lang, source,
-doc_id and labels are never inputs of a score. The model is fitted on at most FIT_ROWS labelled rows
-(a hash sample of those whose crc32(doc_id) mod 5 is not 0); everything is scored.
+one row, repeated ids repeated rows; an empty table gives none; with no labelled rows the grammar's own weights hold.
+lang, source, doc_id and labels are never inputs of a score; other columns are not read. The model is fitted on at
+most about FIT_ROWS labelled rows (a hash sample of those whose crc32(doc_id) mod 5 is not 0, one label each: the
+largest); everything is scored.
 """
 
 from __future__ import annotations
@@ -25,15 +36,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchflow.llm.common import crc_remainder
+from matchflow.llm.common import crc_remainder, in_pandas
 
 FIT_ROWS = 16_000
 #: A stem becomes an insult if its toxic documents exceed what its number of documents leads to expect by
 #: this many standard deviations, and its log odds reach LEAST_ODDS.
-LEAST_DEVIATIONS, LEAST_ODDS, MOST_STEMS = 6.0, 2.0, 4000
+LEAST_DEVIATIONS, LEAST_ODDS = 6.0, 2.0
+#: Longer words are classified anew each time, so that a worker's memory does not grow with them.
+KEPT_WORDS, KEPT_LETTERS = 200_000, 40
 
 WORD = re.compile(r"[^\W\d_]+(?:'[a-z]+)?|[.!?;:\n]")
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENSIFIER, INTENT, STOP = range(9)
 
 # Seed words of the classes.
 SEEDS = {
@@ -42,32 +55,36 @@ SEEDS = {
     TARGET: "you your yours yourself he him his she her they them their who these those people everyone tu vous toi du dich euch ihr tú usted ustedes",
     NEGATION: "not no never neither nor without hardly isn't aren't wasn't don't doesn't didn't won't can't nicht kein keine nie pas jamais sin nunca",
     REPORT: "said says say claimed claims called wrote quoted quote reported allegedly dit sagte dijo",
+    INTENSIFIER: "utter complete total absolute absolutely totally such so real fucking bloody damn total très so muy",
+    INTENT: "will shall must should gonna going i'll we'll want let werde vais voy",
 }
 
-#: What the composed machine writes for a match: bits on top of INSULT or THREAT.
-AIMED, NEGATED, REPORTED = 8, 16, 32
+#: A symbol is a class and the marks that transducers have put on it.
+KIND, STRONG, AIMED, NEGATED, REPORTED = 15, 16, 32, 64, 128
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic, one output for each input: after `cue`, matches within `reach` words get the bit `mark`."""
+    """Deterministic, one output for each input: after `cue`, symbols of the classes `over` within `reach` words get `mark`."""
 
     cue: int
     reach: int
     mark: int
+    over: tuple[int, ...] = (INSULT, THREAT)
 
     def step(self, state: int, symbol: int) -> tuple[int, int]:
         """(next state, output); a state is the number of words that the cue still reaches."""
-        kind = symbol & 7
+        kind = symbol & KIND
         if kind == STOP:
             return 0, symbol
         if kind == self.cue:
             return self.reach, symbol
-        out = symbol | self.mark if state and kind in (INSULT, THREAT) else symbol
-        return max(0, state - 1), out
+        return max(0, state - 1), symbol | self.mark if state and kind in self.over else symbol
 
 
-GRAMMAR = (Transducer(NEGATION, 3, NEGATED), Transducer(REPORT, 8, REPORTED), Transducer(TARGET, 5, AIMED))
+#: Read from the clause's begin: insult, threat, target, negation, report; from its end: target, report.
+FORTH = (Transducer(INTENSIFIER, 2, STRONG, (INSULT,)), Transducer(INTENT, 3, STRONG, (THREAT,)), Transducer(TARGET, 5, AIMED), Transducer(NEGATION, 3, NEGATED), Transducer(REPORT, 8, REPORTED))
+BACK = (Transducer(TARGET, 3, AIMED), Transducer(REPORT, 4, REPORTED))
 
 
 def compose(machines: tuple[Transducer, ...]) -> list[list[tuple[int, int]]]:
@@ -76,7 +93,7 @@ def compose(machines: tuple[Transducer, ...]) -> list[list[tuple[int, int]]]:
     rows, waiting = [], [(0,) * len(machines)]
     while waiting:
         states, row = waiting.pop(0), []
-        for symbol in range(7):
+        for symbol in range(STOP + 1):
             nexts, out = [], symbol
             for machine, state in zip(machines, states, strict=True):
                 state, out = machine.step(state, out)
@@ -90,9 +107,25 @@ def compose(machines: tuple[Transducer, ...]) -> list[list[tuple[int, int]]]:
     return rows
 
 
-MACHINE = compose(GRAMMAR)
-#: Read from the clause's end: a target may also follow ("kill you").
-BACKWARD = compose((Transducer(TARGET, 3, AIMED),))
+MACHINE, REVERSED = compose(FORTH), compose(BACK)
+
+#: What a match is, by its marks; the first that holds.
+PATTERNS = ("negated", "reported", "aimed threat", "bare threat", "aimed insult", "strong insult", "plain insult")
+
+
+def pattern_of(symbol: int) -> int:
+    if symbol & NEGATED:
+        return 0
+    if symbol & REPORTED:
+        return 1
+    if symbol & KIND == THREAT:
+        return 2 if symbol & AIMED else 3
+    return 4 if symbol & AIMED else 5 if symbol & STRONG else 6
+
+
+PATTERN = [pattern_of(symbol) for symbol in range(256)]
+#: A strong match weighs so much more.
+STRONGER = 1.5
 
 
 @dataclass
@@ -108,7 +141,7 @@ class Lexicon:
         self.seeds = {w: (kind, 2.0) for kind, words in SEEDS.items() for w in words.split()}
 
     def word(self, word: str) -> tuple[int, float]:
-        if len(self.kept) > 200_000:
+        if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
         if word in ".!?;:\n":
             known = STOP, 0.0
@@ -116,63 +149,50 @@ class Lexicon:
             whole = word + "$"
             stem = next((whole[:n] for n in range(min(len(whole), self.longest), 2, -1) if whole[:n] in self.stems), None)
             known = self.seeds.get(word, (OTHER, 0.0)) if stem is None else (self.seeds.get(word, (INSULT,))[0], self.stems[stem])
-        self.kept[word] = known
+        if len(word) <= KEPT_LETTERS:
+            self.kept[word] = known
         return known
 
 
-FEATURES = 9
+def clause_weights(clause: list[tuple[int, float]]) -> list[float]:
+    """For each pattern the weight of the best match of one clause of (class, weight) pairs; 0: no match."""
+    behind, state = [], 0
+    for kind, _ in reversed(clause):
+        state, written = REVERSED[state][kind]
+        behind.append(written)
+    best, state = [0.0] * len(PATTERNS), 0
+    for (kind, weight), back in zip(clause, reversed(behind), strict=True):
+        state, written = MACHINE[state][kind]
+        if kind == INSULT or kind == THREAT:
+            symbol = written | back
+            pattern = PATTERN[symbol]
+            best[pattern] = max(best[pattern], weight * STRONGER if symbol & STRONG else weight)
+    return best
+
+
+#: For each pattern the clauses' weights; of all patterns that stand for toxicity, by the text's length and whether two or three clauses match.
+FEATURES = len(PATTERNS) + 3
 
 
 def features(text: str, lexicon: Lexicon) -> np.ndarray:
-    """Weighted matches of the grammar in one text."""
+    """Weights of the matched clauses of one text."""
     words = WORD.findall(text.lower())
     kept, classify = lexicon.kept.get, lexicon.word
     classes = [kept(w) or classify(w) for w in words]
-    out = np.zeros(FEATURES)
-    places = [i for i, c in enumerate(classes) if c[0] == INSULT or c[0] == THREAT]
-    if not places:
-        return out
-    sums: dict[int, float] = {}
-    seen, at = Counter(), 0
-    for i in places:
-        if i < at:
+    sums, matched, done = np.zeros(len(PATTERNS)), 0, 0
+    for i in (i for i, c in enumerate(classes) if c[0] == INSULT or c[0] == THREAT):
+        if i < done:
             continue
         begin = i
-        while begin > at and classes[begin - 1][0] != STOP:
+        while begin > done and classes[begin - 1][0] != STOP:
             begin -= 1
-        end = begin
-        while end < len(classes) and classes[end][0] != STOP:
-            end += 1
-        behind, state = [], 0
-        for kind, _ in reversed(classes[begin:end]):
-            state, written = BACKWARD[state][kind]
-            behind.append(written)
-        state, at = 0, begin
-        while at < len(classes):
-            kind, weight = classes[at]
-            state, written = MACHINE[state][kind]
-            if kind == INSULT or kind == THREAT:
-                written |= behind[end - 1 - at]
-                sums[written] = sums.get(written, 0.0) + weight
-                seen[words[at]] += 1
-            at += 1
-            if kind == STOP:
-                break
-    of = lambda test: sum(v for k, v in sums.items() if test(k))
-    insults = of(lambda k: k & 7 == INSULT)
-    hits = sum(seen.values())
-    out[:] = (
-        np.log1p(insults),
-        np.log1p(insults) / np.log(8 + len(words)),
-        np.log1p(of(lambda k: k & 7 == INSULT and k & AIMED)),
-        np.log1p(of(lambda k: k & 7 == THREAT and k & AIMED)),
-        np.log1p(of(lambda k: k & NEGATED)),
-        np.log1p(of(lambda k: k & REPORTED)),
-        hits >= 2,
-        len(seen) >= 2,
-        hits >= 3,
-    )
-    return out
+        done = i
+        while done < len(classes) and classes[done][0] != STOP:
+            done += 1
+        best = clause_weights(classes[begin:done])
+        sums += best
+        matched += any(best[2:])
+    return np.array([*np.log1p(sums), np.log1p(sums[2:].sum()) / np.log(8 + len(words)), matched >= 2, matched >= 3], float)
 
 
 @dataclass
@@ -183,7 +203,7 @@ class ToxicityModel:
 
 
 # Weights that hold without labels, in the order of the features.
-PRIOR = np.array([0.8, 0.4, 0.3, 1.0, -0.4, -0.3, 0.5, 0.5, 0.5])
+PRIOR = np.array([-0.2, -0.1, 1.2, 0.2, 1.0, 0.9, 0.6, 0.5, 0.5, 0.5])
 PRIOR_BIAS = -2.0
 
 
@@ -198,7 +218,7 @@ def _stems(text: str) -> Counter:
 
 
 def learn_stems(sample: DataFrame) -> dict[str, float]:
-    """Stems with their log odds, from the sample's (text, toxic) rows; counted in Spark, at most MOST_STEMS kept."""
+    """Stems with their log odds, from the sample's (text, toxic) rows; counted in Spark. A stem has to stand in many of the sample's toxic rows, so the sample bounds them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, list[int]] = {}
@@ -220,14 +240,13 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
     expected = (F.col("toxic_docs") + F.col("clean_docs")) * (toxic / (toxic + clean))
     unlikely = F.col("toxic_docs") - expected >= LEAST_DEVIATIONS * F.sqrt(expected)
     best = summed.filter(unlikely).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
-    best = best.orderBy(F.desc(F.col("odds") * F.col("toxic_docs")), "stem").limit(MOST_STEMS)
-    found = {r.stem: (min(5.0, r.odds), r.toxic_docs) for r in best.collect()}
+    found = {r.stem: min(5.0, r.odds) for r in best.collect()}
     # a longer stem stays beside a shorter one only if it says more
     out: dict[str, float] = {}
     for stem in sorted(found, key=len):
         shorter = max((out[stem[:k]] for k in range(3, len(stem)) if stem[:k] in out), default=0.0)
-        if found[stem][0] > shorter + 1.5 or not shorter:
-            out[stem] = found[stem][0]
+        if found[stem] > shorter + 1.5 or not shorter:
+            out[stem] = found[stem]
     return out
 
 
@@ -291,5 +310,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
             pdf["score"] = 1 / (1 + np.exp(-np.clip(x @ model.weights + model.bias, -30, 30)))
             yield pdf[[*keep, "score"]]
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInPandas(run, f"{fields}, score double")
+    return in_pandas(docs.select(*keep, F.col("text").alias("__text")), run, keep, "score double")
