@@ -1,12 +1,16 @@
 """SimHash near-duplicates, candidates discarded by pivot distance tables.
 
 Fingerprints: the majority bits of the XXH64 hashes of a text's four-word shingles. Equal fingerprints
-are one class; only classes are compared. Classes meet when they agree in enough blocks of bits: with b
-blocks and at most d differing bits, b - d blocks are equal, so every link shares one of the block
-choices (b is chosen by the number of classes; any b finds every link). For the classes that meet,
-tables of Hamming distances to fixed reference fingerprints are computed; a pair whose coordinates
-differ by more than d anywhere cannot link (triangle inequality) and goes unverified; survivors are
-verified by their exact distance.
+are one class; only classes are compared. Each class gets, once, its row of the pivot table: the Hamming
+distances to fixed reference fingerprints, kept as columns of the class. By the triangle inequality a
+pair that differs by more than d in any coordinate cannot link.
+
+Classes come together when they agree in enough blocks of bits: with b blocks and at most d differing
+bits, b - d blocks are equal, so every link shares one of the block choices (b is chosen by the number of
+classes; any b finds every link). Distances to references alone crowd around 32, so no cells of them
+would part most classes. Within a group rows are in the order of their first coordinate: pairs are formed only
+from rows at most d apart there, pairs whose other coordinates differ by more are discarded, and survivors
+are verified by their exact distance.
 
 A choice of blocks that many classes share is split into pairs of tiles, each a task's work of bounded
 size, and gives one edge per member to the smallest of each linked set, never all pairs. Components
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchflow.llm.common import checkpointed, texts
+from matchflow.llm.common import checkpointed, discarded, in_pandas, texts
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 #: Reference fingerprints, from a fixed generator.
@@ -63,7 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             prints = np.fromiter((fingerprint(t) for t in pdf.text), np.uint64, len(pdf))
             yield pd.DataFrame({"doc_id": pdf.doc_id, "fingerprint": prints.view(np.int64)})
 
-    return texts(docs).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint long")
+    return in_pandas(texts(docs), run, ("doc_id",), "fingerprint long")
 
 
 def blocks_for(classes: int, most_bits: int = MOST_BITS) -> int:
@@ -89,30 +93,52 @@ def distance_table(prints: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[:, None] ^ PIVOTS[None, :]).astype(np.int8)
 
 
-def linked_pairs(prints: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, most_bits: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs (i, j), those within most_bits: coordinates first, then exact distances."""
+def with_pivots(classes: DataFrame) -> DataFrame:
+    """classes with `near`, the distance to the first reference, and `pivots`, those to all as bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            table = distance_table(pdf.fingerprint.astype(np.int64).to_numpy().view(np.uint64))
+            yield pdf.assign(near=table[:, 0].astype(np.int32), pivots=[row.tobytes() for row in table])
+
+    return in_pandas(classes, run, classes.columns, "near int, pivots binary")
+
+
+def near_pairs(keys: np.ndarray, near: np.ndarray, most_bits: int = MOST_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows with equal keys at most most_bits apart in their first coordinate; rows come sorted by both."""
+    left = np.arange(len(keys))
+    for shift in range(1, len(keys)):
+        left = left[left + shift < len(keys)]
+        right = left + shift
+        left = left[(keys[left] == keys[right]) & (near[right].astype(int) - near[left] <= most_bits)]
+        if not len(left):
+            return
+        yield left, left + shift
+
+
+def screened(table: np.ndarray, i: np.ndarray, j: np.ndarray, most_bits: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j), those whose coordinates differ by at most most_bits everywhere."""
     for p in range(table.shape[1]):
         if not len(i):
             break
         near = np.abs(table[i, p] - table[j, p]) <= most_bits
         i, j = i[near], j[near]
+    return i, j
+
+
+def verified(prints: np.ndarray, i: np.ndarray, j: np.ndarray, most_bits: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j), those whose fingerprints differ in at most most_bits bits."""
     near = np.bitwise_count(prints[i] ^ prints[j]) <= most_bits
     return i[near], j[near]
 
 
-def linked_sets(prints: np.ndarray, most_bits: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of each member of one large group to the first member that it is connected with."""
-    table = distance_table(prints)
-    order = np.argsort(table[:, 0], kind="stable")
-    prints, table = prints[order], table[order]
+def linked_sets(prints: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of each member of one large group, sorted by its first coordinate, to the first member that it is connected with."""
     n = len(prints)
-    ends = np.searchsorted(table[:, 0], table[:, 0] + most_bits, side="right")
     near = np.zeros((n, n), bool)
-    for a in range(n):
-        j = np.arange(a + 1, ends[a])
-        if len(j):
-            _, hit = linked_pairs(prints, table, np.full(len(j), a), j, most_bits)
-            near[a, hit] = near[hit, a] = True
+    for i, j in near_pairs(np.zeros(n, np.int8), table[:, 0]):
+        i, j = verified(prints, *screened(table, i, j))
+        near[i, j] = near[j, i] = True
     root = np.full(n, -1)
     for a in range(n):
         if root[a] < 0:
@@ -126,59 +152,54 @@ def linked_sets(prints: np.ndarray, most_bits: int = MOST_BITS) -> tuple[np.ndar
     return prints[root[member]], prints[member]
 
 
-def group_edges(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges within groups of equal keys; rows come sorted by key."""
+def group_edges(keys: np.ndarray, prints: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges within groups of equal keys; rows come sorted by key, then by their first coordinate."""
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     sizes = np.diff(np.append(starts, len(keys)))
-    left, right = [], []
+    left, right = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     small = np.repeat(sizes <= SMALL, sizes)
-    if small.any():
-        k, x = keys[small], prints[small]
-        table = distance_table(x)
-        for shift in range(1, SMALL):
-            i = np.flatnonzero(k[shift:] == k[:-shift])
-            if not len(i):
-                break
-            a, b = linked_pairs(x, table, i, i + shift)
-            left.append(x[a])
-            right.append(x[b])
+    x, t = prints[small], table[small]
+    for i, j in near_pairs(keys[small], t[:, 0]):
+        i, j = verified(x, *screened(t, i, j))
+        left.append(x[i])
+        right.append(x[j])
     for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-        a, b = linked_sets(np.unique(prints[start : start + size]))
+        a, b = linked_sets(prints[start : start + size], table[start : start + size])
         left.append(a)
         right.append(b)
-    empty = np.empty(0, np.uint64)
-    return np.concatenate([empty, *left]), np.concatenate([empty, *right])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def class_edges(classes: DataFrame, total: int) -> DataFrame:
     """Edges a, b between distinct fingerprints that connect exactly what links of at most MOST_BITS connect."""
     key = F.explode(block_keys(F.col("fingerprint"), blocks_for(total))).alias("key")
-    keyed = classes.select("fingerprint", key).select("fingerprint", "key.*")
+    keyed = classes.select("fingerprint", "near", "pivots", key).select("fingerprint", "near", "pivots", "key.*")
     shared = checkpointed(keyed.groupBy("choice", "bits").count().filter("count > 1"))
     met = keyed.join(shared, ["choice", "bits"])
     tiles = F.ceil(F.col("count") / TILE).cast("int")
     own = F.pmod(F.xxhash64("fingerprint"), tiles)
     met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    met = met.select(F.xxhash64("choice", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fingerprint")
+    met = met.select(F.xxhash64("choice", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fingerprint", "near", "pivots")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, prints = np.empty(0, np.int64), np.empty(0, np.uint64)
+        keys, prints, table = np.empty(0, np.int64), np.empty(0, np.uint64), np.empty((0, len(PIVOTS)), np.int8)
 
-        def edges(keys: np.ndarray, prints: np.ndarray) -> pd.DataFrame:
-            a, b = group_edges(keys, prints)
-            return pd.DataFrame({"a": np.minimum(a.view(np.int64), b.view(np.int64)), "b": np.maximum(a.view(np.int64), b.view(np.int64))}).drop_duplicates()
+        def edges(keys: np.ndarray, prints: np.ndarray, table: np.ndarray) -> pd.DataFrame:
+            a, b = (x.view(np.int64) for x in group_edges(keys, prints, table))
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
         for pdf in batches:
             keys = np.concatenate([keys, pdf.key.to_numpy(np.int64)])
             prints = np.concatenate([prints, pdf.fingerprint.to_numpy(np.int64).view(np.uint64)])
+            table = np.concatenate([table, np.frombuffer(b"".join(pdf.pivots), np.int8).reshape(-1, len(PIVOTS))])
             whole = np.searchsorted(keys, keys[-1]) if len(keys) else 0  # the last group may go on
             if whole > 20_000:
-                yield edges(keys[:whole], prints[:whole])
-                keys, prints = keys[whole:], prints[whole:]
+                yield edges(keys[:whole], prints[:whole], table[:whole])
+                keys, prints, table = keys[whole:], prints[whole:], table[whole:]
         if len(keys):
-            yield edges(keys, prints)
+            yield edges(keys, prints, table)
 
-    together = met.repartition(F.col("key")).sortWithinPartitions("key")
+    together = met.repartition(F.col("key")).sortWithinPartitions("key", "near")
     return together.mapInPandas(run, "a long, b long").distinct()
 
 
@@ -196,6 +217,8 @@ def component_labels(edges: DataFrame) -> DataFrame:
         least = checkpointed(heard.groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was")))
         jump = least.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = checkpointed(least.join(jump, "label").select("node", F.col("further").alias("label"), (F.col("further") != F.col("was")).alias("moved")))
+        discarded(least)
+        discarded(labels)
         labels = new.select("node", "label")
         if new.filter("moved").isEmpty():
             return labels
@@ -204,7 +227,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (signed long) and component_id, the smallest doc_id reachable over links."""
     prints = checkpointed(fingerprints(docs))
-    classes = checkpointed(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")))
+    classes = checkpointed(with_pivots(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))))
     edges = checkpointed(class_edges(classes, classes.count()))
     if edges.isEmpty():
         of_class = classes.select("fingerprint", F.col("least_id").alias("component_id"))
