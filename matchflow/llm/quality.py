@@ -27,13 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchflow.llm.common import checkpointed
+from matchflow.llm.common import checkpointed, in_pandas
 from matchflow.llm.toxicity import fit_logistic
 
 FIT_ROWS, POOL_ROWS = 20_000, 20_000
 ROUNDS = 3
 #: Share of the documents that a view labels for the other in a round, and how sure it has to be.
 SHARE, SURE = 0.1, 0.9
+VIEWS = ("content", "metadata")
 WORD_BUCKETS, SOURCE_BUCKETS = 32, 16
 
 
@@ -97,8 +98,8 @@ def views(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("double")).mapInPandas(run, f"doc_id {kind}, content array<float>, metadata array<float>")
+    rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("double"))
+    return in_pandas(rows, run, ("doc_id",), "content array<float>, metadata array<float>")
 
 
 def hash_sample(df: DataFrame, rows: int, salt: str, total: int | None = None) -> DataFrame:
@@ -124,12 +125,27 @@ def scored(df: DataFrame, content: np.ndarray, metadata: np.ndarray) -> DataFram
     return df.withColumn("content_logit", logit("content", content)).withColumn("metadata_logit", logit("metadata", metadata))
 
 
+def one_of_each(table: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
+    """The rows of the ids in chosen (a bounded number, told apart) with columns of the table; of repeated ids the least row."""
+    least = F.min(F.struct(*columns)).alias("least")
+    mine = table.select("doc_id", *columns).join(chosen.select("doc_id"), "doc_id").groupBy("doc_id").agg(least).select("doc_id", "least.*")
+    return mine.join(chosen, "doc_id")
+
+
 def sure_ones(pool: DataFrame, logit: str, positive_share: float) -> DataFrame:
-    """The rows that a view is surest of, in the classes' shares: the rows and a pseudo-label y."""
+    """The rows that a view is surest of, and a pseudo-label y.
+
+    The classes keep their shares: where a view is sure of too few rows of one class, it gives fewer of the other.
+    """
     low, high = pool.approxQuantile(logit, [SHARE * (1 - positive_share), 1 - SHARE * positive_share], 0.001)
     least = float(np.log(SURE / (1 - SURE)))
     label = F.when(F.col(logit) >= max(high, least), 1).when(F.col(logit) <= min(low, -least), 0)
-    return pool.withColumn("y", label).filter("y is not null")
+    sure = pool.withColumn("y", label).filter("y is not null")
+    found = sure.agg(F.count_if(F.col("y") == 1).alias("good"), F.count_if(F.col("y") == 0).alias("bad")).first()
+    whole = min(found.good / positive_share, found.bad / (1 - positive_share))
+    given = {1: whole * positive_share / max(1, found.good), 0: whole * (1 - positive_share) / max(1, found.bad)}
+    chance = F.pmod(F.xxhash64("doc_id", F.lit("class")), F.lit(1_000_000))
+    return sure.filter(chance < F.when(F.col("y") == 1, round(given[1] * 1e6)).otherwise(round(given[0] * 1e6)))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -144,13 +160,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
     table = checkpointed(views(docs))
     # about FIT_ROWS rows of two numbers, whatever the size of the tables
     sample = F.broadcast(hash_sample(known, FIT_ROWS, "fit", n_known))
-    rows = table.join(sample, "doc_id").withColumn("aside", F.pmod(F.crc32(F.concat(F.lit("aside"), F.col("doc_id"))), F.lit(4)) == 0).toPandas()
+    rows = one_of_each(table, sample, *VIEWS).withColumn("aside", F.pmod(F.crc32(F.concat(F.lit("aside"), F.col("doc_id"))), F.lit(4)) == 0).toPandas()
     if rows.quality.nunique() < 2:  # the labels are of other documents
         return constant
     fit, aside = rows[~rows.aside], rows[rows.aside]
     if fit.quality.nunique() < 2 or aside.quality.nunique() < 2:
         fit = aside = rows
-    names = ("content", "metadata")
+    names = VIEWS
     given = {v: (fit[v].tolist(), fit.quality.to_numpy(float)) for v in names}
     weights = {v: fitted(*given[v]) for v in names}
     pool = table.join(sample.select("doc_id"), "doc_id", "left_anti")
@@ -159,8 +175,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
         if measured.isEmpty():
             break
         for teacher, student in (names, names[::-1]):
-            chosen = F.broadcast(hash_sample(sure_ones(measured, f"{teacher}_logit", share).select("doc_id", "y").dropDuplicates(["doc_id"]), POOL_ROWS, f"{teacher}{k}"))
-            more = table.select("doc_id", student).join(chosen, "doc_id").toPandas()
+            chosen = F.broadcast(hash_sample(sure_ones(measured, f"{teacher}_logit", share).groupBy("doc_id").agg(F.min("y").alias("y")), POOL_ROWS, f"{teacher}{k}"))
+            more = one_of_each(table, chosen, student).toPandas()
             x, y = given[student]
             if len(more):
                 weights[student] = fitted([*x, *more[student].tolist()], np.append(y, more.y.to_numpy(float)))
