@@ -17,6 +17,7 @@ of the benchmark; a longer single item is a block of its own.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,9 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchflow.llm.common import in_pandas
+
 #: Edits allowed per character of an item.
 ERROR_RATE = 0.1
 BLOCK_CHARS = 4_000_000
+#: Characters of documents that meet one block after another, where there are several.
+SLAB_CHARS = 64_000_000
 
 LEAKS = "array<struct<item_id:bigint,distance:int,start:int,end:int>>"
 
@@ -171,21 +176,42 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterato
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, keep: tuple[str, ...] = ("doc_id",), block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The columns in keep, and `leaks`: item_id, distance, start and end of each item found in the text.
 
-    One pass over the documents for each block of items, and no shuffle. start is the end less the
-    item's length.
+    One pass over the documents, one Python stage and no shuffle. With several blocks of items a task
+    holds the texts of some batches (SLAB_CHARS, compressed) and meets one block after another, so that one
+    automaton at a time is in memory. start is the end less the item's length.
     """
-    spark = docs.sparkSession
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = docs.select(*keep, F.col("text").alias("__text"), F.array().cast(LEAKS).alias("leaks"))
-    for block in item_blocks(benchmark, block_chars):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(sent.value, rate)
-            for pdf in batches:
-                found = (matcher.leaks(normal(t)) for t in pdf["__text"])
-                pdf["leaks"] = [[*map(dict, (r.asDict() if hasattr(r, "asDict") else r for r in before)), *now] for before, now in zip(pdf["leaks"], found, strict=True)]
-                yield pdf
-
-        out = out.mapInPandas(run, f"{fields}, __text string, leaks {LEAKS}")
-    return out.drop("__text")
+    sent = [docs.sparkSession.sparkContext.broadcast(block) for block in item_blocks(benchmark, block_chars)]
+    rows = docs.select(*keep, F.col("text").alias("__text"))
+    if not sent:
+        return rows.select(*keep, F.array().cast(LEAKS).alias("leaks"))
+
+    def slabs(batches: Iterator[pd.DataFrame]) -> Iterator[list[pd.DataFrame]]:
+        slab, size = [], 0
+        for pdf in batches:
+            whole = [normal(t) for t in pdf.pop("__text")]
+            size += sum(map(len, whole))
+            pdf["__packed"] = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in whole]
+            pdf["leaks"] = [[] for _ in whole]
+            slab.append(pdf)
+            if size > SLAB_CHARS:
+                yield slab
+                slab, size = [], 0
+        if slab:
+            yield slab
+
+    def one_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(sent[0].value, rate)
+        for pdf in batches:
+            pdf["leaks"] = [matcher.leaks(normal(t)) for t in pdf.pop("__text")]
+            yield pdf
+
+    def all_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for slab in slabs(batches):
+            for block in sent:
+                matcher = Matcher(block.value, rate)
+                for pdf in slab:
+                    for leaks, packed in zip(pdf["leaks"], pdf["__packed"], strict=True):
+                        leaks += matcher.leaks(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
+            yield from (pdf.drop(columns="__packed") for pdf in slab)
+
+    return in_pandas(rows, one_block if len(sent) == 1 else all_blocks, keep, f"leaks {LEAKS}")
