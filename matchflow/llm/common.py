@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: The five columns of a documents table, as the pipeline hands them from stage to stage.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,12 +39,18 @@ def crc_remainder(col: Column | str, mod: int) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """A folder of its own under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests) a folder in /tmp is set for the session.
+    Without that setting a local session (tests) gets one in /tmp; on a cluster, whose executors would each
+    write to a disk of their own, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else f"/tmp/checkpoints/{uuid.uuid4().hex}"
+        if current.isDefined():
+            root = current.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            root = "/tmp/checkpoints"
+        else:
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -57,6 +64,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Remove the folder of a checkpointed table that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def in_pandas(df: DataFrame, run: Callable, keep: Sequence[str], made: str) -> DataFrame:
+    """The columns in keep, as they are in df, and those that run adds (`made`, as a schema), by mapInPandas.
+
+    Integers in keep travel as text: pandas holds a column with nulls as floats, which tell no large integers apart.
+    """
+    as_text = {c: df.schema[c].dataType for c in keep if isinstance(df.schema[c].dataType, IntegralType)}
+    sent = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in as_text})
+    fields = [f"`{c}` {'string' if c in as_text else df.schema[c].dataType.simpleString()}" for c in keep]
+    out = sent.mapInPandas(run, ", ".join([*fields, made]))
+    return out.withColumns({c: F.col(f"`{c}`").cast(kind) for c, kind in as_text.items()})
+
+
 def text_bytes(docs: DataFrame, col: str = "text") -> int:
     """UTF-8 bytes of a text column, one aggregate."""
     return int(docs.agg(F.sum(F.octet_length(col))).first()[0] or 0)

@@ -6,8 +6,9 @@ holds, for each prefix, the unique last piece: of the automaton's matches that e
 that the last piece of the prefix before it is compatible with. Ids are recovered backwards from the
 end of the table; characters without a piece become their bytes.
 
-Results: a null text counts as empty and gives the end id alone; repeated ids give repeated rows; columns
-besides doc_id and text are not read.
+Results: a null text counts as empty and gives the end id alone; repeated ids give repeated rows; an empty table
+gives none; the table is unique for each prefix, so there are no ties; columns besides doc_id and text (and
+those to be kept) are not read. The table of a unit is forgotten behind it; only short units are remembered.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchflow.llm.bpe_automaton import Vocabulary
-from matchflow.llm.common import texts
+from matchflow.llm.common import in_pandas, texts
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-KEPT_UNITS = 300_000
+#: Units whose ids a worker remembers, each of at most so many letters.
+KEPT_UNITS, KEPT_LETTERS = 300_000, 48
 
 
 class PieceWriter:
@@ -100,7 +102,9 @@ class PieceTable:
                 out += [self.bytes[b] for b in reversed(unit[at].encode())] if self.bytes else [self.unknown]
         if len(self.units) > KEPT_UNITS:
             self.units.clear()
-        ids = self.units[unit] = tuple(reversed(out))
+        ids = tuple(reversed(out))
+        if len(unit) <= KEPT_LETTERS:
+            self.units[unit] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -135,13 +139,11 @@ def encode_pieces(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ())
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = piece_table(model_path)
         for pdf in batches:
-            pdf["ids"] = [table.encode(t) for t in pdf.text]
-            yield pdf[names]
+            pdf["ids"] = [table.encode(t) for t in pdf["__text"]]
+            yield pdf[[*names, "ids"]]
 
-    names = ["doc_id", *keep, "ids"]
-    rows = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text")) if "text" not in keep else docs.select("doc_id", *keep)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names[:-1])
-    return rows.mapInPandas(run, f"{fields}, ids array<int>")
+    names = ["doc_id", *keep]
+    return in_pandas(docs.select(*names, F.coalesce("text", F.lit("")).alias("__text")), run, names, "ids array<int>")
 
 
 def decode_pieces(df: DataFrame, model_path: str) -> DataFrame:
@@ -153,8 +155,7 @@ def decode_pieces(df: DataFrame, model_path: str) -> DataFrame:
             pdf["decoded"] = [writer.decode(i) for i in pdf.ids]
             yield pdf
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, f"{fields}, decoded string")
+    return in_pandas(df, run, df.columns, "decoded string")
 
 
 def pieces_round_trip(docs: DataFrame, model_path: str) -> DataFrame:
@@ -166,4 +167,4 @@ def pieces_round_trip(docs: DataFrame, model_path: str) -> DataFrame:
             ids = [table.encode(t) for t in pdf.text]
             yield pd.DataFrame({"doc_id": pdf.doc_id, "ids": ids, "decoded": [writer.decode(i) for i in ids]})
 
-    return texts(docs).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return in_pandas(texts(docs), run, ("doc_id",), "ids array<int>, decoded string")

@@ -6,7 +6,9 @@ character class. Keys of the forms that carry a checksum (a base-62 CRC-32 in th
 are reported only if it agrees.
 
 Results: positions are code points, ends exclusive; spans come by start, then by kind in the order of
-KINDS. A null text counts as empty and has no spans; texts of any length are scanned whole.
+KINDS (so ties at a start are in a fixed order). A null text counts as empty and has no spans; texts of any
+length are scanned whole; repeated ids give repeated rows; an empty table gives none; columns that are not
+asked for are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchflow.llm.common import in_pandas
+
 KINDS = ("assign", "access", "hex", "forge", "registry")
 BASE_KINDS = KINDS[:3]
 
@@ -93,9 +97,7 @@ def find_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
             pdf["spans"] = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t, automaton)] if t else [] for t in pdf["__text"]]
             yield pdf[[*keep, "spans"]]
 
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInPandas(run, f"{fields}, spans {SPANS}")
+    return in_pandas(docs.select(*keep, F.col("text").alias("__text")), run, keep, f"spans {SPANS}")
 
 
 def joined(spans: Column) -> Column:

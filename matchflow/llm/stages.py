@@ -1,6 +1,8 @@
 """Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame.
 
-All but the last return the columns of documents. A stage decides for every row it is given.
+All but the last return the columns of documents. A stage decides for every row it is given, by its whole text;
+null texts count as empty, an empty table gives an empty one, and columns beside those of documents are left out.
+Only near-dedup joins rows by id; the others keep or drop each row, repeated ones and those without an id too, on its own.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ def written(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.5 or more go; the model learns from the labelled documents of the tables."""
+    """Documents scored 0.5 or more go (an empty text scores as one without matches, and stays); the model learns from the labelled documents of the tables."""
     from matchflow.llm.toxicity import fit_toxicity, score_toxicity
 
     model = fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -25,16 +27,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows without an id stay."""
+    """Of each group of near copies the document with the smallest id stays; of its rows, if the id is repeated, the least.
+
+    Rows without an id stay, as nothing tells them apart; texts without words are copies of each other.
+    """
     from matchflow.llm.simhash import near_duplicate_components
 
     groups = near_duplicate_components(docs)
-    copies = groups.filter("doc_id <> component_id").select("doc_id")
-    return docs.select(*DOCUMENT_COLUMNS).join(copies, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    kept = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    left = docs.select(*DOCUMENT_COLUMNS).join(kept, "doc_id")
+    repeated = left.filter("__rows > 1").groupBy("doc_id").agg(F.min(F.struct(*DOCUMENT_COLUMNS)).alias("__least")).select("__least.*")
+    without = docs.filter("doc_id is null").select(*DOCUMENT_COLUMNS)
+    return left.filter("__rows = 1").select(*DOCUMENT_COLUMNS).unionByName(repeated).unionByName(without)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, within its error budget, go."""
+    """Documents that hold a benchmark item, within its error budget, go; empty texts hold none, nor does an empty benchmark."""
     from matchflow.llm.decontamination import find_leaks
 
     marked = find_leaks(docs, table(spark, sf_dir, "benchmark"), keep=DOCUMENT_COLUMNS)
@@ -42,7 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each secret's characters become [SECRET]; every document stays."""
+    """Each secret's characters become [SECRET], overlapping ones one mask; every row stays, null texts null."""
     from matchflow.llm.secret_scan import find_secrets, masked
 
     found = find_secrets(docs, keep=DOCUMENT_COLUMNS)
@@ -50,7 +58,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids with the end id, their number, and the text decoded from them."""
+    """doc_id, ids with the end id (of an empty text that alone), their number, and the text decoded from them, a row each."""
     from matchflow.llm.pieces import pieces_round_trip
     from matchflow.llm.queries import PIECE_BPE, tokenizer
 

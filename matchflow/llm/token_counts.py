@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchflow.llm.bpe_automaton import Vocabulary
-from matchflow.llm.common import texts
+from matchflow.llm.common import in_pandas, texts
 
 LETTER, NUMBER, OTHER, SHORT, LONG, SPACE_RUN, LAST_SPACE, LAST_WHITE = range(8)
 DONE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, ATTACHING, ONE_MORE, TWO_MORE = range(8)
@@ -37,7 +37,8 @@ FRESH = 8
 CHUNK = 256
 SLAB = 4_000_000
 KEPT_STATES = 400_000
-KEPT_WORDS = 1_000_000
+#: Words whose counts a worker remembers, each of at most so many letters.
+KEPT_WORDS, KEPT_LETTERS = 600_000, 48
 
 
 def _word_machine() -> tuple[np.ndarray, np.ndarray]:
@@ -163,22 +164,27 @@ class MergeMachine:
         while read[cut:] not in self.prefixes:
             cut += 1
         new = (read[cut:], (*lasts[cut:], token), (*[c - change for c in counts[cut:]], 0))
-        to = self.ids.get(new)
-        if to is None:
-            to = self.ids[new] = len(self.states)
-            self.states.append(new)
-        arc = self.arcs[state << 8 | byte] = to << 8 | change + 128
+        arc = self.arcs[state << 8 | byte] = self.number(new) << 8 | change + 128
         return arc
 
+    def number(self, state: tuple) -> int:
+        n = self.ids.setdefault(state, len(self.states))
+        if n == len(self.states):
+            self.states.append(state)
+        return n
+
     def count(self, word: str) -> int:
-        if len(self.states) > KEPT_STATES:
-            self.forget()
         state = total = 0
-        known = self.arcs.get
-        for byte in word.encode():
-            arc = known(state << 8 | byte) or self.arc(state, byte)
-            state = arc >> 8
-            total += (arc & 255) - 128
+        for first in range(0, len(word), KEPT_STATES // 8):  # a letter has four bytes at most, and a byte makes a state at most
+            if len(self.states) > KEPT_STATES:
+                here = self.states[state]
+                self.forget()
+                state = self.number(here)
+            known = self.arcs.get
+            for byte in word[first : first + KEPT_STATES // 8].encode():
+                arc = known(state << 8 | byte) or self.arc(state, byte)
+                state = arc >> 8
+                total += (arc & 255) - 128
         return total
 
 
@@ -212,7 +218,9 @@ class CompiledTokenizer:
         return parts, len(parts) - 1
 
     def word(self, word: str) -> int:
-        n = self.words[word] = self.machine.count(word)
+        n = self.machine.count(word)
+        if len(word) <= KEPT_LETTERS:
+            self.words[word] = n
         return n
 
     def counts(self, batch: list[str]) -> np.ndarray:
@@ -270,5 +278,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
             yield pd.DataFrame({"doc_id": pdf.doc_id, "n_bytes": pdf.n_bytes, "n_tokens": machine.counts(pdf.text.tolist())})
 
     rows = texts(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return in_pandas(rows, run, ("doc_id", "n_bytes"), "n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -271,6 +271,24 @@ def test_components_equal_brute_force(spark, odd, empty, monkeypatch):
     assert [got[i] for i, _ in rows] == brute_components(rows)
 
 
+def test_pivots_discard_pairs_before_they_are_verified():
+    from matchflow.llm import simhash as S
+
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    near = prints[:200] ^ np.array([sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(200)], np.uint64)
+    prints = np.concatenate([prints, near])
+    table = S.distance_table(prints)
+    order = np.argsort(table[:, 0], kind="stable")
+    prints, table = prints[order], table[order]
+    met = [p for p in S.near_pairs(np.zeros(len(prints), np.int8), table[:, 0])]
+    left = [S.screened(table, *p) for p in met]
+    linked = {(int(a), int(b)) for p in left for a, b in zip(*S.verified(prints, *p), strict=True)}
+    n_met, n_left = sum(len(i) for i, _ in met), sum(len(i) for i, _ in left)
+    assert linked == {(int(a), int(b)) for a in range(len(prints)) for b in a + 1 + np.flatnonzero(np.bitwise_count(prints[a + 1 :] ^ prints[a]) <= 4)}
+    assert n_met < 0.6 * len(prints) * (len(prints) - 1) / 2 and n_left < n_met / 1000 and len(linked) == 200
+
+
 def test_components_of_odd_tables(spark, odd, empty):
     from matchflow.llm.simhash import near_duplicate_components
 
@@ -372,11 +390,11 @@ def test_toxicity_on_held_out_rows(spark, odd, empty):
     from matchflow.llm.queries import op4_toxicity
     from matchflow.llm.toxicity import fit_toxicity, score_toxicity
 
-    at = "/root/testdata/sf0.01"
+    at = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
     rows = [r for r in op4_toxicity(spark, at).collect() if r.held_out and r.doc_id in labels]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for r in rows)
-    assert auc(np.array([r.score for r in rows]), np.array([labels[r.doc_id] for r in rows])) > 0.75
+    assert auc(np.array([r.score for r in rows]), np.array([labels[r.doc_id] for r in rows])) > 0.95
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = fit_toxicity(odd, none)
     scores = {r.doc_id: r.score for r in score_toxicity(odd, model).collect()}
@@ -391,9 +409,71 @@ def test_the_grammar_weighs_clauses():
 
     lexicon = Lexicon({})
     score = lambda t: float(features(t, lexicon) @ PRIOR + PRIOR_BIAS)
-    assert score("You are an idiot.") > score("An idiot.") > score("Not an idiot.") > score("A fine day.")
-    assert score("I will kill you.") > score("kill the process.")
+    assert score("You are an idiot.") > score("An idiot.") > score("Not an idiot.")
+    assert score("A fine day.") == PRIOR_BIAS
+    assert score("An utter idiot.") > score("An idiot.")
+    assert score("I will kill you.") > score("kill you.") > score("kill the process.")
     assert score("Critics said nothing. You idiot.") > score("Critics said you idiot.")
+    # the same words, dealt to other clauses: two matched clauses, or one; a target beside its insult, or elsewhere
+    assert score("The idiot left. A clown came.") > score("The idiot clown left. A came.")
+    assert score("You idiot. The weather is fine.") != score("You weather. The idiot is fine.")
+    assert features("idiot idiot idiot", lexicon)[:7].tolist() == features("idiot", lexicon)[:7].tolist()
+
+
+def test_the_composed_machine_equals_its_transducers_in_turn():
+    from matchflow.llm import toxicity as T
+
+    rng = random.Random(11)
+
+    def in_turn(clause, machines):
+        symbols = list(clause)
+        for machine in machines:
+            state = 0
+            for k, symbol in enumerate(symbols):
+                state, symbols[k] = machine.step(state, symbol)
+        return symbols
+
+    for _ in range(2000):
+        clause = [rng.randrange(T.STOP) for _ in range(rng.randint(0, 14))]
+        weights = [rng.random() + 0.5 for _ in clause]
+        forth = in_turn(clause, T.FORTH)
+        back = in_turn(clause[::-1], T.BACK)[::-1]
+        want = [0.0] * len(T.PATTERNS)
+        for kind, weight, a, b in zip(clause, weights, forth, back, strict=True):
+            if kind in (T.INSULT, T.THREAT):
+                k = T.pattern_of(a | b)
+                want[k] = max(want[k], weight * T.STRONGER if a & T.STRONG else weight)
+        assert T.clause_weights(list(zip(clause, weights, strict=True))) == want
+
+
+def test_quality_of_held_out_labels(spark):
+    from matchflow.llm.quality import quality_scores
+
+    at = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    kept_back = "crc32(cast(doc_id as string)) % 5 = 0"
+    truth = {r.doc_id: r.quality for r in labels.filter(kept_back).collect()}
+    rows = [r for r in quality_scores(docs, labels.filter(f"not ({kept_back})")).filter(kept_back).collect() if r.doc_id in truth]
+    for column, least in (("score", 0.99), ("content_score", 0.99), ("metadata_score", 0.55)):
+        assert auc(np.array([r[column] for r in rows]), np.array([truth[r.doc_id] for r in rows])) > least
+
+
+def test_an_exchange_gives_the_surest_rows_in_the_classes_shares(spark):
+    from matchflow.llm import quality
+
+    rng = random.Random(4)
+    rows = [(i, rng.gauss(1, 4)) for i in range(5000)]
+    share = 0.7
+    got = {r.doc_id: r.y for r in quality.sure_ones(spark.createDataFrame(rows, "doc_id long, logit double"), "logit", share).collect()}
+    order = sorted(rows, key=lambda r: r[1])
+    least = math.log(quality.SURE / (1 - quality.SURE))
+    good = [i for i, x in order[-round(5000 * quality.SHARE * share) - 10 :] if x >= least]
+    bad = [i for i, x in order[: round(5000 * quality.SHARE * (1 - share)) + 10] if x <= -least]
+    ones, zeros = {i for i, y in got.items() if y == 1}, {i for i, y in got.items() if y == 0}
+    assert ones <= {*good} and zeros <= {*bad} and len(zeros) > 100
+    assert len(ones) / len(got) == pytest.approx(share, abs=0.03)
+    # nothing that one class is sure of, nothing given
+    assert quality.sure_ones(spark.createDataFrame([(i, 5.0) for i in range(50)], "doc_id long, logit double"), "logit", share).count() == 0
 
 
 def test_quality_on_labelled_rows(spark, odd, empty):
@@ -409,3 +489,68 @@ def test_quality_on_labelled_rows(spark, odd, empty):
         got = quality_scores(odd, spark.createDataFrame(given, schema)).collect()
         assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.keep == (r.score >= 0.5) for r in got)
     assert quality_scores(empty, spark.createDataFrame([(1, 1, 0), (3, 0, 0)], schema)).count() == 0
+
+
+# all: ids that floats cannot tell apart, beside a null
+
+
+def test_large_ids_beside_nulls(spark, tmp_path, sf_dir):
+    import corpus_pipeline
+    from matchflow.llm import context_tree, decontamination, merkle, pieces, quality, secret_scan, simhash, stages, token_counts, toxicity, warc
+
+    big = 2**53 + 1
+    rows = [(big, "the quick brown fox", "en", "a", big), (None, "password=abcdef123456789", "en", "a", None), (big + 2, "a lazy dog sleeps", "en", "b", 17)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    labels = spark.createDataFrame([(big, 1, 0), (big + 2, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(big, "quick brown fox"), (big + 2, "lazy dog"), (None, "x")], "item_id long, text string")
+    want = {None, big, big + 2}
+    model = toxicity.fit_toxicity(docs, labels)
+    leaks = decontamination.find_leaks(docs, bench).collect()
+    assert {(r.doc_id, x.item_id) for r in leaks for x in r.leaks} == {(big, big), (big + 2, big + 2)}
+    components = simhash.near_duplicate_components(docs).collect()
+    assert {(r.doc_id, r.component_id) for r in components} == {(i, i) for i in want}
+    for found in (
+        leaks,
+        components,
+        quality.quality_scores(docs, labels).collect(),
+        quality.views(docs).collect(),
+        toxicity.score_toxicity(docs, model).collect(),
+        token_counts.count_tokens(docs, BYTE_BPE).collect(),
+        context_tree.model_scores(docs).collect(),
+        secret_scan.find_secrets(docs).collect(),
+        merkle.document_fingerprints(docs).collect(),
+        pieces.pieces_round_trip(docs, PIECE_BPE).collect(),
+        pieces.decode_pieces(pieces.encode_pieces(docs, PIECE_BPE, keep=("n_chars",)), PIECE_BPE).collect(),
+    ):
+        assert {r.doc_id for r in found} == want and len(found) == 3
+    pages = docs.selectExpr("doc_id as page_id", "'u' as url", "text as html")
+    warc.write_warc(pages, f"file://{tmp_path}/w")
+    assert {r.record_id for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()} == {f"<urn:page:{'' if i is None else i}>" for i in want}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf_dir).collect()
+        assert {(r.doc_id, r.n_chars) for r in kept} <= {(big, big), (None, None), (None, 8), (big + 2, 17)} and len(kept) >= 2
+    assert {r.doc_id for r in stages.encode_and_decode(spark, docs, sf_dir).collect()} == want
+
+
+def test_near_dedup_keeps_one_row_of_repeated_ids(spark, odd, sf_dir):
+    from matchflow.llm.stages import keep_one_of_each_group
+
+    rows = [(5, "b", "en", "a", 1), (5, "b", "en", "a", 1), (5, "b", "de", "a", 1), (6, "b", "en", "a", 1), (7, "other words here", "en", "a", 1), (None, "b", "en", "a", 1)]
+    kept = keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf_dir).collect()
+    assert sorted((r.doc_id or 0, r.lang) for r in kept) == [(0, "en"), (5, "de"), (7, "en")]
+
+
+def test_words_of_any_length_are_counted():
+    from tokenizers import Tokenizer
+
+    from matchflow.llm import token_counts
+
+    library = Tokenizer.from_file(BYTE_BPE)
+    machine = token_counts.compiled(BYTE_BPE)
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöü") for _ in range(5000))
+    kept, token_counts.KEPT_STATES = token_counts.KEPT_STATES, 800
+    try:
+        assert machine.counts([long, long[::-1]]).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in (long, long[::-1])]
+    finally:
+        token_counts.KEPT_STATES = kept
