@@ -60,14 +60,16 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LETTERS = "SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN 'I am thrilled: 42% more. ' WHEN 1 THEN 'My passion for synergy. ' ELSE '' END, text, CASE doc_id % 3 WHEN 0 THEN ' and.' ELSE '' END) AS letter, text AS cv FROM documents"
 _PHRASES = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in C.BANNED) + "]"
+_BUZZ = "['dynamic', 'passionate', 'fast-paced', 'rockstar', 'ninja', 'game-changer', 'synergy', 'synergies', 'think outside the box', 'results-driven', 'detail-oriented', 'self-starter']"
+_LOOSE = r"list_filter(regexp_extract_all(lower(letter), '\b\d[\d,.]+\b'), lambda x: NOT contains(lower(cv), x))"
 _W = r"len(list_filter(string_split_regex(letter, '\s+'), lambda w: w <> ''))"
 
 
 @query(
     rf"""WITH l AS ({_LETTERS}) SELECT doc_id, array_to_string(list_filter({_PHRASES}, lambda p: contains(lower(letter), p)), ',') AS banned,
     length(trim(letter)) >= 380 AND {_W} >= 100 AND regexp_matches(trim(letter), '[.!?"'']$') AND NOT regexp_matches(lower(trim(letter)), '\b({'|'.join(C.TRAILERS)})\.?$') AS complete,
-    CASE WHEN {_W} NOT BETWEEN 280 AND 460 THEN 'word_count=' || {_W} WHEN len(list_filter({_PHRASES}, lambda p: contains(lower(letter), p))) > 0 THEN 'buzzword:' || list_filter({_PHRASES}, lambda p: contains(lower(letter), p))[1]
-    WHEN len(list_filter(regexp_extract_all(lower(letter), '(\d[\d.,]*\d)', 1), lambda x: NOT contains(lower(cv), x))) > 0 THEN 'ungrounded_number:' || list_filter(regexp_extract_all(lower(letter), '(\d[\d.,]*\d)', 1), lambda x: NOT contains(lower(cv), x))[1] ELSE 'ok' END AS precheck FROM l"""
+    CASE WHEN {_W} NOT BETWEEN 280 AND 460 THEN 'word_count=' || {_W} WHEN len(list_filter({_BUZZ}, lambda p: contains(lower(letter), p))) > 0 THEN 'buzzword:' || list_filter({_BUZZ}, lambda p: contains(lower(letter), p))[1]
+    WHEN len({_LOOSE}) > 0 THEN 'ungrounded_number:' || {_LOOSE}[1] ELSE 'ok' END AS precheck FROM l"""
 )
 def letter_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = bound(spark, sf_dir, _LETTERS, "documents")

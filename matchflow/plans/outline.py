@@ -15,7 +15,7 @@ CVS = """SELECT doc_id, text AS body, concat('Jane Doe', chr(10), CASE doc_id %
     'Skills', chr(10), 'SQL, ', lang, '; Spark', chr(10), 'Education', chr(10), 'BSc ', source) AS text FROM documents"""
 
 _HEAD = "trim(regexp_replace(trim(lower(text)), ':+$', ''))"
-_HEADING = "CASE " + " ".join(f"WHEN {_HEAD} IN ({', '.join(repr(n) for n in names.split('|'))}) THEN '{kind}'" for kind, names in S.HEADINGS.items()) + f" WHEN length({_HEAD}) <= 40 AND regexp_matches({_HEAD}, '{S.PROJECTS}') THEN 'projects' END"
+_HEADING = "CASE " + " ".join(f"WHEN {_HEAD} IN ({', '.join(repr(n) for n in names)}) THEN '{kind}'" for kind, names in S.HEADINGS.items()) + f" WHEN length({_HEAD}) <= 40 AND regexp_matches({_HEAD}, '{S.PROJECTS}') THEN 'projects' END"
 _BULLET = f"regexp_matches(text, '{S.BULLET}')"
 _C = f"WITH cvs AS ({CVS}), raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM cvs)"
 _SECTIONS = lambda src: f"""(SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER w, 'header') AS kind, count(heading) OVER w AS section_no FROM (SELECT *, {_HEADING} AS heading FROM {src}) AS x

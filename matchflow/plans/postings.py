@@ -24,7 +24,7 @@ MOST_YEARS = case([(f"cand_level = {k}", v) for k, v in L.MOST_YEARS.items()], 6
 _T = r"regexp_replace(lower(description), '\s+', ' ', 'g')"
 _ALL = lambda p: f"regexp_extract_all({_T}, '{p}', 1)"
 YEARS = rf"""coalesce(list_min(list_filter([x::INT for x in list_concat({_ALL(r'\b(\d{1,2})\s*\+?\s*(?:or\s+more\s+)?years?\b')}, {_ALL(r'\b(?:at\s+least|minimum(?:\s+of)?)\s+(\d{1,2})\s*years?\b')}, {_ALL(r'\b(\d{1,2})\s*(?:-|to)\s*\d{1,2}\s*years?\b')})], lambda n: n > 0 AND n <= 25)), 0)"""
-_KEYS = "(" + ", ".join(f"'{k}'" for k in X.TRACKING_KEYS) + ")"
+_KEYS = "('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'ref', 'refid', 'source', 'trk', 'trkcampaign', 'trackingid', 'currentjobid', 'originalsubdomain')"
 
 
 def url_sql(u: str) -> str:

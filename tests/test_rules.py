@@ -56,6 +56,34 @@ def test_urls(spark):
     assert column(spark, urls, X.normalize_url) == ["https://ex.com/A?id=1", "http://x.org", "", "", "not a url"]
 
 
+def test_urls_equal_the_parser(spark):
+    from urllib.parse import parse_qsl, urlencode, urlparse, urlunparse
+
+    track = {k.lower() for k in X.TRACKING_KEYS}
+
+    def plain(url):
+        p = urlparse(url.strip())
+        kept = [(k, v) for k, v in parse_qsl(p.query) if k.lower() not in track]
+        return urlunparse((p.scheme.lower(), p.netloc.lower(), p.path.rstrip("/"), "", urlencode(kept), ""))
+
+    urls = [
+        "https://Jobs.Ex.com/A/b;v=1?q=a+b&refId=3", "https://jobs.ex.com/A/b?q=a%20b", "HTTP://x.org:80/?", "jobs.Ex.com/Path?x=1", "//Host/p/", "mailto:Me@x.org", "https://x.org/a?e=%C3%A9~*(1)&b=%zz&c",
+        "http:/only/path/", "https://x.org/a;p/b;q", "x?utm_Source=1&a=b%26c=d&&", "https://x.org/#frag?x=1", "https://x.org?a=1;b=2", "HTTPS://x.org/%7Eme", "http://", "",
+    ]
+    assert column(spark, urls, X.normalize_url) == [plain(u) for u in urls]
+    assert column(spark, ["1 #", "a/ /", "x?refId=1&ref=2"], X.normalize_url) == ["1", "a", "x"]
+    assert column(spark, ["x?refId=1&ref=2"], lambda u: X.normalize_url(u, compat=True)) == ["x?refId=1"]
+
+
+def test_letter_precheck(spark):
+    from matchflow.functions import letters
+
+    body = "plain words of a letter that goes on " * 36
+    given = [body, body + "Ninja", body + "my passion for it", body + "saved 1,250 hours", body + "saved 42 hours", "short", ""]
+    got = column(spark, given, lambda x: letters.letter_precheck(x, F.lit("a cv with 42 things"), F.lit("a posting")))
+    assert got == ["ok", "buzzword:ninja", "ok", "ungrounded_number:1,250", "ok", "word_count=1", "empty_inputs"]
+
+
 def test_headings(spark):
     lines = ["Professional Summary:", "WORK EXPERIENCE", "Open-Source Projects", "project", "I like projects and more of them in life, truly so", "Awards", None]
     assert column(spark, lines, S.classify_heading) == ["summary", "experience", "projects", None, None, "awards", None]
