@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchflow.functions import guards as G
+from matchflow.functions.summary import summary_violation
 from matchflow.functions.text import ascii_ratio, words
 
 TERM = r"([A-Za-z][A-Za-z0-9+&-]{2,})"
@@ -13,6 +14,10 @@ TERM = r"([A-Za-z][A-Za-z0-9+&-]{2,})"
 KEY_STOP_WORDS = "a an the and or of at in on for to with by as is are was were be been client role project company position title experience work team jan feb mar apr may jun jul aug sep oct nov dec january february march april june july august september october november december present current".split()
 
 
+#: Why a rewrite may be reverted, in the order of the guards.
+REASONS = ("keyword_jam", "identical", "unsafe", "solo_project", "borrowed_number", "injected_term", "filler", "not_english")
+
+
 def audit_rewrites(pairs: DataFrame) -> DataFrame:
     """pairs with accepted_text and reason: guards in order, the first violation keeps the original.
 
@@ -40,6 +45,16 @@ def audit_rewrites(pairs: DataFrame) -> DataFrame:
     return out.withColumn("accepted_text", F.when(F.col("reason").isNotNull(), F.col("original")).otherwise(cleaned))
 
 
+def audit_summary(summaries: DataFrame) -> DataFrame:
+    """summaries with accepted_summary and summary_reason: the first violation keeps the original, one without an original is dropped.
+
+    Columns: original, rewrite, roles (header, section, bullets), source_text.
+    """
+    out = summaries.withColumn("summary_reason", summary_violation("original", "rewrite", "roles", "source_text"))
+    kept = F.when(F.col("summary_reason").isNull() & (F.trim("rewrite") != ""), F.trim("rewrite")).otherwise(F.trim("original"))
+    return out.withColumn("accepted_summary", F.coalesce(kept, F.lit("")))
+
+
 def sibling_numbers(pairs: DataFrame, role: list[str], i: str = "i") -> DataFrame:
     """pairs with sibling_numbers: number tokens in originals of the same role's other bullets, by tokens counted per role."""
     tokens = pairs.select(*role, i, F.explode(G.numbers("original")).alias("__t"))
@@ -82,6 +97,7 @@ def guard_rollup(audited: DataFrame) -> DataFrame:
     """By document: whether all rewrites were reverted, whether none was tried, and reverts by reason."""
     tried, reverted = F.col("rewrite").isNotNull(), F.col("reason").isNotNull() & (F.col("reason") != "kept")
     return audited.groupBy("doc_id").agg(
+        *(F.count_if(F.col("reason") == r).alias(f"reverted_{r}") for r in REASONS),
         F.count(F.lit(1)).alias("bullets"),
         F.count_if(tried).alias("tried"),
         F.count_if(reverted).alias("reverted"),

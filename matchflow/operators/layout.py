@@ -83,3 +83,48 @@ def halves_order(lines: DataFrame, page_width: float) -> DataFrame:
     share = F.avg(right).over(w)
     column = F.when(share.between(0.2, 0.8), right).otherwise(0)
     return lines.withColumn("column", column).withColumn("place", F.row_number().over(w.orderBy("column", "y0", "x0", "line_no")))
+
+
+def merge_rows(lines: DataFrame, tolerance: float = 1.2) -> DataFrame:
+    """Lines at one height become one row: texts joined, the box around all; lines with is_marker stay as they are.
+
+    A line joins the row before it if its y0 is within `tolerance` of that row's top, by y, then x. A page's lines
+    come together as one array.
+    """
+    at = F.struct(F.round("y0", 1).alias("y"), F.round("x0", 1).alias("x"), "line_no", "x0", "y0", "x1", "y1", "text", F.coalesce("is_marker", F.lit(False)).alias("is_marker"))
+    pages = lines.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(at)).alias("rows"))
+    part = lambda r: F.struct(*(r[c].alias(c) for c in ("line_no", "x0", "y0", "x1", "y1", "text")))
+
+    def joined(a, b):
+        box = [F.least(a[c], b[c]).alias(c) for c in ("x0", "y0")] + [F.greatest(a[c], b[c]).alias(c) for c in ("x1", "y1")]
+        return F.struct(a["line_no"].alias("line_no"), *box, F.trim(F.concat(a["text"], F.lit("   "), b["text"])).alias("text"))
+
+    def step(done, line):
+        last = F.element_at(done, -1)
+        same = (F.size(done) > 0) & (F.abs(line["y0"] - F.coalesce(last["y0"], F.lit(0.0))) <= tolerance)
+        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined(last, part(line))))).otherwise(F.concat(done, F.array(part(line))))
+
+    kind = "array<struct<line_no:int,x0:double,y0:double,x1:double,y1:double,text:string>>"
+    plain = F.filter("rows", lambda r: ~r["is_marker"])
+    rows = F.aggregate(plain, F.array().cast(kind), step)
+    markers = F.transform(F.filter("rows", lambda r: r["is_marker"]), part)
+    return pages.select("doc_id", "page", F.explode(F.concat(rows, markers)).alias("r")).select("doc_id", "page", "r.*")
+
+
+def infer_summary(lines: DataFrame, name_size: float = 14.0) -> DataFrame:
+    """doc_id, summary: the header's text behind its last line of name_size, if it has two lines and 120 characters; leading contact lines go.
+
+    lines: doc_id, place, text, size of the lines before the first heading.
+    """
+    contact = r"(?i)(@|linkedin\.com|https?://|\+?\d[\d\s\-]{6,})"
+    named = lines.groupBy("doc_id").agg(F.max(F.when(F.col("size") >= name_size, F.col("place"))).alias("__name"))
+    body = lines.join(named, "doc_id").filter("__name is null or place > __name")
+    said = body.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("__lines"),
+        F.sum(F.length("text")).alias("__chars"),
+        F.min(F.when(~F.col("text").rlike(contact), F.col("place"))).alias("__first"),
+        F.sort_array(F.collect_list(F.struct("place", "text"))).alias("__all"),
+    )
+    long = said.filter("__lines >= 2 and __chars >= 120 and __first is not null")
+    kept = F.transform(F.filter("__all", lambda r: r["place"] >= F.col("__first")), lambda r: r["text"])
+    return long.select("doc_id", F.array_join(kept, "\n").alias("summary"))

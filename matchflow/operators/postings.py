@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchflow.functions import levels as L
-from matchflow.functions.text import content_words, in_window, normalize_url
+from matchflow.functions.text import content_words, in_window, let, normalize_url
 
 POSTING = ("title", "company", "location", "url", "description", "posted", "posted_label", "source")
 # The order in which boards are tried.
@@ -107,8 +107,9 @@ def candidate_pairs(candidates: DataFrame, postings: DataFrame) -> DataFrame:
 def split_missing(df: DataFrame, missing: str, matched: str, cv: str) -> DataFrame:
     """Missing skills whose words stand together in the CV move to the matched ones."""
     words = df.withColumn("__words", content_words(cv))
-    found = lambda s: in_window(content_words(s), F.col("__words"))
-    out = words.withColumn("__found", F.filter(missing, found)).withColumn(missing, F.filter(missing, lambda s: ~found(s)))
+    found = lambda s, w: let(content_words(s), lambda t: in_window(t, w))
+    held = let(F.col("__words"), lambda w: F.filter(missing, lambda s: found(s, w)))
+    out = words.withColumn("__found", held).withColumn(missing, F.filter(missing, lambda s: ~F.array_contains("__found", s)))
     return out.withColumn(matched, F.concat(matched, "__found")).drop("__words", "__found")
 
 

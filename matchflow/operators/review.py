@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchflow.functions.levels import job_level, level_gap_penalty
-from matchflow.functions.text import extract_json
+from matchflow.functions.levels import job_level, level_gap_exit, level_gap_penalty, posting_years, years_exit
+from matchflow.functions.text import extract_json, let, words
+from matchflow.operators.postings import split_missing
 
 MATCH = "match_score double, matched_skills array<string>, missing_skills array<string>, reasoning string"
 REVIEW = "score double, strengths array<string>, weaknesses array<string>, fabrications array<string>, feedback string, verdict string"
@@ -21,14 +22,26 @@ def texts_of(c: Column, most: int = 5) -> Column:
     return F.slice(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x) != ""), 1, most)
 
 
-def resolve_match(df: DataFrame, raw: str, title: str, cand_level: str) -> DataFrame:
-    """Score, skills and reasoning of a raw match answer: clamped, lowered by the level gap; no JSON gives 0 and the answer's first 300 characters."""
+def resolve_match(df: DataFrame, raw: str, title: str, cand_level: str, cv: str | None = None, description: str | None = None) -> DataFrame:
+    """Score, skills and reasoning of a raw match answer: clamped, lowered by the level gap; no JSON gives 0 and the answer's first 300 characters.
+
+    With cv, missing skills that it has move to the matched ones. With description, levels or years that rule a posting
+    out come before the answer: their score holds, there are no skills, and the reasoning says which rule it was.
+    """
     out = df.withColumn("__j", extract_json(raw, MATCH))
     bad = F.col("__j").isNull() | F.col("__j.match_score").isNull()
     gap = job_level(title) - F.col(cand_level)
-    score = F.when(bad, 0).otherwise(level_gap_penalty(clamp(F.col("__j.match_score")), gap))
-    reason = F.when(bad, F.substring(F.coalesce(F.col(raw), F.lit("")), 1, 300)).otherwise(F.coalesce("__j.reasoning", F.lit("")))
-    return out.withColumns({"score": score.cast("int"), "matched": texts_of(F.col("__j.matched_skills"), 50), "missing": texts_of(F.col("__j.missing_skills"), 50), "reasoning": reason}).drop("__j")
+    ruled = F.lit(None).cast("int")
+    if description is not None:
+        ruled = F.coalesce(level_gap_exit(gap), years_exit(F.col(cand_level), posting_years(description))).cast("int")
+    out = out.withColumn("__ruled", ruled)
+    out_of_play, none = F.col("__ruled").isNotNull(), F.array().cast("array<string>")
+    score = F.when(out_of_play, F.col("__ruled")).when(bad, 0).otherwise(level_gap_penalty(clamp(F.col("__j.match_score")), gap))
+    by_rule = F.when(level_gap_exit(gap).isNotNull(), "level gap").otherwise("years asked")
+    reason = F.when(out_of_play, by_rule).when(bad, F.substring(F.coalesce(F.col(raw), F.lit("")), 1, 300)).otherwise(F.coalesce("__j.reasoning", F.lit("")))
+    skills = lambda k: F.when(out_of_play, none).otherwise(texts_of(F.col(f"__j.{k}"), 50))
+    out = out.withColumns({"score": score.cast("int"), "matched": skills("matched_skills"), "missing": skills("missing_skills"), "reasoning": reason}).drop("__j", "__ruled")
+    return split_missing(out, "missing", "matched", cv) if cv else out
 
 
 def resolve_review(df: DataFrame, raw: str) -> DataFrame:
@@ -72,20 +85,68 @@ def resolve_plan(df: DataFrame, raw: str, primary: str) -> DataFrame:
     ).drop("__j")
 
 
-STRATEGY = "summary_angle string, keywords array<string>, section_notes map<string,string>"
-# Words that end a role rather than a skill.
-ROLE_NOUNS = "manager engineer analyst developer lead director specialist consultant".split()
+STRATEGY = "summary_angle string, keywords array<string>, section_notes map<string,string>, bullet_strategy map<string,array<struct<i:int,lead_with:string,jd_keyword:string>>>"
+# Words that make a keyword of three words a role's phrase.
+ROLE_NOUNS = ("ownership", "management", "experience", "practice", "skills", "literacy", "expertise", "background", "mindset")
+# Labels of a whole part of a document, which are no role's key, and what ends the title in a key.
+OUTER_LABELS = ("roles", "role", "projects", "project", "skills", "skill", "education", "experience", "work experience", "professional experience", "summary", "about")
+KEY_END = r"(?i)\s\s+|\s\|\s|\s[-—]\s|\s+(?:Tech\s+Stack|Stack|Skills|Tools|Tech)\s*:"
+# Words that say nothing about a lead.
+LEAD_STOP_WORDS = ("a", "an", "the", "and", "or", "of", "for", "to", "in", "on", "with", "by", "at", "as", "into", "from")
+
+
+def normalize_key(key: Column | str) -> Column:
+    """A role's title out of an echoed header line; null for a label of a whole part."""
+    c = F.col(key) if isinstance(key, str) else key
+    tidy = F.regexp_replace(F.get(F.split(c, KEY_END, 2), F.lit(0)), r"^[ \t\r\n.,:;]+|[ \t\r\n.,:;]+$", "")
+    return let(F.when(tidy == "", F.trim(c)).otherwise(tidy), lambda k: F.when(~F.lower(k).isin(*OUTER_LABELS), k))
+
+
+def normalize_keys(entries: Column) -> Column:
+    """A map with its keys as titles, labels left out; of keys that become equal the last one's value holds."""
+    each = F.filter(F.transform(F.map_entries(entries), lambda e: F.struct(normalize_key(e["key"]).alias("key"), e["value"].alias("value"))), lambda e: e["key"].isNotNull())
+    keys = lambda a: F.transform(a, lambda e: e["key"])
+    last = lambda a: F.filter(a, lambda e, i: ~F.array_contains(keys(F.slice(a, i + 2, F.size(a))), e["key"]))
+    return F.map_from_entries(let(each, last))
+
+
+def long_keyword(keyword: Column) -> Column:
+    """Four words or more, or three that end in a role's noun."""
+    parts = words(keyword)
+    return (F.size(parts) >= 4) | ((F.size(parts) >= 3) & F.regexp_replace(F.lower(F.element_at(parts, -1)), "[.,]+$", "").isin(*ROLE_NOUNS))
+
+
+def lead_words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*LEAD_STOP_WORDS))
+
+
+def clean_leads(leads: DataFrame, bullets: DataFrame) -> DataFrame:
+    """leads (doc_id, header, i, lead_with) with the lead blanked that is over nine content words long or begins as its bullet does.
+
+    bullets: doc_id, header, i, text; a lead whose bullet is not there stays.
+    """
+    joined = leads.join(bullets.select("doc_id", "header", "i", F.col("text").alias("__text")), ["doc_id", "header", "i"], "left")
+    lead, opening = lead_words(F.col("lead_with")), F.slice(lead_words(F.col("__text")), 1, 8)
+    echo = (F.size(lead) >= 3) & (F.size(opening) >= 3) & (F.slice(lead, 1, 3) == F.slice(opening, 1, 3))
+    bad = F.col("__text").isNotNull() & ((F.size(lead) > 9) | echo)
+    return joined.withColumn("lead_with", F.when(bad, "").otherwise(F.trim(F.coalesce("lead_with", F.lit(""))))).drop("__text")
 
 
 def resolve_strategy(df: DataFrame, raw: str) -> DataFrame:
-    """A fixed set of keys with empty defaults; keywords of four words or more, or of three that end in a role, are blanked."""
+    """A fixed set of keys with empty defaults; keys of sections are titles, role-like keywords are blanked.
+
+    bullet_strategy's leads meet their bullets in clean_leads, once they are rows.
+    """
     out = df.withColumn("__j", extract_json(raw, STRATEGY))
-    parts = lambda k: F.split(F.trim(F.lower(k)), r"\s+")
-    role = lambda k: (F.size(parts(k)) >= 4) | ((F.size(parts(k)) >= 3) & F.element_at(parts(k), -1).isin(*ROLE_NOUNS))
+    tight = lambda k: F.when(long_keyword(k), "").otherwise(F.trim(F.coalesce(k, F.lit(""))))
+    action = lambda a: F.struct(a["i"].alias("i"), a["lead_with"].alias("lead_with"), tight(a["jd_keyword"]).alias("jd_keyword"))
+    empty = lambda k, kind: F.coalesce(F.col(f"__j.{k}"), F.create_map().cast(kind))
     return out.withColumns(
         {
             "summary_angle": F.coalesce("__j.summary_angle", F.lit("")),
-            "keywords": F.filter(F.transform(F.coalesce("__j.keywords", F.array().cast("array<string>")), lambda k: F.when(role(k), F.lit("")).otherwise(F.trim(k))), lambda k: k != ""),
+            "keywords": F.filter(F.transform(F.coalesce("__j.keywords", F.array().cast("array<string>")), tight), lambda k: k != ""),
+            "section_notes": normalize_keys(empty("section_notes", "map<string,string>")),
+            "bullet_strategy": F.transform_values(normalize_keys(empty("bullet_strategy", "map<string,array<struct<i:int,lead_with:string,jd_keyword:string>>>")), lambda _, v: F.transform(v, action)),
         }
     ).drop("__j")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchflow.functions import guards as G
+from matchflow.functions import summary as S
 from matchflow.operators import audit as A
 from matchflow.plans.registry import bound, query, table
 
@@ -153,3 +154,39 @@ def batch_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lost_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs(spark, sf_dir).withColumn("original", F.concat(F.lit("First-class graduate with 5+ years, $3M saved, Spotlight Awards. "), "original"))
     return p.select("doc_id", "header", "i", F.array_join(G.lost_credentials("original", "rewrite"), ",").alias("lost"), G.length_band("original", "rewrite").alias("band"))
+
+
+#: A summary around each turn's text, and a rewrite that breaks the guard that its number stands for, or none.
+_SUMMARIES = """SELECT conv_id, role, turn, b, CASE WHEN k = 0 THEN '' WHEN k = 1 THEN 'Short profile of Apply Smart.' ELSE concat(lead, b, ' ends.') END AS original,
+    CASE k WHEN 1 THEN concat(lead, b, b, ' one two three four five six seven eight nine ten', extra, extra, extra, extra, extra) WHEN 2 THEN concat(lead, b, ' in marketing.') WHEN 3 THEN concat(lead, b, ' of Zanzibar.') WHEN 4 THEN concat('builder of Apply Smart, 5+ years. ', b, ' ends.')
+    WHEN 5 THEN concat(lead, b, ' ends', repeat('é', 20 + length(b))) WHEN 6 THEN concat(lead, b, '. Made seven small tools for dull daily chores.') WHEN 7 THEN concat('builder of things, 5+ years, 40%. ', b, ' ends.') WHEN 8 THEN concat(lead, b, extra, extra, extra, extra, ' ', b, ' ', b)
+    WHEN 9 THEN NULL ELSE concat(lead, b, ' ended.') END AS rewrite, k
+    FROM (SELECT conv_id, role, turn, (conv_id + turn) % 11 AS k, 'builder of Apply Smart, 5+ years, 40%. ' AS lead, ' one two three four five six seven eight nine ten eleven twelve' AS extra,
+        concat(substr(lower(text), 1, 160), ' and one two three four five six seven eight nine ten eleven twelve') AS b FROM conversations) AS c"""
+
+
+@query(
+    f"""WITH s AS ({_SUMMARIES}), r AS (SELECT *, CASE k WHEN 0 THEN 'no_original' WHEN 1 THEN 'stub_overflow' WHEN 2 THEN 'identity' WHEN 3 THEN 'foreign_terms' WHEN 4 THEN 'credentials' WHEN 5 THEN 'language' WHEN 6 THEN 'absorbed_bullet' WHEN 7 THEN 'project_dropped' WHEN 8 THEN 'length' END AS reason FROM s)
+    SELECT conv_id, role, turn, reason AS summary_reason, trim(CASE WHEN reason IS NULL AND rewrite IS NOT NULL THEN rewrite ELSE original END) AS accepted_summary FROM r"""
+)
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = bound(spark, sf_dir, _SUMMARIES, "conversations")
+    bullets = "array('made seven small tools for dull daily chores', 'led a few friends')"
+    roles = F.expr(f"array(named_struct('header', 'Apply Smart | Python', 'section', 'Projects', 'bullets', {bullets}), named_struct('header', 'Lead of North', 'section', 'Experience', 'bullets', cast(array() as array<string>)))")
+    ready = s.withColumn("roles", roles.cast(S.ROLES)).withColumn("source_text", F.concat_ws(" ", "b", F.lit("builder of Apply Smart made short profile")))
+    return A.audit_summary(ready).select("conv_id", "role", "turn", "summary_reason", "accepted_summary")
+
+
+_NAMED = "SELECT doc_id, text, concat('Built with ', CASE doc_id % 4 WHEN 0 THEN 'JavaHouse and AWS' WHEN 1 THEN 'Node.js' WHEN 2 THEN 'the University of Zembla' ELSE 'It' END, '. ', text) AS letter FROM documents"
+
+
+@query(
+    rf"""WITH l AS ({_NAMED}), t AS (SELECT *, regexp_extract_all(letter, '\b(?:[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+|[A-Z]{{2,}}(?:\+\+|#)?|[A-Z][A-Za-z]*(?:\.[A-Za-z]+)+)') AS names FROM l)
+    SELECT doc_id, array_to_string([n for n, i in names if NOT contains(lower(text), lower(n)) AND list_position([lower(x) for x in names], lower(n)) = i], '|') AS in_letter, CASE doc_id % 4 WHEN 0 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS in_summary FROM t"""
+)
+def foreign_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchflow.functions import letters
+
+    d = bound(spark, sf_dir, _NAMED, "documents")
+    strange = F.filter(S.foreign_terms("letter", "text"), lambda t: t.rlike("Zembla|JavaHouse"))
+    return d.select("doc_id", F.array_join(letters.foreign_terms("letter", "text"), "|").alias("in_letter"), F.size(strange).alias("in_summary"))

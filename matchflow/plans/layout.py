@@ -76,6 +76,58 @@ def letter_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select("doc_id", F.array_join(C.banned_phrases("letter"), ",").alias("banned"), C.letter_complete("letter").alias("complete"), C.letter_precheck("letter", "cv", F.lit("")).alias("precheck"))
 
 
+def _tidy(letter: str) -> str:
+    for pattern, new in (("  +", " "), (r"\s+([,.;:!?])", r"\1"), (r"\(\s+", "("), (r"\s+\)", ")"), *((rf"(^|[.!?]\s+){c}", rf"\1{c.upper()}") for c in "abcdefghijklmnopqrstuvwxyz")):
+        letter = f"regexp_replace({letter}, '{pattern}', '{new}', 'g')"
+    return rf"regexp_replace({letter}, '^\s+|\s+$', '', 'g')"
+
+
+_BROKEN = r"[.,;:!?]\s*[.,;:!?]|(^|[^\pL\pN_])(is|am|are|was|were|be|been|being)\s*,"
+
+
+@query(
+    f"""WITH l AS ({_LETTERS}), r AS (SELECT doc_id, CASE WHEN regexp_matches(letter, '{_BROKEN}') THEN letter ELSE replace(letter, 'My passion for synergy. ', 'my interest in alignment. ') END AS letter FROM l) SELECT doc_id, {_tidy('letter')} AS letter FROM r"""
+)
+def strip_banned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound(spark, sf_dir, _LETTERS, "documents").select("doc_id", C.strip_banned("letter").alias("letter"))
+
+
+_POSTINGS = "SELECT doc_id, concat('About us, a firm. ', text, chr(10), 'Benefits: many', chr(10), 'Required Skills ', text, chr(10), 'Company: x') AS posting, text FROM documents WHERE NOT regexp_matches(lower(text), 'require|qualif|responsib|what you|you will|you should|preferred|about the|role|your role|benefit|company')"
+
+
+@query(
+    rf"""WITH p AS ({_POSTINGS}), w AS (SELECT *, list_filter(string_split_regex(posting, '\s+'), lambda x: x <> '') AS ws FROM p), k AS (SELECT *, regexp_replace('Required Skills ' || text, '^\s+|\s+$', '', 'g') AS part FROM w),
+    c AS (SELECT *, list_filter(string_split_regex(part, '\s+'), lambda x: x <> '') AS cs FROM k)
+    SELECT doc_id, sha256(CASE WHEN len(ws) <= 200 THEN posting WHEN len(cs) > 200 THEN array_to_string(cs[1:200], ' ') || '...' WHEN len(cs) > 10 THEN part ELSE array_to_string(ws[1:200], ' ') || '...' END) AS short FROM c"""
+)
+def compress_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchflow.functions import text as X
+
+    p = bound(spark, sf_dir, _POSTINGS.replace("regexp_matches", "regexp"), "documents")
+    return p.select("doc_id", F.sha2(X.compress_text("posting", 200), 256).alias("short"))
+
+
+@query(
+    f"""{_L}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY round(y0, 1), round(x0, 1), line_no) AS k FROM l WHERE line_no % 7 > 0), i AS (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY doc_id, page ORDER BY k) <= 1.2 THEN 0 ELSE 1 END AS new FROM o),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY k) AS row FROM i)
+    SELECT doc_id, page, min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, count(*)::INT AS n FROM g GROUP BY doc_id, page, row UNION ALL SELECT doc_id, page, x0::DOUBLE, y0::DOUBLE, 1 FROM l WHERE line_no % 7 = 0"""
+)
+def merge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = lines(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in ("x0", "y0")})
+    # a one-letter text each, so that the joined text counts the lines
+    marked = l.withColumns({"x1": F.col("x0") + 10, "y1": F.col("y0") + 10, "text": F.lit("x"), "is_marker": F.col("line_no") % 7 == 0})
+    return Y.merge_rows(marked).select("doc_id", "page", "x0", "y0", F.regexp_count("text", F.lit("x")).alias("n"))
+
+
+@query(
+    rf"""{_L}, n AS (SELECT doc_id, max(CASE WHEN size >= 14 THEN line_no END) AS named FROM l GROUP BY 1), b AS (SELECT l.* FROM l JOIN n USING (doc_id) WHERE named IS NULL OR line_no > named),
+    s AS (SELECT doc_id, count(*) AS k, sum(length(text)) AS chars, min(CASE WHEN NOT regexp_matches(text, '(?i)(@|linkedin\.com|https?://|\+?\d[\d\s\-]{{6,}})') THEN line_no END) AS first FROM b GROUP BY 1)
+    SELECT doc_id, string_agg(text, chr(10) ORDER BY line_no) AS summary FROM b JOIN s USING (doc_id) WHERE k >= 2 AND chars >= 120 AND line_no >= first GROUP BY doc_id"""
+)
+def infer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.infer_summary(lines(spark, sf_dir).select("doc_id", F.col("line_no").alias("place"), "text", F.col("size").cast("double").alias("size")))
+
+
 @query()
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents made safe, redacted, measured, freed of copies, and the best ten of each source."""

@@ -172,8 +172,28 @@ def resolve_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seq", F.array_join("bundles", "|").alias("bundles"), "min_matches", "min_score", "max_rounds")
 
 
+_LEADS = """SELECT conv_id AS doc_id, role AS header, turn AS i, text, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN 'Cut costs' WHEN 2 THEN 'one two three four five six seven eight nine ten' ELSE concat('The zebra of ', text) END AS lead_with FROM conversations"""
+
+
+@query(
+    rf"""WITH l AS ({_LEADS}), w AS (SELECT *, [list_filter(string_split_regex(lower(x), '[^a-z0-9]+'), lambda t: t NOT IN ('', 'a', 'an', 'the', 'and', 'or', 'of', 'for', 'to', 'in', 'on', 'with', 'by', 'at', 'as', 'into', 'from')) for x in [lead_with, text]] AS t FROM l)
+    SELECT doc_id, header, i, CASE WHEN len(t[1]) > 9 OR (len(t[1]) >= 3 AND len(t[2]) >= 3 AND t[1][1:3] = t[2][1:3]) THEN '' ELSE trim(lead_with) END AS lead_with FROM w"""
+)
+def clean_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = bound(spark, sf_dir, _LEADS, "conversations")
+    return V.clean_leads(l.select("doc_id", "header", "i", "lead_with"), l.select("doc_id", "header", "i", "text")).select("doc_id", "header", "i", "lead_with")
+
+
+_ECHOED = """SELECT o_orderkey, o_custkey, CASE o_orderkey % 6 WHEN 0 THEN concat(o_clerk, '  Tech Stack: Python | SQL') WHEN 1 THEN concat(o_clerk, ' | ', o_orderpriority) WHEN 2 THEN 'Projects:' WHEN 3 THEN concat(o_clerk, ' - ', o_orderpriority) WHEN 4 THEN concat(' ', o_clerk, ' tools: x') ELSE 'Engineer: Backend.' END AS key FROM (SELECT o_orderkey, o_custkey, o_orderpriority, concat('Clerk', cast(o_custkey % 100 AS string)) AS o_clerk FROM orders) AS o"""
+
+
+@query(f"WITH k AS ({_ECHOED}) SELECT o_orderkey, CASE o_orderkey % 6 WHEN 2 THEN NULL WHEN 5 THEN 'Engineer: Backend' ELSE 'Clerk' || (o_custkey % 100) END AS title FROM k")
+def normalize_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound(spark, sf_dir, _ECHOED, "orders").select("o_orderkey", V.normalize_key("key").alias("title"))
+
+
 _NOTES = f"""SELECT seq, '{{"summary_angle": "s' || seq || '", "keywords": ["' || title || '", "data platform", "one two three four"]}}' AS raw, title FROM ({POSTINGS}) AS p"""
-_ROLES = "('" + "', '".join(V.ROLE_NOUNS) + "')"
+_ROLES = "('ownership', 'management', 'experience', 'practice', 'skills', 'literacy', 'expertise', 'background', 'mindset')"
 
 
 @query(
