@@ -170,12 +170,19 @@ def resolve_keys(keys: DataFrame, headers: DataFrame, least: float = 0.60) -> Da
 
 
 def batch_similarity(docs: DataFrame, batch: str, least: float = 0.70) -> DataFrame:
-    """Pairs of a batch's texts whose token sets have a Jaccard similarity of `least` or more.
+    """Links of a batch's texts whose token sets have a Jaccard similarity of `least` or more: a, b, similarity.
+
+    Texts of equal sets are a class: its first text is linked to each other one (similarity 1), and only first
+    texts are linked to those of other classes, so copies never form pairs among themselves.
 
     Prefix filtering: tokens are ordered by how rare they are, and a pair can only reach the threshold if
     the rarest tokens of both, as many as their sizes allow, share one; so candidates meet on rare tokens.
     """
-    sets = docs.select(batch, "doc_id", F.array_distinct(terms_of("text")).alias("tokens")).filter(F.size("tokens") > 0).withColumn("size", F.size("tokens"))
+    every = docs.select(batch, "doc_id", F.sort_array(F.array_distinct(terms_of("text"))).alias("tokens")).filter(F.size("tokens") > 0)
+    every = every.withColumn("class", F.sha2(F.array_join("tokens", " "), 256))
+    classes = every.groupBy(batch, "class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("texts"))
+    copies = every.join(classes.filter("texts > 1"), [batch, "class"]).filter("doc_id > first")
+    sets = every.join(classes.select(batch, F.col("first").alias("doc_id")), [batch, "doc_id"]).select(batch, "doc_id", "tokens", F.size("tokens").alias("size"))
     each = sets.select(batch, "doc_id", "size", F.explode("tokens").alias("token"))
     rare = each.groupBy(batch, "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     w = Window.partitionBy(batch, "doc_id")
@@ -188,4 +195,5 @@ def batch_similarity(docs: DataFrame, batch: str, least: float = 0.70) -> DataFr
     ta, tb = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     out = met.join(ta, "a").join(tb, "b").withColumn("similarity", F.round(both / (F.size("x") + F.size("y") - both), 6))
-    return out.filter(F.col("similarity") >= least).select(batch, "a", "b", "similarity")
+    linked = out.filter(F.col("similarity") >= least).select(batch, "a", "b", "similarity")
+    return linked.union(copies.select(batch, F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))

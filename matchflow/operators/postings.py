@@ -13,6 +13,8 @@ from matchflow.functions.text import content_words, in_window, let, normalize_ur
 POSTING = ("title", "company", "location", "url", "description", "posted", "posted_label", "source")
 # The order in which boards are tried.
 BOARDS = ("LinkedIn", "Indeed", "Glassdoor", "Jobs.ie", "Builtin")
+#: Parts of a source or collection whose rows one task may hold.
+SLICES = 32
 
 
 def filled(c: Column, default: str = "N/A") -> Column:
@@ -34,7 +36,10 @@ def union_boards(*boards: DataFrame, n: int, order: str) -> DataFrame:
 
 
 def limit_per_source(df: DataFrame, n: int, order: str, source: str = "source") -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(source).orderBy(order))).filter(F.col("__n") <= n).drop("__n")
+    """The first n rows of each source: of each of its slices, then of what these leave, so that no task sorts a whole source."""
+    sliced = df.withColumn("__slice", F.pmod(F.xxhash64(order), F.lit(SLICES)))
+    first = lambda rows, *keys: rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("__n") <= n)
+    return first(first(sliced, source, "__slice"), source).drop("__n", "__slice")
 
 
 def first_nonempty_source(df: DataFrame, preferred: str, boards: tuple[str, ...] = BOARDS, source: str = "source") -> DataFrame:
@@ -121,12 +126,14 @@ def validate_inputs(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def retrieve_topk(queries: DataFrame, chunks: DataFrame, k: int, collection: str = "doc_fp", vector: str = "embedding") -> DataFrame:
     """The k nearest chunks of each query within its collection, by squared L2 distance.
 
-    Distances are kept without vectors; the k best are an aggregate over (distance, id) in two steps: per
-    slice of the collection, then over the slices, so no query's whole list is sorted by one task.
+    A collection is cut into slices that each meet all its queries, so a large one spreads over tasks. Distances
+    are kept without vectors; the k best are found per slice, then over the slices.
     """
-    pair = queries.select("query_id", collection, F.col(vector).alias("__q")).join(chunks.select("chunk_id", collection, F.col(vector).alias("__c")), collection)
+    asked = queries.select("query_id", collection, F.col(vector).alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("__slice"))
+    sliced = chunks.select("chunk_id", collection, F.col(vector).alias("__c"), F.pmod(F.xxhash64("chunk_id"), F.lit(SLICES)).cast("int").alias("__slice"))
+    pair = asked.join(sliced, [collection, "__slice"])
     squares = F.aggregate(F.zip_with("__q", "__c", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    near = pair.select("query_id", "chunk_id", squares.alias("distance"), F.pmod(F.xxhash64("chunk_id"), F.lit(16)).alias("__slice"))
+    near = pair.select("query_id", "chunk_id", squares.alias("distance"), "__slice")
     w = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "chunk_id"))
     best = near.withColumn("__n", w("query_id", "__slice")).filter(F.col("__n") <= k).drop("__n")
     return best.withColumn("rank", w("query_id")).filter(F.col("rank") <= k).drop("__slice")

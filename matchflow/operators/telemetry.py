@@ -5,6 +5,9 @@ Counts by label come as text, `label:count` joined by commas, most frequent firs
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,8 +86,24 @@ def per_job(traces: DataFrame) -> DataFrame:
     return totals.join(label_counts(t, ["job_id"], "agent", "agents"), "job_id")
 
 
+def running_place(df: DataFrame, name: str, keys: list[str], ts: str, tie: str, seconds: int = 3600) -> DataFrame:
+    """df with the place of each row among those of its keys, by ts, then tie.
+
+    Rows are placed within slices of time; the numbers of rows before each slice are added to that, so a
+    key's rows spread over tasks and only its slices' counts meet in one.
+    """
+    sliced = df.withColumn("__slice", F.floor(micros(ts) / (seconds * US)))
+    counts = sliced.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sliced.withColumn("__at", F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(ts, tie)))
+    mine = [*keys, "__slice"]
+    offsets = counts.withColumn("__before", before).select("__before", *(F.col(k).alias(f"__k{i}") for i, k in enumerate(mine)))
+    joined = placed.join(offsets, reduce(and_, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(mine))))
+    return joined.select(*df.columns, (F.col("__at") + F.col("__before")).cast("int").alias(name))
+
+
 def order_jobs(jobs: DataFrame) -> DataFrame:
-    return jobs.withColumn("place", F.row_number().over(Window.orderBy("first_ts", "job_id")))
+    return running_place(jobs, "place", [], "first_ts", "job_id")
 
 
 def run_totals(traces: DataFrame) -> DataFrame:
@@ -152,16 +171,21 @@ def bursts(traces: DataFrame, seconds: float = 5.0, top: int = 10) -> DataFrame:
 
 def budget_ledger(traces: DataFrame, limit: int) -> DataFrame:
     """Each call is charged to its run, then rejected if the total is over the limit; calls after the first rejected one are not run."""
-    w = Window.partitionBy("run_id").orderBy("ts", "event_id")
-    used = traces.withColumn("used", F.row_number().over(w)).withColumn("agent_used", F.row_number().over(Window.partitionBy("run_id", "agent").orderBy("ts", "event_id")))
+    calls = traces.select("event_id", "run_id", "agent", "ts")
+    used = running_place(running_place(calls, "used", ["run_id"], "ts", "event_id"), "agent_used", ["run_id", "agent"], "ts", "event_id")
     state = F.when(F.col("used") <= limit, "ok").when(F.col("used") == limit + 1, "rejected").otherwise("not_run")
     return used.select("event_id", "run_id", "agent", "used", "agent_used", state.alias("state"))
 
 
 def quota_resets(snapshots: DataFrame, per_key: int) -> DataFrame:
     """Snapshots whose remaining tokens rose by more than half of a key's allowance: a daily reset."""
-    before = F.lag("remaining").over(Window.partitionBy("key_idx").orderBy("ts", "event_id"))
-    return snapshots.withColumn("before", before).filter(F.col("remaining") > F.col("before") + per_key / 2).select("event_id", "key_idx", "ts", "before", "remaining")
+    sliced = snapshots.withColumn("__slice", F.floor(micros() / (3600 * US)))
+    # the first snapshot of an hour follows the last one of the hours before
+    last = sliced.groupBy("key_idx", "__slice").agg(F.max_by("remaining", F.struct("ts", "event_id")).alias("__last"))
+    carried = last.select("key_idx", "__slice", F.lag("__last").over(Window.partitionBy("key_idx").orderBy("__slice")).alias("__carried"))
+    before = F.lag("remaining").over(Window.partitionBy("key_idx", "__slice").orderBy("ts", "event_id"))
+    joined = sliced.withColumn("__within", before).join(carried, ["key_idx", "__slice"])
+    return joined.withColumn("before", F.coalesce("__within", "__carried")).filter(F.col("remaining") > F.col("before") + per_key / 2).select("event_id", "key_idx", "ts", "before", "remaining")
 
 
 def latest_quota(snapshots: DataFrame) -> DataFrame:

@@ -113,11 +113,11 @@ def salient_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH k AS (SELECT conv_id AS pair_id, unnest(list_distinct({_TERMS})) AS term FROM conversations WHERE role = 'user'), v AS (SELECT * FROM k UNION SELECT pair_id, term || 's' FROM k UNION SELECT pair_id, regexp_replace(term, 's$', '') FROM k),
-    t AS (SELECT conv_id AS pair_id, unnest(list_distinct({_TERMS})) AS term FROM conversations WHERE role = 'assistant' AND turn = 1) SELECT pair_id, term FROM t WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.pair_id = t.pair_id AND v.term = t.term)"""
+    t AS (SELECT DISTINCT conv_id AS pair_id, unnest(list_distinct({_TERMS})) AS term FROM conversations WHERE role = 'assistant') SELECT pair_id, term FROM t WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.pair_id = t.pair_id AND v.term = t.term)"""
 )
 def novel_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "pair_id")
-    return A.novel_terms(c.filter("role = 'user'"), c.filter("role = 'assistant' and turn = 1"))
+    return A.novel_terms(c.filter("role = 'user'"), c.filter("role = 'assistant'"))
 
 
 @query(
@@ -143,8 +143,9 @@ def resolve_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH s AS (SELECT source, doc_id, list_distinct({_TERMS}) AS x FROM documents WHERE len({_TERMS}) > 0), p AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.x, b.x)) AS k, len(a.x) AS m, len(b.x) AS n FROM s AS a JOIN s AS b ON a.source = b.source AND a.doc_id < b.doc_id)
-    SELECT source, a, b, round(k / (m + n - k), 6) AS similarity FROM p WHERE round(k / (m + n - k), 6) >= 0.7"""
+    f"""WITH s AS (SELECT source, doc_id, list_distinct({_TERMS}) AS x FROM documents WHERE len({_TERMS}) > 0), c AS (SELECT *, min(doc_id) OVER (PARTITION BY source, list_sort(x)) AS first FROM s), f AS (SELECT * FROM c WHERE doc_id = first),
+    p AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.x, b.x)) AS k, len(a.x) AS m, len(b.x) AS n FROM f AS a JOIN f AS b ON a.source = b.source AND a.doc_id < b.doc_id)
+    SELECT source, a, b, round(k / (m + n - k), 6) AS similarity FROM p WHERE round(k / (m + n - k), 6) >= 0.7 UNION ALL SELECT source, first, doc_id, 1.0 FROM c WHERE doc_id > first"""
 )
 def batch_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.batch_similarity(table(spark, sf_dir, "documents"), "source")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchflow.functions import levels as L
 from matchflow.functions import text as X
 from matchflow.operators import postings as P
-from matchflow.plans.registry import CANDIDATES, POSTINGS, candidates, postings, query, runs, table
+from matchflow.plans.registry import CANDIDATES, POSTINGS, bound, candidates, postings, query, runs, table
 
 _P = f"WITH p AS ({POSTINGS})"
 
@@ -67,11 +67,11 @@ def first_nonempty_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_P}, f AS (SELECT seq, source, title, location, coalesce(contains(lower(location), 'dublin'), false) AS fits FROM p WHERE seq % 7 = 0),
+    f"""{_P}, f AS (SELECT seq, source, title, location, coalesce(contains(lower(location), 'dublin'), false) AS fits FROM p),
     a AS (SELECT source, title, bool_or(fits) AS found FROM f GROUP BY ALL) SELECT seq, source, title, location FROM f JOIN a USING (source, title) WHERE fits OR NOT found"""
 )
 def with_location_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.with_location_fallback(postings(spark, sf_dir).filter("seq % 7 = 0"), "Dublin", ["source", "title"]).select("seq", "source", "title", "location")
+    return P.with_location_fallback(postings(spark, sf_dir), "Dublin", ["source", "title"]).select("seq", "source", "title", "location")
 
 
 @query(f"{_P} SELECT seq, url FROM p WHERE url = '' UNION ALL SELECT min(seq), url FROM p WHERE url <> '' GROUP BY url")
@@ -110,19 +110,18 @@ def new_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.new_only(p.filter("seq % 2 = 1"), p.filter("seq % 2 = 0"))
 
 
-@query(f"{_P} SELECT seq, url FROM p WHERE seq % 4 = 3 AND (url = '' OR url NOT IN (SELECT url FROM p WHERE seq % 4 < 2 AND url <> ''))")
+@query(f"{_P} SELECT seq, url FROM p WHERE seq % 4 = 3 AND (url = '' OR url NOT IN (SELECT url FROM p WHERE seq % 4 < 3 AND url <> ''))")
 def unscored(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = postings(spark, sf_dir).select("seq", "url")
-    return P.unscored(p.filter("seq % 4 = 3"), p.filter("seq % 4 = 0"), p.filter("seq % 4 = 1"))
+    return P.unscored(p.filter("seq % 4 = 3"), p.filter("seq % 4 = 0"), p.filter("seq % 4 in (1, 2)"))
 
 
 _LEVELED = f"l AS (SELECT *, {JOB_LEVEL} AS job_level, {YEARS} AS years FROM p), c AS (SELECT *, {CAND_LEVEL} AS cand_level FROM ({CANDIDATES}) AS x)"
 
 
-@query(f"{_P}, {_LEVELED} SELECT candidate_id, seq, job_level, cand_level, years FROM c JOIN l ON job_level - cand_level BETWEEN -2 AND 1 AND NOT (years > 0 AND years > {MOST_YEARS} + 4) WHERE seq % 10 = 0")
+@query(f"{_P}, {_LEVELED} SELECT candidate_id, seq, job_level, cand_level, years FROM c JOIN l ON job_level - cand_level BETWEEN -2 AND 1 AND NOT (years > 0 AND years > {MOST_YEARS} + 4)")
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = postings(spark, sf_dir).filter("seq % 10 = 0")
-    return P.candidate_pairs(candidates(spark, sf_dir), p).select("candidate_id", "seq", "job_level", "cand_level", "years")
+    return P.candidate_pairs(candidates(spark, sf_dir), postings(spark, sf_dir)).select("candidate_id", "seq", "job_level", "cand_level", "years")
 
 
 @query(f"{_P}, {_LEVELED} SELECT seq, title, job_level, years FROM l")
@@ -130,9 +129,12 @@ def job_level_and_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings(spark, sf_dir).select("seq", "title", L.job_level("title").alias("job_level"), X.required_years("description").alias("years"))
 
 
-@query(f"WITH c AS ({CANDIDATES}) SELECT candidate_id, {CAND_LEVEL} AS cand_level FROM c")
+_EVERY = CANDIDATES.replace(" WHERE o_orderkey % 100 = 0", "")
+
+
+@query(f"WITH c AS ({_EVERY}) SELECT candidate_id, {CAND_LEVEL} AS cand_level FROM c")
 def candidate_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).select("candidate_id", L.candidate_level("experience_level").alias("cand_level"))
+    return bound(spark, sf_dir, _EVERY, "orders").select("candidate_id", L.candidate_level("experience_level").alias("cand_level"))
 
 
 @query(

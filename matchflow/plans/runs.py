@@ -180,15 +180,17 @@ def totals_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HISTORY = f"""SELECT cast(user_id AS string) AS user_key, concat('u', cast(run_id % 50 AS string)) AS url_norm, max(concat('t', cast(run_id % 9 AS string))) AS title, max(experience_level) AS company, max(status) AS source,
-    max(score) AS match_score, max(ts) AS shown_at, min(ts) AS first_seen_at, count(*) AS seen_count, bool_or(applied) AS applied, max(CASE WHEN applied THEN ts END) AS applied_at FROM ({RUNS}) AS r WHERE run_id % 2 = 0 GROUP BY 1, 2"""
+    max(score) AS match_score, max(ts) AS shown_at, min(ts) AS first_seen_at, count(*) AS seen_count, bool_or(applied) AS applied, max(CASE WHEN applied THEN ts END) AS applied_at FROM ({RUNS}) AS r GROUP BY 1, 2"""
+#: Where one table has to be both, the even runs are the history and the odd ones are shown.
+_EVEN = _HISTORY.replace("AS r GROUP BY", "AS r WHERE run_id % 2 = 0 GROUP BY")
 _SHOWN = f"""SELECT cast(user_id AS string) AS user_key, CASE WHEN run_id % 11 = 0 THEN '' ELSE concat('u', cast(run_id % 50 AS string)) END AS url_norm, concat('n', cast(run_id % 7 AS string)) AS title, experience_level AS company, status AS source,
-    score AS match_score, ts AS shown_at, run_id AS seq FROM ({RUNS}) AS r WHERE run_id % 3 = 0"""
+    score AS match_score, ts AS shown_at, run_id AS seq FROM ({RUNS}) AS r WHERE run_id % 2 = 1"""
 
 
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _history(spark: SparkSession, sf_dir: str, sql: str = _HISTORY) -> DataFrame:
     from matchflow.plans.registry import bound
 
-    return bound(spark, sf_dir, _HISTORY, "orders")
+    return bound(spark, sf_dir, sql, "orders")
 
 
 @query(f"WITH h AS ({_HISTORY}) SELECT user_key, count(*) AS total, coalesce(count_if(applied), 0)::BIGINT AS applied, (count(*) - coalesce(count_if(applied), 0))::BIGINT AS pending FROM h GROUP BY 1")
@@ -202,7 +204,7 @@ def recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH h AS ({_HISTORY}), s AS (SELECT * FROM ({_SHOWN}) AS x WHERE url_norm <> ''),
+    f"""WITH h AS ({_EVEN}), s AS (SELECT * FROM ({_SHOWN}) AS x WHERE url_norm <> ''),
     b AS (SELECT user_key, url_norm, arg_max(title, seq) AS t, arg_max(company, seq) AS c, arg_max(source, seq) AS o, arg_max(match_score, seq) AS m, arg_max(shown_at, seq) AS a, count(*) AS n, min(shown_at) AS f FROM s GROUP BY ALL)
     SELECT user_key, url_norm, coalesce(t, title) AS title, coalesce(c, company) AS company, coalesce(o, source) AS source, coalesce(m, match_score) AS match_score, coalesce(a, shown_at) AS shown_at,
     coalesce(first_seen_at, f) AS first_seen_at, (coalesce(seen_count, 0) + coalesce(n, 0))::BIGINT AS seen_count, applied, applied_at FROM h FULL JOIN b USING (user_key, url_norm)"""
@@ -210,11 +212,11 @@ def recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mark_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matchflow.plans.registry import bound
 
-    return H.mark_shown(_history(spark, sf_dir), bound(spark, sf_dir, _SHOWN, "orders"))
+    return H.mark_shown(_history(spark, sf_dir, _EVEN), bound(spark, sf_dir, _SHOWN, "orders"))
 
 
 @query(
-    f"""WITH h AS ({_HISTORY}), m AS (SELECT user_key, url_norm, arg_max(seq % 2 = 0, shown_at) AS mark, max(CASE WHEN seq % 2 = 0 THEN shown_at END) AS at_ FROM (SELECT * FROM ({_SHOWN}) AS x WHERE url_norm <> '' QUALIFY row_number() OVER (PARTITION BY user_key, url_norm, shown_at ORDER BY seq) = 1) AS y GROUP BY ALL)
+    f"""WITH h AS ({_EVEN}), m AS (SELECT user_key, url_norm, arg_max(seq % 4 = 1, shown_at) AS mark, max(CASE WHEN seq % 4 = 1 THEN shown_at END) AS at_ FROM (SELECT * FROM ({_SHOWN}) AS x WHERE url_norm <> '' QUALIFY row_number() OVER (PARTITION BY user_key, url_norm, shown_at ORDER BY seq) = 1) AS y GROUP BY ALL)
     SELECT user_key, url_norm, coalesce(mark, applied) AS applied, coalesce(at_, applied_at) AS applied_at, seen_count FROM h FULL JOIN m USING (user_key, url_norm)"""
 )
 def mark_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,8 +224,8 @@ def mark_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s = bound(spark, sf_dir, _SHOWN, "orders").filter("url_norm <> ''")
     first = s.groupBy("user_key", "url_norm", "shown_at").agg(F.min("seq").alias("seq"))
-    marks = first.select("user_key", "url_norm", (F.col("seq") % 2 == 0).alias("applied"), F.col("shown_at").alias("at"))
-    return H.mark_applied(_history(spark, sf_dir), marks).select("user_key", "url_norm", "applied", "applied_at", "seen_count")
+    marks = first.select("user_key", "url_norm", (F.col("seq") % 4 == 1).alias("applied"), F.col("shown_at").alias("at"))
+    return H.mark_applied(_history(spark, sf_dir, _EVEN), marks).select("user_key", "url_norm", "applied", "applied_at", "seen_count")
 
 
 @query(f"{_E} SELECT event_id, distinct_id, ts FROM e WHERE distinct_id NOT IN (SELECT distinct_id FROM e WHERE event = 'error' AND value > 300)")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,9 @@ from matchflow.functions.text import normalize_url
 from matchflow.operators import history as H
 from matchflow.sources.traces import TRACE
 
+#: Parts of a history table; a batch rewrites those of its users.
+PARTS = 64
+
 
 def stream_traces(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
     """New trace files as they land; malformed lines are dropped."""
@@ -90,15 +95,37 @@ def stream_dedupe_postings(postings: DataFrame, late: str = "1 day") -> DataFram
     return keyed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["url_norm"])
 
 
-def history_writer(spark: SparkSession, folder: str, empty: DataFrame) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges shown postings into a table of dated versions.
+def history_table(spark: SparkSession, folder: str, empty: DataFrame, before: int | None = None) -> DataFrame:
+    """The history that history_writer has written (by the batches before `before`): of each part its latest version, with `part`."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not files.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(files):
+        return empty.withColumn("part", F.lit(0))
+    every = spark.read.option("basePath", folder).schema(f"{_ddl(empty)}, version int, part int").parquet(folder)
+    if before is not None:
+        every = every.filter(F.col("version") < before)
+    # PARTS numbers at most, and the filter made of them prunes folders
+    latest = every.groupBy("part").agg(F.max("version").alias("version")).collect()
+    wanted = reduce(or_, ((F.col("part") == r.part) & (F.col("version") == r.version) for r in latest), F.lit(False))
+    return every.filter(wanted).drop("version")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def history_writer(spark: SparkSession, folder: str, empty: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame] = H.mark_shown) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges shown postings, or with merge=mark_applied marks, into a versioned table.
 
-    A version is named by its batch, so a batch that is run again overwrites its own version and reads
-    the same one before it.
+    Users are dealt into PARTS by hash, and a batch writes only the parts of its users, as a version named by
+    the batch. A batch that is run again reads what the batches before it left and overwrites its own version.
+    Versions that two later ones of their part follow can be removed at any time.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.parquet(f"{folder}/version={batch_id - 1}") if batch_id else empty
-        H.mark_shown(before, batch).write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+        part = F.pmod(F.xxhash64("user_key"), F.lit(PARTS)).cast("int")
+        touched = [r.part for r in batch.filter("user_key is not null").select(part.alias("part")).distinct().collect()]
+        old = history_table(spark, folder, empty, batch_id).filter(F.col("part").isin(touched)).drop("part")
+        new = merge(old, batch).select(*empty.columns, part.alias("part"))
+        new.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/version={batch_id}")
 
     return write

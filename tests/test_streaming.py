@@ -63,6 +63,40 @@ def test_history(spark, tmp_path):
     for k in range(4):
         write(shown.filter(f"seq div 10 = {k}"), k)
     write(shown.filter("seq div 10 = 3"), 3)  # run again
-    got = spark.read.parquet(f"file://{tmp_path}/h/version=3")
+    got = J.history_table(spark, f"file://{tmp_path}/h", empty).drop("part")
     want = H.mark_shown(empty, shown)
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    # a batch writes only the parts of its users
+    write(shown.filter("user_key = 'u1' and seq > 30"), 4)
+    assert spark.read.parquet(f"file://{tmp_path}/h/version=4").select("user_key").distinct().count() == 1
+    again = J.history_table(spark, f"file://{tmp_path}/h", empty).drop("part")
+    want = H.mark_shown(want, shown.filter("user_key = 'u1' and seq > 30"))
+    assert again.exceptAll(want).count() == want.exceptAll(again).count() == 0
+    marks = spark.sql("select 'u1' user_key, 'p1' url_norm, true applied, timestamp_seconds(99) at union all select 'u2', 'new', false, timestamp_seconds(98)")
+    J.history_writer(spark, f"file://{tmp_path}/h", empty, H.mark_applied)(marks, 5)
+    marked = J.history_table(spark, f"file://{tmp_path}/h", empty).drop("part")
+    want = H.mark_applied(want, marks).select(*empty.columns)
+    assert marked.exceptAll(want).count() == want.exceptAll(marked).count() == 0
+
+
+def test_run_cap_and_resets(spark, tmp_path):
+    events = spark.sql("select concat('u', id % 3) distinct_id, id event_id, timestamp_seconds(1700000000 + id * 60) ts, id % 2 key_idx, cast(abs(50 - id * 7 % 90) * 1000 as long) remaining from range(60)")
+    events.write.parquet(f"file://{tmp_path}/e")
+    stream = spark.readStream.schema(events.schema).parquet(f"file://{tmp_path}/e")
+    got = drained(J.stream_run_cap(stream, 3), spark, "cap")
+    day = F.to_date("ts")
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy("distinct_id", day).orderBy("ts", "event_id"))
+    want = events.select("distinct_id", day.cast("string").alias("day"), "event_id", nth.cast("long").alias("nth"), (nth > 3).alias("blocked"))
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    got = drained(J.stream_quota_reset(stream, 20000), spark, "resets")
+    want = T.quota_resets(events, 20000).select("key_idx", "event_id", "before", "remaining")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and want.count() > 3
+
+
+def test_first_postings_pass(spark, tmp_path):
+    p = spark.sql("select id seq, case when id % 5 = 0 then '' else concat('https://x.org/', id % 7, '/') end url, timestamp_seconds(1700000000 + id) ts from range(70)")
+    p.write.parquet(f"file://{tmp_path}/p")
+    got = drained(J.stream_dedupe_postings(spark.readStream.schema(p.schema).parquet(f"file://{tmp_path}/p")), spark, "firsts")
+    assert got.count() == 14 + 7 and got.filter("url <> ''").select("url_norm").distinct().count() == 7
