@@ -2,7 +2,9 @@
 
 A text is a tree: sections hold paragraphs, paragraphs hold clauses. A section begins at a line after a
 blank one, at a heading mark, or at a line whose first letter is one of SECTION_LETTERS (so boundaries
-depend on content, and an edit moves none but its own); a paragraph is a line; a clause ends at a
+depend on content, and an edit moves none but its own). Those letters begin about a third of the lines of running
+text; which they are is arbitrary, but has to stay, as with the bit mask of content-defined chunking: texts without
+blank lines or headings would otherwise be one section. A paragraph is a line; a clause ends at a
 punctuation mark before a space. A node's hash is the SHA-256 of its children's hashes, a clause's that
 of its text. The fingerprint writes the root in full, then the tree with the first eight digits of each
 node: `root:section=paragraph.clauseclause,paragraph.clause;section=...`. Equal roots mean equal texts;
@@ -25,12 +27,14 @@ BUCKET_ROWS = 2000
 #: Digits of a hash inside the tree.
 SHORT = 8
 
-_CUT = "\u0001"
+_CUT, _ESCAPE = "\u0001", "\u0002"
 
 
 def clauses(text: Column) -> Column:
     """array<array<array<string>>>: the sections, paragraphs and clauses of a text."""
-    marked = F.regexp_replace(text, rf"\n(\n|#|[{SECTION_LETTERS}])", f"\n{_CUT}$1")
+    # the mark itself, where a text has it, is written otherwise, so that unequal texts never get equal trees
+    plain = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(f"{_ESCAPE}b")), F.lit(_CUT), F.lit(f"{_ESCAPE}a"))
+    marked = F.regexp_replace(plain, rf"\n(\n|#|[{SECTION_LETTERS}])", f"\n{_CUT}$1")
     sections = F.split(marked, f"\n{_CUT}", -1)
     clause = lambda p: F.split(F.regexp_replace(p, r"([^\p{L}\p{N}\s]) ", f"$1{_CUT}"), _CUT, -1)
     return F.transform(sections, lambda s: F.transform(F.split(s, "\n", -1), clause))

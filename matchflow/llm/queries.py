@@ -107,7 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {1 + 10 * part}, 10))::BIGINT >> {35 - 5 * k}) & 31)::INT + 1, 1)" for part in range(4) for k in range(8))
 
 #: The tree of a text column t and its hashes, as merkle.py defines them.
-_MARKED = r"regexp_replace({t}, '\n(\n|#|[AEIOULRT])', chr(10) || chr(1) || '\1', 'g')"
+_MARKED = r"regexp_replace(replace(replace({t}, chr(2), chr(2) || 'b'), chr(1), chr(2) || 'a'), '\n(\n|#|[AEIOULRT])', chr(10) || chr(1) || '\1', 'g')"
 _CLAUSES = r"string_split(regexp_replace(p, '([^\p{{L}}\p{{N}}\s]) ', '\1' || chr(1), 'g'), chr(1))"
 _TREE = f"[[[sha256(c) for c in {_CLAUSES}] for p in string_split(s, chr(10))] for s in string_split({_MARKED}, chr(10) || chr(1))]"
 _PRINT = """sha256(array_to_string([sha256(array_to_string([sha256(array_to_string(p, '')) for p in s], '')) for s in {t}], '')) || ':' ||

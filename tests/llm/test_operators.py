@@ -220,6 +220,40 @@ def test_fingerprints_locate_edits(spark, odd, empty):
     assert a[:64] != b[:64]
 
 
+def plain_fingerprint(text):
+    """The tree of one text, written out."""
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    text = text.replace("\2", "\2b").replace("\1", "\2a")
+    sections = [[]]
+    for k, line in enumerate(text.split("\n")):
+        if k and (line == "" and k < text.count("\n") or line[:1] in "#AEIOULRT" and line):
+            sections.append([])
+        sections[-1].append(line)
+    # a blank line opens a section, and its break stands before the next line
+    out = []
+    for lines in sections:
+        out.append([[sha(c) for c in re.split(r"(?<=[^\w\s]) |(?<=_) ", line)] for line in lines])
+    lines = [[sha("".join(p)) for p in s] for s in out]
+    heads = [sha("".join(s)) for s in lines]
+    tree = ";".join(h[:8] + "=" + ",".join(q[:8] + "." + "".join(c[:8] for c in p) for q, p in zip(ls, s, strict=True)) for h, ls, s in zip(heads, lines, out, strict=True))
+    return f"{sha(''.join(heads))}:{tree}"
+
+
+def test_fingerprints_equal_a_plain_tree(spark):
+    from pyspark.sql import functions as F
+
+    from matchflow.llm.merkle import with_fingerprint
+
+    parts = ["One, two. ", "three; four", "\nA line. Of it", "\nplain (x) y", "\n# head", "_ z", "\1", "\2", "ü. Ö", " "]
+    texts = random_texts(200, parts, 8) + ["", "x.\1y", "x. y", "x.\2ay"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.fingerprint for r in with_fingerprint(df, "text", "fingerprint", "leaves").select("i", F.col("fingerprint")).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain_fingerprint(t) for t in texts]
+    assert len({got[i] for i in range(len(texts))}) == len({*texts})
+
+
 def test_next_text_over_many_ranges(spark, monkeypatch):
     from matchflow.llm import merkle
 
