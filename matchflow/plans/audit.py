@@ -60,12 +60,33 @@ def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.audit_rewrites(p)
 
 
-@query()
+_FITS = lambda t: f"length(trim({t})) BETWEEN least(greatest(45, round_even(s * 0.78, 0)), greatest(95, round_even(s * 1.08, 0)) + 4) AND greatest(95, round_even(s * 1.08, 0)) + 4"
+_LOST = lambda t: rf"len(list_filter(list_distinct(regexp_extract_all(o, '{G.NUMBER}', 1)), lambda x: NOT contains(lower({t}), x) AND NOT regexp_matches(x, '^\d+\+$') AND NOT regexp_matches(x, '^\d+[kmb]$'))) > 0"
+#: The opening word is always "led"; only what is around a turn's text changes, so no name or acronym of it is ever lost.
+_BACK = lambda t: rf"""coalesce(list_filter(list_zip(({t})[2:], ({t})[:len({t}) - 1]), lambda z: regexp_replace(lower(z[1]), '[^a-z]', '', 'g') = 'led')[1][2], 'and')"""
+_STRANDED = lambda t: f"(regexp_replace(lower({_BACK(t)}), '[^a-z]', '', 'g') NOT IN {_IN(G.CONNECTIVES)} AND NOT regexp_matches({_BACK(t)}, '[,;:]$'))"
+_IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+_SPLIT = lambda t: rf"list_filter(string_split_regex({t}, '\s+'), lambda x: x <> '')"
+_AUDITED = rf"""{_P}, w AS (SELECT *, length(trim(original)) AS s, {_SPLIT('o')} AS a, {_SPLIT('r')} AS b, {_SPLIT("coalesce(rewrite, '')")} AS ws FROM q),
+    f AS (SELECT *, coalesce(len(a) >= 2 AND len(b) - len(a) >= 2 AND b[1] = a[1] AND b[len(b) - len(a) + 2:] = a[2:], false) AS jam, {_PLAIN('o')} = {_PLAIN('r')} AS same,
+        CASE WHEN section = 'projects' AND len(list_filter({_LIST(G.TEAM_HINTS)}, lambda h: contains(o, h))) = 0 THEN list_filter({_LIST(G.TEAM_CLAIMS)}, lambda c: contains(r, c) AND NOT contains(o, c))[1] END AS claim,
+        list_filter({_LIST(G.FILLERS)}, lambda c: contains(r, c) AND NOT contains(o, c))[1] AS filler FROM w),
+    c AS (SELECT *, CASE WHEN filler IS NULL THEN rewrite ELSE trim(regexp_replace(regexp_replace(rewrite, '(?i)[\s,;]*(?:\b(?:while|and|by|thereby|thus)\s+)?' || filler, '', 'g'), '\s+([.,;])', '\1', 'g')) END AS cleaned FROM f),
+    d AS (SELECT *, {_SPLIT("coalesce(cleaned, '')")} AS cs FROM c),
+    e AS (SELECT *, CASE WHEN rewrite IS NULL THEN 'kept' WHEN jam THEN 'keyword_jam' WHEN same THEN 'identical' WHEN NOT ({_FITS('rewrite')}) OR {_LOST('rewrite')} OR {_STRANDED('ws')} THEN 'unsafe' WHEN claim IS NOT NULL THEN 'solo_project'
+        WHEN regexp_matches(r, '\bkubernetes\b') AND NOT regexp_matches(o, '\bkubernetes\b') THEN 'injected_term' WHEN filler IS NOT NULL AND (NOT ({_FITS('cleaned')}) OR {_LOST('cleaned')} OR {_STRANDED('cs')}) THEN 'filler'
+        WHEN length(regexp_replace(rewrite, '[^\x00-\x7F]', '', 'g')) / length(rewrite) < 0.85 THEN 'not_english' END AS reason FROM d)"""
+
+
+@query(f"{_AUDITED} SELECT doc_id, header, i, reason, CASE WHEN reason IS NULL THEN cleaned ELSE original END AS accepted_text FROM e")
 def audit_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _audited(spark, sf_dir).select("doc_id", "header", "i", "reason", "accepted_text")
 
 
-@query()
+@query(
+    f"""{_AUDITED} SELECT doc_id, {', '.join(f"count_if(reason = '{r}')::BIGINT AS reverted_{r}" for r in ('keyword_jam', 'identical', 'unsafe', 'solo_project', 'borrowed_number', 'injected_term', 'filler', 'not_english'))},
+    count(*) AS bullets, count(rewrite) AS tried, count_if(reason <> 'kept')::BIGINT AS reverted, count(rewrite) > 0 AND count_if(reason <> 'kept') = count(rewrite) AS all_reverted, count(*) >= 5 AND count(rewrite) = 0 AS untouched FROM e GROUP BY doc_id"""
+)
 def guard_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.guard_rollup(_audited(spark, sf_dir))
 
@@ -135,7 +156,15 @@ def merge_and_subtract_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEYS = """SELECT o_custkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN concat('Acme ', o_orderpriority) WHEN 1 THEN concat('acme ', lower(o_orderpriority), ' Jan 2020') WHEN 2 THEN 'Globex North team lead' ELSE 'nothing' END AS key FROM orders"""
 
 
-@query()
+_KEY_TOKENS = lambda c: f"list_distinct(list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN {_IN(A.KEY_STOP_WORDS)} AND NOT regexp_matches(w, '^[0-9]+$')))"
+_HEADERS = "SELECT o_custkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN concat('Acme ', o_orderpriority) ELSE 'Lead of North, Globex' END AS header, min(o_orderkey) AS place FROM orders GROUP BY 1, 2"
+
+
+@query(
+    f"""WITH k AS (SELECT DISTINCT * FROM ({_KEYS}) AS x), h AS ({_HEADERS}), p AS (SELECT k.*, header, place, lower(trim(key)) AS a, lower(trim(header)) AS b, {_KEY_TOKENS('key')} AS x, {_KEY_TOKENS('header')} AS y FROM k JOIN h USING (doc_id)),
+    r AS (SELECT *, CASE WHEN len(x) > 0 THEN len(list_intersect(x, y)) / len(x) ELSE 0 END AS share FROM p), t AS (SELECT *, CASE WHEN a = b THEN 0 WHEN a <> '' AND (starts_with(b, a) OR starts_with(a, b) OR contains(b, a)) THEN 1 WHEN share >= 0.6 THEN 2 END AS tier FROM r),
+    m AS (SELECT doc_id, key, header FROM t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY tier, CASE WHEN tier = 2 THEN -share ELSE 0 END, CASE WHEN tier = 2 THEN length(header) ELSE 0 END, place) = 1) SELECT doc_id, key, header FROM k LEFT JOIN m USING (doc_id, key)"""
+)
 def resolve_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = bound(spark, sf_dir, _KEYS, "orders").distinct()
     headers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Acme "), "o_orderpriority")).otherwise("Lead of North, Globex").alias("header"), F.col("o_orderkey").alias("place"))
@@ -151,9 +180,18 @@ def batch_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.batch_similarity(table(spark, sf_dir, "documents"), "source")
 
 
-@query()
+#: What is put before each turn's text, and its parts of each kind; texts have none of these forms but figures.
+_AWARDED = "First-class graduate with 5+ years, $3M saved, Spotlight Awards. "
+
+
+@query(
+    rf"""{_P}, c AS (SELECT *, concat('{_AWARDED}', original) AS t FROM p), g AS (SELECT *, [lower(trim(x)) for x in regexp_extract_all(t, '(?i)(\d[\d.,]*%|\$\d[\d.,]*[KMB]?)', 1)] AS found FROM c), n AS (SELECT *, list_concat(['first-class', '5+ years'], list_filter(found, lambda x, k: list_position(found, x) = k), ['saved', 'spotlight']) AS every FROM g),
+    b AS (SELECT *, len(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) AS o, len(list_filter(string_split_regex(coalesce(rewrite, ''), '\s+'), lambda x: x <> '')) AS m FROM n)
+    SELECT doc_id, header, i, array_to_string(list_filter(every, lambda x: x <> 'saved' AND NOT contains(lower(coalesce(rewrite, '')), x)), ',') AS lost,
+    CASE WHEN o < 20 THEN CASE WHEN m > 60 THEN 'long' ELSE 'stub' END WHEN m < o * 0.80 THEN 'short' WHEN m > o * 1.12 THEN 'long' WHEN m BETWEEN o * 0.97 AND o * 1.08 THEN 'ok' ELSE 'off_target' END AS band FROM b"""
+)
 def lost_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs(spark, sf_dir).withColumn("original", F.concat(F.lit("First-class graduate with 5+ years, $3M saved, Spotlight Awards. "), "original"))
+    p = pairs(spark, sf_dir).withColumn("original", F.concat(F.lit(_AWARDED), "original"))
     return p.select("doc_id", "header", "i", F.array_join(G.lost_credentials("original", "rewrite"), ",").alias("lost"), G.length_band("original", "rewrite").alias("band"))
 
 
@@ -191,3 +229,12 @@ def foreign_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = bound(spark, sf_dir, _NAMED, "documents")
     strange = F.filter(S.foreign_terms("letter", "text"), lambda t: t.rlike("Zembla|JavaHouse"))
     return d.select("doc_id", F.array_join(letters.foreign_terms("letter", "text"), "|").alias("in_letter"), F.size(strange).alias("in_summary"))
+
+
+@query(
+    r"""WITH s AS (SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(regexp_replace(concat('Led Kubernetes and ', text), '(?i)\b(kubernetes|the)\b', '', 'g'), '\s+', ' ', 'g'), '(?i)[\s,;]*\b(and|or|with|for|of|in|to)\s*$', '')) AS t FROM conversations)
+    SELECT conv_id, turn, role, CASE WHEN len(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) < 2 THEN '' ELSE t END AS phrase FROM s"""
+)
+def scrub_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").withColumn("phrase", F.concat(F.lit("Led Kubernetes and "), "text"))
+    return c.select("conv_id", "turn", "role", A.scrub_terms("phrase", F.array(F.lit("kubernetes"), F.lit("the"))).alias("phrase"))

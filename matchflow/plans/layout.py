@@ -40,12 +40,19 @@ def style_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("size", F.col("size").cast("double"))
 
 
-@query()
+@query(
+    f"""{_L}, y AS (SELECT DISTINCT doc_id, page, round(y0::DOUBLE, 1) AS y FROM l), g AS (SELECT doc_id, round(y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY y), 4) AS gap FROM y), m AS ({_middle('doc_id', 'gap', 'mid', '(SELECT * FROM g WHERE gap > 0)')}),
+    b AS (SELECT doc_id, size::DOUBLE AS first FROM l QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) = 1) SELECT doc_id, round(coalesce(least(1.3, greatest(1.0, mid / first)), 1.15), 4)::DOUBLE AS line_gap FROM b LEFT JOIN m USING (doc_id)"""
+)
 def line_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.line_gap(lines(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in ("x0", "y0", "size")}))
 
 
-@query()
+@query(
+    f"""{_L}, c AS (SELECT doc_id, least(9, greatest(0, floor(x0 * 10 / 612.0)))::INT AS bin, count(*) AS n FROM l GROUP BY ALL), g AS (SELECT doc_id, sum(n) AS total, [coalesce(list_sum(list_filter(list([bin, n]), lambda e: e[1] = k)[1][2:]), 0)::INT for k in range(10)] AS h FROM c GROUP BY 1),
+    p AS (SELECT *, list_filter(range(10), lambda k: h[k + 1] >= greatest(3, total * 0.1) AND h[k + 1] >= CASE WHEN k > 0 THEN h[k] ELSE 0 END AND h[k + 1] > CASE WHEN k < 9 THEN h[k + 2] ELSE 0 END) AS ks FROM g)
+    SELECT doc_id, greatest(1, len(ks))::INT AS columns, len(ks) >= 2 AND ks[1] <= 2 AND h[ks[1] + 1] < 0.7 * list_max(h) AS has_sidebar FROM p"""
+)
 def column_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.column_histogram(lines(spark, sf_dir).withColumn("x0", F.col("x0").cast("double")), 612.0)
 

@@ -57,6 +57,40 @@ def drop_consecutive_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.drop_consecutive_dups(_lines(spark, sf_dir)).select("doc_id", "line_no", "text")
 
 
+@query(
+    rf"""{_C}, z AS (SELECT doc_id, line_no, CASE line_no % 4 WHEN 0 THEN concat('Own Projects Tool | ', text) WHEN 1 THEN concat('Degree | ', text) WHEN 2 THEN concat('2019 - 2021 | ', text) ELSE text END AS t FROM raw)
+    SELECT doc_id, line_no::INT AS line_no, contains(t, '|') AND (regexp_matches(t, '(?i)year|degree') OR regexp_matches(t, '\d{{4}}\s*[-–]\s*\d{{4}}\s*\|')) AS is_table,
+    CASE WHEN line_no % 4 = 0 AND regexp_matches(t, '^((?:[A-Z][a-z]+ ){{0,2}}Projects) +(\S.{{3,}})$') THEN 'Own Projects~' || substr(t, 14) ELSE t END AS parts FROM z"""
+)
+def tables_and_merged_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = F.when(F.col("line_no") % 4 == 0, "Own Projects Tool | ").when(F.col("line_no") % 4 == 1, "Degree | ").when(F.col("line_no") % 4 == 2, "2019 - 2021 | ").otherwise("")
+    l = _lines(spark, sf_dir).withColumn("t", F.concat(lead, "text"))
+    return l.select("doc_id", "line_no", S.looks_like_table("t").alias("is_table"), F.array_join(S.split_merged_heading("t"), "~").alias("parts"))
+
+
+_KINDS = "SELECT o_custkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN 'summary' WHEN 1 THEN 'experience' WHEN 2 THEN 'experience' ELSE 'skills' END AS kind, CASE o_orderkey % 3 WHEN 0 THEN '• led it' ELSE 'led it' END AS text, o_orderkey AS section_no FROM orders"
+
+
+@query(
+    f"""WITH s AS ({_KINDS}), m AS (SELECT *, bool_or(kind = 'summary') OVER w AS has, min(CASE WHEN kind = 'experience' AND text = 'led it' THEN section_no END) OVER w AS first FROM s WINDOW w AS (PARTITION BY doc_id))
+    SELECT doc_id, section_no, CASE WHEN NOT has AND section_no = first THEN 'summary' ELSE kind END AS kind FROM m"""
+)
+def promote_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.promote_summary(bound(spark, sf_dir, _KINDS, "orders")).select("doc_id", "section_no", "kind")
+
+
+_CONVERTED = "SELECT o_orderkey AS doc_id, 1000 + o_orderkey % 500 AS a, 300 + o_orderkey % 1200 AS b, o_orderkey % 4 AS sections, o_orderkey % 3 AS columns, 1000 AS bytes_in, 1000 * (o_orderkey % 5) AS bytes_out FROM orders"
+
+
+@query(
+    f"""WITH c AS ({_CONVERTED}), s AS (SELECT doc_id, CASE WHEN b >= 0.8 * a THEN 60 WHEN b >= 0.5 * a THEN 30 ELSE 0 END + CASE WHEN sections >= 2 THEN 20 ELSE 0 END + CASE WHEN columns <= 1 THEN 10 ELSE 0 END + CASE WHEN bytes_out <= 3 * bytes_in THEN 10 ELSE 0 END AS coverage FROM c)
+    SELECT doc_id, coverage::INT AS coverage, coverage >= 70 AS accepted FROM s"""
+)
+def extraction_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = bound(spark, sf_dir, _CONVERTED, "orders")
+    return O.extraction_coverage(c, "a", "b", "sections", "columns", "bytes_in", "bytes_out").select("doc_id", "coverage", "accepted")
+
+
 @query(f"{_C}, {_JOINED}, {_ROLES} SELECT doc_id, section_no::INT AS section_no, kind, role_no::INT AS role_no, header, array_to_string(bullets, '|') AS bullets FROM roles")
 def assign_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = O.assign_sections(O.coalesce_bullets(_lines(spark, sf_dir)))

@@ -163,7 +163,14 @@ def validate_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.validate_inputs(postings(spark, sf_dir), rules).select("seq", F.array_join("errors", ",").alias("errors"))
 
 
-@query()
+_CONTENT = lambda c: rf"[regexp_replace(w, 's+$', '') for w in string_split_regex(trim(regexp_replace(lower({c}), '[^a-z0-9 ]+', ' ', 'g')), ' +') if length(w) > 1 AND w NOT IN ({', '.join(repr(w) for w in X.SKILL_STOP_WORDS)})]"
+_TOGETHER = lambda t: f"(len({t}) > 0 AND len(list_filter(range(1, len(cv) + 1), lambda i: list_contains({t}, cv[i]) AND len(list_filter({t}, lambda x: NOT list_contains(cv[i:i + len({t}) + 2], x))) = 0)) > 0)"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_CONTENT('text')} AS cv, {_CONTENT("concat_ws(' ', split_part(text, ' ', 4), split_part(text, ' ', 3))")} AS a, {_CONTENT("concat(split_part(text, ' ', 2), ' zebra')")} AS b FROM documents),
+    f AS (SELECT doc_id, {_TOGETHER('a')}::INT + {_TOGETHER('b')}::INT AS n FROM d) SELECT doc_id, (2 - n)::INT AS missing, (1 + n)::INT AS matched FROM f"""
+)
 def split_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda n: F.split_part("text", F.lit(" "), F.lit(n))
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(F.concat_ws(" ", part(4), part(3)), F.concat(part(2), F.lit(" zebra"))).alias("missing"), F.array(F.lit("python")).alias("matched"))
