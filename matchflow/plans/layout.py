@@ -65,6 +65,19 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.halves_order(lines(spark, sf_dir), 612.0).select("doc_id", "line_no", "column", "place")
 
 
+@query(
+    f"""{_L}, b AS (SELECT *, floor(greatest(0.0, least(0.9999, x0::DOUBLE / 612.0)) * 20)::INT AS bin FROM l), c AS (SELECT doc_id, page, bin, count(*) AS n FROM b GROUP BY ALL),
+    h AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page) AS total FROM c), p AS (SELECT doc_id, page, coalesce(list([bin] ORDER BY bin) FILTER (n >= greatest(3, floor(total * 0.1))), []) AS high FROM h GROUP BY ALL),
+    k AS (SELECT doc_id, page, CASE WHEN len(high) > 0 THEN list_reduce(high, lambda kept, e: CASE WHEN e[1] - kept[-1] < 3 THEN kept ELSE list_concat(kept, e) END) ELSE [] END AS peaks FROM p),
+    e AS (SELECT doc_id, page, [(peaks[i] + peaks[i + 1]) / 2 / 20 * 612.0::DOUBLE for i in range(1, len(peaks))] AS edges FROM k),
+    z AS (SELECT doc_id, page, line_no, y0, x0, len(list_filter(edges, lambda v: x0 >= v))::INT AS column FROM l JOIN e USING (doc_id, page))
+    SELECT doc_id, line_no::INT AS line_no, z.column, row_number() OVER (PARTITION BY doc_id, page ORDER BY z.column, y0, x0, line_no)::INT AS place FROM z"""
+)
+def reading_order_by_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = lines(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in ("x0", "y0")})
+    return Y.reading_order(l, 612.0).select("doc_id", "line_no", "column", "place")
+
+
 _LETTERS = "SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN 'I am thrilled: 42% more. ' WHEN 1 THEN 'My passion for synergy. ' ELSE '' END, text, CASE doc_id % 3 WHEN 0 THEN ' and.' ELSE '' END) AS letter, text AS cv FROM documents"
 _PHRASES = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in C.BANNED) + "]"
 _BUZZ = "['dynamic', 'passionate', 'fast-paced', 'rockstar', 'ninja', 'game-changer', 'synergy', 'synergies', 'think outside the box', 'results-driven', 'detail-oriented', 'self-starter']"
