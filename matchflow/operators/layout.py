@@ -30,6 +30,21 @@ def column_histogram(lines: DataFrame, page_width: float, bins: int = 10) -> Dat
     return out.select("doc_id", F.greatest(F.lit(1), F.size("peaks")).alias("columns"), F.coalesce(sidebar, F.lit(False)).alias("has_sidebar"))
 
 
+def replica_columns(lines: DataFrame, bin_width: float = 25.0, share: float = 0.15, reach: int = 2) -> DataFrame:
+    """Columns of each document: bins of line starts with `share` of its lines, and three, of which those within `reach` bins of the last are one.
+
+    Lines without a start count towards the share alone; a document without such a bin has one column.
+    """
+    counted = lines.groupBy("doc_id", F.floor(F.col("x0") / bin_width).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    total = counted.groupBy("doc_id").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n")))).alias("bins"))
+    least = F.greatest(F.lit(3), F.floor(F.col("total") * share))
+    high = F.transform(F.filter("bins", lambda b: b["n"] >= least), lambda b: b["bin"])
+    found = total.select("doc_id", high.alias("high"))
+    opens = F.size(F.filter("high", lambda b, i: (i > 0) & (b - F.coalesce(F.get("high", i - 1), b) > reach)))
+    columns = opens + 1
+    return found.select("doc_id", columns.alias("columns"), (columns == 1).alias("compatible"))
+
+
 def sidebar_outliers(bullets: DataFrame, keys: list[str]) -> DataFrame:
     """Bullets without those more than 30 left of their role's upper median, in roles of three bullets or more that span 50 or more."""
     w = Window.partitionBy(*keys)

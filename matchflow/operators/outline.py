@@ -62,6 +62,24 @@ def role_table(roles: DataFrame) -> DataFrame:
     return out.filter(F.size("bullets") > 0)
 
 
+MONTHS = "January February March April May June July August September October November December".split()
+#: A year, a month in full or by three letters, an open end; or a long dash between two words.
+ROLE_SIGNAL = rf"(?i)\b((19|20)\d{{2}}|{'|'.join(m[:3] + '|' + m for m in MONTHS)}|present|current|now|today)\b|[\pL\pN_]\s+[–—]\s+[\pL\pN_]"
+
+
+def merge_fragmented_roles(roles: DataFrame) -> DataFrame:
+    """Rows of `role_table` in which a role without a date or dash in its header gives its bullets to the one before it.
+
+    A section's first role always stays, so no bullet is lost; a null header counts as one without a signal.
+    """
+    w = Window.partitionBy("doc_id", "section_no").orderBy("role_no")
+    keeps = F.coalesce(F.col("header").rlike(ROLE_SIGNAL), F.lit(False)) | (F.row_number().over(w) == 1)
+    marked = roles.withColumn("__keeps", keeps).withColumn("__role", F.sum(F.col("__keeps").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("role_no", "bullets"))), lambda p: p["bullets"])
+    merged = marked.groupBy("doc_id", "section_no", "kind", "__role").agg(F.min_by("header", "role_no").alias("header"), F.min("role_no").alias("role_no"), F.flatten(parts).alias("bullets"))
+    return merged.select("doc_id", "section_no", "kind", "role_no", "header", "bullets")
+
+
 def section_texts(lines: DataFrame) -> DataFrame:
     """Each section's lines joined, by document, kind and number."""
     body = lines.filter("heading is null and trim(text) <> ''")
@@ -151,11 +169,11 @@ def extraction_coverage(df: DataFrame, source_chars: str, converted_chars: str,
 SECTION_WORDS = r"(?i)\b(summary|experience|education|skills|projects|certifications)\b"
 
 
-def document_quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """chars, ascii, sections and bullets measured, then score, status and what lowered it."""
+def document_quality(docs: DataFrame, text: str = "text", keep: tuple = ()) -> DataFrame:
+    """chars, ascii, sections and bullets measured, then score, status and what lowered it; `keep` are further columns of docs."""
     t = F.coalesce(text, F.lit(""))
     words = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(SECTION_WORDS), F.lit(1)), lambda w: F.lower(w)))
-    measured = docs.select("doc_id", F.length(F.trim(t)).alias("chars"), F.round(ascii_ratio(t), 3).alias("ascii"), F.size(words).alias("sections"), F.regexp_count(t, F.lit("[•▪●◦]")).alias("bullets"))
+    measured = docs.select("doc_id", *keep, F.length(F.trim(t)).alias("chars"), F.round(ascii_ratio(t), 3).alias("ascii"), F.size(words).alias("sections"), F.regexp_count(t, F.lit("[•▪●◦]")).alias("bullets"))
     blocked = F.col("chars") < 200
     lows = {"short": (F.col("chars") < 400, 15), "non_ascii": (F.col("ascii") < 0.7, 20), "few_sections": (F.col("sections") < 2, 15), "few_bullets": (F.col("bullets") < 3, 10)}
     score = F.lit(100)

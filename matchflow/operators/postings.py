@@ -60,8 +60,14 @@ def with_location_fallback(df: DataFrame, location: str, keys: list[str], at: st
     return df.join(found, keys).filter(fits | ~F.col("__any")).drop("__any")
 
 
-def dedupe_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key; rows without one all stay. An aggregate finds the firsts, so a hot key is no one's window."""
+def dedupe_first(df: DataFrame, key: str, order: list[str], keyed: bool = False) -> DataFrame:
+    """The first row of each key; rows without one all stay. An aggregate finds the firsts, so a hot key is no one's window.
+
+    keyed: every row is known to have a key, so df is read once and no filter computes the key again.
+    """
+    if keyed:
+        row = F.struct(*order, *(c for c in df.columns if c not in order))
+        return df.groupBy(F.col(key).alias("__key")).agg(F.min_by(row, F.struct(*order)).alias("r")).select("r.*").select(*df.columns)
     keyless = df.filter(F.col(key).isNull() | (F.col(key) == ""))
     rest = df.filter(F.col(key).isNotNull() & (F.col(key) != ""))
     row = F.struct(*order, *(c for c in df.columns if c not in order))

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchflow.functions import letters as C
+from matchflow.functions import text as X
 from matchflow.operators import layout as Y
+from matchflow.operators.outline import SECTION_WORDS, document_quality
+from matchflow.operators.postings import dedupe_first, limit_per_source
+from matchflow.plans.postings import YEARS
 from matchflow.plans.registry import bound, query, table
 
 #: A line for each line of a text; places and sizes follow from its number and length.
@@ -57,6 +61,15 @@ def column_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.column_histogram(lines(spark, sf_dir).withColumn("x0", F.col("x0").cast("double")), 612.0)
 
 
+@query(
+    f"""{_L}, c AS (SELECT doc_id, floor(x0 / 25)::INT AS bin, count(*) AS n FROM l GROUP BY ALL), h AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total FROM c), k AS (SELECT * FROM h WHERE n >= greatest(3, floor(total * 0.15))),
+    o AS (SELECT doc_id, bin - lag(bin) OVER (PARTITION BY doc_id ORDER BY bin) > 2 AS opens FROM k), g AS (SELECT doc_id, count_if(opens) AS n FROM o GROUP BY 1)
+    SELECT doc_id, (coalesce(n, 0) + 1)::INT AS columns, coalesce(n, 0) = 0 AS compatible FROM (SELECT DISTINCT doc_id FROM l) AS d LEFT JOIN g USING (doc_id)"""
+)
+def replica_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.replica_columns(lines(spark, sf_dir).withColumn("x0", F.col("x0").cast("double")))
+
+
 @query(
     f"""{_L}, s AS (SELECT *, (x0 >= 306)::INT AS r, avg((x0 >= 306)::INT) OVER (PARTITION BY doc_id, page) AS share FROM l), c AS (SELECT *, CASE WHEN share BETWEEN 0.2 AND 0.8 THEN r ELSE 0 END AS col FROM s)
     SELECT doc_id, line_no::INT AS line_no, col::INT AS column, row_number() OVER (PARTITION BY doc_id, page ORDER BY col, y0, x0, line_no)::INT AS place FROM c"""
@@ -121,8 +134,6 @@ _POSTINGS = "SELECT doc_id, concat('About us, a firm. ', text, chr(10), 'Benefit
     SELECT doc_id, sha256(CASE WHEN len(ws) <= 200 THEN posting WHEN len(cs) > 200 THEN array_to_string(cs[1:200], ' ') || '...' WHEN len(cs) > 10 THEN part ELSE array_to_string(ws[1:200], ' ') || '...' END) AS short FROM c"""
 )
 def compress_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from matchflow.functions import text as X
-
     p = bound(spark, sf_dir, _POSTINGS.replace("regexp_matches", "regexp"), "documents")
     return p.select("doc_id", F.sha2(X.compress_text("posting", 200), 256).alias("short"))
 
@@ -148,16 +159,27 @@ def infer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.infer_summary(lines(spark, sf_dir).select("doc_id", F.col("line_no").alias("place"), "text", F.col("size").cast("double").alias("size")))
 
 
-@query()
+_SAFE = "coalesce(text, '')"
+for _pattern, _new in ((r"[\x00-\x08\x0B-\x1F]", ""), *((p.replace("'", "''"), X.INJECTION_MARK) for p in X.INJECTION_PATTERNS), (r"\n{4,}", "\n\n"), (r"^\s+|\s+$", ""), (X.EMAIL, "[EMAIL]")):
+    _SAFE = f"regexp_replace({_SAFE}, '{_pattern}', '{_new}', 'g')"
+
+
+@query(
+    f"""WITH safe AS (SELECT doc_id, source, {_SAFE} AS text FROM documents), once AS (SELECT *, substr(sha256(text), 1, 16) AS fingerprint FROM safe QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1),
+    m AS (SELECT doc_id, source, fingerprint, {YEARS.replace("description", "text")}::INT AS years, length(trim(text)) AS chars, CASE WHEN text = '' THEN 1.0 ELSE length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / length(text) END AS share,
+    len(list_distinct([lower(w) for w in regexp_extract_all(text, '{SECTION_WORDS}', 1)])) AS sections, len(regexp_extract_all(text, '[•▪●◦]')) AS bullets FROM once),
+    p AS (SELECT *, 100 - CASE WHEN chars < 400 THEN 15 ELSE 0 END - CASE WHEN round(share, 3) < 0.7 THEN 20 ELSE 0 END - CASE WHEN sections < 2 THEN 15 ELSE 0 END - CASE WHEN bullets < 3 THEN 10 ELSE 0 END AS s FROM m),
+    q AS (SELECT doc_id, source, fingerprint, years, round(share, 4) AS ascii, chars::INT AS chars, CASE WHEN chars < 200 THEN 0 ELSE s END::INT AS score, CASE WHEN chars < 200 THEN 'block' WHEN s < 100 THEN 'warn' ELSE 'pass' END AS status FROM p)
+    SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, chars DESC, doc_id) <= 10"""
+)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents made safe, redacted, measured, freed of copies, and the best ten of each source."""
-    from matchflow.functions import text as X
-    from matchflow.operators.outline import document_quality
-    from matchflow.operators.postings import dedupe_first, limit_per_source
+    """Whole documents made safe, redacted, measured, freed of copies, and the best ten of each source.
 
+    Every text is measured where it is read, so that neither the copies' aggregate nor the ranking carries one.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", X.redact_emails(X.sanitise_untrusted("text", most=None)).alias("text"))
-    once = dedupe_first(docs.withColumn("fingerprint", X.doc_fingerprint("text")), "fingerprint", ["doc_id"])
-    measured = document_quality(once).select("doc_id", "chars", "score", "status")
-    ranked = once.select("doc_id", "source", "fingerprint", X.required_years("text").alias("years"), F.round(X.ascii_ratio("text"), 4).alias("ascii")).join(measured, "doc_id")
-    best = limit_per_source(ranked.withColumn("place", F.struct((-F.col("score")).alias("s"), (-F.col("chars")).alias("c"), "doc_id")), 10, "place")
+    further = (F.col("source"), X.doc_fingerprint("text").alias("fingerprint"), X.required_years("text").alias("years"), F.round(X.ascii_ratio("text"), 4).alias("share"))
+    measured = document_quality(docs, keep=further).select("doc_id", "source", "fingerprint", "years", F.col("share").alias("ascii"), "chars", "score", "status")
+    once = dedupe_first(measured, "fingerprint", ["doc_id"], keyed=True)
+    best = limit_per_source(once.withColumn("place", F.struct((-F.col("score")).alias("s"), (-F.col("chars")).alias("c"), "doc_id")), 10, "place")
     return best.drop("place")

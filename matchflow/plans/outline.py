@@ -97,6 +97,22 @@ def assign_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.role_table(O.assign_roles(lines)).select("doc_id", "section_no", "kind", "role_no", "header", F.array_join("bullets", "|").alias("bullets"))
 
 
+@query(
+    f"""{_C}, {_JOINED}, {_ROLES}, b AS (SELECT doc_id, section_no, kind, role_no, unnest(bullets) AS b, generate_subscripts(bullets, 1) - 1 AS i FROM roles),
+    x AS (SELECT doc_id, section_no, kind, role_no * 1000000 + i AS role_no, CASE WHEN i % 4 = 3 THEN b || ' – Acme' ELSE b END AS header, b FROM b),
+    m AS (SELECT *, row_number() OVER w = 1 OR regexp_matches(header, '{O.ROLE_SIGNAL}') AS keeps FROM x WINDOW w AS (PARTITION BY doc_id, section_no ORDER BY role_no)),
+    n AS (SELECT *, sum(keeps::INT) OVER (PARTITION BY doc_id, section_no ORDER BY role_no) AS place FROM m)
+    SELECT doc_id, section_no::INT AS section_no, kind, min(role_no)::INT AS role_no, arg_min(header, role_no) AS header, string_agg(b, '|' ORDER BY role_no) AS bullets FROM n GROUP BY doc_id, section_no, kind, place"""
+)
+def merge_fragmented_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bullet as a role of its own, each fourth with a dash in its header."""
+    roles = O.role_table(O.assign_roles(O.assign_sections(O.coalesce_bullets(_lines(spark, sf_dir)))))
+    single = roles.select("doc_id", "section_no", "kind", "role_no", F.posexplode("bullets").alias("i", "b"))
+    header = F.when(F.col("i") % 4 == 3, F.concat("b", F.lit(" – Acme"))).otherwise(F.col("b"))
+    merged = O.merge_fragmented_roles(single.select("doc_id", "section_no", "kind", (F.col("role_no") * 1_000_000 + F.col("i")).alias("role_no"), header.alias("header"), F.array("b").alias("bullets")))
+    return merged.select("doc_id", "section_no", "kind", "role_no", "header", F.array_join("bullets", "|").alias("bullets"))
+
+
 _OUTLINE = f"""{_C}, {_JOINED}, {_ROLES}, {_FLAT}, f AS (SELECT doc_id, arg_min(text, section_no) FILTER (kind = 'summary') AS summary, arg_min(text, section_no) FILTER (kind = 'education') AS education, arg_min(text, section_no) FILTER (kind = 'skills') AS skills FROM t GROUP BY doc_id),
     n AS (SELECT doc_id, count(*) AS n_roles, sum(len(bullets)) AS n_bullets, list(struct_pack(h := header, b := bullets) ORDER BY section_no, role_no) AS roles FROM roles GROUP BY doc_id),
     outline AS (SELECT doc_id, coalesce(summary, '') AS summary, coalesce(education, '') AS education, [trim(x) for x in string_split_regex(coalesce(skills, ''), '[,;|•\\n]') if trim(x) <> ''] AS skills, coalesce(n_roles, 0) AS n_roles, coalesce(n_bullets, 0) AS n_bullets, roles FROM cvs LEFT JOIN f USING (doc_id) LEFT JOIN n USING (doc_id))"""
@@ -186,12 +202,24 @@ def section_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.select("doc_id", "section_no", "kind", place.alias("place"))
 
 
-@query()
+_EDGE = r"[\s.,–—(|:;-]+"
+
+
+@query(
+    rf"""{_C}, {_JOINED}, {_ROLES}, h AS (SELECT *, trim(header) AS raw, trim(regexp_extract(trim(header), '{S.DATES}', 1)) AS dates FROM roles),
+    t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw, '{S.DATES}', '', 'g'), '^{_EDGE}', ''), '[\s.,–—(|:;)-]+$', '') AS title FROM h)
+    SELECT doc_id, section_no::INT AS section_no, role_no::INT AS role_no, CASE WHEN dates = '' OR title = '' THEN raw ELSE title END AS title, dates FROM t"""
+)
 def role_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = O.role_table(O.assign_roles(O.assign_sections(O.coalesce_bullets(_lines(spark, sf_dir)))))
     return roles.select("doc_id", "section_no", "role_no", S.split_role_header("header").alias("h")).select("doc_id", "section_no", "role_no", "h.*")
 
 
-@query()
+@query(
+    rf"""WITH cvs AS ({CVS}), c AS (SELECT doc_id, trim(text) AS c, string_split_regex(trim(text), '\n\s*[•▪●◦]\s*') AS inside FROM cvs),
+    p AS (SELECT doc_id, CASE WHEN length(c) < 100 THEN [c] WHEN len(inside) > 1 THEN inside WHEN length(c) > 250 AND len(string_split(c, chr(10))) >= 3 THEN string_split(regexp_replace(c, '\.\s*\n\s*', '.' || chr(1), 'g'), chr(1)) ELSE [c] END AS parts FROM c),
+    b AS (SELECT doc_id, list_filter([trim(regexp_replace(x, '^\s*[•▪●◦]\s*', '')) for x in parts], lambda x: x <> '') AS parts FROM p)
+    SELECT doc_id, unnest(parts) AS bullet, (generate_subscripts(parts, 1) - 1)::INT AS i FROM b"""
+)
 def split_mega_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cvs(spark, sf_dir).select("doc_id", F.posexplode(S.split_mega_bullets("text")).alias("i", "bullet"))

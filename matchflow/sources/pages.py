@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -21,10 +23,12 @@ class Tree(HTMLParser):
         self.open: list[dict] = []
         self.feed(html)
         self.close()
+        for element in self.open:
+            element["end"] = len(self.elements)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         said = dict(attrs)
-        element = {"tag": tag, "classes": (said.get("class") or "").split(), "href": said.get("href"), "words": [], "depth": len(self.open)}
+        element = {"tag": tag, "classes": (said.get("class") or "").split(), "href": said.get("href"), "words": [], "at": len(self.elements)}
         self.elements.append(element)
         if tag not in VOID:
             self.open.append(element)
@@ -32,6 +36,8 @@ class Tree(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k]["tag"] == tag:
+                for element in self.open[k:]:
+                    element["end"] = len(self.elements)
                 del self.open[k:]
                 return
 
@@ -42,20 +48,27 @@ class Tree(HTMLParser):
         for element in self.open:
             element["words"] += found
 
-    def first(self, *selectors: str) -> dict | None:
-        """The first element of the first selector (tag, .class or tag.class) that has one with text."""
-        for selector in selectors:
-            tag, _, name = selector.partition(".")
-            for e in self.elements:
-                if (not tag or e["tag"] == tag) and (not name or name in e["classes"]) and e["words"]:
-                    return e
-        return None
+    def every(self, selector: str, within: dict | None = None) -> list[dict]:
+        """The elements of a selector (tag, .class or tag.class), all of them or those inside an element."""
+        tag, _, name = selector.partition(".")
+        inside = self.elements if within is None else self.elements[within["at"] + 1 : within.get("end", within["at"] + 1)]
+        return [e for e in inside if (not tag or e["tag"] == tag) and (not name or name in e["classes"])]
+
+    def first(self, *selectors: str, within: dict | None = None) -> dict | None:
+        """The first element of the first selector that has one with text."""
+        return next((e for s in selectors for e in self.every(s, within) if e["words"]), None)
 
 
 def text_of(element: dict | None) -> str | None:
     return " ".join(element["words"]) if element else None
 
 
+def parsed(pages: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], fields: str) -> DataFrame:
+    """page_id and the fields that `run` finds; ids travel as text, as a null beside them would turn them into floats."""
+    sent = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
+    return sent.mapInPandas(run, f"page_id string, {fields}").withColumn("page_id", F.col("page_id").cast("long"))
+
+
 def extract_description(pages: DataFrame, selectors: tuple[str, ...] = (".description", "article", "main", "body")) -> DataFrame:
     """page_id and description: the text of the first container in order; null if a page has none."""
 
@@ -63,7 +76,7 @@ def extract_description(pages: DataFrame, selectors: tuple[str, ...] = (".descri
         for pdf in batches:
             yield pd.DataFrame({"page_id": pdf.page_id, "description": [text_of(Tree(h or "").first(*selectors)) for h in pdf.html]})
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, description string")
+    return parsed(pages, run, "description string")
 
 
 def extract_cards(pages: DataFrame, title: tuple[str, ...] = ("h2", "h3", ".job-title", "h1")) -> DataFrame:
@@ -82,4 +95,66 @@ def extract_cards(pages: DataFrame, title: tuple[str, ...] = ("h2", "h3", ".job-
                     rows.append((page_id, 0, heading, base))
             yield pd.DataFrame(rows, columns=["page_id", "card", "title", "url"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, card int, title string, url string")
+    return parsed(pages, run, "card int, title string, url string")
+
+
+@dataclass(frozen=True)
+class Board:
+    """Where a board keeps its cards and their fields; of the selectors the first with a hit counts."""
+
+    cards: tuple[str, ...]
+    title: tuple[str, ...] = ("h2", "h3", ".job-title", "a")
+    company: tuple[str, ...] = (".company", ".recruiter-name", "span.company-name")
+    location: tuple[str, ...] = (".location",)
+    posted: tuple[str, ...] = ("time", ".date")
+    link: tuple[str, ...] = ("a",)
+    #: Part of the addresses that are postings on a page without cards.
+    view: str | None = None
+
+
+#: The classes that the boards give to their cards and fields.
+BOARDS = {
+    "linkedin": Board(
+        cards=("div.base-card",),
+        title=("h3.base-search-card__title",),
+        company=("h4.base-search-card__subtitle",),
+        location=("span.job-search-card__location",),
+        posted=("time",),
+        link=("a.base-card__full-link",),
+    ),
+    "jobsie": Board(cards=("article.job", "div.job-result", "li.jobs-item"), location=(), view="/jobs/view"),
+}
+
+
+def board_cards(pages: DataFrame, board: Board, location: str = "N/A") -> DataFrame:
+    """page_id, card, title, company, location, posted, url: a row for each container of the first card selector with any.
+
+    Missing fields are N/A (the location: that asked for), a missing link gives an empty url, and one that cannot be
+    joined to the page's address leaves its card out. A page without cards gives its links whose address holds
+    `board.view`; pages without these, and null pages, give no row.
+    """
+
+    def found(html: str) -> Iterator[tuple]:
+        tree = Tree(html)
+        cards = next(filter(None, map(tree.every, board.cards)), [])
+        if not cards and board.view:
+            for e in tree.every("a"):
+                if board.view in (e["href"] or ""):
+                    yield text_of(e), "See listing", location, "N/A", e["href"]
+        for card in cards:
+            said = lambda selectors: text_of(tree.first(*selectors, within=card))  # noqa: B023, E731
+            link = next((e["href"] for s in board.link for e in tree.every(s, card) if e["href"]), None)
+            yield said(board.title) or "N/A", said(board.company) or "N/A", said(board.location) or location, said(board.posted) or "N/A", link
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for page_id, base, html in zip(pdf.page_id, pdf.url, pdf.html, strict=True):
+                for k, (*said, link) in enumerate(found(html or "")):
+                    try:
+                        rows.append((page_id, k, *said, urljoin(base or "", link) if link else ""))
+                    except ValueError:  # an address that is none
+                        continue
+            yield pd.DataFrame(rows, columns=["page_id", "card", "title", "company", "location", "posted", "url"])
+
+    return parsed(pages, run, "card int, title string, company string, location string, posted string, url string")
