@@ -439,19 +439,29 @@ def test_toxicity_on_held_out_rows(spark, odd, empty):
 
 
 def test_the_grammar_weighs_clauses():
-    from matchflow.llm.toxicity import PRIOR, PRIOR_BIAS, Lexicon, features
+    from matchflow.llm.toxicity import BASE, Lexicon, ToxicityModel, matched_clauses
 
-    lexicon = Lexicon({})
-    score = lambda t: float(features(t, lexicon) @ PRIOR + PRIOR_BIAS)
+    lexicon, model = Lexicon({}, {}), ToxicityModel()
+    score = lambda t: model.score(matched_clauses(t, lexicon))
     assert score("You are an idiot.") > score("An idiot.") > score("Not an idiot.")
-    assert score("A fine day.") == PRIOR_BIAS
-    assert score("An utter idiot.") > score("An idiot.")
+    assert score("A fine day.") == pytest.approx(1 / (1 + math.exp(-BASE)))
+    assert score("An utter idiot.") > score("An idiot.") > 0.5 > score("He was called an idiot.")
     assert score("I will kill you.") > score("kill you.") > score("kill the process.")
     assert score("Critics said nothing. You idiot.") > score("Critics said you idiot.")
     # the same words, dealt to other clauses: two matched clauses, or one; a target beside its insult, or elsewhere
     assert score("The idiot left. A clown came.") > score("The idiot clown left. A came.")
     assert score("You idiot. The weather is fine.") != score("You weather. The idiot is fine.")
-    assert features("idiot idiot idiot", lexicon)[:7].tolist() == features("idiot", lexicon)[:7].tolist()
+    assert score("idiot idiot idiot") == score("idiot")
+
+
+def test_spellings_follow_edit_arcs():
+    from matchflow.llm.toxicity import INSULT, OTHER, Lexicon
+
+    lexicon = Lexicon({"réeux": 0.1, "blarg": 4.0, "you": 5.0}, {"réeux": 3.0})
+    kinds = {w: lexicon.word(w)[::2] for w in ("idiot", "1d1ot", "idiooot", "w0rthless", "worthles", "worthle", "blarg", "réeuxpa", "réeux")}
+    assert kinds == {"idiot": (INSULT, 0), "1d1ot": (INSULT, 2), "idiooot": (INSULT, 2), "w0rthless": (INSULT, 1), "worthles": (INSULT, 1), "worthle": (INSULT, 2), "blarg": (INSULT, 0), "réeuxpa": (INSULT, 0), "réeux": (OTHER, 0)}
+    for other in ("path", "worth", "wort", "lose", "stup", "idi", "food", "foot", "jer", "you", "1", "000", "iiiiiiiiii", ""):
+        assert lexicon.word(other)[0] != INSULT, other
 
 
 def test_the_composed_machine_equals_its_transducers_in_turn():
@@ -467,17 +477,87 @@ def test_the_composed_machine_equals_its_transducers_in_turn():
                 state, symbols[k] = machine.step(state, symbol)
         return symbols
 
-    for _ in range(2000):
-        clause = [rng.randrange(T.STOP) for _ in range(rng.randint(0, 14))]
-        weights = [rng.random() + 0.5 for _ in clause]
-        forth = in_turn(clause, T.FORTH)
-        back = in_turn(clause[::-1], T.BACK)[::-1]
-        want = [0.0] * len(T.PATTERNS)
-        for kind, weight, a, b in zip(clause, weights, forth, back, strict=True):
-            if kind in (T.INSULT, T.THREAT):
-                k = T.pattern_of(a | b)
-                want[k] = max(want[k], weight * T.STRONGER if a & T.STRONG else weight)
-        assert T.clause_weights(list(zip(clause, weights, strict=True))) == want
+    model = T.ToxicityModel(arcs=np.array([rng.gauss(0, 1) for _ in T.ARCS]), base=-1.5)
+    for _ in range(300):
+        clean, clauses = 1 - 1 / (1 + math.exp(1.5)), []
+        for _ in range(rng.randint(0, 4)):
+            clause = [(rng.randrange(T.STOP), rng.random(), rng.randint(0, 2)) for _ in range(rng.randint(0, 14))]
+            kinds = [c[0] for c in clause]
+            forth = in_turn(kinds, T.FORTH)
+            back = in_turn(kinds[::-1], T.BACK)[::-1]
+            found = [(a | b, odds, edits) for (kind, odds, edits), a, b in zip(clause, forth, back, strict=True) if kind in (T.INSULT, T.THREAT)]
+            assert T.clause_matches(clause) == found
+            if found:
+                # the weights along each path, added up; the best path; any toxic clause
+                paths = [model.arcs[0 if s & T.KIND == T.INSULT else 1] + sum(model.arcs[2 + k] for k, m in enumerate(T.MARKS) if s & m) + model.arcs[6] * o + model.arcs[7] * e for s, o, e in found]
+                clean *= 1 - 1 / (1 + math.exp(-max(paths)))
+                clauses.append(found)
+        assert model.score(clauses) == pytest.approx(1 - clean)
+
+
+def planted_clauses(n, seed):
+    """Texts with one clause around a seed word; what the clause says makes it toxic, and every word is as common in both classes."""
+    from matchflow.llm.toxicity import INSULT, SEEDS, THREAT
+
+    rng = random.Random(seed)
+    noise = lambda: " ".join(rng.choice("report covers water prices rail work towns local".split()) for _ in range(rng.randint(3, 8)))
+    rows = []
+    for _ in range(n):
+        s, h, toxic = rng.choice(SEEDS[INSULT].split()), rng.choice(SEEDS[THREAT].split()), rng.random() < 0.5
+        clause = rng.choice([f"you are a {s}", f"such an utter {s}", f"we will {h} you", f"a {s}"] if toxic else [f"you are not a {s}", f"the critic said such an utter {s}", f"never {h} you", f"quoted: he said a {s}", f"{h} a process"])
+        rows.append((f"{noise()}. {noise()} {clause}. {noise()}.", int(toxic)))
+    return rows
+
+
+def test_without_its_transducers_the_grammar_cannot_tell_clauses(monkeypatch):
+    from matchflow.llm import toxicity as T
+
+    fit, held = planted_clauses(1500, 1), planted_clauses(800, 2)
+
+    def held_out_auc():
+        lexicon = T.Lexicon({}, {})
+        told = [[(n, np.array(m)) for n, m in T.told_clauses(t, lexicon)] for t, _ in fit]
+        model = T.ToxicityModel({}, {}, *T.fit_arcs(told, np.array([y for _, y in fit], float)))
+        return auc(np.array([model.score(T.matched_clauses(t, lexicon)) for t, _ in held]) + 1e-12 * np.random.default_rng(0).random(len(held)), np.array([y for _, y in held]))
+
+    whole = held_out_auc()
+    monkeypatch.setattr(T, "MACHINE", T.compose(()))
+    monkeypatch.setattr(T, "REVERSED", T.compose(()))
+    assert whole > 0.95 and held_out_auc() < whole - 0.2
+
+
+def test_arcs_are_the_likeliest():
+    from matchflow.llm import toxicity as T
+
+    fit = planted_clauses(400, 3)
+    lexicon = T.Lexicon({}, {})
+    told = [[(n, np.array(m)) for n, m in T.told_clauses(t, lexicon)] for t, _ in fit]
+    y = np.array([t for _, t in fit], float)
+    arcs, base = T.fit_arcs(told, y)
+    prior = np.append(T.ARCS, T.BASE)
+
+    def loss(w):
+        p = np.array([T.ToxicityModel({}, {}, w[:-1], float(w[-1])).score(T.matched_clauses(t, lexicon)) for t, _ in fit])
+        return -(y * np.log(p) + (1 - y) * np.log1p(-p)).sum() + ((w - prior) ** 2).sum() / 2
+
+    w = np.append(arcs, base)
+    best = loss(w)
+    assert best < loss(prior) and all(loss(w + d) >= best - 1e-6 for k in range(len(w)) for d in (np.eye(len(w))[k] * 0.01, np.eye(len(w))[k] * -0.01))
+
+
+def test_a_labelled_id_gives_one_row(spark):
+    """Rows of a repeated id stay in Spark: the fit takes one of them."""
+    from pyspark.sql import functions as F
+
+    from matchflow.llm.toxicity import labelled_sample
+
+    many = spark.range(50_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("you idiot "), "id").alias("text"))
+    docs = many.unionByName(spark.createDataFrame([(k, "a fine day") for k in range(2, 400)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(k, 1, int(k == 1)) for k in range(1, 400)] + [(1, 1, 0), (2, 1, None)], "doc_id long, quality int, toxic int")
+    fit = {k for k in range(1, 400) if zlib.crc32(str(k).encode()) % 5}
+    rows = labelled_sample(docs, labels).collect()
+    assert {r.doc_id for r in rows} == fit and len(rows) == len(fit) and {r.toxic for r in rows if r.doc_id == 1} == ({1} if 1 in fit else set())
+    assert 0 < labelled_sample(docs, labels, 50).count() < 90
 
 
 def test_quality_of_held_out_labels(spark):
