@@ -37,11 +37,17 @@ def crc_remainder(col: Column | str, mod: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of its own under spark.checkpoint.dir, which driver and executors share.
+    """A folder of its own under the run's one, which is under spark.checkpoint.dir, which driver and executors share.
 
-    Without that setting a local session (tests) gets one in /tmp; on a cluster, whose executors would each
+    Results may read their tables lazily, so these stay until drop_intermediates(spark) removes all of the run.
+    Without spark.checkpoint.dir a local session (tests) gets one in /tmp; on a cluster, whose executors would each
     write to a disk of their own, that is an error.
     """
+    return f"{run_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -51,7 +57,17 @@ def shared_folder(spark: SparkSession) -> str:
             root = "/tmp/checkpoints"
         else:
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Remove every intermediate table of this application; results that were not written are lost with them."""
+    removed(spark, run_folder(spark))
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -66,10 +82,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def discarded(df: DataFrame) -> None:
     """Remove the folder of a checkpointed table that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        removed(df.sparkSession, folder)
 
 
 def in_pandas(df: DataFrame, run: Callable, keep: Sequence[str], made: str) -> DataFrame:

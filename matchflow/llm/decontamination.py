@@ -10,7 +10,8 @@ of the window.
 
 Both sides are lower-cased and white space runs become one space first; positions are of that text.
 Results: a null or blank document has no leaks, a null or blank item matches nothing, items with the
-same text are all reported, repeated documents each get their leaks. Items are taken in blocks of at
+same text are all reported, repeated documents each get their leaks; an empty table gives no rows, an empty benchmark no
+leaks; texts of any length are searched whole; other columns are not read. Items are taken in blocks of at
 most BLOCK_CHARS characters, so what is sent to executors at once has a fixed bound, whatever the size
 of the benchmark; a longer single item is a block of its own.
 """
@@ -19,10 +20,11 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,12 +175,20 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterato
         yield block
 
 
+def released(block: Broadcast, use: Callable[[list[tuple[int, str]]], Matcher]) -> Matcher:
+    """What `use` makes of a block, which the worker then forgets: it reads a block from its file again when the next texts meet it."""
+    made = use(block.value)
+    if getattr(block, "_path", None):
+        block.__dict__.pop("_value", None)
+    return made
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, keep: tuple[str, ...] = ("doc_id",), block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The columns in keep, and `leaks`: item_id, distance, start and end of each item found in the text.
 
     One pass over the documents, one Python stage and no shuffle. With several blocks of items a task
     holds the texts of some batches (SLAB_CHARS, compressed) and meets one block after another, so that one
-    automaton at a time is in memory. start is the end less the item's length.
+    block and its automaton at a time are in memory. start is the end less the item's length.
     """
     sent = [docs.sparkSession.sparkContext.broadcast(block) for block in item_blocks(benchmark, block_chars)]
     rows = docs.select(*keep, F.col("text").alias("__text"))
@@ -200,7 +210,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
             yield slab
 
     def one_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(sent[0].value, rate)
+        matcher = released(sent[0], lambda items: Matcher(items, rate))
         for pdf in batches:
             pdf["leaks"] = [matcher.leaks(normal(t)) for t in pdf.pop("__text")]
             yield pdf
@@ -208,7 +218,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     def all_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for slab in slabs(batches):
             for block in sent:
-                matcher = Matcher(block.value, rate)
+                matcher = released(block, lambda items: Matcher(items, rate))
                 for pdf in slab:
                     for leaks, packed in zip(pdf["leaks"], pdf["__packed"], strict=True):
                         leaks += matcher.leaks(zlib.decompress(packed).decode("utf-8", "surrogatepass"))

@@ -11,7 +11,8 @@ node: `root:section=paragraph.clauseclause,paragraph.clause;section=...`. Equal
 where two fingerprints differ, the differing branches say in which section, paragraph and clause.
 
 Results: a null text counts as empty: one empty section, paragraph and clause. Texts of any length are
-used whole. Repeated ids keep their rows, ordered by text; null ids come before all others.
+used whole. Repeated ids keep their rows, ordered by text; null ids come before all others. An empty table gives no
+rows, and the only row of a table is followed by itself. Other columns are not read.
 """
 
 from __future__ import annotations

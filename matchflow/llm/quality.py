@@ -13,7 +13,8 @@ POOL_ROWS pseudo-labelled rows, chosen by a hash of the id.
 
 Results: every row gets a score in 0 to 1 and keep = score >= 0.5; null and empty texts have zero
 features; null metadata is a value of its own; with no labels of one of the classes every score is the
-share of good ones (1 with no labels at all); repeated ids get a row each.
+share of good ones (1 with no labels at all); repeated ids get a row each; an empty table gives none; texts of any
+length are measured whole; rows that tie at a quantile are pseudo-labelled alike; other columns are not read.
 """
 
 from __future__ import annotations

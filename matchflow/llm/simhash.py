@@ -18,7 +18,8 @@ come from minimum labels with pointer jumping over written tables.
 
 Results: a text without words has fingerprint zero, linked like any other; a shorter text than a shingle
 is one shingle; equal texts always share a component; rows without an id get the component of their
-fingerprint's class (null if no row of the component has an id); every input row gives one output row.
+fingerprint's class (null if no row of the component has an id); every input row gives one output row; an empty table
+gives none; texts of any length are used whole; other columns are not read.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ Two deterministic machines replace the tokenizer:
   emitted tokens. Its states are determinised when first reached and forgotten together at a limit.
 
 Results: a null text counts as empty (0 bytes, 0 tokens); a special string inside a text is one token,
-as the library's default has it; repeated ids give repeated rows; columns besides doc_id and text are
-not read.
+as the library's default has it; repeated ids give repeated rows; an empty table gives none; texts of any length are
+counted whole, in slabs; columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations

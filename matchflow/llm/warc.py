@@ -33,7 +33,10 @@ from pyspark.sql import functions as F
 from matchflow.llm.common import checkpointed
 
 VERSION, MAGIC = b"WARC/1.", b"\x1f\x8b\x08"
-RECORDS_PER_FILE = 20_000
+#: A file holds at most so many bytes of payloads (or one record), and its records' heads; pages of up to SMALL_PAGE bytes are written apart from larger ones.
+FILE_BYTES, SMALL_PAGE = 1 << 30, 1 << 18
+#: A header of more bytes than this is none.
+HEADER_BYTES = 1 << 16
 #: Compressed bytes read at once.
 PIECE = 4096
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -77,8 +80,8 @@ def with_references(pages: DataFrame) -> DataFrame:
     return rows.join(copies, "sha1", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
 
-def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Archives of all pages under path, one file or more for each task."""
+def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES, small_page: int = SMALL_PAGE) -> None:
+    """Archives of all pages under path, one file or more for each task, none with more than file_bytes of payloads but for a single larger one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -88,16 +91,34 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z")
 
     # ids travel as text: a column with nulls would turn into floats
     rows = with_references(pages).select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"))
-    written = rows.mapInPandas(run, "member binary").select(F.col("member").cast("string").alias("value"))
-    written.write.option("lineSep", "\u0000").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    small = F.octet_length("html") <= small_page
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    for mode, part, most in (("error", rows.filter(small), small_page), ("append", rows.filter(~small), largest)):
+        if mode == "append" and largest <= small_page:
+            break
+        written = part.mapInPandas(run, "member binary").select(F.col("member").cast("string").alias("value"))
+        written.write.mode(mode).option("lineSep", "\u0000").option("maxRecordsPerFile", max(1, file_bytes // max(1, most))).text(path)
 
 
-def parse_record(data: bytes, at: int = 0, signed: bool = False) -> tuple[dict, int] | str:
+class Finder:
+    """The next place of a byte string at or behind a place; places asked for do not go back, so each is searched for once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.known = data, {}
+
+    def __call__(self, what: bytes, at: int) -> int:
+        place = self.known.get(what, at - 1)
+        if 0 <= place < at or what not in self.known:
+            place = self.known[what] = self.data.find(what, at)
+        return place
+
+
+def parse_record(data: bytes, at: int = 0, signed: bool = False, find: Finder | None = None) -> tuple[dict, int] | str:
     """The record at a place in uncompressed bytes and where it ends, or why there is none; signed: only with a block digest."""
     if data[at : at + len(VERSION)] != VERSION:
         return "no version line"
-    head = data.find(b"\r\n\r\n", at)
-    if head < 0:
+    head = find(b"\r\n\r\n", at) if find else data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
+    if not at <= head < at + HEADER_BYTES:
         return "header without an end"
     fields = {}
     for line in data[at:head].split(b"\r\n")[1:]:
@@ -156,25 +177,25 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
 
 def records_inside(plain: bytes, signed: bool) -> tuple[list[dict], list[str]]:
     """The records in a member's bytes, and the reason of each gap before, between or behind them."""
-    records, reasons, at = [], [], 0
+    records, reasons, at, find = [], [], 0, Finder(plain)
     while at < len(plain):
-        found = parse_record(plain, at, signed)
+        found = parse_record(plain, at, signed, find)
         if isinstance(found, str):
             reasons.append(found)
             while isinstance(found, str):
-                at = plain.find(VERSION, at + 1)
+                at = find(VERSION, at + 1)
                 if at < 0:
                     return records, reasons
-                found = parse_record(plain, at, signed)
+                found = parse_record(plain, at, signed, find)
         records.append(found[0])
         at = found[1]
     return records, reasons
 
 
-def parse_at(data: bytes, at: int) -> tuple[list[dict], int | None, list[str]]:
+def parse_at(data: bytes, at: int, find: Finder | None = None) -> tuple[list[dict], int | None, list[str]]:
     """The records of the member or plain record at a place, where it ends (None if it is damaged), and the reasons of gaps."""
     if data[at : at + 3] != MAGIC:
-        found = parse_record(data, at)
+        found = parse_record(data, at, find=find)
         return ([], None, [found]) if isinstance(found, str) else ([found[0]], found[1], [])
     plain, end, damage = inflate(data, at)
     records, reasons = records_inside(plain, damage is not None)
@@ -188,18 +209,18 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
 
     Records and gaps inside a member have the member's place; those of a damaged member have its gap's.
     """
-    at = 0
+    at, find = 0, Finder(data)
     while at < len(data):
-        records, end, reasons = parse_at(data, at)
+        records, end, reasons = parse_at(data, at, find)
         if end is None:
             gap, reason, given, again = at, reasons[0], list(records), list(records)
             while end is None:
-                nexts = [p for p in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if p >= 0]
+                nexts = [p for p in (find(MAGIC, at + 1), find(VERSION, at + 1)) if p >= 0]
                 if not nexts:
                     at = len(data)
                     break
                 at = min(nexts)
-                records, end, reasons = parse_at(data, at)
+                records, end, reasons = parse_at(data, at, find)
                 if end is None:
                     given, again = given + records, again + records
                 elif len(records) == 1 and records[0] in again and data[at : at + 3] != MAGIC:
@@ -225,7 +246,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     """Records and quarantined gaps of all archives under path.
 
     file, offset and length say where; gaps have a reason and no record, records have no reason. Files
-    of up to 2 GB are read whole by one task each; the writer above keeps them far smaller.
+    of up to 2 GB are read whole by one task each; the writer above keeps them within FILE_BYTES of payloads.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

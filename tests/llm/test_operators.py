@@ -133,6 +133,49 @@ def test_archives_come_back(spark, tmp_path):
     assert read_warc(spark, f"file://{tmp_path}/b").count() == 0
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    from matchflow.llm.warc import read_warc, write_warc
+
+    rows = [(i, "u", f"{i} " * (2000 if i % 50 == 0 else 50)) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    write_warc(pages, f"file://{tmp_path}/a", file_bytes=20_000, small_page=500)
+    payloads = collections.Counter()
+    for r in read_warc(spark, f"file://{tmp_path}/a").collect():
+        assert r.reason is None
+        payloads[r.file] += r.payload_bytes
+    assert sum(payloads.values()) == sum(len(h) for _, _, h in rows) and max(payloads.values()) <= 20_000
+
+
+def test_damaged_heads_take_linear_time():
+    import time
+
+    from matchflow.llm.warc import records_inside, salvage
+
+    took = []
+    for size in (1_000_000, 8_000_000):
+        data = b"WARC/1.1\r\nno end here\r\n" * (size // 23)
+        began = time.perf_counter()
+        found = list(salvage(data))
+        assert [f[2:] for f in found] == [(None, "header without an end")] and records_inside(data, False)[0] == []
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0] + 5
+
+
+def test_a_block_is_forgotten_after_use():
+    from matchflow.llm.decontamination import released
+
+    class Stored:
+        _path = "file"
+
+        @property
+        def value(self):
+            self._value = [(1, "item")]
+            return self._value
+
+    block = Stored()
+    assert released(block, len) == 1 and not hasattr(block, "_value")
+
+
 def test_salvage_goes_on_behind_damage():
     from matchflow.llm.warc import member, record, salvage
 
