@@ -91,15 +91,6 @@ def reading_order(lines: DataFrame, page_width: float, bins: int = 20) -> DataFr
     return placed.withColumn("column", column).drop("__edges").withColumn("place", F.row_number().over(w.orderBy("column", "y0", "x0", "line_no")))
 
 
-def halves_order(lines: DataFrame, page_width: float) -> DataFrame:
-    """Lines with their column (left of the page's middle or not, where both halves hold a fifth of the lines) and place by column, y, x."""
-    w = Window.partitionBy("doc_id", "page")
-    right = (F.col("x0") >= page_width / 2).cast("int")
-    share = F.avg(right).over(w)
-    column = F.when(share.between(0.2, 0.8), right).otherwise(0)
-    return lines.withColumn("column", column).withColumn("place", F.row_number().over(w.orderBy("column", "y0", "x0", "line_no")))
-
-
 def merge_rows(lines: DataFrame, tolerance: float = 1.2) -> DataFrame:
     """Lines at one height become one row: texts joined, the box around all; lines with is_marker stay as they are.
 

@@ -62,9 +62,11 @@ def role_table(roles: DataFrame) -> DataFrame:
     return out.filter(F.size("bullets") > 0)
 
 
-MONTHS = "January February March April May June July August September October November December".split()
-#: A year, a month in full or by three letters, an open end; or a long dash between two words.
-ROLE_SIGNAL = rf"(?i)\b((19|20)\d{{2}}|{'|'.join(m[:3] + '|' + m for m in MONTHS)}|present|current|now|today)\b|[\pL\pN_]\s+[–—]\s+[\pL\pN_]"
+# A year, a month in full or by three letters, an open end; or a long dash between two words.
+ROLE_SIGNAL = (
+    r"(?i)\b((19|20)\d{2}|Jan|January|Feb|February|Mar|March|Apr|April|May|Jun|June|Jul|July|Aug|August|Sep|September|Oct|October|Nov|November|Dec|December"
+    r"|present|current|now|today)\b|[\pL\pN_]\s+[–—]\s+[\pL\pN_]"
+)
 
 
 def merge_fragmented_roles(roles: DataFrame) -> DataFrame:
@@ -87,12 +89,16 @@ def section_texts(lines: DataFrame) -> DataFrame:
     return body.groupBy("doc_id", "kind", "section_no").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
 
 
-def parse_outline(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, summary, education, skills and roles (header, section, bullets) of every document."""
+def parse_outline(docs: DataFrame, text: str = "text", merge_roles: bool = False) -> DataFrame:
+    """doc_id, summary, education, skills and roles (header, section, bullets) of every document.
+
+    With merge_roles, a role without a date or dash in its header gives its bullets to the one before it.
+    """
     lines = assign_sections(coalesce_bullets(doc_lines(docs, text)))
     first = lambda kind: F.min_by(F.when(F.col("kind") == kind, F.col("text")), F.when(F.col("kind") == kind, F.col("section_no")))
     flat = section_texts(lines).groupBy("doc_id").agg(first("summary").alias("summary"), first("education").alias("education"), first("skills").alias("skills"))
     roles = role_table(assign_roles(lines))
+    roles = merge_fragmented_roles(roles) if merge_roles else roles
     listed = roles.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("section_no", "role_no", "header", F.col("kind").alias("section"), "bullets"))).alias("roles"))
     out = docs.select("doc_id").join(flat, "doc_id", "left").join(listed, "doc_id", "left")
     return out.select("doc_id", F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("education", F.lit("")).alias("education"), S.split_skills("skills").alias("skills"), "roles")

@@ -42,15 +42,15 @@ def limit_per_source(df: DataFrame, n: int, order: str, source: str = "source")
     return first(first(sliced, source, "__slice"), source).drop("__n", "__slice")
 
 
-def first_nonempty_source(df: DataFrame, preferred: str, boards: tuple[str, ...] = BOARDS, source: str = "source") -> DataFrame:
-    """The rows of the first board, the preferred one leading, that returned any; All keeps everything."""
+def first_nonempty_source(df: DataFrame, preferred: str, keys: list[str] | None = None, boards: tuple[str, ...] = BOARDS, source: str = "source") -> DataFrame:
+    """For each search (keys; one if there are none) the rows of the first board, the preferred one leading, that returned any; All keeps everything."""
     if preferred == "All":
         return df
     order = list(dict.fromkeys([preferred if preferred in boards else boards[0], *boards]))
     rank = L.chain([(F.col(source) == b, k) for k, b in enumerate(order)], None).cast("int")
     ranked = df.withColumn("__rank", rank)
-    first = ranked.agg(F.min("__rank").alias("__rank"))
-    return ranked.join(F.broadcast(first), "__rank").drop("__rank")
+    first = ranked.groupBy(*keys or []).agg(F.min("__rank").alias("__rank"))
+    return ranked.join(first, [*(keys or []), "__rank"]).drop("__rank")
 
 
 def with_location_fallback(df: DataFrame, location: str, keys: list[str], at: str = "location") -> DataFrame:

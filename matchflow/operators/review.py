@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchflow.functions.levels import job_level, level_gap_exit, level_gap_penalty, posting_years, years_exit
+from matchflow.functions.levels import job_level, level_gap_exit, level_gap_penalty, posting_years, unscorable, years_exit
 from matchflow.functions.text import extract_json, let, words
 from matchflow.operators.postings import split_missing
 
@@ -25,19 +25,21 @@ def texts_of(c: Column, most: int = 5) -> Column:
 def resolve_match(df: DataFrame, raw: str, title: str, cand_level: str, cv: str | None = None, description: str | None = None) -> DataFrame:
     """Score, skills and reasoning of a raw match answer: clamped, lowered by the level gap; no JSON gives 0 and the answer's first 300 characters.
 
-    With cv, missing skills that it has move to the matched ones. With description, levels or years that rule a posting
-    out come before the answer: their score holds, there are no skills, and the reasoning says which rule it was.
+    With cv, missing skills that it has move to the matched ones. With description, a text too short to be scored (the CV's
+    too, if it is given), then levels or years that rule a posting out come before the answer: their score holds, there
+    are no skills, and the reasoning says which rule it was.
     """
     out = df.withColumn("__j", extract_json(raw, MATCH))
     bad = F.col("__j").isNull() | F.col("__j.match_score").isNull()
     gap = job_level(title) - F.col(cand_level)
-    ruled = F.lit(None).cast("int")
+    ruled, too_short = F.lit(None).cast("int"), F.lit(None).cast("string")
     if description is not None:
-        ruled = F.coalesce(level_gap_exit(gap), years_exit(F.col(cand_level), posting_years(description))).cast("int")
+        too_short = unscorable(description, cv if cv else F.repeat(F.lit("x"), F.lit(50)))
+        ruled = F.when(too_short.isNotNull(), 0).otherwise(F.coalesce(level_gap_exit(gap), years_exit(F.col(cand_level), posting_years(description)))).cast("int")
     out = out.withColumn("__ruled", ruled)
     out_of_play, none = F.col("__ruled").isNotNull(), F.array().cast("array<string>")
     score = F.when(out_of_play, F.col("__ruled")).when(bad, 0).otherwise(level_gap_penalty(clamp(F.col("__j.match_score")), gap))
-    by_rule = F.when(level_gap_exit(gap).isNotNull(), "level gap").otherwise("years asked")
+    by_rule = F.when(too_short.isNotNull(), too_short).when(level_gap_exit(gap).isNotNull(), "level gap").otherwise("years asked")
     reason = F.when(out_of_play, by_rule).when(bad, F.substring(F.coalesce(F.col(raw), F.lit("")), 1, 300)).otherwise(F.coalesce("__j.reasoning", F.lit("")))
     skills = lambda k: F.when(out_of_play, none).otherwise(texts_of(F.col(f"__j.{k}"), 50))
     out = out.withColumns({"score": score.cast("int"), "matched": skills("matched_skills"), "missing": skills("missing_skills"), "reasoning": reason}).drop("__j", "__ruled")

@@ -10,10 +10,11 @@ from matchflow.functions import summary as S
 from matchflow.operators import audit as A
 from matchflow.plans.registry import bound, query, table
 
-#: Each turn as an original, with a rewrite that breaks a guard or none.
-PAIRS = """SELECT conv_id AS doc_id, role AS header, turn AS i, CASE turn % 2 WHEN 0 THEN 'projects' ELSE 'experience' END AS section, text AS source_text, concat('Led 40% growth of ', text) AS original,
-    CASE turn % 7 WHEN 0 THEN concat('Led very agentic modern 40% growth of ', text) WHEN 1 THEN concat('led the 40% growth of ', text) WHEN 2 THEN concat('Led growth of ', text) WHEN 3 THEN concat('Led a team to 40% growth of ', text)
-    WHEN 4 THEN concat('Drove 40% growth of ', text, ' and attention to detail') WHEN 5 THEN NULL ELSE concat('Drove 40% kubernetes growth of ', text) END AS rewrite FROM conversations"""
+#: Each turn as an original with a figure and a name of its own, and a rewrite that breaks a guard or none.
+PAIRS = """SELECT conv_id AS doc_id, role AS header, turn AS i, CASE turn % 2 WHEN 0 THEN 'projects' ELSE 'experience' END AS section, text AS source_text, concat('Led ', 40 + turn, '% growth of Zembla in ', text) AS original,
+    CASE (conv_id + turn) % 9 WHEN 0 THEN concat('Led very agentic modern ', 40 + turn, '% growth of Zembla in ', text) WHEN 1 THEN concat('led the ', 40 + turn, '% growth of Zembla in ', text) WHEN 2 THEN concat('Led growth of Zembla in ', text)
+    WHEN 3 THEN concat('Led a team to ', 40 + turn, '% growth of Zembla in ', text) WHEN 4 THEN concat('Drove ', 40 + turn, '% growth of Zembla in ', text, ' and attention to detail') WHEN 5 THEN NULL
+    WHEN 6 THEN concat('Drove ', 40 + turn, '% growth and ', 42 + turn, '% of Zembla in ', text) WHEN 7 THEN concat('Drove ', 40 + turn, '% growth of Xembla in ', text) ELSE concat('Drove ', 40 + turn, '% kubernetes growth of Zembla in ', text) END AS rewrite FROM conversations"""
 _P = f"WITH p AS ({PAIRS}), q AS (SELECT *, lower(original) AS o, lower(coalesce(rewrite, '')) AS r FROM p)"
 _PLAIN = lambda c: rf"trim(regexp_replace(regexp_replace(' ' || regexp_replace({c}, '[^a-z0-9]+', ' ', 'g') || ' ', ' (?:(?:a|an|the) )+', ' ', 'g'), ' +', ' ', 'g'))"
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
@@ -62,7 +63,8 @@ def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FITS = lambda t: f"length(trim({t})) BETWEEN least(greatest(45, round_even(s * 0.78, 0)), greatest(95, round_even(s * 1.08, 0)) + 4) AND greatest(95, round_even(s * 1.08, 0)) + 4"
 _LOST = lambda t: rf"len(list_filter(list_distinct(regexp_extract_all(o, '{G.NUMBER}', 1)), lambda x: NOT contains(lower({t}), x) AND NOT regexp_matches(x, '^\d+\+$') AND NOT regexp_matches(x, '^\d+[kmb]$'))) > 0"
-#: The opening word is always "led"; only what is around a turn's text changes, so no name or acronym of it is ever lost.
+#: The opening word is always "led"; only what is around a turn's text changes, so the planted name alone is ever lost.
+_GONE = lambda t: f"NOT contains(lower({t}), 'zembla')"
 _BACK = lambda t: rf"""coalesce(list_filter(list_zip(({t})[2:], ({t})[:len({t}) - 1]), lambda z: regexp_replace(lower(z[1]), '[^a-z]', '', 'g') = 'led')[1][2], 'and')"""
 _STRANDED = lambda t: f"(regexp_replace(lower({_BACK(t)}), '[^a-z]', '', 'g') NOT IN {_IN(G.CONNECTIVES)} AND NOT regexp_matches({_BACK(t)}, '[,;:]$'))"
 _IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
@@ -73,9 +75,14 @@ _AUDITED = rf"""{_P}, w AS (SELECT *, length(trim(original)) AS s, {_SPLIT('o')}
         list_filter({_LIST(G.FILLERS)}, lambda c: contains(r, c) AND NOT contains(o, c))[1] AS filler FROM w),
     c AS (SELECT *, CASE WHEN filler IS NULL THEN rewrite ELSE trim(regexp_replace(regexp_replace(rewrite, '(?i)[\s,;]*(?:\b(?:while|and|by|thereby|thus)\s+)?' || filler, '', 'g'), '\s+([.,;])', '\1', 'g')) END AS cleaned FROM f),
     d AS (SELECT *, {_SPLIT("coalesce(cleaned, '')")} AS cs FROM c),
-    e AS (SELECT *, CASE WHEN rewrite IS NULL THEN 'kept' WHEN jam THEN 'keyword_jam' WHEN same THEN 'identical' WHEN NOT ({_FITS('rewrite')}) OR {_LOST('rewrite')} OR {_STRANDED('ws')} THEN 'unsafe' WHEN claim IS NOT NULL THEN 'solo_project'
-        WHEN regexp_matches(r, '\bkubernetes\b') AND NOT regexp_matches(o, '\bkubernetes\b') THEN 'injected_term' WHEN filler IS NOT NULL AND (NOT ({_FITS('cleaned')}) OR {_LOST('cleaned')} OR {_STRANDED('cs')}) THEN 'filler'
-        WHEN length(regexp_replace(rewrite, '[^\x00-\x7F]', '', 'g')) / length(rewrite) < 0.85 THEN 'not_english' END AS reason FROM d)"""
+    t AS (SELECT DISTINCT doc_id, header, i, unnest(regexp_extract_all(o, '{G.NUMBER}', 1)) AS n FROM q),
+    m AS (SELECT DISTINCT doc_id, header, i, unnest(list_filter(regexp_extract_all(r, '{G.NUMBER}', 1), lambda x: NOT list_contains(regexp_extract_all(o, '{G.NUMBER}', 1), x))) AS n FROM q),
+    v AS (SELECT *, TRY_CAST(regexp_replace(n, '[%+km,$]', '', 'g') AS DOUBLE) AS bare FROM m),
+    h AS (SELECT DISTINCT v.doc_id, v.header, v.i FROM v JOIN t ON t.doc_id = v.doc_id AND t.header = v.header AND t.n = v.n AND t.i <> v.i WHERE NOT coalesce(bare BETWEEN 1900 AND 2099 OR (bare < 10 AND NOT regexp_matches(v.n, '[%+km]')), false)),
+    k AS (SELECT d.*, h.i IS NOT NULL AS borrowed FROM d LEFT JOIN h USING (doc_id, header, i)),
+    e AS (SELECT *, CASE WHEN rewrite IS NULL THEN 'kept' WHEN jam THEN 'keyword_jam' WHEN same THEN 'identical' WHEN NOT ({_FITS('rewrite')}) OR {_LOST('rewrite')} OR {_GONE('rewrite')} OR {_STRANDED('ws')} THEN 'unsafe' WHEN claim IS NOT NULL THEN 'solo_project' WHEN borrowed THEN 'borrowed_number'
+        WHEN regexp_matches(r, '\bkubernetes\b') AND NOT regexp_matches(o, '\bkubernetes\b') THEN 'injected_term' WHEN filler IS NOT NULL AND (NOT ({_FITS('cleaned')}) OR {_LOST('cleaned')} OR {_GONE('cleaned')} OR {_STRANDED('cs')}) THEN 'filler'
+        WHEN length(regexp_replace(rewrite, '[^\x00-\x7F]', '', 'g')) / length(rewrite) < 0.85 THEN 'not_english' END AS reason FROM k)"""
 
 
 @query(f"{_AUDITED} SELECT doc_id, header, i, reason, CASE WHEN reason IS NULL THEN cleaned ELSE original END AS accepted_text FROM e")
@@ -91,10 +98,14 @@ def guard_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.guard_rollup(_audited(spark, sf_dir))
 
 
-@query(f"{_P}, t AS (SELECT doc_id, header, i, unnest(list_distinct(regexp_extract_all(o, '{G.NUMBER}', 1))) AS n FROM q) SELECT doc_id, header, i, count(DISTINCT CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.doc_id = q.doc_id AND t.header = q.header AND t.i <> q.i AND t.n = '40%') THEN 1 END)::INT AS shared FROM q GROUP BY ALL")
+@query(
+    f"""{_P}, t AS (SELECT DISTINCT doc_id, header, i, unnest(regexp_extract_all(o, '{G.NUMBER}', 1)) AS n FROM q),
+    o AS (SELECT q.doc_id, q.header, q.i, string_agg(DISTINCT t.n, ',' ORDER BY t.n) AS shared FROM q JOIN t ON t.doc_id = q.doc_id AND t.header = q.header AND t.i <> q.i GROUP BY ALL)
+    SELECT doc_id, header, i, coalesce(shared, '') AS shared FROM q LEFT JOIN o USING (doc_id, header, i)"""
+)
 def sibling_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = A.sibling_numbers(pairs(spark, sf_dir), ["doc_id", "header"])
-    return found.select("doc_id", "header", "i", F.array_contains("sibling_numbers", "40%").cast("int").alias("shared"))
+    return found.select("doc_id", "header", "i", F.array_join(F.sort_array("sibling_numbers"), ",").alias("shared"))
 
 
 _BULLETS = "SELECT conv_id AS doc_id, role AS header, turn AS i, text FROM conversations"
@@ -181,11 +192,11 @@ def batch_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: What is put before each turn's text, and its parts of each kind; texts have none of these forms but figures.
-_AWARDED = "First-class graduate with 5+ years, $3M saved, Spotlight Awards. "
+_AWARDED = "First-class graduate (3.8/4.0 GPA) with 5+ years, $3M saved, Spotlight Awards. "
 
 
 @query(
-    rf"""{_P}, c AS (SELECT *, concat('{_AWARDED}', original) AS t FROM p), g AS (SELECT *, [lower(trim(x)) for x in regexp_extract_all(t, '(?i)(\d[\d.,]*%|\$\d[\d.,]*[KMB]?)', 1)] AS found FROM c), n AS (SELECT *, list_concat(['first-class', '5+ years'], list_filter(found, lambda x, k: list_position(found, x) = k), ['saved', 'spotlight']) AS every FROM g),
+    rf"""{_P}, c AS (SELECT *, concat('{_AWARDED}', original) AS t FROM p), g AS (SELECT *, [lower(trim(x)) for x in regexp_extract_all(t, '(?i)(\d[\d.,]*%|\$\d[\d.,]*[KMB]?)', 1)] AS found FROM c), n AS (SELECT *, list_concat(['first-class', '3.8/4.0 gpa', '5+ years'], list_filter(found, lambda x, k: list_position(found, x) = k), ['saved', 'spotlight']) AS every FROM g),
     b AS (SELECT *, len(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) AS o, len(list_filter(string_split_regex(coalesce(rewrite, ''), '\s+'), lambda x: x <> '')) AS m FROM n)
     SELECT doc_id, header, i, array_to_string(list_filter(every, lambda x: x <> 'saved' AND NOT contains(lower(coalesce(rewrite, '')), x)), ',') AS lost,
     CASE WHEN o < 20 THEN CASE WHEN m > 60 THEN 'long' ELSE 'stub' END WHEN m < o * 0.80 THEN 'short' WHEN m > o * 1.12 THEN 'long' WHEN m BETWEEN o * 0.97 AND o * 1.08 THEN 'ok' ELSE 'off_target' END AS band FROM b"""
@@ -196,12 +207,12 @@ def lost_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A summary around each turn's text, and a rewrite that breaks the guard that its number stands for, or none.
-_SUMMARIES = """SELECT conv_id, role, turn, b, CASE WHEN k = 0 THEN '' WHEN k = 1 THEN 'Short profile of Apply Smart.' ELSE concat(lead, b, ' ends.') END AS original,
-    CASE k WHEN 1 THEN concat(lead, b, b, ' one two three four five six seven eight nine ten', extra, extra, extra, extra, extra) WHEN 2 THEN concat(lead, b, ' in marketing.') WHEN 3 THEN concat(lead, b, ' of Zanzibar.') WHEN 4 THEN concat('builder of Apply Smart, 5+ years. ', b, ' ends.')
+_SUMMARIES = """SELECT conv_id, role, turn, b, CASE WHEN k = 0 THEN '' WHEN k = 1 THEN 'Short profile of Cedar Ports.' ELSE concat(lead, b, ' ends.') END AS original,
+    CASE k WHEN 1 THEN concat(lead, b, b, ' one two three four five six seven eight nine ten', extra, extra, extra, extra, extra) WHEN 2 THEN concat(lead, b, ' in marketing.') WHEN 3 THEN concat(lead, b, ' of Zanzibar.') WHEN 4 THEN concat('builder of Cedar Ports, 5+ years. ', b, ' ends.')
     WHEN 5 THEN concat(lead, b, ' ends', repeat('é', 20 + length(b))) WHEN 6 THEN concat(lead, b, '. Made seven small tools for dull daily chores.') WHEN 7 THEN concat('builder of things, 5+ years, 40%. ', b, ' ends.') WHEN 8 THEN concat(lead, b, extra, extra, extra, extra, ' ', b, ' ', b)
     WHEN 9 THEN NULL ELSE concat(lead, b, ' ended.') END AS rewrite, k
-    FROM (SELECT conv_id, role, turn, (conv_id + turn) % 11 AS k, 'builder of Apply Smart, 5+ years, 40%. ' AS lead, ' one two three four five six seven eight nine ten eleven twelve' AS extra,
-        concat(substr(lower(text), 1, 160), ' and one two three four five six seven eight nine ten eleven twelve') AS b FROM conversations) AS c"""
+    FROM (SELECT conv_id, role, turn, (conv_id + turn) % 11 AS k, 'builder of Cedar Ports, 5+ years, 40%. ' AS lead, ' one two three four five six seven eight nine ten eleven twelve' AS extra,
+        concat(lower(text), ' and one two three four five six seven eight nine ten eleven twelve') AS b FROM conversations) AS c"""
 
 
 @query(
@@ -211,8 +222,8 @@ _SUMMARIES = """SELECT conv_id, role, turn, b, CASE WHEN k = 0 THEN '' WHEN k =
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = bound(spark, sf_dir, _SUMMARIES, "conversations")
     bullets = "array('made seven small tools for dull daily chores', 'led a few friends')"
-    roles = F.expr(f"array(named_struct('header', 'Apply Smart | Python', 'section', 'Projects', 'bullets', {bullets}), named_struct('header', 'Lead of North', 'section', 'Experience', 'bullets', cast(array() as array<string>)))")
-    ready = s.withColumn("roles", roles.cast(S.ROLES)).withColumn("source_text", F.concat_ws(" ", "b", F.lit("builder of Apply Smart made short profile")))
+    roles = F.expr(f"array(named_struct('header', 'Cedar Ports | Python', 'section', 'Projects', 'bullets', {bullets}), named_struct('header', 'Lead of North', 'section', 'Experience', 'bullets', cast(array() as array<string>)))")
+    ready = s.withColumn("roles", roles.cast(S.ROLES)).withColumn("source_text", F.concat_ws(" ", "b", F.lit("builder of Cedar Ports made short profile")))
     return A.audit_summary(ready).select("conv_id", "role", "turn", "summary_reason", "accepted_summary")
 
 

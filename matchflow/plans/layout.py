@@ -70,14 +70,6 @@ def replica_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.replica_columns(lines(spark, sf_dir).withColumn("x0", F.col("x0").cast("double")))
 
 
-@query(
-    f"""{_L}, s AS (SELECT *, (x0 >= 306)::INT AS r, avg((x0 >= 306)::INT) OVER (PARTITION BY doc_id, page) AS share FROM l), c AS (SELECT *, CASE WHEN share BETWEEN 0.2 AND 0.8 THEN r ELSE 0 END AS col FROM s)
-    SELECT doc_id, line_no::INT AS line_no, col::INT AS column, row_number() OVER (PARTITION BY doc_id, page ORDER BY col, y0, x0, line_no)::INT AS place FROM c"""
-)
-def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.halves_order(lines(spark, sf_dir), 612.0).select("doc_id", "line_no", "column", "place")
-
-
 @query(
     f"""{_L}, b AS (SELECT *, floor(greatest(0.0, least(0.9999, x0::DOUBLE / 612.0)) * 20)::INT AS bin FROM l), c AS (SELECT doc_id, page, bin, count(*) AS n FROM b GROUP BY ALL),
     h AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page) AS total FROM c), p AS (SELECT doc_id, page, coalesce(list([bin] ORDER BY bin) FILTER (n >= greatest(3, floor(total * 0.1))), []) AS high FROM h GROUP BY ALL),
@@ -86,7 +78,7 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     z AS (SELECT doc_id, page, line_no, y0, x0, len(list_filter(edges, lambda v: x0 >= v))::INT AS column FROM l JOIN e USING (doc_id, page))
     SELECT doc_id, line_no::INT AS line_no, z.column, row_number() OVER (PARTITION BY doc_id, page ORDER BY z.column, y0, x0, line_no)::INT AS place FROM z"""
 )
-def reading_order_by_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = lines(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in ("x0", "y0")})
     return Y.reading_order(l, 612.0).select("doc_id", "line_no", "column", "place")
 
@@ -125,16 +117,19 @@ def strip_banned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound(spark, sf_dir, _LETTERS, "documents").select("doc_id", C.strip_banned("letter").alias("letter"))
 
 
-_POSTINGS = "SELECT doc_id, concat('About us, a firm. ', text, chr(10), 'Benefits: many', chr(10), 'Required Skills ', text, chr(10), 'Company: x') AS posting, text FROM documents WHERE NOT regexp_matches(lower(text), 'require|qualif|responsib|what you|you will|you should|preferred|about the|role|your role|benefit|company')"
+_POSTINGS = "SELECT doc_id, concat('About us, a firm. ', text, chr(10), 'Benefits: many', chr(10), 'Required Skills ', text, chr(10), 'Company: x') AS posting FROM documents"
+#: From a part's heading to what ends it.
+_PARTS = ", ".join(f"regexp_extract(posting, '(?is)((?:{p.replace(chr(39), chr(39) * 2)}).*?)(?:{X.POSTING_ENDS}|$)', 1)" for p in X.POSTING_PARTS)
 
 
 @query(
-    rf"""WITH p AS ({_POSTINGS}), w AS (SELECT *, list_filter(string_split_regex(posting, '\s+'), lambda x: x <> '') AS ws FROM p), k AS (SELECT *, regexp_replace('Required Skills ' || text, '^\s+|\s+$', '', 'g') AS part FROM w),
+    rf"""WITH p AS ({_POSTINGS}), w AS (SELECT *, list_filter(string_split_regex(posting, '\s+'), lambda x: x <> '') AS ws FROM p),
+    k AS (SELECT *, array_to_string(list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') for x in [{_PARTS}]], lambda x: len(list_filter(string_split_regex(x, '\s+'), lambda y: y <> '')) > 10), chr(10) || chr(10)) AS part FROM w),
     c AS (SELECT *, list_filter(string_split_regex(part, '\s+'), lambda x: x <> '') AS cs FROM k)
-    SELECT doc_id, sha256(CASE WHEN len(ws) <= 200 THEN posting WHEN len(cs) > 200 THEN array_to_string(cs[1:200], ' ') || '...' WHEN len(cs) > 10 THEN part ELSE array_to_string(ws[1:200], ' ') || '...' END) AS short FROM c"""
+    SELECT doc_id, sha256(CASE WHEN len(ws) <= 200 THEN posting WHEN len(cs) > 200 THEN array_to_string(cs[1:200], ' ') || '...' WHEN part <> '' THEN part ELSE array_to_string(ws[1:200], ' ') || '...' END) AS short FROM c"""
 )
 def compress_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = bound(spark, sf_dir, _POSTINGS.replace("regexp_matches", "regexp"), "documents")
+    p = bound(spark, sf_dir, _POSTINGS, "documents")
     return p.select("doc_id", F.sha2(X.compress_text("posting", 200), 256).alias("short"))
 
 

@@ -118,10 +118,30 @@ _OUTLINE = f"""{_C}, {_JOINED}, {_ROLES}, {_FLAT}, f AS (SELECT doc_id, arg_min(
     outline AS (SELECT doc_id, coalesce(summary, '') AS summary, coalesce(education, '') AS education, [trim(x) for x in string_split_regex(coalesce(skills, ''), '[,;|•\\n]') if trim(x) <> ''] AS skills, coalesce(n_roles, 0) AS n_roles, coalesce(n_bullets, 0) AS n_bullets, roles FROM cvs LEFT JOIN f USING (doc_id) LEFT JOIN n USING (doc_id))"""
 
 
-@query(f"{_OUTLINE} SELECT doc_id, summary, education, array_to_string(skills, '|') AS skills, n_roles::INT AS n_roles FROM outline")
+_WRITTEN = lambda roles: f"sha256(coalesce(array_to_string([r.h || '~' || array_to_string(r.b, '~') for r in {roles}], chr(10)), ''))"
+
+
+def _outlines(spark: SparkSession, sf_dir: str, merge_roles: bool) -> DataFrame:
+    out = O.parse_outline(cvs(spark, sf_dir), merge_roles=merge_roles)
+    written = F.array_join(F.transform("roles", lambda r: F.concat_ws("~", r["header"], F.array_join(r["bullets"], "~"))), "\n")
+    return out.select("doc_id", "summary", "education", F.array_join("skills", "|").alias("skills"), F.coalesce(F.size("roles"), F.lit(0)).alias("n_roles"), F.sha2(F.coalesce(written, F.lit("")), 256).alias("roles"))
+
+
+@query(f"{_OUTLINE} SELECT doc_id, summary, education, array_to_string(skills, '|') AS skills, n_roles::INT AS n_roles, {_WRITTEN('roles')} AS roles FROM outline")
 def parse_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = O.parse_outline(cvs(spark, sf_dir))
-    return out.select("doc_id", "summary", "education", F.array_join("skills", "|").alias("skills"), F.coalesce(F.size("roles"), F.lit(0)).alias("n_roles"))
+    return _outlines(spark, sf_dir, False)
+
+
+@query(
+    f"""{_OUTLINE}, mk AS (SELECT *, row_number() OVER w = 1 OR regexp_matches(header, '[0-9]{{4}}') AS keeps FROM roles WINDOW w AS (PARTITION BY doc_id, section_no ORDER BY role_no)),
+    mn AS (SELECT *, sum(keeps::INT) OVER (PARTITION BY doc_id, section_no ORDER BY role_no) AS place FROM mk),
+    mm AS (SELECT doc_id, section_no, min(role_no) AS role_no, arg_min(header, role_no) AS h, flatten(list(bullets ORDER BY role_no)) AS b FROM mn GROUP BY doc_id, section_no, place),
+    md AS (SELECT doc_id, count(*) AS k, list(struct_pack(h := h, b := b) ORDER BY section_no, role_no) AS roles FROM mm GROUP BY doc_id)
+    SELECT doc_id, summary, education, array_to_string(skills, '|') AS skills, coalesce(k, 0)::INT AS n_roles, {_WRITTEN('md.roles')} AS roles FROM outline LEFT JOIN md USING (doc_id)"""
+)
+def parse_outline_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles without a date or dash are merged; the written CVs' only signals are years."""
+    return _outlines(spark, sf_dir, True)
 
 
 @query(f"{_OUTLINE} SELECT doc_id, n_bullets::INT AS bullets, n_bullets = 0 AS zero_bullets FROM outline")
@@ -202,24 +222,33 @@ def section_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.select("doc_id", "section_no", "kind", place.alias("place"))
 
 
+#: Headers in three cases of letters, and what the SQL takes for their dates.
+_CASED = "CASE doc_id % 3 WHEN 0 THEN upper(header) WHEN 1 THEN lower(header) ELSE header END"
+_DATED = r"((jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s*[0-9]{4}.*|\b[0-9]{4}\s*[-–—]\s*([0-9]{4}|present|current|[0-9]{2}))"
 _EDGE = r"[\s.,–—(|:;-]+"
 
 
 @query(
-    rf"""{_C}, {_JOINED}, {_ROLES}, h AS (SELECT *, trim(header) AS raw, trim(regexp_extract(trim(header), '{S.DATES}', 1)) AS dates FROM roles),
-    t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw, '{S.DATES}', '', 'g'), '^{_EDGE}', ''), '[\s.,–—(|:;)-]+$', '') AS title FROM h)
-    SELECT doc_id, section_no::INT AS section_no, role_no::INT AS role_no, CASE WHEN dates = '' OR title = '' THEN raw ELSE title END AS title, dates FROM t"""
+    rf"""{_C}, {_JOINED}, {_ROLES}, h AS (SELECT *, trim({_CASED}) AS raw FROM roles), d AS (SELECT *, regexp_extract(raw, '(?i){_DATED}') AS found FROM h),
+    t AS (SELECT *, regexp_replace(regexp_replace(replace(raw, found, ''), '^{_EDGE}', ''), '[\s.,–—(|:;)-]+$', '') AS title FROM d)
+    SELECT doc_id, section_no::INT AS section_no, role_no::INT AS role_no, CASE WHEN found = '' OR title = '' THEN raw ELSE title END AS title, trim(found) AS dates FROM t"""
 )
 def role_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = O.role_table(O.assign_roles(O.assign_sections(O.coalesce_bullets(_lines(spark, sf_dir)))))
-    return roles.select("doc_id", "section_no", "role_no", S.split_role_header("header").alias("h")).select("doc_id", "section_no", "role_no", "h.*")
+    return roles.select("doc_id", "section_no", "role_no", S.split_role_header(F.expr(_CASED)).alias("h")).select("doc_id", "section_no", "role_no", "h.*")
+
+
+#: A third each: bullets with glyphs inside, lines that begin with verbs, sentences that end lines.
+_RUN_TOGETHER = f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN concat('Built it ', replace(replace(text, '•', ''), '. ', concat(' ', chr(10), ' Led a ')), chr(10), 'Kept') ELSE replace(replace(text, '•', ''), '. ', concat('.', chr(10))) END AS text FROM ({CVS}) AS cvs"
 
 
 @query(
-    rf"""WITH cvs AS ({CVS}), c AS (SELECT doc_id, trim(text) AS c, string_split_regex(trim(text), '\n\s*[•▪●◦]\s*') AS inside FROM cvs),
-    p AS (SELECT doc_id, CASE WHEN length(c) < 100 THEN [c] WHEN len(inside) > 1 THEN inside WHEN length(c) > 250 AND len(string_split(c, chr(10))) >= 3 THEN string_split(regexp_replace(c, '\.\s*\n\s*', '.' || chr(1), 'g'), chr(1)) ELSE [c] END AS parts FROM c),
+    rf"""WITH m AS ({_RUN_TOGETHER}), c AS (SELECT doc_id, trim(text) AS c FROM m), l AS (SELECT *, string_split_regex(c, '\s*\n\s*') AS rows FROM c),
+    n AS (SELECT *, len(list_filter(rows, lambda r: regexp_matches(r, '^(Built|Led)\b'))) AS led FROM l),
+    p AS (SELECT doc_id, CASE WHEN length(c) < 100 THEN [c] WHEN regexp_matches(c, '\n\s*[•▪●◦]') THEN string_split_regex(c, '\n\s*[•▪●◦]\s*') WHEN length(c) > 250 AND led >= 2 AND 2 * led >= len(rows) - len(rows) % 2 THEN rows
+        WHEN length(c) - length(replace(c, chr(10), '')) >= 2 AND length(c) > 250 THEN list_transform(string_split_regex(c, '\.\s*\n\s*'), lambda x, i: CASE WHEN i < len(string_split_regex(c, '\.\s*\n\s*')) THEN x || '.' ELSE x END) ELSE [c] END AS parts FROM n),
     b AS (SELECT doc_id, list_filter([trim(regexp_replace(x, '^\s*[•▪●◦]\s*', '')) for x in parts], lambda x: x <> '') AS parts FROM p)
     SELECT doc_id, unnest(parts) AS bullet, (generate_subscripts(parts, 1) - 1)::INT AS i FROM b"""
 )
 def split_mega_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cvs(spark, sf_dir).select("doc_id", F.posexplode(S.split_mega_bullets("text")).alias("i", "bullet"))
+    return bound(spark, sf_dir, _RUN_TOGETHER, "documents").select("doc_id", F.posexplode(S.split_mega_bullets("text")).alias("i", "bullet"))

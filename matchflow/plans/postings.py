@@ -61,9 +61,13 @@ def limit_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.limit_per_source(postings(spark, sf_dir), 25, "seq").select("seq", "source", "title")
 
 
-@query(f"{_P} SELECT seq, source FROM p WHERE title = 'Chef' AND source = (SELECT source FROM p WHERE title = 'Chef' ORDER BY CASE source WHEN 'Glassdoor' THEN 0 WHEN 'LinkedIn' THEN 1 ELSE 2 END LIMIT 1)")
+@query(
+    f"""{_P}, s AS (SELECT seq, title, location, source, CASE source WHEN 'Glassdoor' THEN 0 WHEN 'LinkedIn' THEN 1 ELSE 2 END AS place FROM p)
+    SELECT seq, title, location, source FROM s QUALIFY place = min(place) OVER (PARTITION BY title, location)"""
+)
 def first_nonempty_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.first_nonempty_source(postings(spark, sf_dir).filter("title = 'Chef'"), "Glassdoor").select("seq", "source")
+    """Each title and location as a search."""
+    return P.first_nonempty_source(postings(spark, sf_dir), "Glassdoor", ["title", "location"]).select("seq", "title", "location", "source")
 
 
 @query(

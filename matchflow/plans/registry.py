@@ -73,7 +73,7 @@ LABELS = "Fresher (0-1 yrs)|Entry / Associate|Mid-level|Senior (6-10)|Lead / Man
 
 def pick(expr: str, values: list[str]) -> str:
     """SQL that picks a text by an expression's remainder."""
-    return f"CASE {expr} % {len(values)} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+    return f"CASE ({expr}) % {len(values)} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
 
 
 #: Orders as job postings and as candidates.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchflow.functions import text as X
 from matchflow.operators import review as V
-from matchflow.plans.postings import JOB_LEVEL
+from matchflow.plans.postings import JOB_LEVEL, MOST_YEARS, YEARS
 from matchflow.plans.registry import POSTINGS, bound, query, table
 
 
@@ -101,12 +101,13 @@ def split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _talk(spark, sf_dir).select("conv_id", "turn", X.split_tokens("text", reply, (F.col("conv_id") % 500).cast("int")).alias("s")).select("conv_id", "turn", "s.*")
 
 
-_ERRORS = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'HTTP 429 for ' || user_id WHEN 1 THEN 'Rate limit. Please try again in 2m3.5s' WHEN 2 THEN 'Please try again in ' || user_id || '.25s' WHEN 3 THEN 'Invalid API key' WHEN 4 THEN 'RESOURCE_EXHAUSTED' ELSE 'connection refused' END AS error FROM events"""
+_ERRORS = """SELECT event_id, user_id, CASE event_id % 9 WHEN 0 THEN 'HTTP 429 for ' || user_id WHEN 1 THEN 'Rate limit. Please try again in 2m3.5s' WHEN 2 THEN 'Please try again in ' || user_id || '.25s' WHEN 3 THEN 'Invalid API key' WHEN 4 THEN 'RESOURCE_EXHAUSTED'
+    WHEN 5 THEN 'Retry_Delay {' || chr(10) || ' seconds: ' || user_id || ' }' WHEN 6 THEN 'quota. Please retry in ' || user_id || '.5s' WHEN 7 THEN 'please retry in 9s' ELSE 'connection refused' END AS error FROM events"""
 
 
 @query(
-    f"""WITH e AS ({_ERRORS}) SELECT event_id, CASE WHEN regexp_matches(lower(error), '429|too many requests|resource_exhausted|quota|rate limit') THEN 'rate_limit' WHEN regexp_matches(lower(error), '401|invalid api key|invalid_api_key|authentication') THEN 'auth' ELSE 'other' END AS kind,
-    CASE WHEN error LIKE '%2m3.5s%' THEN 123.5 WHEN error LIKE 'Please%' THEN regexp_extract(error, 'in ([0-9.]+)s', 1)::DOUBLE ELSE 60.0 END::DOUBLE AS seconds FROM e"""
+    f"""WITH e AS ({_ERRORS}) SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'rate_limit' WHEN 3 THEN 'auth' WHEN 4 THEN 'rate_limit' WHEN 6 THEN 'rate_limit' ELSE CASE WHEN contains(error, '429') THEN 'rate_limit' WHEN contains(error, '401') THEN 'auth' ELSE 'other' END END AS kind,
+    CASE event_id % 9 WHEN 1 THEN 123.5 WHEN 2 THEN user_id + 0.25 WHEN 5 THEN user_id WHEN 6 THEN user_id + 0.5 ELSE 60 END::DOUBLE AS seconds FROM e"""
 )
 def classify_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound(spark, sf_dir, _ERRORS, "events").select("event_id", X.classify_error("error").alias("kind"), X.retry_seconds("error").alias("seconds"))
@@ -123,10 +124,15 @@ def distinct_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", X.distinct_id(F.col("c_custkey").cast("string"), mail).alias("distinct_id"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, len(json_keys(props))::INT AS n FROM events")
+_BAGS = """SELECT event_id, concat('{"k": ', event_id % 7, ', "list": [1, {"a": 2}, "x", [3]], "deep": {"b": ', user_id, '}, "flag": true, "type": "', event_type, '"}') AS bag FROM events"""
+
+
+@query(
+    """SELECT event_id, (event_id % 7)::VARCHAR AS k, '["1","x"]' AS list, '{"b":' || user_id || '}' AS deep, 'true' AS flag, event_type AS type, 5 AS n FROM events"""
+)
 def safe_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bag = F.from_json("props", "map<string,string>")
-    return table(spark, sf_dir, "events").select("event_id", bag["k"].alias("k"), F.size(bag).alias("n"))
+    bag = bound(spark, sf_dir, _BAGS, "events").select("event_id", X.safe_props("bag").alias("p"))
+    return bag.select("event_id", *(F.col("p")[k].alias(k) for k in ("k", "list", "deep", "flag", "type")), F.size("p").alias("n"))
 
 
 _ANSWERS = f"""SELECT seq, title, (seq % 6)::INT AS cand_level, CASE seq % 7 WHEN 0 THEN 'no json here ' || seq WHEN 1 THEN '' ELSE 'Sure: {{"match_score": ' || (seq % 140) || ', "score": ' || (seq % 140) || ', "reasoning": "r' || seq || '", "verdict": "' || CASE seq % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'retry' ELSE '' END
@@ -147,6 +153,21 @@ def resolve_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.resolve_match(_answers(spark, sf_dir), "raw", "title", "cand_level").select("seq", "score", "reasoning")
 
 
+_RULED = f"""SELECT a.*, CASE a.seq % 11 WHEN 0 THEN 'too short' ELSE description END AS description, CASE a.seq % 13 WHEN 0 THEN 'x' ELSE repeat('A long CV. ', 6) END AS cv FROM ({_ANSWERS}) AS a JOIN (SELECT seq, description FROM ({POSTINGS}) AS q) AS p ON a.seq = p.seq"""
+
+
+@query(
+    f"""WITH r AS ({_RULED}), g AS (SELECT *, {JOB_LEVEL} - cand_level AS gap, {YEARS} AS years, {_SCORE} AS s FROM r),
+    w AS (SELECT *, CASE WHEN seq % 11 = 0 THEN 'description too short' WHEN seq % 13 = 0 THEN 'cv too short' WHEN gap >= 2 OR gap <= -3 THEN 'level gap' WHEN years > 0 AND years > {MOST_YEARS} + 4 THEN 'years asked' END AS rule FROM g)
+    SELECT seq, CASE WHEN rule LIKE '%short' THEN 0 WHEN rule = 'level gap' THEN CASE WHEN gap >= 2 THEN 30 ELSE 40 END WHEN rule = 'years asked' THEN 25 WHEN {_BAD} THEN 0 ELSE greatest(0, CASE WHEN gap > 0 THEN s - gap * 15 WHEN gap < 0 THEN s - least(-gap * 5 + (-gap - 1) * 2, 20) ELSE s END) END::INT AS score,
+    CASE WHEN rule IS NOT NULL THEN rule WHEN {_BAD} THEN left(raw, 300) ELSE 'r' || seq END AS reasoning FROM w"""
+)
+def resolve_match_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions and CVs that are too short, levels and years come before an answer."""
+    r = bound(spark, sf_dir, _RULED, "orders").withColumn("missing_skills", F.array().cast("array<string>"))
+    return V.resolve_match(r, "raw", "title", "cand_level", cv="cv", description="description").select("seq", "score", "reasoning")
+
+
 @query(
     f"""WITH a AS ({_ANSWERS}), s AS (SELECT *, CASE WHEN {_EMPTY} THEN 55 WHEN {_BAD} THEN 50 ELSE {_SCORE} END::INT AS score FROM a)
     SELECT seq, score, CASE WHEN {_BAD} THEN 'retry' WHEN seq % 3 = 0 THEN 'accept' WHEN seq % 3 = 1 THEN 'retry' WHEN score >= 65 THEN 'accept' ELSE 'retry' END AS verdict, CASE WHEN {_BAD} THEN '' ELSE 'abcde' END AS strengths FROM s"""

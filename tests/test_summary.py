@@ -38,10 +38,10 @@ def test_foreign_names(spark):
 
 
 def test_absorbed_bullets_and_projects(spark):
-    cv = roles("Apply Smart  Tech Stack: Python", "Projects", "Drove five percent user growth and retention", "too short")
+    cv = roles("Cedar Ports  Tech Stack: Python", "Projects", "Drove five percent user growth and retention", "too short")
     texts = ["A builder. Drove 5 percent user growth and retention. The end.", "A builder of many things over years of work.", ""]
     assert one(spark, lambda t: S.absorbed_bullet(t, cv), *texts) == [True, False, False]
-    assert one(spark, lambda o, n: S.project_dropped(o, n, cv), ("made apply smart", "made things"), ("made apply smart", "APPLY SMART too"), ("made", "made")) == ["Apply Smart", None, None]
+    assert one(spark, lambda o, n: S.project_dropped(o, n, cv), ("made cedar ports", "made things"), ("made cedar ports", "CEDAR PORTS too"), ("made", "made")) == ["Cedar Ports", None, None]
 
 
 def test_letters_lose_template_phrases(spark):
