@@ -127,19 +127,3 @@ def split_missing(df: DataFrame, missing: str, matched: str, cv: str) -> DataFra
 def validate_inputs(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """df with `errors`, the names of all rules that a row fails."""
     return df.withColumn("errors", F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items())), lambda e: e.isNotNull()))
-
-
-def retrieve_topk(queries: DataFrame, chunks: DataFrame, k: int, collection: str = "doc_fp", vector: str = "embedding") -> DataFrame:
-    """The k nearest chunks of each query within its collection, by squared L2 distance.
-
-    A collection is cut into slices that each meet all its queries, so a large one spreads over tasks. Distances
-    are kept without vectors; the k best are found per slice, then over the slices.
-    """
-    asked = queries.select("query_id", collection, F.col(vector).alias("__q"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("__slice"))
-    sliced = chunks.select("chunk_id", collection, F.col(vector).alias("__c"), F.pmod(F.xxhash64("chunk_id"), F.lit(SLICES)).cast("int").alias("__slice"))
-    pair = asked.join(sliced, [collection, "__slice"])
-    squares = F.aggregate(F.zip_with("__q", "__c", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    near = pair.select("query_id", "chunk_id", squares.alias("distance"), "__slice")
-    w = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "chunk_id"))
-    best = near.withColumn("__n", w("query_id", "__slice")).filter(F.col("__n") <= k).drop("__n")
-    return best.withColumn("rank", w("query_id")).filter(F.col("rank") <= k).drop("__slice")

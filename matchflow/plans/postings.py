@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from matchflow.functions import levels as L
 from matchflow.functions import text as X
 from matchflow.operators import postings as P
+from matchflow.operators import retrieval as R
 from matchflow.plans.registry import CANDIDATES, POSTINGS, bound, candidates, postings, query, runs, table
 
 _P = f"WITH p AS ({POSTINGS})"
@@ -188,5 +189,17 @@ def split_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "doc_fp")
-    found = P.retrieve_topk(v.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "chunk_id"), 10)
-    return found.withColumn("distance", F.round("distance", 9))
+    found = R.retrieve_topk(v.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "chunk_id"), 10)
+    return found.select("query_id", "chunk_id", F.round("distance", 9).alias("distance"), "rank")
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 100 = 0),
+    d AS (SELECT query_id, vec_id AS chunk_id, list_sum([(x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE) for x in list_zip(a, embedding)]) AS distance FROM q CROSS JOIN embeddings)
+    SELECT query_id, chunk_id, round(distance, 9) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id)::INT AS rank FROM d QUALIFY rank <= 10"""
+)
+def retrieve_topk_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as one collection; every hundredth id is a query, against all rows."""
+    v = table(spark, sf_dir, "embeddings").withColumn("doc_fp", F.lit("all")).drop("label")
+    found = R.retrieve_topk(v.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "chunk_id"), 10)
+    return found.select("query_id", "chunk_id", F.round("distance", 9).alias("distance"), "rank")
