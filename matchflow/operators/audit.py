@@ -122,12 +122,37 @@ def salient_terms(docs: DataFrame, text: str, stop: list[str], most: int = 28) -
     return strong.withColumn("place", F.row_number().over(w.orderBy(F.desc("n"), "term"))).filter(F.col("place") <= most).drop("__strong")
 
 
+def vocabulary(docs: DataFrame, key: str, *texts: str) -> DataFrame:
+    """The distinct terms of each key's texts: words of two characters or more, and pairs of neighbouring words, in lower case.
+
+    A row's texts are joined by a space first. Null texts count as empty; a key without words has no row.
+    """
+    words_ = F.filter(F.split(F.lower(F.concat_ws(" ", *texts)), "[^a-z0-9+]+"), lambda w: w != "")
+    rows = docs.select(key, words_.alias("__w"))
+    pairs = F.transform(F.slice("__w", F.lit(2), F.greatest(F.size("__w") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get("__w", i), w))
+    terms = F.array_distinct(F.concat(F.filter("__w", lambda w: F.length(w) >= 2), pairs))
+    return rows.select(key, F.explode(terms).alias("term")).distinct()
+
+
 def novel_terms(source: DataFrame, target: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct terms of each pair's targets that its sources lack, also with an s more or less; both have pair_id."""
-    terms = lambda df: df.select("pair_id", F.explode(F.array_distinct(terms_of(text))).alias("term"))
-    known = terms(source)
-    every = known.union(known.select("pair_id", F.concat("term", F.lit("s")))).union(known.select("pair_id", F.regexp_replace("term", "s$", ""))).distinct()
-    return terms(target).distinct().join(every, ["pair_id", "term"], "left_anti")
+    """Distinct terms of each pair's targets that its sources lack, also with an s more or less; both have pair_id.
+
+    Source terms are added up to one row for each term without its last s: whether the bare word is there, and whether the one
+    with an s is. A target's term asks for the rows that it can be known by: one, or up to three if it ends in s.
+    """
+    each = lambda df: df.select("pair_id", F.explode(F.array_distinct(terms_of(text))).alias("term"))
+    bare = lambda t: F.regexp_replace(t, "s$", "")
+    here, plural = 1, 2
+    known = each(source).groupBy("pair_id", bare("term").alias("base")).agg(F.bit_or(F.when(F.col("term").endswith("s"), plural).otherwise(here)).alias("has"))
+    ask = lambda base, forms: F.struct(base.alias("base"), F.lit(forms).alias("forms"))
+    term, cut = F.col("term"), bare("term")
+    # a word t is known by t and ts; us by u, us and uss, where u may end in s itself
+    asked = F.when(~term.endswith("s"), F.array(ask(term, here | plural))).when(~cut.endswith("s"), F.array(ask(cut, here | plural), ask(term, plural))).otherwise(F.array(ask(cut, plural), ask(term, plural), ask(bare(cut), plural)))
+    wanted = each(target).distinct().withColumn("a", F.explode(asked)).select("pair_id", "term", "a.base", "a.forms")
+    met = wanted.join(known, ["pair_id", "base"], "left").withColumn("hit", F.coalesce(F.col("has").bitwiseAND(F.col("forms")) != 0, F.lit(False)))
+    plain = met.filter(~F.col("term").endswith("s") & ~F.col("hit")).select("pair_id", "term")
+    ending = met.filter(F.col("term").endswith("s")).groupBy("pair_id", "term").agg(F.max("hit").alias("hit")).filter(~F.col("hit")).select("pair_id", "term")
+    return plain.union(ending)
 
 
 def merge_terms(df: DataFrame, key: str, first: str, second: str) -> DataFrame:
@@ -154,50 +179,3 @@ def scrub_terms(phrase: Column | str, terms: Column | str) -> Column:
 def key_tokens(text: Column | str) -> Column:
     parts = F.split(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), "[^a-z0-9]+")
     return F.array_distinct(F.filter(parts, lambda w: (F.length(w) >= 2) & ~w.isin(*KEY_STOP_WORDS) & ~w.rlike("^[0-9]+$")))
-
-
-def resolve_keys(keys: DataFrame, headers: DataFrame, least: float = 0.60) -> DataFrame:
-    """Each key's header: equal, else the first that contains or begins it either way, else the best token overlap.
-
-    keys: doc_id, key. headers: doc_id, header, place. Unmatched keys get a null header.
-    """
-    # a repeated header can only win at its first place
-    once = headers.groupBy("doc_id", "header").agg(F.min("place").alias("place"))
-    pair = keys.join(once, "doc_id")
-    k, h = F.lower(F.trim("key")), F.lower(F.trim("header"))
-    kt, ht = key_tokens("key"), key_tokens("header")
-    overlap = F.when(F.size(kt) > 0, F.size(F.array_intersect(kt, ht)) / F.size(kt)).otherwise(0.0)
-    tier = F.when(k == h, 0).when((k != "") & (h.startswith(k) | k.startswith(h) | h.contains(k)), 1).when(overlap >= least, 2)
-    rank = F.struct(tier.alias("tier"), F.when(tier == 2, -overlap).otherwise(0.0).alias("o"), F.when(tier == 2, F.length("header")).otherwise(0).alias("n"), F.col("place"))
-    best = pair.withColumn("__rank", rank).filter(tier.isNotNull()).groupBy("doc_id", "key").agg(F.min_by("header", "__rank").alias("header"))
-    return keys.join(best, ["doc_id", "key"], "left")
-
-
-def batch_similarity(docs: DataFrame, batch: str, least: float = 0.70) -> DataFrame:
-    """Links of a batch's texts whose token sets have a Jaccard similarity of `least` or more: a, b, similarity.
-
-    Texts of equal sets are a class: its first text is linked to each other one (similarity 1), and only first
-    texts are linked to those of other classes, so copies never form pairs among themselves.
-
-    Prefix filtering: tokens are ordered by how rare they are, and a pair can only reach the threshold if
-    the rarest tokens of both, as many as their sizes allow, share one; so candidates meet on rare tokens.
-    """
-    every = docs.select(batch, "doc_id", F.sort_array(F.array_distinct(terms_of("text"))).alias("tokens")).filter(F.size("tokens") > 0)
-    every = every.withColumn("class", F.sha2(F.array_join("tokens", " "), 256))
-    classes = every.groupBy(batch, "class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("texts"))
-    copies = every.join(classes.filter("texts > 1"), [batch, "class"]).filter("doc_id > first")
-    sets = every.join(classes.select(batch, F.col("first").alias("doc_id")), [batch, "doc_id"]).select(batch, "doc_id", "tokens", F.size("tokens").alias("size"))
-    each = sets.select(batch, "doc_id", "size", F.explode("tokens").alias("token"))
-    rare = each.groupBy(batch, "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    w = Window.partitionBy(batch, "doc_id")
-    shared = each.join(rare, [batch, "token"])
-    # the tokens that no other text has come first in the order, so they use up places of the prefix
-    placed = shared.withColumn("at", F.row_number().over(w.orderBy("df", "token")) + F.col("size") - F.count(F.lit(1)).over(w))
-    prefix = placed.filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select(batch, "doc_id", "token", "size")
-    a, b = prefix.select(batch, "token", F.col("doc_id").alias("a"), F.col("size").alias("m")), prefix.select(batch, "token", F.col("doc_id").alias("b"), F.col("size").alias("n"))
-    met = a.join(b, [batch, "token"]).filter((F.col("a") < F.col("b")) & (F.least("m", "n") >= F.greatest("m", "n") * least)).select(batch, "a", "b").distinct()
-    ta, tb = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    out = met.join(ta, "a").join(tb, "b").withColumn("similarity", F.round(both / (F.size("x") + F.size("y") - both), 6))
-    linked = out.filter(F.col("similarity") >= least).select(batch, "a", "b", "similarity")
-    return linked.union(copies.select(batch, F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))

@@ -175,18 +175,43 @@ def extraction_coverage(df: DataFrame, source_chars: str, converted_chars: str,
 SECTION_WORDS = r"(?i)\b(summary|experience|education|skills|projects|certifications)\b"
 
 
-def document_quality(docs: DataFrame, text: str = "text", keep: tuple = ()) -> DataFrame:
-    """chars, ascii, sections and bullets measured, then score, status and what lowered it; `keep` are further columns of docs."""
+# Personal details that designers' templates put beside the text.
+DESIGNER_TOKENS = r"(?i)\bDOB\b|\bdate of birth\b|\bmarital status\b|\bnationality\b|\b(?:male|female|gender)\b|\bSCHOLASTIC\s+RECORD\b"
+MOST_PAGES = 12
+
+
+def document_quality(docs: DataFrame, text: str = "text", keep: tuple = (), layout: DataFrame | None = None) -> DataFrame:
+    """chars, ascii, sections and bullets measured, then score, status, and what lowered it (warnings) or blocks it (errors); `keep` are further columns of docs.
+
+    layout: doc_id, pages, columns and has_sidebar of the documents that have one, a row each. Over MOST_PAGES pages, and columns, a
+    sidebar or personal details of a designer's template lower the score too; a document of no pages is blocked.
+    """
     t = F.coalesce(text, F.lit(""))
     words = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(SECTION_WORDS), F.lit(1)), lambda w: F.lower(w)))
-    measured = docs.select("doc_id", *keep, F.length(F.trim(t)).alias("chars"), F.round(ascii_ratio(t), 3).alias("ascii"), F.size(words).alias("sections"), F.regexp_count(t, F.lit("[•▪●◦]")).alias("bullets"))
-    blocked = F.col("chars") < 200
-    lows = {"short": (F.col("chars") < 400, 15), "non_ascii": (F.col("ascii") < 0.7, 20), "few_sections": (F.col("sections") < 2, 15), "few_bullets": (F.col("bullets") < 3, 10)}
+    measured = docs.select(
+        "doc_id", *keep, F.length(F.trim(t)).alias("chars"), F.round(ascii_ratio(t), 3).alias("ascii"), F.size(words).alias("sections"), F.regexp_count(t, F.lit("[•▪●◦]")).alias("bullets"), t.rlike(DESIGNER_TOKENS).alias("personal")
+    )
+    pages, columns, sidebar = F.lit(1), F.lit(1), F.lit(False)
+    if layout is not None:
+        measured = measured.join(layout.select("doc_id", "pages", "columns", "has_sidebar"), "doc_id", "left")
+        pages, columns, sidebar = F.coalesce("pages", pages), F.coalesce("columns", columns), F.coalesce("has_sidebar", sidebar)
+    errors = {"no_text": F.col("chars") < 200, "no_pages": pages < 1}
+    severity = F.least(F.lit(35), F.lit(15) + F.when(sidebar, 10).otherwise(0) + F.when(F.col("personal"), 10).otherwise(0))
+    lows = {
+        "long": (pages > MOST_PAGES, 10),
+        "short": (F.col("chars") < 400, 15),
+        "non_ascii": (F.col("ascii") < 0.7, 20),
+        "few_sections": (F.col("sections") < 2, 15),
+        "few_bullets": (F.col("bullets") < 3, 10),
+        "designer": ((columns >= 2) | sidebar | F.col("personal"), severity),
+    }
     score = F.lit(100)
     for test, penalty in lows.values():
         score = score - F.when(test, penalty).otherwise(0)
-    warnings = F.filter(F.array(*(F.when(test, name) for name, (test, _) in lows.items())), lambda x: x.isNotNull())
-    out = measured.withColumn("score", F.when(blocked, 0).otherwise(F.greatest(score, F.lit(0)))).withColumn("warnings", F.when(blocked, F.array().cast("array<string>")).otherwise(warnings))
+    named = lambda tests: F.filter(F.array(*(F.when(test, name) for name, test in tests.items())), lambda x: x.isNotNull())
+    blocked = F.size("errors") > 0
+    out = measured.withColumn("errors", named(errors)).withColumn("score", F.when(blocked, 0).otherwise(F.greatest(score, F.lit(0))))
+    out = out.withColumn("warnings", F.when(blocked, F.array().cast("array<string>")).otherwise(named({k: test for k, (test, _) in lows.items()})))
     return out.withColumn("status", F.when(blocked, "block").when(F.size("warnings") > 0, "warn").otherwise("pass"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchflow.functions.levels import job_level, level_gap_exit, level_gap_penalty, posting_years, unscorable, years_exit
 from matchflow.functions.text import extract_json, let, words
+from matchflow.operators.keys import containing_headers
 from matchflow.operators.postings import split_missing
 
 MATCH = "match_score double, matched_skills array<string>, missing_skills array<string>, reasoning string"
@@ -125,13 +126,16 @@ def lead_words(text: Column) -> Column:
 def clean_leads(leads: DataFrame, bullets: DataFrame) -> DataFrame:
     """leads (doc_id, header, i, lead_with) with the lead blanked that is over nine content words long or begins as its bullet does.
 
-    bullets: doc_id, header, i, text; a lead whose bullet is not there stays.
+    bullets: doc_id, header, place (of the header), i, text. A lead's header means the first one that contains it, or that it
+    contains; a lead whose bullet is not there stays.
     """
-    joined = leads.join(bullets.select("doc_id", "header", "i", F.col("text").alias("__text")), ["doc_id", "header", "i"], "left")
+    meant = containing_headers(leads.select("doc_id", F.col("header").alias("key")), bullets.select("doc_id", "header", "place")).select("doc_id", F.col("key").alias("header"), F.col("header").alias("__header"))
+    texts = bullets.groupBy("doc_id", F.col("header").alias("__header"), "i").agg(F.min("text").alias("__text"))
+    joined = leads.join(meant, ["doc_id", "header"], "left").join(texts, ["doc_id", "__header", "i"], "left")
     lead, opening = lead_words(F.col("lead_with")), F.slice(lead_words(F.col("__text")), 1, 8)
     echo = (F.size(lead) >= 3) & (F.size(opening) >= 3) & (F.slice(lead, 1, 3) == F.slice(opening, 1, 3))
     bad = F.col("__text").isNotNull() & ((F.size(lead) > 9) | echo)
-    return joined.withColumn("lead_with", F.when(bad, "").otherwise(F.trim(F.coalesce("lead_with", F.lit(""))))).drop("__text")
+    return joined.withColumn("lead_with", F.when(bad, "").otherwise(F.trim(F.coalesce("lead_with", F.lit(""))))).drop("__text", "__header")
 
 
 def resolve_strategy(df: DataFrame, raw: str) -> DataFrame:

@@ -145,24 +145,41 @@ def weekly_active(events: DataFrame) -> DataFrame:
     return events.groupBy(F.to_date(F.date_trunc("week", "ts")).alias("week")).agg(F.countDistinct("distinct_id").alias("users"))
 
 
+#: Length of the slices of a user's time that are summed up on their own, so that no user's events come together.
+SLICE_SECONDS = 3600
+
+
 def funnel(events: DataFrame, steps: list[str], days: int = 7) -> DataFrame:
-    """Users that reach each step in order within the window from their first step.
+    """Users that reach each step in order within the window from their first step; equal times count as in order.
 
-    Step by step: the earliest event of a step at or after the step before; one aggregate for each step.
+    Only the steps' events are read, once. A slice of a user's time becomes what it does to a user who enters it at each
+    level: when the following levels are reached. The slices of a user, at most one an hour, are then
+    composed in order; where the window ends decides how many of a slice's levels count. So a user of very many events is split
+    by slices, and the second shuffle carries slices, not events.
     """
-    of = lambda step: events.filter(F.col("event") == step).select("distinct_id", F.col("ts").alias("at"))
-    reached = of(steps[0]).groupBy("distinct_id").agg(F.min("at").alias("start")).withColumn("last", F.col("start"))
-    parts = []
-    for k, step in enumerate(steps):
-        if k:
-            within = (F.col("at") >= F.col("last")) & (F.col("at") <= F.col("start") + F.expr(f"interval {days} days"))
-            reached = reached.join(of(step), "distinct_id").filter(within).groupBy("distinct_id").agg(F.min("start").alias("start"), F.min("at").alias("last"))
-        parts.append(reached.agg(F.lit(k + 1).alias("step"), F.lit(step).alias("event"), F.count(F.lit(1)).alias("users")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    first = parts[0].select(F.col("users").alias("first_users"))
-    return out.crossJoin(F.broadcast(first)).select("step", "event", "users", ratio(F.col("users"), F.col("first_users")).alias("conversion"))
+    if len({*steps}) < len(steps):
+        raise ValueError("the steps of a funnel differ")
+    step = F.array_position(F.array(*map(F.lit, steps)), F.col("event")).cast("int") - 1
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    told = events.filter(F.col("event").isin(*steps)).select("distinct_id", at.alias("at"), step.alias("step"))
+    slices = told.groupBy("distinct_id", F.floor(F.col("at") / (SLICE_SECONDS * 1_000_000)).alias("slice")).agg(F.sort_array(F.collect_set(F.struct("at", "step"))).alias("seen"))
+    none = F.array().cast("array<bigint>")
+    # entering at a level: the times of the next levels, as the slice's events reach them
+    reached = lambda level: F.aggregate("seen", none, lambda times, e: F.when(e["step"] == F.size(times) + level, F.concat(times, F.array(e["at"]))).otherwise(times))
+    effects = slices.select("distinct_id", "slice", F.array(*map(reached, range(len(steps)))).alias("effects"))
+    state = F.struct(F.lit(0).alias("level"), F.lit(None).cast("bigint").alias("start"))
+
+    def enter(now: Column, part: Column) -> Column:
+        times = F.coalesce(F.get(part["effects"], now["level"]), none)
+        start = F.coalesce(now["start"], F.get(times, F.lit(0)))
+        in_time = F.size(F.filter(times, lambda t: t <= start + days * 86_400_000_000))
+        return F.struct((now["level"] + in_time).alias("level"), start.alias("start"))
+
+    users = effects.groupBy("distinct_id").agg(F.sort_array(F.collect_list(F.struct("slice", "effects"))).alias("parts"))
+    levels = users.select(F.aggregate("parts", state, enter)["level"].alias("level"))
+    counts = levels.agg(*(F.count_if(F.col("level") > k).alias(f"__{k}") for k in range(len(steps))))
+    rows = F.explode(F.array(*(F.struct(F.lit(k + 1).alias("step"), F.lit(s).alias("event"), F.col(f"__{k}").alias("users"), ratio(F.col(f"__{k}"), F.col("__0")).alias("conversion")) for k, s in enumerate(steps))))
+    return counts.select(rows.alias("r")).select("r.*")
 
 
 def retention(events: DataFrame, start: str, returns: str, periods: int = 8) -> DataFrame:
@@ -186,3 +203,29 @@ def totals_per_day(events: DataFrame, event: str) -> DataFrame:
 
 def totals_by(events: DataFrame, prop: Column, name: str) -> DataFrame:
     return events.groupBy(prop.alias(name)).agg(F.count(F.lit(1)).alias("total"))
+
+
+#: Sizes of the sketches: about 0.8 % and 0.6 % standard error.
+USERS_LOG2, VALUES_K = 14, 400
+
+
+def daily_sketches(events: DataFrame, value: str = "value") -> DataFrame:
+    """A row for each day and event: how many there are, and mergeable sketches of their users and values.
+
+    Each is a few KB whatever the day holds, so any period is answered from its days without reading events again.
+    """
+    days = events.groupBy(F.to_date("ts").alias("day"), "event")
+    return days.agg(F.count(F.lit(1)).alias("events"), F.hll_sketch_agg("distinct_id", USERS_LOG2).alias("users"), F.kll_sketch_agg_double(F.col(value).cast("double"), VALUES_K).alias("values"))
+
+
+def merged_sketches(daily: DataFrame, period: str, *keys: str) -> DataFrame:
+    """period (week, month, quarter or year: its first day), keys, events, users (estimated), p50 and p90 (estimated), of daily_sketches merged."""
+    merged = daily.groupBy(F.to_date(F.date_trunc(period, "day")).alias(period), *keys).agg(F.sum("events").alias("events"), F.hll_union_agg("users").alias("users"), F.kll_merge_agg_double("values").alias("values"))
+    quantile = lambda q: F.kll_sketch_get_quantile_double("values", F.lit(q))
+    return merged.select(period, *keys, "events", F.hll_sketch_estimate("users").alias("users"), quantile(0.5).alias("p50"), quantile(0.9).alias("p90"))
+
+
+def weekly_throughput(sent: DataFrame) -> DataFrame:
+    """Applications sent per active user and week: distinct_id, ts and sent of each run; a user is active in a week with a run in it."""
+    weeks = sent.groupBy("distinct_id", F.date_trunc("week", "ts").alias("week")).agg(F.sum(F.col("sent").cast("long")).alias("sent"))
+    return weeks.agg(F.sum("sent").alias("sent"), F.count(F.lit(1)).alias("user_weeks"), ratio(F.sum("sent"), F.count(F.lit(1))).alias("throughput"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from matchflow.functions import guards as G
 from matchflow.functions import summary as S
 from matchflow.operators import audit as A
+from matchflow.operators.keys import resolve_keys as resolved_keys
+from matchflow.operators.similarity import batch_similarity as batch_similarity_links
 from matchflow.plans.registry import bound, query, table
 
 #: Each turn as an original with a figure and a name of its own, and a rewrite that breaks a guard or none.
@@ -152,6 +154,14 @@ def novel_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.novel_terms(c.filter("role = 'user'"), c.filter("role = 'assistant'"))
 
 
+@query(
+    r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(concat_ws(' ', text, source)), '[^a-z0-9+]+'), lambda x: x <> '') AS w FROM documents),
+    t AS (SELECT doc_id, unnest(list_concat(list_filter(w, lambda x: length(x) >= 2), [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM w) SELECT DISTINCT doc_id, term FROM t"""
+)
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.vocabulary(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
 @query(
     """WITH t AS (SELECT doc_id, unnest(list_concat(string_split(text, ' '), string_split_regex(text, '[ .]'))) AS term, generate_subscripts(list_concat(string_split(text, ' '), string_split_regex(text, '[ .]')), 1) AS pos FROM documents),
     m AS (SELECT doc_id, arg_min(trim(term), pos) AS term FROM t WHERE length(trim(term)) >= 3 GROUP BY doc_id, lower(trim(term))) SELECT doc_id, count(*)::INT AS merged, count_if(lower(term) NOT IN ('the', 'and', 'that'))::INT AS kept FROM m GROUP BY doc_id"""
@@ -179,7 +189,7 @@ _HEADERS = "SELECT o_custkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN concat
 def resolve_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = bound(spark, sf_dir, _KEYS, "orders").distinct()
     headers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Acme "), "o_orderpriority")).otherwise("Lead of North, Globex").alias("header"), F.col("o_orderkey").alias("place"))
-    return A.resolve_keys(keys, headers)
+    return resolved_keys(keys, headers)
 
 
 @query(
@@ -188,7 +198,7 @@ def resolve_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source, a, b, round(k / (m + n - k), 6) AS similarity FROM p WHERE round(k / (m + n - k), 6) >= 0.7 UNION ALL SELECT source, first, doc_id, 1.0 FROM c WHERE doc_id > first"""
 )
 def batch_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.batch_similarity(table(spark, sf_dir, "documents"), "source")
+    return batch_similarity_links(table(spark, sf_dir, "documents"), "source")
 
 
 #: What is put before each turn's text, and its parts of each kind; texts have none of these forms but figures.

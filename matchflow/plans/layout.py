@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchflow.functions import letters as C
 from matchflow.functions import text as X
 from matchflow.operators import layout as Y
-from matchflow.operators.outline import SECTION_WORDS, document_quality
+from matchflow.operators.outline import DESIGNER_TOKENS, SECTION_WORDS, document_quality
 from matchflow.operators.postings import dedupe_first, limit_per_source
 from matchflow.plans.postings import YEARS
 from matchflow.plans.registry import bound, query, table
@@ -83,6 +83,29 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.reading_order(l, 612.0).select("doc_id", "line_no", "column", "place")
 
 
+#: Every third document with personal details; pages, columns and sidebars from the placed lines.
+_PERSONAL = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat(text, ' Nationality: none') ELSE text END AS text FROM documents"
+
+
+@query(
+    rf"""{_L}, c AS (SELECT doc_id, least(9, greatest(0, floor(x0 * 10 / 612.0)))::INT AS bin, count(*) AS n FROM l GROUP BY ALL), g AS (SELECT doc_id, sum(n) AS total, [coalesce(list_sum(list_filter(list([bin, n]), lambda e: e[1] = k)[1][2:]), 0)::INT for k in range(10)] AS h FROM c GROUP BY 1),
+    k AS (SELECT *, list_filter(range(10), lambda k: h[k + 1] >= greatest(3, total * 0.1) AND h[k + 1] >= CASE WHEN k > 0 THEN h[k] ELSE 0 END AND h[k + 1] > CASE WHEN k < 9 THEN h[k + 2] ELSE 0 END) AS ks FROM g),
+    f AS (SELECT doc_id, greatest(1, len(ks)) AS columns, len(ks) >= 2 AND ks[1] <= 2 AND h[ks[1] + 1] < 0.7 * list_max(h) AS sidebar FROM k), n AS (SELECT doc_id, count(DISTINCT page) AS pages FROM l GROUP BY 1),
+    t AS (SELECT * FROM ({_PERSONAL}) AS x), m AS (SELECT doc_id, length(trim(text)) AS chars, round(length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) / length(text), 3) AS ascii,
+    len(list_distinct([lower(w) for w in regexp_extract_all(text, '{SECTION_WORDS}', 1)])) AS sections, len(regexp_extract_all(text, '[•▪●◦]')) AS bullets, contains(lower(text), 'nationality:') AS personal FROM t),
+    w AS (SELECT doc_id, chars, CASE WHEN pages > 12 THEN {{'w': 'long', 'p': 10}} END AS a, CASE WHEN chars < 400 THEN {{'w': 'short', 'p': 15}} END AS b, CASE WHEN ascii < 0.7 THEN {{'w': 'non_ascii', 'p': 20}} END AS c, CASE WHEN sections < 2 THEN {{'w': 'few_sections', 'p': 15}} END AS d,
+        CASE WHEN bullets < 3 THEN {{'w': 'few_bullets', 'p': 10}} END AS e, CASE WHEN columns >= 2 OR sidebar OR personal THEN {{'w': 'designer', 'p': least(35, 15 + 10 * sidebar::INT + 10 * personal::INT)}} END AS g FROM m JOIN f USING (doc_id) JOIN n USING (doc_id)),
+    s AS (SELECT doc_id, chars, list_filter([a, b, c, d, e, g], lambda x: x IS NOT NULL) AS all_ FROM w)
+    SELECT doc_id, CASE WHEN chars < 200 THEN 0 ELSE greatest(0, 100 - coalesce(list_sum([x.p for x in all_]), 0)) END::INT AS score, CASE WHEN chars < 200 THEN 'block' WHEN len(all_) > 0 THEN 'warn' ELSE 'pass' END AS status,
+        CASE WHEN chars < 200 THEN '' ELSE array_to_string([x.w for x in all_], ',') END AS warnings, CASE WHEN chars < 200 THEN 'no_text' ELSE '' END AS errors FROM s"""
+)
+def document_quality_with_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = lines(spark, sf_dir).withColumn("x0", F.col("x0").cast("double"))
+    pages = l.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"))
+    found = document_quality(bound(spark, sf_dir, _PERSONAL, "documents"), layout=Y.column_histogram(l, 612.0).join(pages, "doc_id"))
+    return found.select("doc_id", "score", "status", F.array_join("warnings", ",").alias("warnings"), F.array_join("errors", ",").alias("errors"))
+
+
 _LETTERS = "SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN 'I am thrilled: 42% more. ' WHEN 1 THEN 'My passion for synergy. ' ELSE '' END, text, CASE doc_id % 3 WHEN 0 THEN ' and.' ELSE '' END) AS letter, text AS cv FROM documents"
 _PHRASES = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in C.BANNED) + "]"
 _BUZZ = "['dynamic', 'passionate', 'fast-paced', 'rockstar', 'ninja', 'game-changer', 'synergy', 'synergies', 'think outside the box', 'results-driven', 'detail-oriented', 'self-starter']"
@@ -162,9 +185,9 @@ for _pattern, _new in ((r"[\x00-\x08\x0B-\x1F]", ""), *((p.replace("'", "''"), X
 @query(
     f"""WITH safe AS (SELECT doc_id, source, {_SAFE} AS text FROM documents), once AS (SELECT *, substr(sha256(text), 1, 16) AS fingerprint FROM safe QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1),
     m AS (SELECT doc_id, source, fingerprint, {YEARS.replace("description", "text")}::INT AS years, length(trim(text)) AS chars, CASE WHEN text = '' THEN 1.0 ELSE length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / length(text) END AS share,
-    len(list_distinct([lower(w) for w in regexp_extract_all(text, '{SECTION_WORDS}', 1)])) AS sections, len(regexp_extract_all(text, '[•▪●◦]')) AS bullets FROM once),
-    p AS (SELECT *, 100 - CASE WHEN chars < 400 THEN 15 ELSE 0 END - CASE WHEN round(share, 3) < 0.7 THEN 20 ELSE 0 END - CASE WHEN sections < 2 THEN 15 ELSE 0 END - CASE WHEN bullets < 3 THEN 10 ELSE 0 END AS s FROM m),
-    q AS (SELECT doc_id, source, fingerprint, years, round(share, 4) AS ascii, chars::INT AS chars, CASE WHEN chars < 200 THEN 0 ELSE s END::INT AS score, CASE WHEN chars < 200 THEN 'block' WHEN s < 100 THEN 'warn' ELSE 'pass' END AS status FROM p)
+    len(list_distinct([lower(w) for w in regexp_extract_all(text, '{SECTION_WORDS}', 1)])) AS sections, len(regexp_extract_all(text, '[•▪●◦]')) AS bullets, regexp_matches(text, '{DESIGNER_TOKENS}') AS personal FROM once),
+    p AS (SELECT *, 100 - CASE WHEN chars < 400 THEN 15 ELSE 0 END - CASE WHEN round(share, 3) < 0.7 THEN 20 ELSE 0 END - CASE WHEN sections < 2 THEN 15 ELSE 0 END - CASE WHEN bullets < 3 THEN 10 ELSE 0 END - CASE WHEN personal THEN 25 ELSE 0 END AS s FROM m),
+    q AS (SELECT doc_id, source, fingerprint, years, round(share, 4) AS ascii, chars::INT AS chars, CASE WHEN chars < 200 THEN 0 ELSE greatest(0, s) END::INT AS score, CASE WHEN chars < 200 THEN 'block' WHEN s < 100 THEN 'warn' ELSE 'pass' END AS status FROM p)
     SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, chars DESC, doc_id) <= 10"""
 )
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,14 +189,14 @@ def context_or_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUALITY = f"""WITH cvs AS ({CVS}), m AS (SELECT doc_id, length(trim(text)) AS chars, round(length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / length(text), 3) AS ascii,
-    len(list_distinct([lower(w) for w in regexp_extract_all(text, '{O.SECTION_WORDS}', 1)])) AS sections, len(regexp_extract_all(text, '[•▪●◦]')) AS bullets FROM cvs),
-    p AS (SELECT *, 100 - CASE WHEN chars < 400 THEN 15 ELSE 0 END - CASE WHEN ascii < 0.7 THEN 20 ELSE 0 END - CASE WHEN sections < 2 THEN 15 ELSE 0 END - CASE WHEN bullets < 3 THEN 10 ELSE 0 END AS s FROM m),
+    len(list_distinct([lower(w) for w in regexp_extract_all(text, '{O.SECTION_WORDS}', 1)])) AS sections, len(regexp_extract_all(text, '[•▪●◦]')) AS bullets, regexp_matches(text, '{O.DESIGNER_TOKENS}') AS personal FROM cvs),
+    p AS (SELECT *, 100 - CASE WHEN chars < 400 THEN 15 ELSE 0 END - CASE WHEN ascii < 0.7 THEN 20 ELSE 0 END - CASE WHEN sections < 2 THEN 15 ELSE 0 END - CASE WHEN bullets < 3 THEN 10 ELSE 0 END - CASE WHEN personal THEN 25 ELSE 0 END AS s FROM m),
     q AS (SELECT doc_id, chars, ascii, sections, bullets, CASE WHEN chars < 200 THEN 0 ELSE greatest(s, 0) END AS score, CASE WHEN chars < 200 THEN 'block' WHEN s < 100 THEN 'warn' ELSE 'pass' END AS status FROM p)"""
 
 
 @query(f"{_QUALITY} SELECT doc_id, chars::INT AS chars, ascii, sections::INT AS sections, bullets::INT AS bullets, score::INT AS score, status FROM q")
 def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.document_quality(cvs(spark, sf_dir)).drop("warnings")
+    return O.document_quality(cvs(spark, sf_dir)).select("doc_id", "chars", "ascii", "sections", "bullets", "score", "status")
 
 
 @query(f"{_QUALITY} SELECT status, count(*) AS documents, round(avg(score), 4) AS mean_score FROM q GROUP BY status")

@@ -144,6 +144,30 @@ def weekly_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.weekly_active(product_events(spark, sf_dir).filter("event = 'view'")).withColumn("week", F.col("week").cast("string"))
 
 
+@query(
+    f"""{_E}, w AS (SELECT date_trunc('week', ts)::DATE AS week, event, count(*) AS events FROM e GROUP BY ALL)
+    SELECT week::VARCHAR AS week, event, events, true AS users_close, true AS p50_close, true AS p90_close FROM w"""
+)
+def sketched_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks from daily sketches, beside the exact counts and percentiles: users within 4 %, a percentile's rank within 2 %."""
+    e = product_events(spark, sf_dir)
+    merged = R.merged_sketches(R.daily_sketches(e), "week", "event")
+    week = F.to_date(F.date_trunc("week", "ts")).alias("week")
+    near = lambda p, q: F.expr(f"percentile(value, array({max(0.0, q - 0.02)}, {min(1.0, q + 0.02)}))").alias(p)
+    exact = e.groupBy(week, "event").agg(F.countDistinct("distinct_id").alias("n"), near("around50", 0.5), near("around90", 0.9))
+    between = lambda p, around: F.col(p).between(F.get(around, F.lit(0)), F.get(around, F.lit(1)))
+    both = merged.join(exact, ["week", "event"])
+    return both.select(F.col("week").cast("string").alias("week"), "event", "events", (F.abs(F.col("users") - F.col("n")) <= 1 + 0.04 * F.col("n")).alias("users_close"), between("p50", "around50").alias("p50_close"), between("p90", "around90").alias("p90_close"))
+
+
+@query(
+    f"{_R}, w AS (SELECT user_id, date_trunc('week', ts) AS week, count_if(applied) AS sent FROM r GROUP BY ALL) SELECT sum(sent)::BIGINT AS sent, count(*) AS user_weeks, round(sum(sent) / count(*), 6) AS throughput FROM w"
+)
+def weekly_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = runs(spark, sf_dir)
+    return R.weekly_throughput(r.select(F.col("user_id").alias("distinct_id"), "ts", F.coalesce("applied", F.lit(False)).alias("sent")))
+
+
 _STEP = "s{k} AS (SELECT distinct_id, min(start) AS start, min(e.ts) AS last FROM s{p} JOIN e USING (distinct_id) WHERE event = '{step}' AND e.ts >= s{p}.last AND e.ts <= start + INTERVAL 7 DAY GROUP BY 1)"
 
 

@@ -193,16 +193,22 @@ def resolve_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seq", F.array_join("bundles", "|").alias("bundles"), "min_matches", "min_score", "max_rounds")
 
 
-_LEADS = """SELECT conv_id AS doc_id, role AS header, turn AS i, text, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN 'Cut costs' WHEN 2 THEN 'one two three four five six seven eight nine ten' ELSE concat('The zebra of ', text) END AS lead_with FROM conversations"""
+_LEADS = """SELECT conv_id AS doc_id, CASE turn % 3 WHEN 0 THEN role WHEN 1 THEN concat('The ', role, ' | 2020') ELSE substr(role, 1, 3) END AS header, role, turn AS i, text,
+    CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN 'Cut costs' WHEN 2 THEN 'one two three four five six seven eight nine ten' ELSE concat('The zebra of ', text) END AS lead_with FROM conversations"""
 
 
 @query(
-    rf"""WITH l AS ({_LEADS}), w AS (SELECT *, [list_filter(string_split_regex(lower(x), '[^a-z0-9]+'), lambda t: t NOT IN ('', 'a', 'an', 'the', 'and', 'or', 'of', 'for', 'to', 'in', 'on', 'with', 'by', 'at', 'as', 'into', 'from')) for x in [lead_with, text]] AS t FROM l)
-    SELECT doc_id, header, i, CASE WHEN len(t[1]) > 9 OR (len(t[1]) >= 3 AND len(t[2]) >= 3 AND t[1][1:3] = t[2][1:3]) THEN '' ELSE trim(lead_with) END AS lead_with FROM w"""
+    rf"""WITH l AS ({_LEADS}), r AS (SELECT doc_id, role, min(i) AS place FROM l GROUP BY ALL),
+    m AS (SELECT l.doc_id, l.header, l.i, l.lead_with, arg_min(r.role, r.place) AS role FROM l LEFT JOIN r ON r.doc_id = l.doc_id AND (contains(r.role, lower(l.header)) OR contains(lower(l.header), r.role)) GROUP BY ALL),
+    b AS (SELECT m.*, l.text FROM m LEFT JOIN l ON l.doc_id = m.doc_id AND l.role = m.role AND l.i = m.i),
+    w AS (SELECT *, [list_filter(string_split_regex(lower(x), '[^a-z0-9]+'), lambda t: t NOT IN ('', 'a', 'an', 'the', 'and', 'or', 'of', 'for', 'to', 'in', 'on', 'with', 'by', 'at', 'as', 'into', 'from')) for x in [lead_with, coalesce(text, '')]] AS t FROM b)
+    SELECT doc_id, header, i, CASE WHEN text IS NOT NULL AND (len(t[1]) > 9 OR (len(t[1]) >= 3 AND len(t[2]) >= 3 AND t[1][1:3] = t[2][1:3])) THEN '' ELSE trim(lead_with) END AS lead_with FROM w"""
 )
 def clean_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = bound(spark, sf_dir, _LEADS, "conversations")
-    return V.clean_leads(l.select("doc_id", "header", "i", "lead_with"), l.select("doc_id", "header", "i", "text")).select("doc_id", "header", "i", "lead_with")
+    places = l.groupBy("doc_id", "role").agg(F.min("i").alias("place"))
+    bullets = l.join(places, ["doc_id", "role"]).select("doc_id", F.col("role").alias("header"), "place", "i", "text")
+    return V.clean_leads(l.select("doc_id", "header", "i", "lead_with"), bullets).select("doc_id", "header", "i", "lead_with")
 
 
 _ECHOED = """SELECT o_orderkey, o_custkey, CASE o_orderkey % 6 WHEN 0 THEN concat(o_clerk, '  Tech Stack: Python | SQL') WHEN 1 THEN concat(o_clerk, ' | ', o_orderpriority) WHEN 2 THEN 'Projects:' WHEN 3 THEN concat(o_clerk, ' - ', o_orderpriority) WHEN 4 THEN concat(' ', o_clerk, ' tools: x') ELSE 'Engineer: Backend.' END AS key FROM (SELECT o_orderkey, o_custkey, o_orderpriority, concat('Clerk', cast(o_custkey % 100 AS string)) AS o_clerk FROM orders) AS o"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -14,53 +16,89 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
+@dataclass
+class Element:
+    """A tag with its attributes, as intervals: of the elements inside it, and of the words inside it."""
+
+    tag: str
+    classes: list[str]
+    href: str | None
+    at: int
+    end: int
+    first_word: int
+    last_word: int
+
+
 class Tree(HTMLParser):
-    """Elements as (tag, classes, text, href), in document order; text is the words inside, joined by one space."""
+    """Elements in document order over one list of words, in time linear in the page: an element's text is a slice.
+
+    An element that is not closed reaches to the end of the one around it; words of scripts and styles are left out.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.elements: list[dict] = []
-        self.open: list[dict] = []
+        self.elements: list[Element] = []
+        self.words: list[str] = []
+        self.open: list[Element] = []
+        self.open_tags: Counter = Counter()
+        self.found: dict[str, tuple[list[int], list[int]]] = {}
         self.feed(html)
         self.close()
-        for element in self.open:
-            element["end"] = len(self.elements)
+        self.shut(0)
+
+    def shut(self, depth: int) -> None:
+        """Close the open elements from a depth on."""
+        for element in self.open[depth:]:
+            element.end, element.last_word = len(self.elements), len(self.words)
+            self.open_tags[element.tag] -= 1
+        del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         said = dict(attrs)
-        element = {"tag": tag, "classes": (said.get("class") or "").split(), "href": said.get("href"), "words": [], "at": len(self.elements)}
+        at, words = len(self.elements), len(self.words)
+        element = Element(tag, (said.get("class") or "").split(), said.get("href"), at, at + 1, words, words)
         self.elements.append(element)
         if tag not in VOID:
             self.open.append(element)
+            self.open_tags[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k]["tag"] == tag:
-                for element in self.open[k:]:
-                    element["end"] = len(self.elements)
-                del self.open[k:]
-                return
+        if self.open_tags[tag]:  # else it closes nothing
+            depth = len(self.open) - 1
+            while self.open[depth].tag != tag:
+                depth -= 1
+            self.shut(depth)
 
     def handle_data(self, data: str) -> None:
-        if any(e["tag"] in ("script", "style") for e in self.open):
-            return
-        found = data.split()
-        for element in self.open:
-            element["words"] += found
-
-    def every(self, selector: str, within: dict | None = None) -> list[dict]:
-        """The elements of a selector (tag, .class or tag.class), all of them or those inside an element."""
-        tag, _, name = selector.partition(".")
-        inside = self.elements if within is None else self.elements[within["at"] + 1 : within.get("end", within["at"] + 1)]
-        return [e for e in inside if (not tag or e["tag"] == tag) and (not name or name in e["classes"])]
-
-    def first(self, *selectors: str, within: dict | None = None) -> dict | None:
+        if not self.open_tags["script"] and not self.open_tags["style"]:
+            self.words += data.split()
+
+    def text(self, element: Element | None) -> str | None:
+        return " ".join(self.words[element.first_word : element.last_word]) if element else None
+
+    def matching(self, selector: str) -> tuple[list[int], list[int]]:
+        """Places of the elements of a selector (tag, .class or tag.class), and of those with words."""
+        if selector not in self.found:
+            tag, _, name = selector.partition(".")
+            places = [e.at for e in self.elements if (not tag or e.tag == tag) and (not name or name in e.classes)]
+            self.found[selector] = places, [k for k in places if self.elements[k].last_word > self.elements[k].first_word]
+        return self.found[selector]
+
+    def every(self, selector: str, within: Element | None = None) -> list[Element]:
+        """The elements of a selector, all of them or those inside an element."""
+        places = self.matching(selector)[0]
+        if within is not None:
+            places = places[bisect_left(places, within.at + 1) : bisect_left(places, within.end)]
+        return [self.elements[k] for k in places]
+
+    def first(self, *selectors: str, within: Element | None = None) -> Element | None:
         """The first element of the first selector that has one with text."""
-        return next((e for s in selectors for e in self.every(s, within) if e["words"]), None)
-
-
-def text_of(element: dict | None) -> str | None:
-    return " ".join(element["words"]) if element else None
+        for selector in selectors:
+            places = self.matching(selector)[1]
+            k = bisect_left(places, within.at + 1 if within else 0)
+            if k < len(places) and (within is None or places[k] < within.end):
+                return self.elements[places[k]]
+        return None
 
 
 def parsed(pages: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], fields: str) -> DataFrame:
@@ -74,7 +112,7 @@ def extract_description(pages: DataFrame, selectors: tuple[str, ...] = (".descri
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"page_id": pdf.page_id, "description": [text_of(Tree(h or "").first(*selectors)) for h in pdf.html]})
+            yield pd.DataFrame({"page_id": pdf.page_id, "description": [(tree := Tree(h or "")).text(tree.first(*selectors)) for h in pdf.html]})
 
     return parsed(pages, run, "description string")
 
@@ -87,10 +125,10 @@ def extract_cards(pages: DataFrame, title: tuple[str, ...] = ("h2", "h3", ".job-
             rows = []
             for page_id, base, html in zip(pdf.page_id, pdf.url, pdf.html, strict=True):
                 tree = Tree(html or "")
-                heading = text_of(tree.first(*title))
-                cards = [e for e in tree.elements if e["tag"] == "a" and e["href"] and e["words"]]
+                heading = tree.text(tree.first(*title))
+                cards = [e for e in tree.every("a") if e.href and e.last_word > e.first_word]
                 for k, e in enumerate(cards):
-                    rows.append((page_id, k, text_of(e), urljoin(base or "", e["href"])))
+                    rows.append((page_id, k, tree.text(e), urljoin(base or "", e.href)))
                 if not cards:
                     rows.append((page_id, 0, heading, base))
             yield pd.DataFrame(rows, columns=["page_id", "card", "title", "url"])
@@ -139,11 +177,11 @@ def board_cards(pages: DataFrame, board: Board, location: str = "N/A") -> DataFr
         cards = next(filter(None, map(tree.every, board.cards)), [])
         if not cards and board.view:
             for e in tree.every("a"):
-                if board.view in (e["href"] or ""):
-                    yield text_of(e), "See listing", location, "N/A", e["href"]
+                if board.view in (e.href or ""):
+                    yield tree.text(e), "See listing", location, "N/A", e.href
         for card in cards:
-            said = lambda selectors: text_of(tree.first(*selectors, within=card))  # noqa: B023, E731
-            link = next((e["href"] for s in board.link for e in tree.every(s, card) if e["href"]), None)
+            said = lambda selectors: tree.text(tree.first(*selectors, within=card))  # noqa: B023, E731
+            link = next((e.href for s in board.link for e in tree.every(s, card) if e.href), None)
             yield said(board.title) or "N/A", said(board.company) or "N/A", said(board.location) or location, said(board.posted) or "N/A", link
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -86,16 +86,16 @@ def test_keys_and_strategies(spark):
     assert row[0].section_notes == {"Lead": "c"} and [a.jd_keyword for a in row[0].bullet_strategy["Lead"]] == ["", "agentic"]
     assert (row[1].summary_angle, row[1].keywords, row[1].section_notes) == ("", [], {})
     leads = spark.createDataFrame([(1, "h", 0, "The big red dog ran"), (1, "h", 1, "cut costs by half"), (1, "h", 2, " w1 w2 w3 w4 w5 w6 w7 w8 w9 w10"), (1, "h", 9, "big red dog")], "doc_id int, header string, i int, lead_with string")
-    bullets = spark.createDataFrame([(1, "h", 0, "Big, red dog sat"), (1, "h", 1, "Big red dog"), (1, "h", 2, "x")], "doc_id int, header string, i int, text string")
+    bullets = spark.createDataFrame([(1, "The H role", 3, 0, "Big, red dog sat"), (1, "The H role", 3, 1, "Big red dog"), (1, "The H role", 3, 2, "x"), (1, "Oh", 7, 0, "y")], "doc_id int, header string, place int, i int, text string")
     assert {r.i: r.lead_with for r in review.clean_leads(leads, bullets).collect()} == {0: "", 1: "cut costs by half", 2: "", 9: "big red dog"}
 
 
 def test_matches_recover_skills_and_obey_rules(spark):
     raw = '{"match_score": 80, "matched_skills": ["sql"], "missing_skills": ["automation workflows", "rust"], "reasoning": "r"}'
-    df = spark.createDataFrame([(1, raw, "Software Engineer", 2, "3 years asked"), (2, raw, "VP Sales", 1, "3 years"), (3, raw, "Software Engineer", 1, "20 years of it"), (4, "no", "Software Engineer", 2, "x")], "i int, raw string, title string, level int, description string").withColumn("cv", F.lit("built workflow automation"))
+    df = spark.createDataFrame([(1, raw, "Software Engineer", 2, "3 years asked" + " of it" * 5), (2, raw, "VP Sales", 1, "3 years" + " of it" * 5), (3, raw, "Software Engineer", 1, "20 years of it" + " or so" * 5), (4, "no", "Software Engineer", 2, "x" * 30), (5, raw, "Software Engineer", 2, "x" * 29)], "i int, raw string, title string, level int, description string").withColumn("cv", F.lit("built workflow automation" + " and more" * 4))
     rows = review.resolve_match(df, "raw", "title", "level", cv="cv", description="description").orderBy("i").collect()
     assert (rows[0].matched, rows[0].missing, rows[0].score) == (["sql", "automation workflows"], ["rust"], 80)
-    assert [(r.score, r.reasoning) for r in rows[1:]] == [(30, "level gap"), (25, "years asked"), (0, "no")] and rows[1].matched == []
+    assert [(r.score, r.reasoning) for r in rows[1:]] == [(30, "level gap"), (25, "years asked"), (0, "no"), (0, "description too short")] and rows[1].matched == []
 
 
 def test_rows_merge_by_their_top(spark):
