@@ -9,7 +9,8 @@ from operator import or_
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from matchflow.functions.text import normalize_url
 from matchflow.operators import history as H
@@ -33,22 +34,97 @@ def stream_tpm(traces: DataFrame, seconds: int = 60, late: str = "2 minutes", mo
     return w.select(F.col("window.start").alias("window_start"), "calls", "tokens", "gemini_calls", flag.alias("flag"))
 
 
-def _per_key(df: DataFrame, keys: list[str], columns: list[str], fold: Callable, output: str, state: str, hours: int = 24) -> DataFrame:
-    """Rows of each key through a fold with one long of state, forgotten when the watermark is `hours` past its last row."""
+class Folded(StatefulProcessor):
+    """Rows of each key through a fold with one long of state, forgotten when the watermark is `hours` past the key's last row.
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        if group.hasTimedOut:
-            group.remove()
-            return
-        value = group.get[0] if group.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", *columns[:1]])
-        value, out = fold(key, rows, value)
-        group.update((value,))
-        last = int(rows.ts.max().timestamp() * 1000)
-        group.setTimeoutTimestamp(max(last, group.getCurrentWatermarkMs()) + hours * 3_600_000)
-        yield out
+    Rows come in batches of bounded size, each in the order of its times; the fold's value is a typed value state, and an
+    event-time timer for each key, moved on by every batch, ends it.
+    """
+
+    def __init__(self, fold: Callable, columns: list[str], hours: int):
+        self.fold, self.columns, self.hours = fold, columns, hours
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("value", "value long")
+        self.last = handle.getValueState("last", "last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        value = self.value.get()[0] if self.value.exists() else None
+        last = before = self.last.get()[0] if self.last.exists() else 0
+        for pdf in rows:
+            if len(pdf):
+                value, out = self.fold(key, pdf.sort_values(["ts", *self.columns[:1]]), value)
+                last = max(last, int(pdf.ts.max().timestamp() * 1000), timerValues.getCurrentWatermarkInMs())
+                yield out
+        self.value.update((value,))
+        self.last.update((last,))
+        if last != before:
+            if before:
+                self.handle.deleteTimer(before + self.hours * 3_600_000)
+            self.handle.registerTimer(last + self.hours * 3_600_000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.value.clear()
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class InOrder(StatefulProcessor):
+    """Rows held in list state until the watermark has passed them, then given in the order of their times."""
+
+    def __init__(self, columns: list[str], kinds: str):
+        self.columns, self.kinds = columns, kinds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.kinds)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            if len(pdf):
+                self.held.appendList([tuple(r) for r in pdf[self.columns].astype(object).where(pdf[self.columns].notna(), None).itertuples(index=False)])
+                self.handle.registerTimer(int(pdf.ts.max().timestamp() * 1000) + 1)
+        return iter(())
 
-    return df.withWatermark("ts", "1 hour").groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame([tuple(r) for r in self.held.get()], columns=self.columns)
+        held["ts"] = pd.to_datetime(held.ts)
+        done = held.ts.map(lambda t: t.timestamp() * 1000) < timerValues.getCurrentWatermarkInMs()
+        if done.all():
+            self.held.clear()
+        else:
+            self.held.put([tuple(r) for r in held[~done].itertuples(index=False)])
+        yield held[done].sort_values(["ts", *[c for c in self.columns if c != "ts"][:1]])
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stateful(df: DataFrame, keys: list[str], processor: StatefulProcessor, output: str) -> DataFrame:
+    """df, which has a watermark, through a processor with state in RocksDB, so that it need not fit into memory."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return df.groupBy(*keys).transformWithStateInPandas(processor, output, "append", "eventtime")
+
+
+def _per_key(df: DataFrame, keys: list[str], columns: list[str], fold: Callable, output: str, hours: int = 24, late: str = "1 hour") -> DataFrame:
+    """Rows of each key through a fold. Rows later than the watermark are dropped; those within it count when they come."""
+    return stateful(df.withWatermark("ts", late), keys, Folded(fold, columns, hours), output)
+
+
+def stream_in_order(df: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """The rows of each key in the order of their times, however they come: a row is given once the watermark has passed it.
+
+    Rows later than the watermark are dropped; the last rows stay held until later ones move the watermark on.
+    """
+    kinds = _ddl(df)
+    return stateful(df.withWatermark("ts", late), keys, InOrder(df.columns, kinds), kinds)
 
 
 def stream_budget(traces: DataFrame, limit: int) -> DataFrame:
@@ -60,7 +136,7 @@ def stream_budget(traces: DataFrame, limit: int) -> DataFrame:
         states = ["ok" if n <= limit else "rejected" if n == limit + 1 else "not_run" for n in counts]
         return used + len(rows), pd.DataFrame({"run_id": key[0], "event_id": rows.event_id.to_numpy(), "used": list(counts), "state": states})
 
-    return _per_key(traces.select("run_id", "event_id", "ts"), ["run_id"], ["event_id"], fold, "run_id string, event_id long, used long, state string", "used long")
+    return _per_key(traces.select("run_id", "event_id", "ts"), ["run_id"], ["event_id"], fold, "run_id string, event_id long, used long, state string")
 
 
 def stream_run_cap(events: DataFrame, cap: int = 3) -> DataFrame:
@@ -72,7 +148,7 @@ def stream_run_cap(events: DataFrame, cap: int = 3) -> DataFrame:
         return seen + len(rows), pd.DataFrame({"distinct_id": key[0], "day": str(key[1]), "event_id": rows.event_id.to_numpy(), "nth": nth, "blocked": [bool(cap) and n > cap for n in nth]})
 
     days = events.select("distinct_id", F.to_date("ts").alias("day"), "event_id", "ts")
-    return _per_key(days, ["distinct_id", "day"], ["event_id"], fold, "distinct_id string, day string, event_id long, nth long, blocked boolean", "seen long", 48)
+    return _per_key(days, ["distinct_id", "day"], ["event_id"], fold, "distinct_id string, day string, event_id long, nth long, blocked boolean", 48)
 
 
 def stream_quota_reset(snapshots: DataFrame, per_key: int) -> DataFrame:
@@ -86,7 +162,7 @@ def stream_quota_reset(snapshots: DataFrame, per_key: int) -> DataFrame:
         out = pd.DataFrame({"key_idx": key[0], "event_id": rows.event_id[risen].to_numpy(), "before": before[risen].astype("int64").to_numpy(), "remaining": rows.remaining[risen].to_numpy()})
         return int(rows.remaining.iloc[-1]), out
 
-    return _per_key(snapshots.select("key_idx", "event_id", "ts", "remaining"), ["key_idx"], ["event_id"], fold, "key_idx long, event_id long, before long, remaining long", "remaining long", 72)
+    return _per_key(snapshots.select("key_idx", "event_id", "ts", "remaining"), ["key_idx"], ["event_id"], fold, "key_idx long, event_id long, before long, remaining long", 72)
 
 
 def stream_dedupe_postings(postings: DataFrame, late: str = "1 day") -> DataFrame:

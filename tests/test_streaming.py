@@ -100,3 +100,48 @@ def test_first_postings_pass(spark, tmp_path):
     p.write.parquet(f"file://{tmp_path}/p")
     got = drained(J.stream_dedupe_postings(spark.readStream.schema(p.schema).parquet(f"file://{tmp_path}/p")), spark, "firsts")
     assert got.count() == 14 + 7 and got.filter("url <> ''").select("url_norm").distinct().count() == 7
+
+
+def more(spark, folder, name, rows):
+    """One more file of calls: run_id, event_id and minutes since a start."""
+    df = spark.createDataFrame([(r, e, 1_700_000_000 + 60 * m) for r, e, m in rows], "run_id string, event_id long, at long")
+    df.select("run_id", "event_id", F.timestamp_seconds("at").alias("ts")).coalesce(1).write.parquet(f"file://{folder}/in/{name}")
+
+
+def run_once(spark, folder, job):
+    stream = spark.readStream.schema("run_id string, event_id long, ts timestamp").option("recursiveFileLookup", "true").parquet(f"file://{folder}/in")
+    q = job(stream).writeStream.outputMode("append").option("checkpointLocation", f"file://{folder}/check").trigger(availableNow=True).format("parquet").start(f"file://{folder}/out")
+    q.awaitTermination(120)
+    q.stop()
+    return spark.read.parquet(f"file://{folder}/out")
+
+
+def test_budgets_go_on_after_a_restart_and_drop_late_rows(spark, tmp_path):
+    job = lambda s: J.stream_budget(s, 3)
+    more(spark, tmp_path, "a", [("r", 1, 0), ("r", 2, 1), ("s", 3, 5)])
+    run_once(spark, tmp_path, job)
+    more(spark, tmp_path, "b", [("r", 4, 300), ("r", 5, 301)])
+    run_once(spark, tmp_path, job)
+    # the watermark stands at 241 minutes: 200 is too late, 280 is within it
+    more(spark, tmp_path, "c", [("r", 6, 200), ("r", 7, 280)])
+    got = {r.event_id: (r.run_id, r.used, r.state) for r in run_once(spark, tmp_path, job).collect()}
+    assert got == {1: ("r", 1, "ok"), 2: ("r", 2, "ok"), 3: ("s", 1, "ok"), 4: ("r", 3, "ok"), 5: ("r", 4, "rejected"), 7: ("r", 5, "not_run")}
+    # a day later run r is forgotten, by its timer; run s had its next call before the watermark passed a day
+    more(spark, tmp_path, "d", [("s", 8, 301 + 60 * 26)])
+    run_once(spark, tmp_path, job)
+    more(spark, tmp_path, "e", [("r", 9, 302 + 60 * 26)])
+    got = {r.event_id: (r.run_id, r.used) for r in run_once(spark, tmp_path, job).collect()}
+    assert got[8] == ("s", 2) and got[9] == ("r", 1)
+
+
+def test_rows_come_in_order(spark, tmp_path):
+    job = lambda s: J.stream_in_order(s, ["run_id"], "10 minutes")
+    more(spark, tmp_path, "a", [("r", 1, 20), ("r", 2, 3), ("s", 3, 12)])
+    run_once(spark, tmp_path, job)
+    more(spark, tmp_path, "b", [("r", 4, 15), ("r", 5, 40), ("s", 6, 1)])  # 6 is late: the watermark is at 10
+    run_once(spark, tmp_path, job)
+    more(spark, tmp_path, "c", [("r", 7, 90)])
+    out = run_once(spark, tmp_path, job)
+    assert sorted(r.event_id for r in out.collect()) == [1, 2, 3, 4, 5]
+    files = sorted(out.select(F.input_file_name().alias("f"), "event_id", "ts").collect(), key=lambda r: r.ts)
+    assert [r.event_id for r in files] == [2, 3, 4, 1, 5]
