@@ -194,7 +194,7 @@ def history_writer(spark: SparkSession, folder: str, empty: DataFrame, merge: Ca
 
     Users are dealt into PARTS by hash, and a batch writes only the parts of its users, as a version named by
     the batch. A batch that is run again reads what the batches before it left and overwrites its own version.
-    Versions that two later ones of their part follow can be removed at any time.
+    compact_history removes versions that two later ones of their part follow.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -205,3 +205,32 @@ def history_writer(spark: SparkSession, folder: str, empty: DataFrame, merge: Ca
         new.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/version={batch_id}")
 
     return write
+
+
+def versions_of_parts(spark: SparkSession, folder: str) -> dict[int, list[int]]:
+    """The versions that each part has on disk, ascending; read from the folders' names."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = files.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found: dict[int, list[int]] = {}
+    for f in store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/part=*")) or ():
+        path = f.getPath()
+        found.setdefault(int(path.getName().split("=")[1]), []).append(int(path.getParent().getName().split("=")[1]))
+    return {part: sorted(v) for part, v in found.items()}
+
+
+def compact_history(spark: SparkSession, folder: str, keep: int = 2) -> int:
+    """Remove versions of a part that `keep` later ones follow, and say how many: a batch that is run again still finds what it read.
+
+    Readers of the latest version and the writer can go on meanwhile.
+    """
+    store = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    gone = [(version, part) for part, versions in versions_of_parts(spark, folder).items() for version in versions[:-keep]]
+    for version, part in gone:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version={version}/part={part}"), True)
+    return len(gone)
+
+
+def save_bucketed(df: DataFrame, name: str, keys: tuple[str, ...] = ("user_key", "url_norm"), buckets: int = PARTS) -> DataFrame:
+    """df as a table bucketed and sorted by its keys, so that later joins and aggregates by these read it without a shuffle."""
+    df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)

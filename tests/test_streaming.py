@@ -72,6 +72,15 @@ def test_history(spark, tmp_path):
     again = J.history_table(spark, f"file://{tmp_path}/h", empty).drop("part")
     want = H.mark_shown(want, shown.filter("user_key = 'u1' and seq > 30"))
     assert again.exceptAll(want).count() == want.exceptAll(again).count() == 0
+    # versions that two later ones follow go; the table stays
+    before = J.versions_of_parts(spark, f"file://{tmp_path}/h")
+    assert J.compact_history(spark, f"file://{tmp_path}/h") == sum(max(0, len(v) - 2) for v in before.values()) > 0
+    assert {p: v[-2:] for p, v in before.items()} == J.versions_of_parts(spark, f"file://{tmp_path}/h")
+    kept = J.history_table(spark, f"file://{tmp_path}/h", empty).drop("part")
+    assert kept.exceptAll(want).count() == want.exceptAll(kept).count() == 0
+    write(shown.filter("user_key = 'u1' and seq > 30"), 4)  # run again, after the compaction
+    kept = J.history_table(spark, f"file://{tmp_path}/h", empty).drop("part")
+    assert kept.exceptAll(want).count() == want.exceptAll(kept).count() == 0
     marks = spark.sql("select 'u1' user_key, 'p1' url_norm, true applied, timestamp_seconds(99) at union all select 'u2', 'new', false, timestamp_seconds(98)")
     J.history_writer(spark, f"file://{tmp_path}/h", empty, H.mark_applied)(marks, 5)
     marked = J.history_table(spark, f"file://{tmp_path}/h", empty).drop("part")
@@ -145,3 +154,23 @@ def test_rows_come_in_order(spark, tmp_path):
     assert sorted(r.event_id for r in out.collect()) == [1, 2, 3, 4, 5]
     files = sorted(out.select(F.input_file_name().alias("f"), "event_id", "ts").collect(), key=lambda r: r.ts)
     assert [r.event_id for r in files] == [2, 3, 4, 1, 5]
+
+
+def test_a_bucketed_history_is_read_without_a_shuffle(spark):
+    kinds = "user_key string, url_norm string, title string, company string, source string, match_score int, shown_at timestamp, first_seen_at timestamp, seen_count long, applied boolean, applied_at timestamp"
+    shown = spark.sql("select concat('u', id % 7) user_key, concat('p', id % 50) url_norm, concat('t', id) title, 'c' company, 's' source, cast(id as int) match_score, timestamp_seconds(id) shown_at, id seq from range(400)")
+    history = H.mark_shown(spark.createDataFrame([], kinds), shown)
+    stored = J.save_bucketed(history, "history_of_tests", buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = H.mark_shown(stored, shown.filter("seq % 3 = 0"))
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        # the batch is shuffled, by its own aggregate; the stored table is not
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        want = H.mark_shown(history, shown.filter("seq % 3 = 0"))
+        assert merged.exceptAll(want).count() == want.exceptAll(merged).count() == 0
+        per_key = stored.groupBy("user_key", "url_norm").count()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in per_key
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table history_of_tests")
