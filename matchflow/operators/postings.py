@@ -81,11 +81,17 @@ def merge_rounds(*rounds: DataFrame, key: str = "url", order: str = "seq") -> Da
     return dedupe_first(reduce(lambda a, b: a.unionByName(b), numbered), key, ["round", order])
 
 
+def with_applied(postings: DataFrame, history: DataFrame) -> DataFrame:
+    """postings with their normalised url and `skipped`: whether the user has applied to it; rows without a url are not."""
+    done = history.filter("applied").select("user_key", "url_norm").distinct().withColumn("__done", F.lit(True))
+    keyed = postings.withColumn("url_norm", F.nullif(normalize_url("url"), F.lit("")))
+    return keyed.join(done, ["user_key", "url_norm"], "left").withColumn("skipped", F.coalesce("__done", F.lit(False))).drop("__done")
+
+
 def filter_out_applied(postings: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, skipped): skipped are postings whose normalised url the user has applied to; rows without a url are kept."""
-    done = history.filter("applied").select("user_key", "url_norm").distinct()
-    keyed = postings.withColumn("url_norm", F.nullif(normalize_url("url"), F.lit("")))
-    return keyed.join(done, ["user_key", "url_norm"], "left_anti"), keyed.join(done, ["user_key", "url_norm"], "left_semi")
+    marked = with_applied(postings, history)
+    return marked.filter(~F.col("skipped")).drop("skipped"), marked.filter("skipped").drop("skipped")
 
 
 def new_only(postings: DataFrame, pool: DataFrame, key: str = "url") -> DataFrame:

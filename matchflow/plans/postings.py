@@ -104,9 +104,7 @@ def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def filter_out_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = postings(spark, sf_dir).select("seq", F.col("company").alias("user_key"), "url")
-    kept, skipped = P.filter_out_applied(p, _applied(spark, sf_dir))
-    columns = ("seq", "user_key", "url_norm")
-    return kept.select(*columns, F.lit(False).alias("skipped")).union(skipped.select(*columns, F.lit(True)))
+    return P.with_applied(p, _applied(spark, sf_dir)).select("seq", "user_key", "url_norm", "skipped")
 
 
 @query(f"{_P} SELECT seq, url FROM p WHERE seq % 2 = 1 AND (url = '' OR url NOT IN (SELECT url FROM p WHERE seq % 2 = 0 AND url <> ''))")

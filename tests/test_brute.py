@@ -114,3 +114,12 @@ def test_embeddings_are_hashed_words_of_unit_length(spark, sf_dir):
             want[at[w]] += 1
         norm = sum(v * v for v in want) ** 0.5
         assert all(abs(a - b / norm) < 1e-6 for a, b in zip(got[key], want, strict=True))
+
+
+def test_applied_postings_are_skipped(spark):
+    from matchflow.operators.postings import filter_out_applied
+
+    postings = spark.createDataFrame([(1, "u", "https://X.org/a/?utm_source=y"), (2, "u", ""), (3, "v", "https://x.org/a"), (4, "u", None), (5, "u", "https://x.org/b"), (6, None, "https://x.org/a")], "seq int, user_key string, url string")
+    history = spark.createDataFrame([("u", "https://x.org/a", True), ("u", "https://x.org/a", True), ("u", "https://x.org/b", None), ("v", "https://x.org/c", True)], "user_key string, url_norm string, applied boolean")
+    kept, skipped = filter_out_applied(postings, history)
+    assert sorted(r.seq for r in kept.collect()) == [2, 3, 4, 5, 6] and [r.seq for r in skipped.collect()] == [1]
