@@ -4,7 +4,8 @@ The *content* view sees what a text says and how (character classes, repetition
 phrases, hashed words); the *metadata* view sees the page around it (source, language, stored length,
 number and length of lines). Each view's classifier starts from the labelled documents; in every round
 each gives the other the unlabelled documents that it is surest of, keeping the classes' shares, and
-both are fitted again. At the end each view's scores are calibrated on labelled documents that neither
+both are fitted again; how sure a view is, is calibrated on labelled documents that neither was fitted on, so that
+a view that knows little teaches little. At the end each view's scores are calibrated on labelled documents that neither
 was fitted on, and the two are combined by a logistic model fitted on those.
 
 Both views are scored over all documents in every round, in Spark; pseudo-labels are chosen by
@@ -170,9 +171,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
     names = VIEWS
     given = {v: (fit[v].tolist(), fit.quality.to_numpy(float)) for v in names}
     weights = {v: fitted(*given[v]) for v in names}
+    truth = aside.quality.to_numpy(float)
+
+    def calibrations() -> dict[str, np.ndarray]:
+        """For each view slope and bias that make its logits true on rows that neither view was fitted on."""
+        logits = {v: np.array(aside[v].tolist(), float) @ weights[v][:-1] + weights[v][-1] for v in names}
+        return {v: fit_logistic(logits[v][:, None], truth, np.array([1.0, 0.0])) for v in names}
+
     pool = table.join(sample.select("doc_id"), "doc_id", "left_anti")
     for k in range(rounds):
-        measured = checkpointed(scored(pool, weights["content"], weights["metadata"]).select("doc_id", *(f"{v}_logit" for v in names)))
+        scale = calibrations()
+        calibrated = [(F.col(f"{v}_logit") * float(scale[v][0]) + float(scale[v][1])).alias(f"{v}_logit") for v in names]
+        measured = checkpointed(scored(pool, weights["content"], weights["metadata"]).select("doc_id", *calibrated))
         if measured.isEmpty():
             break
         for teacher, student in (names, names[::-1]):
@@ -183,8 +193,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
                 weights[student] = fitted([*x, *more[student].tolist()], np.append(y, more.y.to_numpy(float)))
     # calibration and combination, on rows that neither view was fitted on
     logits = np.column_stack([np.array(aside[v].tolist(), float) @ weights[v][:-1] + weights[v][-1] for v in names])
-    truth = aside.quality.to_numpy(float)
-    scale = [fit_logistic(logits[:, [i]], truth, np.array([1.0, 0.0])) for i in range(2)]
+    scale = list(calibrations().values())
     both = fit_logistic(logits, truth, np.array([0.5, 0.5, 0.0]))
     chance = lambda z: 1 / (1 + F.exp(-z))
     c, m = F.col("content_logit"), F.col("metadata_logit")

@@ -633,6 +633,31 @@ def test_an_exchange_gives_the_surest_rows_in_the_classes_shares(spark):
     assert quality.sure_ones(spark.createDataFrame([(i, 5.0) for i in range(50)], "doc_id long, logit double"), "logit", share).count() == 0
 
 
+def test_an_exchange_helps_a_view_with_few_labels(spark):
+    """Sources tell quality at once, words only after many documents: pseudo-labels of the metadata view teach the content view."""
+    from matchflow.llm.quality import quality_scores
+
+    rng = random.Random(12)
+    good, bad = ([f"{a}{k}" for k in range(60)] for a in ("fine", "poor"))
+    rows, labels = [], []
+    for i in range(3000):
+        y = i % 2
+        words_ = [rng.choice(good if (rng.random() < 0.5 + (0.12 if y else -0.12)) else bad) for _ in range(40)]
+        rows.append((i, " ".join(words_), "en", f"s{y if rng.random() < 0.97 else 1 - y}", 200))
+        if i < 200:
+            labels.append((i, y, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+    def content_auc(rounds):
+        found = [r for r in quality_scores(docs, known, rounds=rounds).collect() if r.doc_id >= 200]
+        return auc(np.array([r.content_score for r in found]), np.array([r.doc_id % 2 for r in found]))
+
+    alone, taught = content_auc(0), content_auc(3)
+    print(alone, taught)
+    assert taught > alone + 0.03
+
+
 def test_quality_on_labelled_rows(spark, odd, empty):
     from matchflow.llm.queries import op1_quality
     from matchflow.llm.quality import quality_scores
