@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from matchflow.operators.written import checkpointed, discarded, drop_intermediates, shared_folder  # noqa: F401
+
 #: The five columns of a documents table, as the pipeline hands them from stage to stage.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,56 +37,6 @@ def crc_remainder(col: Column | str, mod: int) -> Column:
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % mod
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder of its own under the run's one, which is under spark.checkpoint.dir, which driver and executors share.
-
-    Results may read their tables lazily, so these stay until drop_intermediates(spark) removes all of the run.
-    Without spark.checkpoint.dir a local session (tests) gets one in /tmp; on a cluster, whose executors would each
-    write to a disk of their own, that is an error.
-    """
-    return f"{run_folder(spark)}/{uuid.uuid4().hex}"
-
-
-def run_folder(spark: SparkSession) -> str:
-    """The folder of this application's intermediate tables."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            root = current.get()
-        elif spark.sparkContext.master.split("[")[0] == "local":
-            root = "/tmp/checkpoints"
-        else:
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def drop_intermediates(spark: SparkSession) -> None:
-    """Remove every intermediate table of this application; results that were not written are lost with them."""
-    removed(spark, run_folder(spark))
-
-
-def removed(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back.
-
-    Written files survive the loss of executors, and every later reader finds the same rows.
-    """
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discarded(df: DataFrame) -> None:
-    """Remove the folder of a checkpointed table that nothing reads any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        removed(df.sparkSession, folder)
-
-
 def in_pandas(df: DataFrame, run: Callable, keep: Sequence[str], made: str) -> DataFrame:
     """The columns in keep, as they are in df, and those that run adds (`made`, as a schema), by mapInPandas.
 
