@@ -9,23 +9,35 @@ from pyspark.sql import functions as F
 from matchflow.operators.audit import terms_of
 from matchflow.operators.written import checkpointed
 
-#: Texts that the order of tokens is taken from, and the most tokens that it holds.
-ORDER_TEXTS, ORDER_TOKENS = 20_000, 50_000
-#: A token that more prefixes of a batch have is met in tiles.
+#: Texts that the order of tokens and the heavy ones are taken from, and the most tokens that the order holds.
+SAMPLE_TEXTS, ORDER_TOKENS = 20_000, 50_000
+#: A token that more texts of a batch have in their prefixes, by the sample, is met in tiles.
 TILE = 5_000
+#: Texts of one block of verification.
+BLOCK_TEXTS = 2_000
 
 
-def token_order(sets: DataFrame) -> dict[str, int]:
-    """Ranks of the frequent tokens, rarer ones first, from a hash sample of about ORDER_TEXTS sets; others rank before them.
+def prefix_length(size: Column, least: float, indexed: bool) -> Column:
+    """How many first tokens a set is found by: as the larger of a pair, or (indexed) as the smaller."""
+    return size - F.ceil(size * (2 * least / (1 + least) if indexed else least)) + 1
 
-    Any order that all sets share gives the same links; this one keeps common tokens out of prefixes.
+
+def sampled_order(sets: DataFrame, batch: str, total: int, least: float) -> tuple[dict[str, int], dict[tuple, int]]:
+    """Ranks of the frequent tokens, rarer ones first, and the tiles of (batch, token) that many prefixes have, from a hash sample of texts.
+
+    Tokens without a rank come before the others. Any order that all sets share gives the same links, and so does any number of
+    tiles: these keep common tokens out of prefixes and spread what is common in them.
     """
-    share = min(1.0, ORDER_TEXTS / max(1, sets.count()))
-    some = sets.filter(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(1_000_000)) < int(share * 1_000_000))
+    share = min(1.0, SAMPLE_TEXTS / max(1, total))
+    # about SAMPLE_TEXTS texts' tokens, whatever the table's size: counted in Spark, ORDER_TOKENS rows at most come back
+    some = sets.filter(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(1_000_000)) < int(share * 1_000_000)).select(batch, "tokens").persist()
     counted = some.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # ORDER_TOKENS rows at most
-    rows = counted.orderBy(F.desc("n"), "token").limit(ORDER_TOKENS).collect()
-    return {r.token: k for k, r in enumerate(reversed(rows))}
+    ranks = {r.token: k for k, r in enumerate(reversed(counted.orderBy(F.desc("n"), "token").limit(ORDER_TOKENS).collect()))}
+    size = F.size("tokens")
+    first = some.select(batch, F.explode(F.slice(in_order("tokens", ranks), F.lit(1), prefix_length(size, least, False))).alias("token"))
+    heavy = first.groupBy(batch, "token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE * share).orderBy(F.desc("n"), batch, "token").limit(ORDER_TOKENS).collect()
+    some.unpersist()
+    return ranks, {(r[0], r.token): int(r.n / share // TILE) + 1 for r in heavy}
 
 
 def in_order(tokens: str, ranks: dict[str, int]) -> Column:
@@ -38,49 +50,75 @@ def in_order(tokens: str, ranks: dict[str, int]) -> Column:
     return ordered(tokens)
 
 
-def tiled(prefixes: DataFrame, heavy: DataFrame, keys: list[str], every: bool) -> DataFrame:
-    """prefixes with a tile: one by the id's hash, or (every) all tiles of the token."""
-    tiles = prefixes.join(heavy, keys, "left").withColumn("__tiles", F.coalesce("__tiles", F.lit(1)))
-    tile = F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)) if every else F.pmod(F.xxhash64("doc_id"), F.col("__tiles")).cast("int")
-    return tiles.withColumn("__tile", tile).drop("__tiles")
+def verified(pairs: DataFrame, tokens: DataFrame, total: int) -> DataFrame:
+    """pairs (x, y, m, n) with `both`, the number of tokens that they share.
+
+    Texts are dealt to blocks by hash. A pair of blocks gets the tokens of each text that has a pair there once, so tokens
+    travel once for each block that a text meets, not for each pair.
+    """
+    blocks = max(1, -(-total // BLOCK_TEXTS))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    placed = checkpointed(pairs.withColumn("bx", block("x")).withColumn("by", block("y")))
+    needed = placed.select("bx", "by", F.col("x").alias("unit")).union(placed.select("bx", "by", "y")).distinct()
+    held = needed.join(tokens, "unit").select(F.col("bx").alias("cx"), F.col("by").alias("cy"), "unit", "tokens")
+
+    def count(pair_rows: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        sets = dict(zip(texts.unit, map(set, texts.tokens), strict=True))
+        return pair_rows[["x", "y", "m", "n"]].assign(both=[len(sets[x] & sets[y]) for x, y in zip(pair_rows.x, pair_rows.y, strict=True)])
+
+    return placed.groupBy("bx", "by").cogroup(held.groupBy("cx", "cy")).applyInPandas(count, "x string, y string, m int, n int, both int")
 
 
 def batch_similarity(docs: DataFrame, batch: str, least: float = 0.70) -> DataFrame:
     """Links of a batch's texts whose token sets have a Jaccard similarity of `least` or more: a, b, similarity.
 
     Texts of equal sets are a class: its first text is linked to each other one (similarity 1), and only first
-    texts are linked to those of other classes, so copies never form pairs among themselves. Texts without tokens and
-    null texts have no links.
+    texts are linked to those of other classes, so copies never form pairs among themselves. Texts without tokens,
+    null texts and texts without a batch have no links.
 
     A pair of m >= n tokens can only reach the threshold if the first m - ceil(m * least) + 1 tokens of the larger, in an order
     that all texts share, meet the first n - ceil(n * 2 * least / (1 + least)) + 1 of the smaller. Where they do, the sizes and the
-    places in both bound the overlap that is still possible; only pairs within these bounds are verified.
+    places in both bound the overlap that is still possible; only pairs within these bounds are verified, by their tokens.
     """
-    every = docs.select(batch, "doc_id", F.sort_array(F.array_distinct(terms_of("text"))).alias("tokens")).filter(F.size("tokens") > 0)
-    every = checkpointed(every.withColumn("class", F.sha2(F.array_join("tokens", " "), 256)))
-    classes = every.groupBy(batch, "class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("texts"))
-    copies = every.select(batch, "doc_id", "class").join(classes.filter("texts > 1"), [batch, "class"]).filter("doc_id > first")
-    alone = every.join(classes.select(batch, "class", F.col("first").alias("doc_id")), [batch, "class", "doc_id"])
-    sets = checkpointed(alone.select(batch, "doc_id", in_order("tokens", token_order(every)).alias("tokens"), F.size("tokens").alias("size")))
-
-    def prefix(length: Column) -> DataFrame:
-        return sets.select(batch, "doc_id", "size", F.posexplode(F.slice("tokens", F.lit(1), length)).alias("at", "token"))
-
-    probing, indexed = prefix(F.col("size") - F.ceil(F.col("size") * least) + 1), prefix(F.col("size") - F.ceil(F.col("size") * 2 * least / (1 + least)) + 1)
-    keys = [batch, "token"]
-    heavy = probing.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > TILE).select(*keys, F.ceil(F.col("__n") / TILE).cast("int").alias("__tiles"))
-    a = tiled(probing, heavy, keys, False).select(*keys, "__tile", F.col("doc_id").alias("x"), F.col("size").alias("m"), F.col("at").alias("i"))
-    b = tiled(indexed, heavy, keys, True).select(*keys, "__tile", F.col("doc_id").alias("y"), F.col("size").alias("n"), F.col("at").alias("j"))
+    given = docs.filter(F.col(batch).isNotNull()).select(batch, "doc_id", F.array_distinct(terms_of("text")).alias("tokens")).filter(F.size("tokens") > 0)
+    total = docs.count()
+    ranks, heavy = sampled_order(given, batch, total, least)
+    # a class's name is that of its batch and sorted tokens
+    named = given.select(batch, "doc_id", in_order("tokens", ranks).alias("tokens"))
+    every = checkpointed(named.withColumn("unit", F.substring(F.sha2(F.concat_ws("\u0001", F.col(batch).cast("string"), F.array_join("tokens", "\u0001")), 256), 1, 32)))
+    classes = checkpointed(every.groupBy(batch, "unit").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("texts")))
+    repeated = classes.filter("texts > 1").select("unit", "first")
+    copies = every.select(batch, "doc_id", "unit").join(repeated, "unit").filter("doc_id > first")
+    # without the copies: few of all, so they are looked up
+    alone = every.join(copies.select(F.col("doc_id").alias("__copy"), F.col("unit").alias("__unit")), (F.col("doc_id") == F.col("__copy")) & (F.col("unit") == F.col("__unit")), "left_anti")
+    tiles = {f"{b}\u0001{t}": n for (b, t), n in heavy.items()}
+
+    @F.pandas_udf("int")
+    def tiles_of(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: tiles.get(k, 1))
+
+    def prefix(indexed: bool) -> DataFrame:
+        size = F.size("tokens")
+        rows = alone.select(batch, "unit", size.alias("size"), F.posexplode(F.slice("tokens", F.lit(1), prefix_length(size, least, indexed))).alias("at", "token"))
+        whole = F.concat_ws("\u0001", F.col(batch).cast("string"), "token")
+        n = tiles_of(whole) if tiles else F.lit(1)
+        rows = rows.select("unit", "size", "at", F.xxhash64(whole).alias("key"), n.alias("__n"))
+        tile = F.explode(F.sequence(F.lit(0), F.col("__n") - 1)) if indexed and tiles else F.pmod(F.xxhash64("unit"), F.col("__n")).cast("int")
+        return rows.select("unit", "size", "at", "key", tile.alias("tile"))
+
+    a = prefix(False).select("key", "tile", F.col("unit").alias("x"), F.col("size").alias("m"), F.col("at").alias("i"))
+    b = prefix(True).select("key", "tile", F.col("unit").alias("y"), F.col("size").alias("n"), F.col("at").alias("j"))
     larger = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") > F.col("y")))
     needed = F.ceil((F.col("m") + F.col("n")) * least / (1 + least) - 1e-9)
     # tokens before both places, this one, and those behind both
-    possible = F.least("i", "j") + 1 + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) - 1
-    met = a.join(b, [*keys, "__tile"]).filter(larger & (F.col("n") >= F.col("m") * least - 1e-9) & (possible >= needed))
+    possible = F.least("i", "j") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
+    met = a.join(b, ["key", "tile"]).filter(larger & (F.col("n") >= F.col("m") * least - 1e-9) & (possible >= needed))
     # the first token that both have: nothing before it is shared
-    firsts = met.groupBy(batch, "x", "y").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.min(F.struct("i", "j")).alias("p"))
-    pairs = firsts.filter(F.least(F.col("m") - F.col("p.i"), F.col("n") - F.col("p.j")) >= needed).select(batch, "x", "y")
-    tokens = lambda name, as_: sets.select(batch, F.col("doc_id").alias(name), F.col("tokens").alias(as_))
-    both = F.size(F.array_intersect("s", "t"))
-    out = pairs.join(tokens("x", "s"), [batch, "x"]).join(tokens("y", "t"), [batch, "y"]).withColumn("similarity", F.round(both / (F.size("s") + F.size("t") - both), 6))
-    linked = out.filter(F.col("similarity") >= least).select(batch, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-    return linked.union(copies.select(batch, F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))
+    firsts = met.groupBy("x", "y").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.min(F.struct("i", "j")).alias("p"))
+    pairs = firsts.filter(F.least(F.col("m") - F.col("p.i"), F.col("n") - F.col("p.j")) >= needed).select("x", "y", "m", "n")
+    counted = verified(pairs, alone.select("unit", "tokens"), total)
+    linked = counted.withColumn("similarity", F.round(F.col("both") / (F.col("m") + F.col("n") - F.col("both")), 6)).filter(F.col("similarity") >= least)
+    names = classes.select(batch, "unit", "first")
+    out = linked.join(names.select(batch, F.col("unit").alias("x"), F.col("first").alias("__x")), "x").join(names.select(F.col("unit").alias("y"), F.col("first").alias("__y")), "y")
+    ends = out.select(batch, F.least("__x", "__y").alias("a"), F.greatest("__x", "__y").alias("b"), "similarity")
+    return ends.union(copies.select(batch, F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))
