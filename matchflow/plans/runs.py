@@ -149,15 +149,14 @@ def weekly_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT week::VARCHAR AS week, event, events, true AS users_close, true AS p50_close, true AS p90_close FROM w"""
 )
 def sketched_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weeks from daily sketches, beside the exact counts and percentiles: users within 4 %, a percentile's rank within 2 %."""
-    e = product_events(spark, sf_dir)
-    merged = R.merged_sketches(R.daily_sketches(e), "week", "event")
-    week = F.to_date(F.date_trunc("week", "ts")).alias("week")
-    near = lambda p, q: F.expr(f"percentile(value, array({max(0.0, q - 0.02)}, {min(1.0, q + 0.02)}))").alias(p)
-    exact = e.groupBy(week, "event").agg(F.countDistinct("distinct_id").alias("n"), near("around50", 0.5), near("around90", 0.9))
-    between = lambda p, around: F.col(p).between(F.get(around, F.lit(0)), F.get(around, F.lit(1)))
-    both = merged.join(exact, ["week", "event"])
-    return both.select(F.col("week").cast("string").alias("week"), "event", "events", (F.abs(F.col("users") - F.col("n")) <= 1 + 0.04 * F.col("n")).alias("users_close"), between("p50", "around50").alias("p50_close"), between("p90", "around90").alias("p90_close"))
+    """Weeks from daily sketches, beside exact counts: users within 4 %, the values at the percentiles within 2 % (and one row) of their rank."""
+    e = product_events(spark, sf_dir).withColumn("week", F.to_date(F.date_trunc("week", "ts")))
+    both = e.join(R.merged_sketches(R.daily_sketches(e), "week", "event"), ["week", "event"])
+    at = lambda p: (F.count_if(F.col("value") < F.col(p)).alias(f"{p}_below"), F.count_if(F.col("value") <= F.col(p)).alias(f"{p}_up_to"))
+    exact = both.groupBy("week", "event", "events", "users").agg(F.countDistinct("distinct_id").alias("n"), *at("p50"), *at("p90"))
+    off = 0.02 * F.col("events") + 1
+    close = lambda p, q: ((F.col(f"{p}_below") <= q * F.col("events") + off) & (F.col(f"{p}_up_to") >= q * F.col("events") - off)).alias(f"{p}_close")
+    return exact.select(F.col("week").cast("string").alias("week"), "event", "events", (F.abs(F.col("users") - F.col("n")) <= 1 + 0.04 * F.col("n")).alias("users_close"), close("p50", 0.5), close("p90", 0.9))
 
 
 @query(
