@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,22 @@ def in_order(tokens: str, ranks: dict[str, int]) -> Column:
     return ordered(tokens)
 
 
+def parities(tokens: str) -> Column:
+    """128 bits of a token set, each the parity of the tokens that hash to it: two sets' bits differ in no more places than their tokens do."""
+
+    def bits(set_: list[str]) -> tuple[int, int]:
+        halves = [0, 0]
+        for h in map(crc32, map(str.encode, set_)):
+            halves[h >> 6 & 1] ^= 1 << (h & 63)
+        return tuple(v - (1 << 64) if v >> 63 else v for v in halves)
+
+    @F.pandas_udf("low long, high long")
+    def of_sets(arrays: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(list(map(bits, arrays)), columns=["low", "high"], dtype="int64")
+
+    return of_sets(tokens)
+
+
 def verified(pairs: DataFrame, tokens: DataFrame, total: int) -> DataFrame:
     """pairs (x, y, m, n) with `both`, the number of tokens that they share.
 
@@ -60,13 +78,13 @@ def verified(pairs: DataFrame, tokens: DataFrame, total: int) -> DataFrame:
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     placed = checkpointed(pairs.withColumn("bx", block("x")).withColumn("by", block("y")))
     needed = placed.select("bx", "by", F.col("x").alias("unit")).union(placed.select("bx", "by", "y")).distinct()
-    held = needed.join(tokens, "unit").select(F.col("bx").alias("cx"), F.col("by").alias("cy"), "unit", "tokens")
+    held = needed.join(tokens, "unit").select(F.col("bx").alias("cx"), F.col("by").alias("cy"), "unit", "said")
 
     def count(pair_rows: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        sets = dict(zip(texts.unit, map(set, texts.tokens), strict=True))
+        sets = dict(zip(texts.unit, (set(said.split(" ")) for said in texts.said), strict=True))
         return pair_rows[["x", "y", "m", "n"]].assign(both=[len(sets[x] & sets[y]) for x, y in zip(pair_rows.x, pair_rows.y, strict=True)])
 
-    return placed.groupBy("bx", "by").cogroup(held.groupBy("cx", "cy")).applyInPandas(count, "x string, y string, m int, n int, both int")
+    return placed.groupBy("bx", "by").cogroup(held.groupBy("cx", "cy")).applyInPandas(count, "x binary, y binary, m int, n int, both int")
 
 
 def batch_similarity(docs: DataFrame, batch: str, least: float = 0.70) -> DataFrame:
@@ -78,19 +96,19 @@ def batch_similarity(docs: DataFrame, batch: str, least: float = 0.70) -> DataFr
 
     A pair of m >= n tokens can only reach the threshold if the first m - ceil(m * least) + 1 tokens of the larger, in an order
     that all texts share, meet the first n - ceil(n * 2 * least / (1 + least)) + 1 of the smaller. Where they do, the sizes and the
-    places in both bound the overlap that is still possible; only pairs within these bounds are verified, by their tokens.
+    places in both bound the overlap that is still possible, and the bits of their parities how many tokens they differ in; only
+    pairs within these bounds are formed, and verified by their tokens. Tokens travel joined, as one text a class.
     """
     given = docs.filter(F.col(batch).isNotNull()).select(batch, "doc_id", F.array_distinct(terms_of("text")).alias("tokens")).filter(F.size("tokens") > 0)
     total = docs.count()
     ranks, heavy = sampled_order(given, batch, total, least)
     # a class's name is that of its batch and sorted tokens
-    named = given.select(batch, "doc_id", in_order("tokens", ranks).alias("tokens"))
-    every = checkpointed(named.withColumn("unit", F.substring(F.sha2(F.concat_ws("\u0001", F.col(batch).cast("string"), F.array_join("tokens", "\u0001")), 256), 1, 32)))
-    classes = checkpointed(every.groupBy(batch, "unit").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("texts")))
-    repeated = classes.filter("texts > 1").select("unit", "first")
-    copies = every.select(batch, "doc_id", "unit").join(repeated, "unit").filter("doc_id > first")
-    # without the copies: few of all, so they are looked up
-    alone = every.join(copies.select(F.col("doc_id").alias("__copy"), F.col("unit").alias("__unit")), (F.col("doc_id") == F.col("__copy")) & (F.col("unit") == F.col("__unit")), "left_anti")
+    joined = given.select(batch, "doc_id", F.array_join(F.sort_array("tokens"), " ").alias("said"))
+    every = joined.withColumn("unit", F.unhex(F.substring(F.sha2(F.concat_ws("\u0001", F.col(batch).cast("string"), "said"), 256), 1, 32)))
+    classes = every.groupBy(batch, "unit").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("texts"), F.first("said").alias("said"))
+    ordered = classes.withColumn("tokens", in_order(F.split("said", " "), ranks))
+    alone = checkpointed(ordered.select(batch, "unit", "first", "texts", F.array_join("tokens", " ").alias("said"), parities("tokens").alias("bits")))
+    copies = every.select(batch, "doc_id", "unit").join(alone.filter("texts > 1").select("unit", "first"), "unit").filter("doc_id > first")
     tiles = {f"{b}\u0001{t}": n for (b, t), n in heavy.items()}
 
     @F.pandas_udf("int")
@@ -99,26 +117,27 @@ def batch_similarity(docs: DataFrame, batch: str, least: float = 0.70) -> DataFr
 
     def prefix(indexed: bool) -> DataFrame:
         size = F.size("tokens")
-        rows = alone.select(batch, "unit", size.alias("size"), F.posexplode(F.slice("tokens", F.lit(1), prefix_length(size, least, indexed))).alias("at", "token"))
+        rows = alone.withColumn("tokens", F.split("said", " ")).select(batch, "unit", size.alias("size"), "bits.low", "bits.high", F.posexplode(F.slice("tokens", F.lit(1), prefix_length(size, least, indexed))).alias("at", "token"))
         whole = F.concat_ws("\u0001", F.col(batch).cast("string"), "token")
         n = tiles_of(whole) if tiles else F.lit(1)
-        rows = rows.select("unit", "size", "at", F.xxhash64(whole).alias("key"), n.alias("__n"))
+        rows = rows.select("unit", "size", "low", "high", "at", F.xxhash64(whole).alias("key"), n.alias("__n"))
         tile = F.explode(F.sequence(F.lit(0), F.col("__n") - 1)) if indexed and tiles else F.pmod(F.xxhash64("unit"), F.col("__n")).cast("int")
-        return rows.select("unit", "size", "at", "key", tile.alias("tile"))
+        return rows.select("unit", "size", "low", "high", "at", "key", tile.alias("tile"))
 
-    a = prefix(False).select("key", "tile", F.col("unit").alias("x"), F.col("size").alias("m"), F.col("at").alias("i"))
-    b = prefix(True).select("key", "tile", F.col("unit").alias("y"), F.col("size").alias("n"), F.col("at").alias("j"))
+    a = prefix(False).select("key", "tile", F.col("unit").alias("x"), F.col("size").alias("m"), F.col("at").alias("i"), F.col("low").alias("xl"), F.col("high").alias("xh"))
+    b = prefix(True).select("key", "tile", F.col("unit").alias("y"), F.col("size").alias("n"), F.col("at").alias("j"), F.col("low").alias("yl"), F.col("high").alias("yh"))
     larger = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") > F.col("y")))
     needed = F.ceil((F.col("m") + F.col("n")) * least / (1 + least) - 1e-9)
     # tokens before both places, this one, and those behind both
     possible = F.least("i", "j") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
-    met = a.join(b, ["key", "tile"]).filter(larger & (F.col("n") >= F.col("m") * least - 1e-9) & (possible >= needed))
+    differ = F.bit_count(F.col("xl").bitwiseXOR(F.col("yl"))) + F.bit_count(F.col("xh").bitwiseXOR(F.col("yh")))
+    met = a.join(b, ["key", "tile"]).filter(larger & (F.col("n") >= F.col("m") * least - 1e-9) & (possible >= needed) & (differ <= F.col("m") + F.col("n") - 2 * needed))
     # the first token that both have: nothing before it is shared
     firsts = met.groupBy("x", "y").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.min(F.struct("i", "j")).alias("p"))
     pairs = firsts.filter(F.least(F.col("m") - F.col("p.i"), F.col("n") - F.col("p.j")) >= needed).select("x", "y", "m", "n")
-    counted = verified(pairs, alone.select("unit", "tokens"), total)
+    counted = verified(pairs, alone.select("unit", "said"), total)
     linked = counted.withColumn("similarity", F.round(F.col("both") / (F.col("m") + F.col("n") - F.col("both")), 6)).filter(F.col("similarity") >= least)
-    names = classes.select(batch, "unit", "first")
+    names = alone.select(batch, "unit", "first")
     out = linked.join(names.select(batch, F.col("unit").alias("x"), F.col("first").alias("__x")), "x").join(names.select(F.col("unit").alias("y"), F.col("first").alias("__y")), "y")
     ends = out.select(batch, F.least("__x", "__y").alias("a"), F.greatest("__x", "__y").alias("b"), "similarity")
     return ends.union(copies.select(batch, F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))
