@@ -123,3 +123,16 @@ def test_applied_postings_are_skipped(spark):
     history = spark.createDataFrame([("u", "https://x.org/a", True), ("u", "https://x.org/a", True), ("u", "https://x.org/b", None), ("v", "https://x.org/c", True)], "user_key string, url_norm string, applied boolean")
     kept, skipped = filter_out_applied(postings, history)
     assert sorted(r.seq for r in kept.collect()) == [2, 3, 4, 5, 6] and [r.seq for r in skipped.collect()] == [1]
+
+
+def test_references_that_no_semicolon_closes_are_text(spark):
+    html = "<article><h1>A &amp;&amp;&amp</h1> R&D &copy 1 &notit; &#38; &lt;b&gt; &amp;lt; <a href='/x?a=1&copy=2&amp;b=3'>go</a></article>"
+    df = spark.createDataFrame([(1, "https://a.b/c", html)], "page_id long, url string, html string")
+    assert P.extract_description(df).first().description == "A &&&amp R&D &copy 1 &notit; & <b> &lt; go"
+    assert P.extract_cards(df).first().url == "https://a.b/x?a=1&copy=2&b=3"
+
+
+def test_a_batch_of_pages_is_met_in_slices(spark):
+    df = spark.range(0, 1000, 1, 1).selectExpr("id as page_id", "cast(null as string) as url", "concat('<main>', id, '</main>') as html")
+    got = P.parsed(df, lambda batches: (pdf.assign(n=len(pdf))[["page_id", "n"]] for pdf in batches), "n int").collect()
+    assert sorted(r.page_id for r in got) == list(range(1000)) and max(r.n for r in got) <= 256
