@@ -11,6 +11,11 @@ from matchflow.operators.written import checkpointed
 GRAM = 3
 
 
+def in_shuffle(df: DataFrame) -> DataFrame:
+    """df as a join's side that is never broadcast: Spark takes a table of equal texts for as small as its files, and parts of texts for as many as the texts."""
+    return df.hint("merge")
+
+
 def low(c: str) -> Column:
     return F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
 
@@ -27,14 +32,14 @@ def contained(small: DataFrame, large: DataFrame) -> DataFrame:
     counted = have.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
     size = F.least(F.length("s"), F.lit(GRAM))
     own = F.transform(F.sequence(F.lit(1), F.length("s") - size + 1), lambda i: F.substring(F.col("s"), i, size))
-    asked = small.filter("s <> ''").distinct().select("doc_id", "s", F.explode(F.array_distinct(own)).alias("gram")).join(counted, ["doc_id", "gram"], "left")
+    asked = small.filter("s <> ''").distinct().select("doc_id", "s", F.explode(F.array_distinct(own)).alias("gram")).join(in_shuffle(counted), ["doc_id", "gram"], "left")
     rarest = asked.groupBy("doc_id", "s").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
-    return rarest.join(have, ["doc_id", "gram"]).filter(F.contains("l", "s")).select("doc_id", "s", "l")
+    return rarest.join(in_shuffle(have), ["doc_id", "gram"]).filter(F.contains("l", "s")).select("doc_id", "s", "l")
 
 
 def first_header(pairs: DataFrame, headers: DataFrame) -> DataFrame:
     """Of pairs of lowered texts (doc_id, k, h) each k's header of the least place."""
-    met = pairs.join(headers.select("doc_id", F.col("low").alias("h"), "header", "place"), ["doc_id", "h"])
+    met = pairs.join(in_shuffle(headers.select("doc_id", F.col("low").alias("h"), "header", "place")), ["doc_id", "h"])
     return met.groupBy("doc_id", "k").agg(F.min_by("header", F.struct("place", "header")).alias("header"))
 
 
@@ -49,8 +54,8 @@ def containing_headers(keys: DataFrame, headers: DataFrame) -> DataFrame:
     k, h = asked.select("doc_id", "k"), once.select("doc_id", "low")
     inside = contained(k.withColumnRenamed("k", "s"), h.withColumnRenamed("low", "l")).select("doc_id", F.col("s").alias("k"), F.col("l").alias("h"))
     around = contained(h.withColumnRenamed("low", "s"), k.withColumnRenamed("k", "l")).select("doc_id", F.col("l").alias("k"), F.col("s").alias("h"))
-    empty = k.join(h.filter("low = ''").distinct(), "doc_id").select("doc_id", "k", F.col("low").alias("h"))
-    return first_header(inside.union(around).union(empty).distinct(), once).join(asked, ["doc_id", "k"]).select("doc_id", "key", "header")
+    empty = k.join(in_shuffle(h.filter("low = ''").distinct()), "doc_id").select("doc_id", "k", F.col("low").alias("h"))
+    return first_header(inside.union(around).union(empty).distinct(), once).join(in_shuffle(asked), ["doc_id", "k"]).select("doc_id", "key", "header")
 
 
 def resolve_keys(keys: DataFrame, headers: DataFrame, least: float = 0.60) -> DataFrame:
@@ -65,22 +70,22 @@ def resolve_keys(keys: DataFrame, headers: DataFrame, least: float = 0.60) -> Da
     texts = asked.select("doc_id", "k").distinct()
     equal = first_header(texts.withColumn("h", F.col("k")), once)
     equal = checkpointed(equal)
-    rest = checkpointed(texts.join(equal, ["doc_id", "k"], "left_anti"))
+    rest = checkpointed(texts.join(in_shuffle(equal), ["doc_id", "k"], "left_anti"))
     h = once.select("doc_id", "low").distinct()
     inside = contained(rest.withColumnRenamed("k", "s"), h.withColumnRenamed("low", "l")).select("doc_id", F.col("s").alias("k"), F.col("l").alias("h"))
     begun = contained(h.withColumnRenamed("low", "s"), rest.withColumnRenamed("k", "l")).filter(F.startswith("l", "s")).select("doc_id", F.col("l").alias("k"), F.col("s").alias("h"))
-    empty = rest.join(h.filter("low = ''"), "doc_id").select("doc_id", "k", F.col("low").alias("h"))
+    empty = rest.join(in_shuffle(h.filter("low = ''")), "doc_id").select("doc_id", "k", F.col("low").alias("h"))
     within = checkpointed(first_header(inside.union(begun).union(empty), once))
-    left = rest.join(within, ["doc_id", "k"], "left_anti").withColumn("kt", key_tokens("k")).filter(F.size("kt") > 0)
+    left = rest.join(in_shuffle(within), ["doc_id", "k"], "left_anti").withColumn("kt", key_tokens("k")).filter(F.size("kt") > 0)
     have = once.select("doc_id", "header", "place", key_tokens("header").alias("ht")).filter(F.size("ht") > 0)
     posted = have.select("doc_id", "header", "place", "ht", F.explode("ht").alias("token"))
     counted = posted.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    words = left.select("doc_id", "k", "kt", F.explode("kt").alias("token")).join(counted, ["doc_id", "token"], "left")
+    words = left.select("doc_id", "k", "kt", F.explode("kt").alias("token")).join(in_shuffle(counted), ["doc_id", "token"], "left")
     place = F.row_number().over(Window.partitionBy("doc_id", "k").orderBy(F.coalesce("n", F.lit(0)), "token"))
     spare = F.size("kt") - F.ceil(F.size("kt") * F.lit(least) - 1e-9) + 1
     rare = words.withColumn("__at", place).filter((F.col("__at") <= spare) & F.col("n").isNotNull()).select("doc_id", "k", "kt", "token")
-    met = rare.join(posted, ["doc_id", "token"]).select("doc_id", "k", "header", "place", (F.size(F.array_intersect("kt", "ht")) / F.size("kt")).alias("overlap"))
+    met = rare.join(in_shuffle(posted), ["doc_id", "token"]).select("doc_id", "k", "header", "place", (F.size(F.array_intersect("kt", "ht")) / F.size("kt")).alias("overlap"))
     best = F.min_by("header", F.struct((-F.col("overlap")).alias("o"), F.length("header").alias("n"), "place"))
     overlapping = met.filter(F.col("overlap") >= least).groupBy("doc_id", "k").agg(best.alias("header"))
-    found = equal.union(within).union(overlapping).join(asked, ["doc_id", "k"]).select("doc_id", "key", "header")
-    return keys.join(found, ["doc_id", "key"], "left")
+    found = equal.union(within).union(overlapping).join(in_shuffle(asked), ["doc_id", "k"]).select("doc_id", "key", "header")
+    return keys.join(in_shuffle(found), ["doc_id", "key"], "left")

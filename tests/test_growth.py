@@ -15,3 +15,20 @@ def test_texts_that_only_share_a_rare_token_form_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(S, "verified", lambda pairs, *rest: formed.append(pairs.count()) or plain(pairs, *rest))
     got = [tuple(r) for r in S.batch_similarity(spark.createDataFrame(rows, "source string, doc_id long, text string"), "source").collect()]
     assert got == [("p", 0, 300, round(20 / 21, 6))] and formed[0] < 20
+
+
+def test_keys_and_headers_are_not_broadcast(spark, monkeypatch):
+    """Twenty thousand documents of equal headers make small files and large tables."""
+    from pyspark.sql import functions as F
+
+    from matchflow.operators import keys as K
+
+    plans, plain = [], K.checkpointed
+    physical = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(K, "checkpointed", lambda df: plain(physical(df)))
+    ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    keys = ids.select("doc_id", F.lit("Acme North team").alias("key"))
+    headers = ids.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "Lead of Acme North team").otherwise("Globex").alias("header"), F.lit(1).alias("place"))
+    got = physical(K.resolve_keys(keys, headers))
+    assert got.filter("header = 'Lead of Acme North team'").count() == 10_000 and got.count() == 20_000
+    assert not [p for p in plans if "Broadcast" in p]
