@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from matchflow.functions import guards as G
 from matchflow.functions.summary import summary_violation
-from matchflow.functions.text import ascii_ratio, words
+from matchflow.functions.text import ascii_ratio, let, words
+from matchflow.operators.written import by_row_or_key
 
 TERM = r"([A-Za-z][A-Za-z0-9+&-]{2,})"
 # Words that say nothing about a key.
@@ -128,10 +129,10 @@ def vocabulary(docs: DataFrame, key: str, *texts: str) -> DataFrame:
     A row's texts are joined by a space first. Null texts count as empty; a key without words has no row.
     """
     words_ = F.filter(F.split(F.lower(F.concat_ws(" ", *texts)), "[^a-z0-9+]+"), lambda w: w != "")
-    rows = docs.select(key, words_.alias("__w"))
     pairs = F.transform(F.slice("__w", F.lit(2), F.greatest(F.size("__w") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get("__w", i), w))
     terms = F.array_distinct(F.concat(F.filter("__w", lambda w: F.length(w) >= 2), pairs))
-    return rows.select(key, F.explode(terms).alias("term")).distinct()
+    each = lambda df: df.select(key, words_.alias("__w")).select(key, F.explode(terms).alias("term"))
+    return by_row_or_key(docs.select(key, *texts), key, each, lambda df: each(df).distinct())
 
 
 def novel_terms(source: DataFrame, target: DataFrame, text: str = "text") -> DataFrame:
@@ -157,9 +158,20 @@ def novel_terms(source: DataFrame, target: DataFrame, text: str = "text") -> Dat
 
 def merge_terms(df: DataFrame, key: str, first: str, second: str) -> DataFrame:
     """By key, both lists in order without terms of two letters or fewer; of spellings that differ in case the first wins."""
-    each = df.select(key, F.posexplode(F.concat(first, second)).alias("pos", "term")).withColumn("term", F.trim("term")).filter(F.length("term") >= 3)
-    once = each.groupBy(key, F.lower("term").alias("__low")).agg(F.min("pos").alias("pos"), F.min_by("term", "pos").alias("term"))
-    return once.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda e: e["term"]).alias("terms"))
+
+    def of_rows(df: DataFrame) -> DataFrame:
+        each = F.transform(F.concat(first, second), lambda t, i: F.struct(F.lower(F.trim(t)).alias("low"), i.alias("pos"), F.trim(t).alias("term")))
+        found = F.sort_array(F.filter(each, lambda e: F.length(e["term"]) >= 3))
+        once = let(found, lambda es: F.filter(es, lambda e, i: (i == 0) | (F.get(es, i - 1)["low"] != e["low"])))
+        terms = F.transform(F.sort_array(F.transform(once, lambda e: F.struct(e["pos"], e["term"]))), lambda e: e["term"])
+        return df.select(key, terms.alias("terms")).filter(F.size("terms") > 0)
+
+    def of_keys(df: DataFrame) -> DataFrame:
+        each = df.select(key, F.posexplode(F.concat(first, second)).alias("pos", "term")).withColumn("term", F.trim("term")).filter(F.length("term") >= 3)
+        once = each.groupBy(key, F.lower("term").alias("__low")).agg(F.min("pos").alias("pos"), F.min_by("term", "pos").alias("term"))
+        return once.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda e: e["term"]).alias("terms"))
+
+    return by_row_or_key(df, key, of_rows, of_keys)
 
 
 def subtract_terms(terms: Column | str, safe: list[str]) -> Column:

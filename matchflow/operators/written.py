@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def run_folder(spark: SparkSession) -> str:
@@ -57,3 +59,14 @@ def discarded(df: DataFrame) -> None:
     """Remove the folder of a checkpointed table that nothing reads any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         removed(df.sparkSession, folder)
+
+
+def by_row_or_key(df: DataFrame, key: str, of_rows: Callable[[DataFrame], DataFrame], of_keys: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A result by key: of_rows for keys of one row, which need no shuffle of what the row holds, of_keys for the rows of the others.
+
+    The keys alone are shuffled, to find those of several rows.
+    """
+    several = checkpointed(df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__key"))
+    met = F.col(key).eqNullSafe(F.col("__key"))
+    once = of_rows(df.join(several, met, "left_anti"))
+    return once.unionByName(of_keys(df.join(several, met, "left_semi")))
