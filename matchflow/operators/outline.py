@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchflow.functions import structure as S
-from matchflow.functions.text import ascii_ratio
+from matchflow.functions.text import ascii_ratio, let
+from matchflow.operators.written import by_row_or_key
 
 
 def doc_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -227,6 +228,23 @@ def term_mode(df: DataFrame, key: str, value: str, order: str, default: str) ->
     return best.withColumn("mode", F.coalesce("mode", F.lit(default)))
 
 
+def list_mode(df: DataFrame, key: str, values: str, default: str) -> DataFrame:
+    """term_mode of lists: the most frequent value of each key's list, the first of equal ones; rows of one key are one list."""
+
+    def of_rows(df: DataFrame) -> DataFrame:
+        placed = F.sort_array(F.filter(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("p"))), lambda e: e["v"].isNotNull()))
+        # where runs of equal values begin, among the values in order
+        begins = lambda es: F.filter(F.transform(es, lambda e, i: F.when((i == 0) | (F.get(es, i - 1)["v"] != e["v"]), i)), lambda i: i.isNotNull())
+        runs = lambda es, at: F.transform(at, lambda b, k: F.struct((F.coalesce(F.get(at, k + 1), F.size(es)) - b).alias("n"), (-F.get(es, b)["p"]).alias("f"), F.get(es, b)["v"].alias("v")))
+        best = let(placed, lambda es: let(begins(es), lambda at: F.array_max(runs(es, at))))
+        return df.filter(F.size(values) > 0).select(key, F.coalesce(best["v"], F.lit(default)).alias("mode"))
+
+    def of_keys(df: DataFrame) -> DataFrame:
+        return term_mode(df.select(key, F.posexplode(values).alias("__p", "__v")), key, "__v", "__p", default)
+
+    return by_row_or_key(df, key, of_rows, of_keys)
+
+
 def drop_zero_bullet_docs(outline: DataFrame) -> DataFrame:
     """Documents with the flag zero_bullets, which skip rewriting."""
     n = F.aggregate(F.coalesce("roles", F.array().cast("array<struct<section_no:int,role_no:int,header:string,section:string,bullets:array<string>>>")), F.lit(0), lambda a, r: a + F.size(r["bullets"]))

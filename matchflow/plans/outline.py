@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchflow.functions import structure as S
 from matchflow.operators import outline as O
+from matchflow.operators.written import checkpointed
 from matchflow.plans.registry import bound, query, table
 
 #: Every document's whole text as bullets under headings; the same text runs in Spark and in DuckDB.
@@ -166,7 +167,7 @@ def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_CHUNKS} SELECT doc_id, section, idx::INT AS idx FROM chunks WHERE doc_id % 3 > 0")
 def to_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = O.build_chunks(O.parse_outline(cvs(spark, sf_dir)))
+    chunks = checkpointed(O.build_chunks(O.parse_outline(cvs(spark, sf_dir))).select("doc_id", "section", "idx"))
     stored = chunks.filter("doc_id % 3 = 0 or section = 'summary'").select("doc_id")
     return O.to_index(chunks, stored).select("doc_id", "section", "idx")
 
@@ -209,8 +210,8 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, w AS mode FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) = 1"""
 )
 def term_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("p", "w"))
-    return O.term_mode(words, "doc_id", "w", "p", "-")
+    words = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ", -1).alias("words"))
+    return O.list_mode(words, "doc_id", "words", "-")
 
 
 @query(f"{_C} SELECT doc_id, section_no::INT AS section_no, kind, row_number() OVER (PARTITION BY doc_id ORDER BY CASE kind {' '.join(f'''WHEN '{k}' THEN {i}''' for i, k in enumerate(S.ORDER))} ELSE 5 END, section_no)::INT AS place FROM {_SECTIONS('raw')} AS z WHERE heading IS NOT NULL")

@@ -32,3 +32,31 @@ def test_keys_and_headers_are_not_broadcast(spark, monkeypatch):
     got = physical(K.resolve_keys(keys, headers))
     assert got.filter("header = 'Lead of Acme North team'").count() == 10_000 and got.count() == 20_000
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def shuffled(spark, df):
+    total = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = total()
+    got = df().collect()
+    return got, total() - before
+
+
+def test_rows_of_single_keys_are_not_shuffled(spark):
+    """Words of one row a key stay where they are; keys of several rows, and null ones, are merged as before."""
+    from matchflow.operators import audit as A
+    from matchflow.operators import outline as O
+
+    rng = random.Random(4)
+    texts = {i: " ".join(f"{rng.choice('aAbB')}{rng.randrange(10**6):06d}x" for _ in range(300)) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "id long, t string").selectExpr("id", "t", "split(t, ' ') as a", "array('aa ', 'AAA', 'aaa') as b")
+    bytes_ = sum(map(len, texts.values()))
+    got, moved = shuffled(spark, lambda: A.vocabulary(df, "id", "t"))
+    assert {(r.id, r.term) for r in got} == {(i, w) for i, t in texts.items() for ws in [t.lower().split()] for w in [*ws, *map(" ".join, zip(ws, ws[1:]))]} and moved < bytes_ / 3
+    got, moved = shuffled(spark, lambda: A.merge_terms(df, "id", "a", "b"))
+    first = lambda ws: list({w.lower(): w for w in reversed(ws)}.values())[::-1]
+    assert {r.id: sorted(r.terms) for r in got} == {i: sorted([*first(t.split()), "AAA"]) for i, t in texts.items()} and moved < bytes_ / 3
+    got, moved = shuffled(spark, lambda: O.list_mode(df, "id", "a", "-"))
+    assert {r.id: r.mode for r in got} == {i: max(dict.fromkeys(t.split()), key=t.split().count) for i, t in texts.items()} and moved < bytes_ / 3
+    odd = spark.createDataFrame([(1, ["x", "y"]), (1, ["y"]), (2, ["b", "a", "b", "a"]), (3, [None]), (None, ["q"]), (None, ["q"]), (4, []), (5, None)], "id long, a array<string>")
+    assert sorted(((r.id or 0), r.mode) for r in O.list_mode(odd, "id", "a", "-").collect()) == [(0, "q"), (1, "y"), (2, "b"), (3, "-")]
+    assert sorted((r.id or 0, r.term) for r in A.vocabulary(odd.selectExpr("id", "array_join(a, ' ') as t"), "id", "t").collect()) == [(1, "x y"), (2, "a b"), (2, "b a")]
