@@ -60,3 +60,21 @@ def test_rows_of_single_keys_are_not_shuffled(spark):
     odd = spark.createDataFrame([(1, ["x", "y"]), (1, ["y"]), (2, ["b", "a", "b", "a"]), (3, [None]), (None, ["q"]), (None, ["q"]), (4, []), (5, None)], "id long, a array<string>")
     assert sorted(((r.id or 0), r.mode) for r in O.list_mode(odd, "id", "a", "-").collect()) == [(0, "q"), (1, "y"), (2, "b"), (3, "-")]
     assert sorted((r.id or 0, r.term) for r in A.vocabulary(odd.selectExpr("id", "array_join(a, ' ') as t"), "id", "t").collect()) == [(1, "x y"), (2, "a b"), (2, "b a")]
+
+
+def test_pairs_of_one_class_are_many_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from matchflow.operators import postings as P
+
+    monkeypatch.setattr(P, "POSTING_PART", 50, raising=False)
+    text = lambda t: F.when(F.rand(1) < 0, "Chef").otherwise(t)
+    candidates = spark.range(30).select(F.col("id").alias("candidate_id"), text("Senior (6-10)").alias("experience_level"))
+    postings = spark.range(0, 2_000, 1, 1).select(F.col("id").alias("seq"), text("Senior Product Manager").alias("title"), text("5+ years of work").alias("description"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pairs = P.candidate_pairs(candidates, postings).select("candidate_id", "seq", F.spark_partition_id().alias("task")).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tasks = pairs.task.value_counts()
+    assert len(pairs) == 60_000 == len(pairs.drop_duplicates(["candidate_id", "seq"])) and len(tasks) > 2 and tasks.max() < 40_000
