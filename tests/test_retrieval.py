@@ -50,3 +50,36 @@ def test_topk_of_odd_tables(spark, cells):
     q, c = tables(spark, queries, chunks)
     assert found(R.retrieve_topk(q, c, 7, cells=cells)) == by_hand(queries, chunks, 7)
     assert R.retrieve_topk(q, c.limit(0), 7).count() == 0 and R.retrieve_topk(q.limit(0), c, 7).count() == 0
+
+
+def test_a_cloud_of_many_dimensions_forms_few_rows(spark, monkeypatch):
+    """No cell can be left out there, but only a block's nearest become rows; blocks are small, a cell of near copies spans several, sets of queries too."""
+    for name, value in {"BLOCK": 250, "SMALL": 20, "ASKERS": 7}.items():
+        monkeypatch.setattr(R, name, value, raising=False)
+    rng = np.random.default_rng(5)
+    unit = lambda n: [(v / np.linalg.norm(v)).tolist() for v in rng.normal(0, 1, (n, 32))]
+    near = [(np.ones(32) / 32**0.5 + rng.normal(0, 1e-4, 32)).tolist() for _ in range(700)]
+    chunks = [(i, "a", x) for i, x in enumerate(unit(1300) + near)] + [(3000 + i, f"own{i % 9}", x) for i, x in enumerate(unit(30))]
+    queries = [(i, fp, x) for i, fp, x in chunks if i % 100 == 0] + [(9000 + i, f"own{i}", x) for i, x in enumerate(unit(9))]
+    q, c = tables(spark, queries, chunks)
+    formed, plain = [], R.candidates
+    monkeypatch.setattr(R, "candidates", lambda *args: formed.append(plain(*args)) or formed[-1])
+    assert found(R.retrieve_topk(q, c, 5)) == by_hand(queries, chunks, 5)
+    rows = sum(f.count() for f in formed)
+    assert rows < 0.1 * len(queries) * len(chunks), rows
+
+
+def test_a_block_multiplies_only_cells_within_the_bound():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 20, (30, 8))
+    x = np.repeat(centres, 50, axis=0) + rng.normal(0, 1, (1500, 8))
+    cell, radius = R.nearest(x, centres)
+    q = x[::100]
+    distances = ((q[:, None] - x) ** 2).sum(axis=2)
+    asked = pa.table({"embedding": q.tolist(), "doc_fp": ["a"] * len(q), "bound": np.sqrt(np.sort(distances, axis=1)[:, 4]) + 1e-9, "cell": pa.nulls(len(q), pa.int32())})
+    entries = pa.table({"embedding": x.tolist(), "doc_fp": ["a"] * len(x), "cell": cell, "radius": radius})
+    i, j, distance, pairs = R.met(asked, entries, centres, 5, "doc_fp", "embedding")
+    assert [j[i == r].tolist() for r in range(len(q))] == np.argsort(distances, axis=1, kind="stable")[:, :5].tolist()
+    assert np.allclose(distance, distances[i, j]) and pairs < 0.1 * len(q) * len(x)
