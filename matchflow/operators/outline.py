@@ -63,6 +63,23 @@ def role_table(roles: DataFrame) -> DataFrame:
     return out.filter(F.size("bullets") > 0)
 
 
+def document_roles(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`role_table` of whole documents, joined bullets and sections included.
+
+    A document of one row is cut up in that row and its lines are never shuffled; the rows of a repeated doc_id are lines of one document.
+    """
+
+    def of_rows(d: DataFrame) -> DataFrame:
+        given = lambda s: s["kind"].isin("experience", "projects") & (F.size(s["lines"]) > 0)
+        # explode would get a filter below it that computes the whole array again
+        parts = d.select("doc_id", F.explode_outer(F.filter(S.sections(S.joined_lines("text")), given)).alias("s")).filter("s is not null")
+        roles = parts.select("doc_id", "s.section_no", "s.kind", F.explode_outer(S.section_roles("s.lines")).alias("r")).filter("r is not null")
+        return roles.select("doc_id", "section_no", "kind", "r.*")
+
+    of_keys = lambda d: role_table(assign_roles(assign_sections(coalesce_bullets(doc_lines(d)))))
+    return by_row_or_key(docs.select("doc_id", F.col(text).alias("text")), "doc_id", of_rows, of_keys)
+
+
 # A year, a month in full or by three letters, an open end; or a long dash between two words.
 ROLE_SIGNAL = (
     r"(?i)\b((19|20)\d{2}|Jan|January|Feb|February|Mar|March|Apr|April|May|Jun|June|Jul|July|Aug|August|Sep|September|Oct|October|Nov|November|Dec|December"

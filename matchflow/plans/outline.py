@@ -94,8 +94,7 @@ def extraction_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_C}, {_JOINED}, {_ROLES} SELECT doc_id, section_no::INT AS section_no, kind, role_no::INT AS role_no, header, array_to_string(bullets, '|') AS bullets FROM roles")
 def assign_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = O.assign_sections(O.coalesce_bullets(_lines(spark, sf_dir)))
-    return O.role_table(O.assign_roles(lines)).select("doc_id", "section_no", "kind", "role_no", "header", F.array_join("bullets", "|").alias("bullets"))
+    return O.document_roles(cvs(spark, sf_dir)).select("doc_id", "section_no", "kind", "role_no", "header", F.array_join("bullets", "|").alias("bullets"))
 
 
 @query(
@@ -107,7 +106,7 @@ def assign_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def merge_fragmented_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every bullet as a role of its own, each fourth with a dash in its header."""
-    roles = O.role_table(O.assign_roles(O.assign_sections(O.coalesce_bullets(_lines(spark, sf_dir)))))
+    roles = O.document_roles(cvs(spark, sf_dir))
     single = roles.select("doc_id", "section_no", "kind", "role_no", F.posexplode("bullets").alias("i", "b"))
     header = F.when(F.col("i") % 4 == 3, F.concat("b", F.lit(" – Acme"))).otherwise(F.col("b"))
     merged = O.merge_fragmented_roles(single.select("doc_id", "section_no", "kind", (F.col("role_no") * 1_000_000 + F.col("i")).alias("role_no"), header.alias("header"), F.array("b").alias("bullets")))
@@ -235,7 +234,7 @@ _EDGE = r"[\s.,–—(|:;-]+"
     SELECT doc_id, section_no::INT AS section_no, role_no::INT AS role_no, CASE WHEN found = '' OR title = '' THEN raw ELSE title END AS title, trim(found) AS dates FROM t"""
 )
 def role_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roles = O.role_table(O.assign_roles(O.assign_sections(O.coalesce_bullets(_lines(spark, sf_dir)))))
+    roles = O.document_roles(cvs(spark, sf_dir))
     return roles.select("doc_id", "section_no", "role_no", S.split_role_header(F.expr(_CASED)).alias("h")).select("doc_id", "section_no", "role_no", "h.*")
 
 

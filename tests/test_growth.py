@@ -78,3 +78,24 @@ def test_pairs_of_one_class_are_many_tasks(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     tasks = pairs.task.value_counts()
     assert len(pairs) == 60_000 == len(pairs.drop_duplicates(["candidate_id", "seq"])) and len(tasks) > 2 and tasks.max() < 40_000
+
+
+def test_lines_of_a_document_are_not_shuffled_for_its_roles(spark, sf_dir):
+    """Only keys move; odd texts, null and repeated keys give the roles that windows over their lines give."""
+    from matchflow.operators import outline as O
+    from matchflow.plans import QUERIES
+
+    size = sum(len(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect())
+    got, moved = shuffled(spark, lambda: QUERIES["assign_roles"](spark, sf_dir))
+    assert len(got) > 200 and moved < size / 10
+    rng = random.Random(1)
+    pool = ["Experience", "  Projects:: ", "Own Projects", "Skills", "", "   ", "- a", "• b  ", "  2. c", "plain", "  plain two ", "-x", "a: :", "Experience:\r", "x" * 50]
+    pool += ["x" * 50 + ":", "• " + "y" * 60, "Education", "1) q\r", "\t• tab", "-", "- ", "Projects " + ":" * 60, "𝒳 wide", "- 𝒳", "Summary  "]
+    rows = [(i % 280, "\n".join(rng.choice(pool) for _ in range(rng.randrange(30)))) for i in range(300)] + [(500, None), (501, ""), (502, "\n"), (None, "Experience\n- n"), (None, "- m\nP")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = docs.filter("doc_id >= 20")
+    plain = lambda d: O.role_table(O.assign_roles(O.assign_sections(O.coalesce_bullets(O.doc_lines(d)))))
+    roles = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert roles(O.document_roles(once)) == roles(plain(once)) and len(roles(plain(once))) > 200
+    assert O.document_roles(docs.filter("doc_id is null")).count() == plain(docs.filter("doc_id is null")).count() > 0
+    assert O.document_roles(docs).filter("doc_id < 20").count() == plain(docs).filter("doc_id < 20").count() > 0
