@@ -99,3 +99,18 @@ def test_lines_of_a_document_are_not_shuffled_for_its_roles(spark, sf_dir):
     assert roles(O.document_roles(once)) == roles(plain(once)) and len(roles(plain(once))) > 200
     assert O.document_roles(docs.filter("doc_id is null")).count() == plain(docs.filter("doc_id is null")).count() > 0
     assert O.document_roles(docs).filter("doc_id < 20").count() == plain(docs).filter("doc_id < 20").count() > 0
+
+
+def test_candidates_are_copied_as_often_as_cores_need(spark, monkeypatch):
+    """A class of 50,000 postings, a thousand of the least parts: its candidates are shuffled for a few larger ones."""
+    from pyspark.sql import functions as F
+
+    from matchflow.operators import postings as P
+
+    monkeypatch.setattr(P, "POSTING_PART", 50)
+    monkeypatch.setattr(P, "PARTS_A_CORE", 2, raising=False)
+    text = lambda t: F.when(F.rand(1) < 0, "Chef").otherwise(t)
+    candidates = spark.range(1_000).select(F.col("id").alias("candidate_id"), text("Senior (6-10)").alias("experience_level"))
+    postings = spark.range(50_000).select(F.col("id").alias("seq"), text("Senior Product Manager").alias("title"), text("5+ years of work").alias("description"))
+    got, moved = shuffled(spark, lambda: P.candidate_pairs(candidates, postings).filter("candidate_id + seq < 2").select("candidate_id", "seq"))
+    assert sorted(map(tuple, got)) == [(0, 0), (0, 1), (1, 0)] and moved < 2_000_000
