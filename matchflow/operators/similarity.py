@@ -1,83 +1,179 @@
-"""Similar texts of a batch: a Jaccard join of token sets by prefix, size and position."""
+"""Similar texts of a batch: token sets compared by the parities of hashed tokens, block by block, then by their tokens."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from hashlib import sha256
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from matchflow.operators.audit import terms_of
+from matchflow.operators.audit import TERM
 from matchflow.operators.written import checkpointed
 
-#: Texts that the order of tokens and the heavy ones are taken from, and the most tokens that the order holds.
-SAMPLE_TEXTS, ORDER_TOKENS = 20_000, 50_000
-#: A token that more texts of a batch have in their prefixes, by the sample, is met in tiles.
-TILE = 5_000
+#: Texts of TEXT_BYTES of parities that a block of comparison holds.
+TILE, TEXT_BYTES = 8_192, 128
+#: Blocks that a large batch is cut into, while they are not larger than BLOCK_BYTES.
+BLOCKS, BLOCK_BYTES = 64, 32 << 20
+#: Bytes of a text's name.
+UNIT = 16
 #: Texts of one block of verification.
 BLOCK_TEXTS = 2_000
 
 
-def prefix_length(size: Column, least: float, indexed: bool) -> Column:
-    """How many first tokens a set is found by: as the larger of a pair, or (indexed) as the smaller."""
-    return size - F.ceil(size * (2 * least / (1 + least) if indexed else least)) + 1
+def width(size: int) -> int:
+    """Parity bits of a set of that size: half as many again as tokens, as a power of two, so that wide parities fold to narrow ones."""
+    return max(64, 1 << (size + size // 2 - 1).bit_length())
 
 
-def sampled_order(sets: DataFrame, batch: str, total: int, least: float) -> tuple[dict[str, int], dict[tuple, int]]:
-    """Ranks of the frequent tokens, rarer ones first, and the tiles of (batch, token) that many prefixes have, from a hash sample of texts.
+def words_of(text: str | None) -> list[str]:
+    """The distinct terms of a text, in order."""
+    return sorted({t.rstrip("-+&").lower() for t in set(re.findall(TERM, text))}) if text else []
+
+
+def unit_of(batch: str, words: list[str]) -> bytes:
+    """A class's name, that of its batch and its words."""
+    return sha256(f"{batch}\u0001{' '.join(words)}".encode()).digest()[:UNIT]
+
+
+def parities(words: list[str]) -> bytes:
+    """Bits that are each the parity of the words whose hash falls on it: two sets' bits differ in no more places than their words do."""
+    n = width(len(words))
+    hashes = np.fromiter(map(crc32, " ".join(words).encode().split(b" ")), dtype="int64", count=len(words))
+    return np.packbits(np.bincount(hashes & (n - 1), minlength=n).astype("uint8") & 1, bitorder="little").tobytes()
 
-    Tokens without a rank come before the others. Any order that all sets share gives the same links, and so does any number of
-    tiles: these keep common tokens out of prefixes and spread what is common in them.
-    """
-    share = min(1.0, SAMPLE_TEXTS / max(1, total))
-    # about SAMPLE_TEXTS texts' tokens, whatever the table's size: counted in Spark, ORDER_TOKENS rows at most come back
-    some = sets.filter(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(1_000_000)) < int(share * 1_000_000)).select(batch, "tokens").persist()
-    counted = some.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ranks = {r.token: k for k, r in enumerate(reversed(counted.orderBy(F.desc("n"), "token").limit(ORDER_TOKENS).collect()))}
-    size = F.size("tokens")
-    first = some.select(batch, F.explode(F.slice(in_order("tokens", ranks), F.lit(1), prefix_length(size, least, False))).alias("token"))
-    heavy = first.groupBy(batch, "token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE * share).orderBy(F.desc("n"), batch, "token").limit(ORDER_TOKENS).collect()
-    some.unpersist()
-    return ranks, {(r[0], r.token): int(r.n / share // TILE) + 1 for r in heavy}
 
+def described(batch: Column, text: str) -> Column:
+    """Name, size and parities of a text's set of words; without words, nulls."""
 
-def in_order(tokens: str, ranks: dict[str, int]) -> Column:
-    """A token array by rank; tokens without one come first, the longest of them leading."""
+    @F.pandas_udf("unit binary, size int, bits binary")
+    def of_texts(batches: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        sets = [words_of(t) for t in texts]
+        rows = [(unit_of(b, w), len(w), parities(w)) if w else (None, None, None) for b, w in zip(batches, sets, strict=True)]
+        return pd.DataFrame(rows, columns=["unit", "size", "bits"]).astype({"size": "Int32"})
 
-    @F.pandas_udf("array<string>")
-    def ordered(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda a: sorted(a, key=lambda t: (ranks.get(t, -1), -len(t), t)))
+    return of_texts(batch, text)
 
-    return ordered(tokens)
 
+def told(batch: Column, text: str) -> Column:
+    """Name and words of a text."""
 
-def parities(tokens: str) -> Column:
-    """128 bits of a token set, each the parity of the tokens that hash to it: two sets' bits differ in no more places than their tokens do."""
+    @F.pandas_udf("unit binary, said string")
+    def of_texts(batches: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(unit_of(b, w), " ".join(w)) for b, w in zip(batches, map(words_of, texts), strict=True)], columns=["unit", "said"])
 
-    def bits(set_: list[str]) -> tuple[int, int]:
-        halves = [0, 0]
-        for h in map(crc32, map(str.encode, set_)):
-            halves[h >> 6 & 1] ^= 1 << (h & 63)
-        return tuple(v - (1 << 64) if v >> 63 else v for v in halves)
+    return of_texts(batch, text)
+
+
+def packed(classes: DataFrame, least: float) -> DataFrame:
+    """Blocks of a batch's classes in the order of their sizes: __b, block, the least and most size, units, sizes and bits in a row.
+
+    A block holds so many bytes, not texts; texts of one size may lie in several blocks.
+    """
+    order = Window.partitionBy("__b").orderBy("size")
+    cells = classes.groupBy("__b", "size").agg(F.sum(F.length("bits") + 2 * UNIT).alias("w"))
+    limit = F.least(F.lit(BLOCK_BYTES), F.greatest(F.lit(TILE * TEXT_BYTES), F.ceil(F.sum("w").over(Window.partitionBy("__b")) / BLOCKS)))
+    cells = cells.select("__b", "size", "w", (F.sum("w").over(order) - F.col("w")).alias("before"), limit.alias("limit"))
+    at = F.floor((F.col("before") + F.pmod(F.xxhash64("unit"), F.col("w"))) / F.col("limit"))
+    placed = classes.join(cells, ["__b", "size"]).select("__b", at.cast("long").alias("block"), "unit", "size", "bits")
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("size", kind="stable")
+        sizes = rows["size"].to_numpy("int32")
+        return pd.DataFrame([(*key, sizes[0], sizes[-1], b"".join(rows.unit), sizes.tobytes(), b"".join(rows.bits))], columns=["__b", "block", "least", "most", "units", "sizes", "bits"])
+
+    names = {"block": LongType(), "least": IntegerType(), "most": IntegerType(), "units": BinaryType(), "sizes": BinaryType(), "bits": BinaryType()}
+    return placed.groupBy("__b", "block").applyInPandas(pack, StructType([classes.schema["__b"], *(StructField(k, v) for k, v in names.items())]))
+
+
+def by_width(sizes: np.ndarray, bits: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of one width: their start, sizes, and bits as rows of words."""
+    widths = np.array([width(int(n)) for n in sizes])
+    starts = [0, *(np.flatnonzero(np.diff(widths)) + 1), len(sizes)]
+    byte = 0
+    for a, b in zip(starts, starts[1:]):
+        n = (b - a) * int(widths[a]) // 8
+        yield a, sizes[a:b], np.frombuffer(bits, "<u8", n // 8, byte).reshape(b - a, -1)
+        byte += n
+
+
+def folded(words: np.ndarray, n: int) -> np.ndarray:
+    while words.shape[1] > n:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def close(small: tuple[np.ndarray, bytes], large: tuple[np.ndarray, bytes] | None, least: float) -> tuple[list[int], list[int]]:
+    """Places in both blocks (sizes, bits) of the pairs that sizes and bits allow to be similar; without large, the pairs within small."""
+    x, y, share = [], [], least / (1 + least)
+    for a, sizes, words in by_width(*(large or small)):
+        for b, others, bits in by_width(*small):
+            n = min(words.shape[1], bits.shape[1])
+            rows, columns = folded(words, n), np.ascontiguousarray(folded(bits, n).T)
+            # most pairs are told apart by these words
+            first = max(1, n * 5 // 8)
+            kind = "uint16" if n < 1024 else "int64"
+            for k, (m, row) in enumerate(zip(sizes.tolist(), rows, strict=True)):
+                low, high = int(np.searchsorted(others, m * least - 1e-9)), len(others) if large else min(len(others), a + k - b)
+                if low >= high:
+                    continue
+                differ = np.bitwise_count(columns[0, low:high] ^ row[0]).astype(kind)
+                for w in range(1, first):
+                    differ += np.bitwise_count(columns[w, low:high] ^ row[w])
+                found = np.flatnonzero(differ <= (m + int(others[high - 1])) * (1 - 2 * share) + 1e-6)
+                if not len(found):
+                    continue
+                total = m + others[low + found].astype("int64")
+                every = differ[found].astype("int64") + np.bitwise_count(columns[first:, low + found] ^ row[first:, None]).sum(axis=0, dtype="int64")
+                found = found[every <= total - 2 * np.ceil(total * share - 1e-9)]
+                x += [a + k] * len(found)
+                y += (b + low + found).tolist()
+    return x, y
+
+
+def close_pairs(classes: DataFrame, least: float) -> DataFrame:
+    """Pairs (x, y, m, n) of units (__b, unit, size, bits) of one batch that sizes and bits allow to be similar.
+
+    All texts of like sizes of a batch are compared, but in memory, block by block: blocks are shuffled once for each block that they
+    meet, and only pairs within the bounds become rows.
+    """
+    blocks = checkpointed(packed(classes, least))
+    edges = lambda *names: blocks.select("__b", *(F.col(a).alias(b) for a, b in zip(("block", "least", "most"), names, strict=True)))
+    met = edges("i", "__0", "most").join(edges("j", "least", "__1"), "__b").filter((F.col("i") <= F.col("j")) & (F.col("most") >= F.col("least") * least - 1e-9))
+    tiles = met.select("__b", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = blocks.join(tiles, ["__b", "block"]).select("__b", "i", "j", "block", "units", "sizes", "bits").repartition(tasks, "__b", "i", "j")
 
-    @F.pandas_udf("low long, high long")
-    def of_sets(arrays: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(list(map(bits, arrays)), columns=["low", "high"], dtype="int64")
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        sides = [(np.frombuffer(r.sizes, "int32"), r.bits, r.units) for r in rows.sort_values("block").itertuples()]
+        small, large = sides[0], sides[-1]
+        x, y = close(small[:2], large[:2] if len(sides) > 1 else None, least)
+        unit = lambda side, k: side[2][k * UNIT : (k + 1) * UNIT]
+        return pd.DataFrame({"x": [unit(large, k) for k in x], "y": [unit(small, k) for k in y], "m": large[0][x].astype("int32"), "n": small[0][y].astype("int32")})
 
-    return of_sets(tokens)
+    return held.groupBy("__b", "i", "j").applyInPandas(compare, "x binary, y binary, m int, n int")
 
 
-def verified(pairs: DataFrame, tokens: DataFrame, total: int) -> DataFrame:
-    """pairs (x, y, m, n) with `both`, the number of tokens that they share.
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (x, y, m, n) with `both`, the number of tokens that they share; classes are (__b, unit, first), texts (__b, doc_id, text).
 
-    Texts are dealt to blocks by hash. A pair of blocks gets the tokens of each text that has a pair there once, so tokens
-    travel once for each block that a text meets, not for each pair.
+    Texts that have pairs are dealt to blocks by hash. A pair of blocks gets the tokens of each text that has a pair there once, so
+    tokens travel once for each block that a text meets, not for each pair.
     """
-    blocks = max(1, -(-total // BLOCK_TEXTS))
+    pairs = checkpointed(pairs)
+    units = checkpointed(pairs.select(F.col("x").alias("unit")).union(pairs.select("y")).distinct().join(classes, "unit"))
+    blocks = max(1, -(-units.count() // BLOCK_TEXTS))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    placed = checkpointed(pairs.withColumn("bx", block("x")).withColumn("by", block("y")))
+    placed = pairs.withColumn("bx", block("x")).withColumn("by", block("y"))
     needed = placed.select("bx", "by", F.col("x").alias("unit")).union(placed.select("bx", "by", "y")).distinct()
+    asked = texts.join(units.select("__b", F.col("first").alias("doc_id"), F.col("unit").alias("__unit")), ["__b", "doc_id"])
+    tokens = asked.select("__unit", told(F.col("__b").cast("string"), "text").alias("t")).filter("t.unit = __unit").select("t.*")
     held = needed.join(tokens, "unit").select(F.col("bx").alias("cx"), F.col("by").alias("cy"), "unit", "said")
 
     def count(pair_rows: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
@@ -94,50 +190,19 @@ def batch_similarity(docs: DataFrame, batch: str, least: float = 0.70) -> DataFr
     texts are linked to those of other classes, so copies never form pairs among themselves. Texts without tokens,
     null texts and texts without a batch have no links.
 
-    A pair of m >= n tokens can only reach the threshold if the first m - ceil(m * least) + 1 tokens of the larger, in an order
-    that all texts share, meet the first n - ceil(n * 2 * least / (1 + least)) + 1 of the smaller. Where they do, the sizes and the
-    places in both bound the overlap that is still possible, and the bits of their parities how many tokens they differ in; only
-    pairs within these bounds are formed, and verified by their tokens. Tokens travel joined, as one text a class.
+    A pair of m >= n tokens can only reach the threshold if n >= m * least and no more than m + n - 2 * needed tokens are in one of
+    them alone. Parities of hashed tokens, a few bits a token, bound these from below; they alone are shuffled for all texts, and
+    the tokens of pairs within the bounds are compared. Those texts are cut into tokens again, no tokens are written.
     """
-    given = docs.filter(F.col(batch).isNotNull()).select(batch, "doc_id", F.array_distinct(terms_of("text")).alias("tokens")).filter(F.size("tokens") > 0)
-    total = docs.count()
-    ranks, heavy = sampled_order(given, batch, total, least)
-    # a class's name is that of its batch and sorted tokens
-    joined = given.select(batch, "doc_id", F.array_join(F.sort_array("tokens"), " ").alias("said"))
-    every = joined.withColumn("unit", F.unhex(F.substring(F.sha2(F.concat_ws("\u0001", F.col(batch).cast("string"), "said"), 256), 1, 32)))
-    classes = every.groupBy(batch, "unit").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("texts"), F.first("said").alias("said"))
-    ordered = classes.withColumn("tokens", in_order(F.split("said", " "), ranks))
-    alone = checkpointed(ordered.select(batch, "unit", "first", "texts", F.array_join("tokens", " ").alias("said"), parities("tokens").alias("bits")))
-    copies = every.select(batch, "doc_id", "unit").join(alone.filter("texts > 1").select("unit", "first"), "unit").filter("doc_id > first")
-    tiles = {f"{b}\u0001{t}": n for (b, t), n in heavy.items()}
-
-    @F.pandas_udf("int")
-    def tiles_of(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: tiles.get(k, 1))
-
-    def prefix(indexed: bool) -> DataFrame:
-        size = F.size("tokens")
-        rows = alone.withColumn("tokens", F.split("said", " ")).select(batch, "unit", size.alias("size"), "bits.low", "bits.high", F.posexplode(F.slice("tokens", F.lit(1), prefix_length(size, least, indexed))).alias("at", "token"))
-        whole = F.concat_ws("\u0001", F.col(batch).cast("string"), "token")
-        n = tiles_of(whole) if tiles else F.lit(1)
-        rows = rows.select("unit", "size", "low", "high", "at", F.xxhash64(whole).alias("key"), n.alias("__n"))
-        tile = F.explode(F.sequence(F.lit(0), F.col("__n") - 1)) if indexed and tiles else F.pmod(F.xxhash64("unit"), F.col("__n")).cast("int")
-        return rows.select("unit", "size", "low", "high", "at", "key", tile.alias("tile"))
-
-    a = prefix(False).select("key", "tile", F.col("unit").alias("x"), F.col("size").alias("m"), F.col("at").alias("i"), F.col("low").alias("xl"), F.col("high").alias("xh"))
-    b = prefix(True).select("key", "tile", F.col("unit").alias("y"), F.col("size").alias("n"), F.col("at").alias("j"), F.col("low").alias("yl"), F.col("high").alias("yh"))
-    larger = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") > F.col("y")))
-    needed = F.ceil((F.col("m") + F.col("n")) * least / (1 + least) - 1e-9)
-    # tokens before both places, this one, and those behind both
-    possible = F.least("i", "j") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
-    differ = F.bit_count(F.col("xl").bitwiseXOR(F.col("yl"))) + F.bit_count(F.col("xh").bitwiseXOR(F.col("yh")))
-    met = a.join(b, ["key", "tile"]).filter(larger & (F.col("n") >= F.col("m") * least - 1e-9) & (possible >= needed) & (differ <= F.col("m") + F.col("n") - 2 * needed))
-    # the first token that both have: nothing before it is shared
-    firsts = met.groupBy("x", "y").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.min(F.struct("i", "j")).alias("p"))
-    pairs = firsts.filter(F.least(F.col("m") - F.col("p.i"), F.col("n") - F.col("p.j")) >= needed).select("x", "y", "m", "n")
-    counted = verified(pairs, alone.select("unit", "said"), total)
+    given = docs.filter(F.col(batch).isNotNull()).select(F.col(batch).alias("__b"), "doc_id", "text")
+    every = checkpointed(given.select("__b", "doc_id", described(F.col("__b").cast("string"), "text").alias("d")).select("__b", "doc_id", "d.*").filter("unit is not null"))
+    classes = checkpointed(every.groupBy("__b", "unit").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("texts"), F.first("size").alias("size"), F.first("bits").alias("bits")))
+    copies = every.select("__b", "doc_id", "unit").join(classes.filter("texts > 1").select("unit", "first"), "unit").filter("doc_id > first")
+    # similarities are compared when rounded to six places
+    pairs = close_pairs(classes.select("__b", "unit", "size", "bits"), least - 5e-7)
+    counted = verified(pairs, classes.select("__b", "unit", "first"), given)
     linked = counted.withColumn("similarity", F.round(F.col("both") / (F.col("m") + F.col("n") - F.col("both")), 6)).filter(F.col("similarity") >= least)
-    names = alone.select(batch, "unit", "first")
-    out = linked.join(names.select(batch, F.col("unit").alias("x"), F.col("first").alias("__x")), "x").join(names.select(F.col("unit").alias("y"), F.col("first").alias("__y")), "y")
-    ends = out.select(batch, F.least("__x", "__y").alias("a"), F.greatest("__x", "__y").alias("b"), "similarity")
-    return ends.union(copies.select(batch, F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))
+    names = classes.select("__b", "unit", "first")
+    out = linked.join(names.select("__b", F.col("unit").alias("x"), F.col("first").alias("__x")), "x").join(names.select(F.col("unit").alias("y"), F.col("first").alias("__y")), "y")
+    ends = out.select(F.col("__b").alias(batch), F.least("__x", "__y").alias("a"), F.greatest("__x", "__y").alias("b"), "similarity")
+    return ends.union(copies.select("__b", F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))

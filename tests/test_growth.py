@@ -114,3 +114,46 @@ def test_candidates_are_copied_as_often_as_cores_need(spark, monkeypatch):
     postings = spark.range(50_000).select(F.col("id").alias("seq"), text("Senior Product Manager").alias("title"), text("5+ years of work").alias("description"))
     got, moved = shuffled(spark, lambda: P.candidate_pairs(candidates, postings).filter("candidate_id + seq < 2").select("candidate_id", "seq"))
     assert sorted(map(tuple, got)) == [(0, 0), (0, 1), (1, 0)] and moved < 2_000_000
+
+
+def test_texts_are_compared_without_their_tokens(spark, monkeypatch):
+    """Sets of 1 to 600 words in blocks of a few texts: links as by hand, and all that is shuffled is small next to the texts."""
+    from matchflow.operators import similarity as S
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    pool, rows = [word() for _ in range(4_000)], []
+    for i in range(400):
+        base = rng.sample(pool, rng.choice([1, 2, 5, 40, 43, 90, 200, 600]))
+        if i % 10 == 9:
+            old = rows[rng.randrange(len(rows))][2].split()
+            keep = rng.sample(old, max(1, int(len(old) * rng.uniform(0.7, 1))))
+            base = list(dict.fromkeys([*keep, *rng.sample(pool, int(len(old) * rng.uniform(0, 0.2)))]))
+        rows.append((rng.choice("ppq"), i, " ".join(base)))
+    monkeypatch.setattr(S, "TILE", 60)
+    docs = spark.createDataFrame(rows, "source string, doc_id long, text string")
+    got, moved = shuffled(spark, lambda: S.batch_similarity(docs, "source"))
+    sets = [(b, i, set(t.split())) for b, i, t in rows]
+    want = [(b, i, j, round(len(x & y) / len(x | y), 6)) for b, i, x in sets for c, j, y in sets if b == c and i < j and len(x & y) / len(x | y) >= 0.7]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 10
+    assert moved < sum(len(t) for *_, t in rows) * 0.7
+
+
+def test_parities_bound_differences_at_all_sizes():
+    """close keeps every pair that is similar, whatever the widths of both."""
+    import numpy as np
+
+    from matchflow.operators import similarity as S
+
+    rng = random.Random(7)
+    sets = []
+    for n in [1, 2, 3, 10, 42, 43, 60, 85, 86, 170, 171, 342, 700, 1_400] * 2:
+        base = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        sets += [set(base), set(base[: max(1, int(n * 0.71))]), set(base[1:] + ["x"])]
+    sets = sorted(sets, key=len)
+    block = lambda part: (np.array([len(s) for s in part], "int32"), b"".join(S.parities(sorted(s)) for s in part))
+    alike = lambda x, y: len(x & y) / len(x | y) >= 0.7
+    x, y = S.close(block(sets), None, 0.7)
+    assert {(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])} <= set(zip(x, y)) and len(x) < 200
+    x, y = S.close(block(sets[:50]), block(sets[30:]), 0.7)
+    assert {(i, j) for i, a in enumerate(sets[30:]) for j, b in enumerate(sets[:50]) if alike(a, b)} <= set(zip(x, y))
