@@ -24,6 +24,8 @@ BLOCKS, BLOCK_BYTES = 64, 32 << 20
 UNIT = 16
 #: Texts of one block of verification.
 BLOCK_TEXTS = 2_000
+#: So many texts' hashed ids at most are broadcast, so that only texts that may have pairs are shuffled.
+NAMED = 500_000
 
 
 def width(size: int) -> int:
@@ -168,10 +170,14 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
     """
     pairs = checkpointed(pairs)
     units = checkpointed(pairs.select(F.col("x").alias("unit")).union(pairs.select("y")).distinct().join(classes, "unit"))
-    blocks = max(1, -(-units.count() // BLOCK_TEXTS))
+    total = units.count()
+    blocks = max(1, -(-total // BLOCK_TEXTS))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     placed = pairs.withColumn("bx", block("x")).withColumn("by", block("y"))
     needed = placed.select("bx", "by", F.col("x").alias("unit")).union(placed.select("bx", "by", "y")).distinct()
+    if total <= NAMED:
+        ids = units.select(F.xxhash64("__b", "first").alias("__id")).distinct()
+        texts = texts.withColumn("__id", F.xxhash64("__b", "doc_id")).join(F.broadcast(ids), "__id", "left_semi").drop("__id")
     asked = texts.join(units.select("__b", F.col("first").alias("doc_id"), F.col("unit").alias("__unit")), ["__b", "doc_id"])
     tokens = asked.select("__unit", told(F.col("__b").cast("string"), "text").alias("t")).filter("t.unit = __unit").select("t.*")
     held = needed.join(tokens, "unit").select(F.col("bx").alias("cx"), F.col("by").alias("cy"), "unit", "said")
