@@ -9,6 +9,8 @@ from matchflow.operators.audit import key_tokens
 from matchflow.operators.written import checkpointed
 
 GRAM = 3
+#: Different keys, or headers, of a document whose keys meet all of its headers.
+DOCUMENT_TEXTS = 64
 
 
 def in_shuffle(df: DataFrame) -> DataFrame:
@@ -58,11 +60,10 @@ def containing_headers(keys: DataFrame, headers: DataFrame) -> DataFrame:
     return first_header(inside.union(around).union(empty).distinct(), once).join(in_shuffle(asked), ["doc_id", "k"]).select("doc_id", "key", "header")
 
 
-def resolve_keys(keys: DataFrame, headers: DataFrame, least: float = 0.60) -> DataFrame:
-    """Each key's header: equal, else the first that contains it or that it begins with, else the best overlap of words.
+def met_by_index(keys: DataFrame, headers: DataFrame, least: float) -> DataFrame:
+    """doc_id, key, header of documents of many texts.
 
-    keys: doc_id, key. headers: doc_id, header, place. Unmatched and empty keys get a null header; repeated keys
-    each get theirs. Equal texts meet by hash, contained ones by their rarest letters, and a key that needs n of its m words
+    Equal texts meet by hash, contained ones by their rarest letters, and a key that needs n of its m words
     to agree meets the headers that have one of its m - n + 1 rarest, so no key meets all headers of its document.
     """
     once = checkpointed(indexed(headers))
@@ -87,5 +88,42 @@ def resolve_keys(keys: DataFrame, headers: DataFrame, least: float = 0.60) -> Da
     met = rare.join(in_shuffle(posted), ["doc_id", "token"]).select("doc_id", "k", "header", "place", (F.size(F.array_intersect("kt", "ht")) / F.size("kt")).alias("overlap"))
     best = F.min_by("header", F.struct((-F.col("overlap")).alias("o"), F.length("header").alias("n"), "place"))
     overlapping = met.filter(F.col("overlap") >= least).groupBy("doc_id", "k").agg(best.alias("header"))
-    found = equal.union(within).union(overlapping).join(in_shuffle(asked), ["doc_id", "k"]).select("doc_id", "key", "header")
+    return equal.union(within).union(overlapping).join(in_shuffle(asked), ["doc_id", "k"]).select("doc_id", "key", "header")
+
+
+def rank_of(least: float) -> Column:
+    """What orders the headers of a key in a joined row (k, low, kt, ht, header, place), the least first; null where they do not match."""
+    share = F.when(F.size("kt") > 0, F.size(F.array_intersect("kt", "ht")) / F.size("kt")).otherwise(0.0)
+    held = F.contains("low", "k") | F.startswith("k", "low")
+    rank = lambda tier, o, n: F.struct(F.lit(tier).alias("tier"), o.cast("double").alias("o"), n.cast("int").alias("n"), "place", "header")
+    zero = F.lit(0)
+    return F.when(F.col("low") == F.col("k"), rank(0, zero, zero)).when(held, rank(1, zero, zero)).when(share >= least, rank(2, -share, F.length("header")))
+
+
+def met_in_document(keys: DataFrame, headers: DataFrame, least: float) -> DataFrame:
+    """doc_id, key, header of documents of few texts: keys (doc_id, key) meet all headers (doc_id, header, place) of their document."""
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.repartition(tasks, "doc_id")
+    k = dealt(keys).withColumn("k", low("key")).withColumn("kt", key_tokens("k"))
+    h = dealt(headers).withColumn("low", low("header")).withColumn("ht", key_tokens("header"))
+    ranked = k.join(in_shuffle(h), "doc_id").withColumn("rank", rank_of(least)).filter("rank is not null")
+    return ranked.groupBy("doc_id", "key").agg(F.min("rank").alias("rank")).select("doc_id", "key", "rank.header")
+
+
+def resolve_keys(keys: DataFrame, headers: DataFrame, least: float = 0.60) -> DataFrame:
+    """Each key's header: equal, else the first that contains it or that it begins with, else the best overlap of words.
+
+    keys: doc_id, key. headers: doc_id, header, place. Unmatched and empty keys get a null header; repeated keys
+    each get theirs. In a document of at most DOCUMENT_TEXTS different keys and as many headers they all meet; documents of more
+    go by inverted indexes, so that no key meets all headers of a large document.
+    """
+    once = headers.filter("doc_id is not null").groupBy("doc_id", "header").agg(F.min("place").alias("place"))
+    asked = keys.filter("doc_id is not null").select("doc_id", "key").distinct().filter(low("key") != "")
+    many = lambda df: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > DOCUMENT_TEXTS).select("doc_id")
+    large = checkpointed(many(once).union(many(asked)).distinct())
+    if large.isEmpty():
+        found = met_in_document(asked, once, least)
+    else:
+        of = lambda df, how: df.join(in_shuffle(large), "doc_id", how)
+        found = met_in_document(of(asked, "left_anti"), of(once, "left_anti"), least).union(met_by_index(of(asked, "left_semi"), of(once, "left_semi"), least))
     return keys.join(in_shuffle(found), ["doc_id", "key"], "left")

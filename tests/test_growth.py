@@ -157,3 +157,23 @@ def test_parities_bound_differences_at_all_sizes():
     assert {(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])} <= set(zip(x, y)) and len(x) < 200
     x, y = S.close(block(sets[:50]), block(sets[30:]), 0.7)
     assert {(i, j) for i, a in enumerate(sets[30:]) for j, b in enumerate(sets[:50]) if alike(a, b)} <= set(zip(x, y))
+
+
+def test_keys_of_small_documents_are_shuffled_a_few_times(spark):
+    """Parts of texts are only made for documents of many texts; both kinds of documents give what all keys by all headers give."""
+    from test_whole import keys_by_hand
+
+    from matchflow.operators.keys import resolve_keys
+
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice(["acme", "North", "lead", "Data", "x", "of", "role", "42", "ab", "Globex"]) for _ in range(rng.randint(1, n)))
+    headers = {d: list(dict.fromkeys(text(5) for _ in range(200 if d % 40 == 0 else rng.randint(1, 6)))) for d in range(1_500)}
+    asked = {d: [text(5) for _ in range(4)] + (["", "ac"] if d % 3 else ["q", "q"]) for d in range(1_520)}
+    k = spark.createDataFrame([(d, t) for d, ts in asked.items() for t in ts] + [(None, "acme"), (3, None)], "doc_id int, key string")
+    h = spark.createDataFrame([(d, t, i) for d, ts in headers.items() for i, t in enumerate(ts)] + [(None, "acme", 0)], "doc_id int, header string, place int")
+    got = [tuple(r) for r in resolve_keys(k, h).collect()]
+    want = [(d, *found) for d, ts in asked.items() for found in keys_by_hand(ts, headers.get(d, []))] + [(None, "acme", None), (3, None, None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and max(map(len, headers.values())) > 64
+    small = "doc_id % 40 <> 0"
+    got, moved = shuffled(spark, lambda: resolve_keys(k.filter(small), h.filter(small)))
+    assert len(got) > 8_000 and moved < 2_000_000
